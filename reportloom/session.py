@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,4 +24,13 @@ def local_session(name: str, cores: int | str = "*", partitions: int = 8, memory
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return importable(spark)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers of a local run find this checkout; a cluster has the package installed or shipped."""
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH", "")]))
     return spark
