@@ -9,6 +9,7 @@ than ``LONG`` go one by one through the same recursions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -68,7 +69,7 @@ class Vocabulary:
                 return slots, ids, shift
         raise ValueError("no table size places all pieces")
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(len(self.pieces[i]) for i in self.normal)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, quality, secrets, sentpiece, simhash, tokenfile
+from . import chat, decontam, langid, lm, pii, quality, secrets, sentpiece, simhash, tokenfile
 from .common import held_out, table
 
 
@@ -38,10 +38,22 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no pairs: a conversation is chosen over its variant whose last assistant turn repeats the turn before."""
+    whole = chat.conversations(table(spark, sf_dir, "conversations"))
+    out = chat.format_preferences(whole.select("conv_id", F.col("turns").alias("chosen"), chat.echoed(F.col("turns")).alias("rejected")))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return out.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", told("chosen_mask").alias("chosen_mask"), told("rejected_mask").alias("rejected_mask"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_table(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     out = sentpiece.decode(sentpiece.encode(table(spark, sf_dir, "documents"), model), model)
@@ -67,10 +79,93 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash": op4_simhash,
+    "op5_preference_chat": op5_preference_chat,
     "op6_token_files": op6_token_files,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT rid, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d),
+win AS (SELECT rid, i, list_slice(w, i, i + 7) AS x FROM w, unnest(range(1, len(w) - 6)) AS u(i)),
+dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS n FROM win) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM dup, range(0, 8) AS r(k) GROUP BY rid),
+ln AS (
+  SELECT rid, length(l) AS chars, len(regexp_extract_all(l, '[\x20\x09-\x0D]+')) + 1 AS spaces,
+         len(regexp_extract_all(l, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(l, '[.!?,;:…。]')) AS marks,
+         len(regexp_extract_all(l, '!')) AS bangs,
+         regexp_matches(l, '(?i)^[\x20\x09-\x0D]*(?:home|menu|login|log in|sign in|sign up|next|previous|back|search|contact us|about us|read more|skip to content)[\x20\x09-\x0D]*$') AS menu,
+         regexp_matches(l, '(?i)\b(?:all rights reserved|licensed under|released under|terms of (?:use|service)|privacy policy|cookies?|enable javascript|lorem ipsum|subscribe to our newsletter)\b') AS notice
+  FROM w, unnest(lines) AS u(l)),
+lost AS (
+  SELECT rid, coalesce(sum(chars) FILTER (WHERE (marks = 0 AND spaces >= 8) OR (bangs >= 4 AND 3 * bangs >= spaces)
+         OR (symbols >= 2 AND 5 * symbols >= spaces) OR menu OR notice), 0)::DOUBLE / sum(chars) AS part
+  FROM ln GROUP BY rid),
+x AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(part, 0) AS part
+  FROM w LEFT JOIN rep USING (rid) LEFT JOIN lost USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND part <= 0.5 AS kept
+FROM x""",
+    "op5_preference_chat": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rn
+  FROM conversations),
+p AS (
+  SELECT *, max(rn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS last_a,
+         coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY rn), '') AS before
+  FROM t),
+q AS (
+  SELECT *, coalesce(max(rn - 1) FILTER (WHERE rn = last_a AND text <> before) OVER (PARTITION BY conv_id), count(*) OVER (PARTITION BY conv_id)) AS n,
+         CASE WHEN rn = last_a THEN before ELSE text END AS worse
+  FROM p),
+r AS (
+  SELECT *, '<|' || role || '|>' || chr(10) AS head,
+         '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS good,
+         '<|' || role || '|>' || chr(10) || worse || chr(10) || '<|end|>' || chr(10) AS bad
+  FROM q),
+s AS (
+  SELECT *, coalesce(sum(length(good)) FILTER (WHERE rn > n) OVER b, 0) - length(good) + length(head) AS good_at,
+         coalesce(sum(length(bad)) FILTER (WHERE rn > n) OVER b, 0) - length(bad) + length(head) AS bad_at
+  FROM r WINDOW b AS (PARTITION BY conv_id ORDER BY rn))
+SELECT conv_id, max(n)::BIGINT AS n_prompt_turns,
+       coalesce(string_agg(good, '' ORDER BY rn) FILTER (WHERE rn <= n), '') AS prompt,
+       coalesce(string_agg(good, '' ORDER BY rn) FILTER (WHERE rn > n), '') AS chosen,
+       coalesce(string_agg(bad, '' ORDER BY rn) FILTER (WHERE rn > n), '') AS rejected,
+       coalesce(string_agg(good_at::BIGINT || ':' || (good_at + length(text))::BIGINT, ',' ORDER BY rn) FILTER (WHERE rn > n AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(bad_at::BIGINT || ':' || (bad_at + length(worse))::BIGINT, ',' ORDER BY rn) FILTER (WHERE rn > n AND role = 'assistant'), '') AS rejected_mask
+FROM s GROUP BY conv_id""",
+    "op9_decontamination": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, m, list_slice(w, i, i + m - 1) AS x
+  FROM (SELECT *, least(13, len(w)) AS m FROM b WHERE len(w) > 0), unnest(range(1, len(w) - m + 2)) AS u(i)),
+dw AS (
+  SELECT rid, i, m, list_slice(w, i, i + m - 1) AS x
+  FROM d, (SELECT DISTINCT m FROM bw), unnest(range(1, greatest(1, len(w) - m + 2))) AS u(i)),
+h AS (SELECT rid, i, dw.m, item_id FROM dw JOIN bw ON dw.x = bw.x AND dw.m = bw.m),
+n AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT rid, i, m FROM h), unnest(range(0, m)) AS r(k) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM h) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)""",
+}

@@ -183,6 +183,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
     dealt = base.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "_t")
     index_schema = pa.schema([("doc_id", arrow_type(f"x {kind}").field(0).type), ("at", pa.int64()), ("n", pa.int64())])
     schema = "shard int, name string, n_tokens long, n_docs long"
+    made = arrow_type(schema)
 
     def run(batches):
         from pyspark import TaskContext
@@ -206,7 +207,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
             index.close()
             sink.close()
             index_sink.close()
-            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([name]), pa.array([at]), pa.array([n_docs])], schema=arrow_type(schema))
+            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([name]), pa.array([at]), pa.array([n_docs])], schema=made)
 
     return written(dealt.mapInArrow(run, schema), "manifest")
 
