@@ -133,7 +133,7 @@ def size_rows(gt: DataFrame, predictions: DataFrame, tolerance_mm: float = TOLER
     require(predictions, "ID", "type", value)
     rows = evaluated(gt, predictions, by).filter(norm(F.col(truth)) != "").withColumn("gt", parse_sizes(F.col(truth)))
     both = matched(rows, gathered(predictions, kind, value, parse_sizes(F.col(value)), by, order), by)
-    both = both.withColumn("m", greedy_match(F.col("gt"), F.col("pred"), tolerance_mm))
+    both = both.withColumn("m", F.when(F.col("pred").isNotNull(), greedy_match(F.col("gt"), F.col("pred"), tolerance_mm)))
     hits = F.size("gt") - F.size("m.missing")
     score = F.struct(safe_div(hits, F.size("gt")).alias("coverage"), safe_div(hits, F.size("pred")).alias("precision"))
     nothing_left = (F.size("m.missing") == 0) & (F.size("m.remaining") == 0)
