@@ -198,7 +198,7 @@ FROM events GROUP BY 1""",
 WITH e AS (SELECT event_type AS metric, CASE user_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS p, value > 5 OR user_id % 3 < 2 AS ok FROM events)
 SELECT metric, coalesce(nullif(count(*) FILTER (WHERE ok AND p = 'a'), 0)::VARCHAR, 'N/A') AS prompt1, coalesce(nullif(count(*) FILTER (WHERE ok AND p = 'c'), 0)::VARCHAR, 'N/A') AS prompt10, coalesce(nullif(count(*) FILTER (WHERE ok AND p = 'b'), 0)::VARCHAR, 'N/A') AS prompt2
 FROM e GROUP BY metric""",
-    "models_in_all_prompts": "SELECT source AS model FROM documents GROUP BY source HAVING count(DISTINCT doc_id % 5) = (SELECT count(DISTINCT doc_id % 5) FROM documents)",
+    "models_in_all_prompts": "SELECT source AS model FROM documents GROUP BY source HAVING count(DISTINCT (doc_id // 100) % 5) = (SELECT count(DISTINCT (doc_id // 100) % 5) FROM documents)",
     "first_file_value": "SELECT (page_id % 7)::VARCHAR AS model, min(url) || '#' AS value FROM pages GROUP BY 1",
     "summary_long": """
 WITH h AS (SELECT DISTINCT doc_id AS id, lang AS model FROM documents WHERE contains(lower(text), 'trash') OR contains(text, 'scum')),

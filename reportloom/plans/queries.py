@@ -334,7 +334,7 @@ def prompt_metric_pivot(spark, sf):
 
 
 def models_in_all_prompts(spark, sf):
-    x = read(spark, sf, "documents").select(F.col("source").alias("model"), (F.col("doc_id") % 5).alias("prompt_id"))
+    x = read(spark, sf, "documents").select(F.col("source").alias("model"), (F.floor(F.col("doc_id") / 100) % 5).alias("prompt_id"))
     return M.common_names(x)
 
 
