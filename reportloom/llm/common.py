@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import importable
@@ -47,14 +47,24 @@ def held_out(doc_id: str, modulus: int) -> F.Column:
 
 
 def sampled_ids(df: DataFrame, doc_id: str, most: int, by: str | None = None) -> DataFrame:
-    """At most ``most`` ids (of each value of ``by``) in the order of their hash: a fixed sample, read from ids alone."""
-    from pyspark.sql import Window
+    """At most ``most`` ids (of each value of ``by``) in the order of their hash: a fixed sample, read from ids alone.
 
-    ranked = df.select(doc_id, *([by] if by else []), F.xxhash64(F.col(doc_id)).alias("_h"))
+    Rows whose hash lies beyond twice the share that the sample needs are dropped before anything is ordered, so what is
+    sorted is of the sample's size, whatever the table's. Values of ``by`` come to the driver: they are a model's classes.
+    """
+    rows = df.select(doc_id, *([by] if by else []), F.xxhash64(F.col(doc_id)).alias("_h"))
+    part = F.pmod("_h", F.lit(1 << 30)) / float(1 << 30)
     if by is None:
-        return ranked.orderBy("_h", doc_id).limit(most).select(doc_id)
+        share = min(1.0, 2.0 * most / max(1, df.count()))
+        return rows.filter(part < share).orderBy("_h", doc_id).limit(most).select(doc_id)
+    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return rows.select(doc_id).limit(0)
+    share = F.lit(1.0)
+    for value, n in counts.items():
+        share = F.when(F.col(by).eqNullSafe(F.lit(value)), min(1.0, 2.0 * most / n)).otherwise(share)
     at = Window.partitionBy(by).orderBy("_h", doc_id)
-    return ranked.withColumn("_n", F.row_number().over(at)).filter(F.col("_n") <= most).select(doc_id)
+    return rows.filter(part < share).withColumn("_n", F.row_number().over(at)).filter(F.col("_n") <= most).select(doc_id)
 
 
 def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
