@@ -13,6 +13,8 @@ from functools import cached_property
 
 import numpy as np
 
+from .common import ragged
+
 MARK = 0x2581
 #: Stands for a literal U+2581 of a text, which must not read as a space mark; no piece holds it.
 LITERAL_MARK = 0x110000
@@ -29,6 +31,28 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+@dataclass
+class Words:
+    """Code points of many units end to end; spaces are marks, and literal marks are kept apart."""
+
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, units: list[str]) -> Words:
+        flat = codes_of("".join(units)).copy()
+        flat[flat == MARK] = LITERAL_MARK
+        flat[flat == 32] = MARK
+        return cls(flat, np.fromiter(map(len, units), np.int64, len(units)))
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+
 @dataclass
 class Vocabulary:
     pieces: list[str]
@@ -76,8 +100,12 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none."""
         slots, ids, shift = self.tables
-        one, two = _spot(hashes, shift, 0), _spot(hashes, shift, 1)
-        return np.where(slots[one] == hashes, ids[one], np.where(slots[two] == hashes, ids[two], -1))
+        at = _spot(hashes, shift, 0)
+        out = np.where(slots[at] == hashes, ids[at], -1)
+        miss = np.flatnonzero(out < 0)
+        at = _spot(hashes[miss], shift, 1)
+        out[miss] = np.where(slots[at] == hashes[miss], ids[at], -1)
+        return out
 
 
 def _spot(hashes, shift, turn):
@@ -126,17 +154,16 @@ def byte_scores(codes: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary) -
     return np.select([c < 0x80, c < 0x800, c < 0x10000], [out, two, three], four)
 
 
-def by_length(words: list[np.ndarray], most: int = 1 << 14):
-    """(indexes, codes) of words of one length, at most ``most`` at a time; long words come alone."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    order = np.argsort(sizes, kind="stable")
-    cuts = np.flatnonzero(np.diff(sizes[order])) + 1
+def by_length(words: Words, most: int = 1 << 14):
+    """(indexes, codes) of words of one length, at most ``most`` at a time (fewer long ones)."""
+    order = np.argsort(words.sizes, kind="stable")
+    cuts = np.flatnonzero(np.diff(words.sizes[order])) + 1
     for part in np.split(order, cuts):
-        if len(part) and sizes[part[0]] > 0:
-            step = max(1, min(most, (most * 8) // int(sizes[part[0]])))
+        if len(part) and (size := int(words.sizes[part[0]])) > 0:
+            step = max(1, min(most, (most * 8) // size))
             for k in range(0, len(part), step):
                 some = part[k : k + step]
-                yield some, np.stack([words[w] for w in some])
+                yield some, words.flat[words.starts[some][:, None] + np.arange(size)]
 
 
 def forward(codes: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary, found=None) -> np.ndarray:
@@ -197,7 +224,7 @@ def windows(codes: np.ndarray, vocabulary: Vocabulary, step: int = 1 << 12):
         yield at, ids
 
 
-def marginals(words: list[np.ndarray], scores: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+def marginals(words: Words, scores: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """The log of the summed weight of all segmentations of each word."""
     out = np.zeros(len(words))
     for some, codes in by_length(words):
@@ -208,7 +235,7 @@ def marginals(words: list[np.ndarray], scores: np.ndarray, vocabulary: Vocabular
     return out
 
 
-def expected(words: list[np.ndarray], weights: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+def expected(words: Words, weights: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Expected counts of pieces over all segmentations of the words, weighted. Words over ``LONG`` count their bytes and
     single characters."""
     out = np.zeros(len(scores))
@@ -255,45 +282,62 @@ def _summed(codes: np.ndarray, share: np.ndarray):
     return zip(own.tolist(), np.bincount(back, share).tolist(), strict=True)
 
 
-def best_paths(words: list[np.ndarray], scores: np.ndarray, vocabulary: Vocabulary, unknown: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_paths(words: Words, scores: np.ndarray, vocabulary: Vocabulary, unknown: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of each word's best segmentation, end to end, how many each has, and the paths' scores. Among equal sums the
     longer last piece wins. A character that is no piece costs ``unknown`` and gives its byte pieces."""
-    results: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-    totals = np.zeros(len(words))
+    sizes, totals = np.zeros(len(words), np.int64), np.zeros(len(words))
+    found: list[tuple[np.ndarray, np.ndarray]] = []  # (words, their ids end to end)
     wide = np.concatenate([scores, [-np.inf]])
     for some, codes in by_length(words):
         n, length = codes.shape
         if length > LONG:
             for w, word in zip(some, codes, strict=True):
                 totals[w], path = long_best(word, scores, vocabulary, unknown)
-                results[w] = spelled(word, path, vocabulary)
+                ids = spelled(word, path, vocabulary)
+                sizes[w] = len(ids)
+                found.append((np.array([w]), ids))
             continue
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back_id, back_at = np.full((n, length + 1), -1, np.int32), np.zeros((n, length + 1), np.int32)
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        back_id, back_at = np.full((length + 1, n), -1, np.int32), np.zeros((length + 1, n), np.int32)
         for i, j, ids in arcs(codes, vocabulary):
-            weight = np.where(ids < 0, unknown, wide[ids]) if j - i == 1 else wide[ids]
-            if j - i > 1 and (ids < 0).all():
+            known = ids >= 0
+            if j - i > 1 and not known.any():
                 continue
-            total = best[:, i] + weight
-            better = total > best[:, j]
-            best[better, j] = total[better]
-            back_id[better, j] = ids[better]
-            back_at[better, j] = i
-        totals[some] = best[:, -1]
+            total = best[i] + (np.where(known, wide[ids], unknown) if j - i == 1 else wide[ids])
+            better = total > best[j]
+            best[j] = np.where(better, total, best[j])
+            back_id[j] = np.where(better, ids, back_id[j])
+            back_at[j] = np.where(better, i, back_at[j])
+        totals[some] = best[-1]
         # backtrace of all words at once, from their ends
         at, rows, steps = np.full(n, length), np.arange(n), []
         while (at > 0).any():
-            steps.append(np.where(at > 0, back_id[rows, at], -2))
-            if (steps[-1] == -1).any():
-                steps[-1] = np.where(steps[-1] == -1, -3 - codes[rows, np.maximum(at - 1, 0)].astype(np.int64), steps[-1])
-            at = np.where(at > 0, back_at[rows, at], 0)
+            piece = back_id[at, rows].astype(np.int64)
+            piece = np.where(piece < 0, -3 - codes[rows, np.maximum(at - 1, 0)].astype(np.int64), piece)
+            steps.append(np.where(at > 0, piece, -1))
+            at = np.where(at > 0, back_at[at, rows], 0)
         path = np.stack(steps[::-1], axis=1)
-        for w, row in zip(some.tolist(), path, strict=True):
-            row = row[row != -2]
-            results[w] = row.astype(np.int32) if (row >= 0).all() else np.concatenate([[i] if i >= 0 else vocabulary.byte_ids[list(utf8_of(int(-3 - i)))] for i in row]).astype(np.int32)
-    sizes = np.fromiter(map(len, results), np.int64, len(results))
-    return np.concatenate([np.zeros(0, np.int32), *results]), sizes, totals
+        count = (path != -1).sum(axis=1)
+        ids = path[path != -1]
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):
+            lengths = np.ones(len(ids), np.int64)
+            spelt = [vocabulary.byte_ids[list(utf8_of(int(-3 - ids[k])))] for k in odd]
+            lengths[odd] = list(map(len, spelt))
+            heads = np.cumsum(lengths) - lengths
+            whole = np.repeat(ids, lengths)
+            for k, own in zip(odd, spelt, strict=True):
+                whole[heads[k] : heads[k] + len(own)] = own
+            count = np.add.reduceat(lengths, np.cumsum(count) - count)
+            ids = whole
+        sizes[some] = count
+        found.append((some, ids))
+    out = np.zeros(int(sizes.sum()), np.int32)
+    starts = np.cumsum(sizes) - sizes
+    for some, ids in found:
+        out[ragged(starts[some], sizes[some])] = ids
+    return out, sizes, totals
 
 
 def long_best(codes: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary, unknown: float) -> tuple[float, list[tuple[int, int, int]]]:

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_type, pieces, plain, ragged, written
-from .lattice import LITERAL_MARK, MARK, Vocabulary, best_paths, spelled, utf8_of, windows
+from .lattice import LITERAL_MARK, MARK, Vocabulary, Words, best_paths, spelled, windows
 
 CHUNK = 1 << 15
 BLOCK = 256
-CACHE = 300_000
+CACHE = 600_000
 
 
 class Codec:
@@ -64,25 +64,36 @@ class Codec:
     def clear(self) -> None:
         self.place: dict[str, int] = {"": 0}
         self.ids, self.start, self.used = np.zeros(1 << 20, np.int32), np.zeros(1 << 17, np.int64), 0
+        self.total = np.zeros(1 << 17)
 
     def _places(self, units: list[str]) -> np.ndarray:
-        if len(self.place) + len(units) > CACHE:
-            self.clear()
+        """Numbers of units in the store; new ones are solved together."""
         get = self.place.get
         new = [u for u in units if get(u) is None]
+        if len(self.place) + len(new) > CACHE:
+            self.clear()
+            new = [u for u in units if u]
         if new:
-            ids, sizes, _ = best_paths([marked(u) for u in new], self.scores, self.vocabulary, self.unknown)
+            ids, sizes, totals = best_paths(Words.of(new), self.scores, self.vocabulary, self.unknown)
             base = len(self.place)
             self.place.update(zip(new, range(base, base + len(new)), strict=True))
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while base + len(new) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+                self.start, self.total = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.total))
             self.ids[self.used : self.used + len(ids)] = ids
             self.start[base : base + len(new) + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
+            self.total[base : base + len(new)] = totals
             self.used += len(ids)
         return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
 
+    def solve(self, text: str) -> tuple[np.ndarray, float]:
+        """Ids and score of a text that is whole units."""
+        units = cut_units(text)
+        at = self._places(list(dict.fromkeys(units)))
+        at = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+        return self.ids[ragged(self.start[at], self.start[at + 1] - self.start[at])], float(self.total[at].sum())
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and how many each has."""
         # the first space mark is the codec's own: texts begin with a space here, and empty ones stay empty
@@ -108,9 +119,7 @@ class Codec:
                 out.append(ids[ends[i] - counts[i] : ends[i]])
             else:
                 text = whole[i].as_py()
-                place = self._places(cut_units(text))
-                n = self.start[place + 1] - self.start[place]
-                out.append(self.ids[ragged(self.start[place], n)])
+                out.append(self.solve(text)[0])
         return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
     def decode(self, ids) -> str:
@@ -120,10 +129,7 @@ class Codec:
 
 def marked(unit: str) -> np.ndarray:
     """Code points of a unit, with spaces as marks and literal marks kept apart."""
-    codes = np.frombuffer(unit.encode("utf-32-le"), np.uint32).copy()
-    codes[codes == MARK] = LITERAL_MARK
-    codes[codes == 32] = MARK
-    return codes
+    return Words.of([unit]).flat
 
 
 def cut_units(text: str) -> list[str]:
@@ -196,9 +202,10 @@ class ChunkSolver:
         return spelled(self.codes, path[::-1], self.codec.vocabulary)
 
     def _middle(self):
-        text = "".join(chr(MARK) if c == LITERAL_MARK else " " if c == MARK else chr(c) for c in self.codes[self.sync[0] : self.sync[1]].tolist())
-        units = cut_units(text)
-        return best_paths([marked(u) for u in units], self.codec.scores, self.codec.vocabulary, self.codec.unknown)
+        codes = self.codes[self.sync[0] : self.sync[1]].copy()
+        codes[codes == MARK] = 32
+        codes[codes == LITERAL_MARK] = MARK
+        return self.codec.solve(codes.tobytes().decode("utf-32-le"))
 
     def _tail(self):
         return self._forward(self.sync[1], min(len(self.codes), self.size + self.states - 1), np.array([self.sync[1]]))
@@ -216,7 +223,7 @@ class ChunkSolver:
                 out[k, k - self.size] = 0
             return out
         head = self._forward(0, self.sync[0], entries)[0][:, -1]
-        total = self._middle()[2].sum() if self.sync[1] > self.sync[0] else 0.0
+        total = self._middle()[1] if self.sync[1] > self.sync[0] else 0.0
         tail = self._tail()[0][0, self.size - self.sync[1] :]
         out[: len(entries), : len(tail)] = head[:, None] + total + tail[None, :]
         return out
