@@ -5,7 +5,8 @@ of the vocabulary's piece scores (among equal sums, the longer last piece). No p
 character, so a place where a mark follows one is a *sync point*, over which no piece reaches.
 
 Ordinary texts are cut at sync points into units; each new unit of a batch is solved once, all units of one length at
-once (see ``lattice``). A giant text (over ``chunk`` characters) is dealt out as chunks of that length. A chunk yields a
+once (see ``lattice``). A giant text (over ``chunk`` characters) is dealt out as chunks of that length, or up to the last sync point in it, so
+that only a unit longer than a chunk is ever cut. A chunk yields a
 boundary-state transfer matrix: entry (s, t) is the best score when a piece from before covers its first s characters
 and its own last piece reaches t characters beyond it. Matrices combine associatively in the max-plus semiring, in a tree
 whose upper half then tells each chunk its two states, and the chunks are traced back on their own. A chunk with a sync
@@ -201,11 +202,16 @@ class ChunkSolver:
             at = int(from_[at])
         return spelled(self.codes, path[::-1], self.codec.vocabulary)
 
-    def _middle(self):
+    def middle_text(self) -> str:
+        if self.sync is None:
+            return ""
         codes = self.codes[self.sync[0] : self.sync[1]].copy()
         codes[codes == MARK] = 32
         codes[codes == LITERAL_MARK] = MARK
-        return self.codec.solve(codes.tobytes().decode("utf-32-le"))
+        return codes.tobytes().decode("utf-32-le")
+
+    def _middle(self):
+        return self.codec.solve(self.middle_text())
 
     def _tail(self):
         return self._forward(self.sync[1], min(len(self.codes), self.size + self.states - 1), np.array([self.sync[1]]))
@@ -242,6 +248,14 @@ class ChunkSolver:
         return np.concatenate([head, middle, self._path(self.sync[1], from_[0], kind[0], self.size + leave, self.sync[1])])
 
 
+def solvers(codec: Codec, codes, sizes: list[int], together: int = 48):
+    """Solvers of a batch's chunks; the units of ``together`` chunks are solved at once before the chunks are."""
+    for k in range(0, len(sizes), together):
+        some = [ChunkSolver(codec, np.frombuffer(codes[i].as_buffer(), np.uint32), sizes[i]) for i in range(k, min(len(sizes), k + together))]
+        codec._places(list(dict.fromkeys(u for s in some for u in cut_units(s.middle_text()))))
+        yield from some
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
@@ -270,10 +284,15 @@ def _chunks(docs: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
             ids, rids, texts = batch.column(0), batch.column(1), plain(batch.column(2))
             for i in range(batch.num_rows):
                 codes = marked(" " + texts[i].as_py())
-                starts = range(0, len(codes), chunk)
-                for c, at in enumerate(starts):
-                    part = codes[at : at + chunk + reach]
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, 1), rids.slice(i, 1), pa.array([c], pa.int32()), pa.array([min(chunk, len(codes) - at)], pa.int32()), pa.array([c == len(starts) - 1]), pa.array([part.tobytes()])], schema=out)
+                sync = np.flatnonzero((codes[1:] == MARK) & (codes[:-1] != MARK)) + 1
+                at = c = 0
+                while at < len(codes):
+                    end = min(at + chunk, len(codes))
+                    if end < len(codes) and (k := int(np.searchsorted(sync, end, side="right"))) and sync[k - 1] > at:
+                        end = int(sync[k - 1])
+                    part = codes[at : end + reach]
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, 1), rids.slice(i, 1), pa.array([c], pa.int32()), pa.array([end - at], pa.int32()), pa.array([end == len(codes)]), pa.array([part.tobytes()])], schema=out)
+                    at, c = end, c + 1
 
     return docs.withColumn("rid", F.monotonically_increasing_id()).select("doc_id", "rid", "_t").mapInArrow(run, schema)
 
@@ -288,8 +307,7 @@ def _giants(docs: DataFrame, model: str, chunk: int, block: int, kind: str) -> D
     def matrices(batches):
         codec = Codec.of(model)
         for batch in batches:
-            size, codes = batch.column(2).to_pylist(), batch.column(3)
-            rows = [ChunkSolver(codec, np.frombuffer(codes[i].as_buffer(), np.uint32), size[i]).matrix().ravel() for i in range(batch.num_rows)]
+            rows = [s.matrix().ravel() for s in solvers(codec, batch.column(3), batch.column(2).to_pylist())]
             if rows:
                 yield pa.record_batch([batch.column(0), batch.column(1), _doubles(rows)], names=["rid", "c", "m"])
 
@@ -316,8 +334,8 @@ def _giants(docs: DataFrame, model: str, chunk: int, block: int, kind: str) -> D
     def trace(batches):
         codec = Codec.of(model)
         for batch in batches:
-            x = {n: batch.column(n).to_pylist() for n in ("size", "enter", "leave")}
-            rows = [ChunkSolver(codec, np.frombuffer(batch.column("codes")[i].as_buffer(), np.uint32), x["size"][i]).trace(x["enter"][i], x["leave"][i]) for i in range(batch.num_rows)]
+            ends = zip(batch.column("enter").to_pylist(), batch.column("leave").to_pylist(), strict=True)
+            rows = [s.trace(*e) for s, e in zip(solvers(codec, batch.column("codes"), batch.column("size").to_pylist()), ends, strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("c"), _lists(np.concatenate(rows), np.array(list(map(len, rows))))], schema=traced)
 
