@@ -74,12 +74,19 @@ def fit(examples: list[tuple[str, str]], bits: int = BITS, dim: int = DIM, epoch
     table = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     weight, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     weight += rng.normal(0, 0.1, weight.shape).astype(np.float32)
-    rows = [np.unique(_grams(t, bits), return_counts=True) for t, _ in fitted]
+    # one flat store of small numbers, as the driver's memory is tight
+    kept, counted, sizes = [], [], np.zeros(len(fitted) + 1, np.int64)
+    for k, (t, _) in enumerate(fitted):
+        at, n = np.unique(_grams(t, bits), return_counts=True)
+        kept.append(at.astype(np.uint16))
+        counted.append((n / n.sum()).astype(np.float32))
+        sizes[k + 1] = len(at)
+    upto = np.cumsum(sizes)
+    kept, counted = np.concatenate([np.zeros(0, np.uint16), *kept]), np.concatenate([np.zeros(0, np.float32), *counted])
     share = np.array([len(fitted) / len(languages) / max(1, sum(y == k for _, y in fitted)) for k in range(len(languages))], np.float32)
     steps = epochs * len(fitted)
     for step, k in enumerate(np.concatenate([rng.permutation(len(fitted)) for _ in range(epochs)])):
-        at, n = rows[k]
-        part = (n / n.sum()).astype(np.float32)
+        at, part = kept[upto[k] : upto[k + 1]], counted[upto[k] : upto[k + 1]]
         mean = part @ table[at]
         z = mean @ weight + bias
         p = np.exp(z - z.max())

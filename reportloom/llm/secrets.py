@@ -194,7 +194,7 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 60, rate
     most = max(len(y) for _, y in sequences)
     n = len(sequences)
     size = np.array([len(y) for _, y in sequences])
-    rows = np.zeros((n, most, sequences[0][0].shape[1]), np.int64)
+    rows = np.zeros((n, most, sequences[0][0].shape[1]), np.int16)
     tags = np.zeros((n, most), np.int64)
     for k, (x, y) in enumerate(sequences):
         rows[k, : len(y)], tags[k, : len(y)] = x, y
@@ -214,7 +214,9 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 60, rate
         return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
     for _ in range(epochs):
-        e = field.emit[rows].sum(axis=2)
+        e = np.zeros((n, most, 3))
+        for k in range(rows.shape[2]):  # a feature at a time: memory of one table, not of all
+            e += field.emit[rows[:, :, k]]
         step = field.step + _NEVER
         a = np.zeros((n, most, 3))
         a[:, 0] = e[:, 0] + [0, 0, -1e9]
@@ -225,7 +227,10 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = 60, rate
         for t in range(most - 2, -1, -1):
             b[:, t] = np.where(real[:, t + 1, None], lse(step + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2), b[:, t + 1])
         p = np.exp(a + b - z[:, None, None]) * real[..., None]
-        grad = np.stack([np.bincount(rows[real].ravel(), np.repeat(p[real][:, tag], rows.shape[2]), len(truth)) for tag in range(3)], axis=1)
+        grad, own, share = np.zeros_like(truth), rows[real], p[real]
+        for k in range(rows.shape[2]):
+            for tag in range(3):
+                grad[:, tag] += np.bincount(own[:, k], share[:, tag], len(truth))
         joint = np.exp(a[:, :-1, :, None] + step + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pairs[..., None, None]
         grad, grad_s = (grad - truth) / total + decay * field.emit, (joint.sum(axis=(0, 1)) - truth_s) / total + decay * field.step
         seen_e += grad**2
@@ -323,11 +328,13 @@ def train_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
             # all stretches with a secret; one in four of the others
             found = [(x, y) for k, (x, y) in enumerate(found) if y.any() or k % 4 == 0]
             if found:
-                yield pa.record_batch([pa.array([x.ravel().tolist() for x, _ in found], pa.list_(pa.int64())), pa.array([y.tolist() for _, y in found], pa.list_(pa.int64()))], names=["x", "y"])
+                yield pa.record_batch([pa.array([np.asarray(z, "<i2").tobytes() for z in c], pa.binary()) for c in zip(*found, strict=True)], names=["x", "y"])
 
-    rows = base.select("_t").mapInArrow(run, "x array<long>, y array<long>")
-    rows = rows.groupBy("x", "y").agg(F.lit(1)).orderBy(F.xxhash64("x", "y"), "x", "y").limit(stretches).select("x", "y").collect()
-    return train([(np.array(r[0], np.int64).reshape(-1, width), np.array(r[1], np.int64)) for r in rows])
+    # small numbers as bytes: what comes to the driver is a few MB
+    rows = base.select("_t").mapInArrow(run, "x binary, y binary").distinct()
+    rows = rows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(stretches).toArrow()
+    both = (rows["x"].to_pylist(), rows["y"].to_pylist())
+    return train([(np.frombuffer(x, "<i2").reshape(-1, width), np.frombuffer(y, "<i2")) for x, y in zip(*both, strict=True)])
 
 
 _TRIM = b"\"'`,;:.!?()[]{}<>|="
