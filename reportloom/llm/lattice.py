@@ -184,8 +184,8 @@ def forward(codes: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary, found
     return alpha
 
 
-def _long_forward(codes: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary) -> float:
-    """The same for one word of any length: the last ``longest`` sums are enough."""
+def _long_forward(codes: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """The same for one word of any length: the last ``longest`` sums are enough for each."""
     alone = byte_scores(codes, scores, vocabulary)
     wide = np.concatenate([scores, [-np.inf]])
     reach = vocabulary.longest
@@ -201,27 +201,56 @@ def _long_forward(codes: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary)
             x = alpha[lo:j] + weight
             top = x.max()
             alpha[j] = top + np.log(np.exp(x - top).sum())
-    return float(alpha[-1])
+    return alpha
+
+
+def _long_expected(out: np.ndarray, codes: np.ndarray, times: float, scores: np.ndarray, vocabulary: Vocabulary, step: int = 1 << 12) -> None:
+    """Adds the expected counts of one word of any length: forward sums are kept, then stretches go from last to first."""
+    alone = byte_scores(codes, scores, vocabulary)
+    wide = np.concatenate([scores, [-np.inf]])
+    reach = vocabulary.longest
+    alpha = _long_forward(codes, scores, vocabulary)
+    beta = np.full(len(codes) + 1, -np.inf)
+    beta[-1] = 0
+    # row j: the sums up to the ``reach`` places before j
+    before = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(reach, -np.inf), alpha]), reach)
+    for at in reversed(range(0, len(codes), step)):
+        upto = min(len(codes), at + step)
+        ids = window(codes, vocabulary, at, upto)
+        weight, odd = wide[ids], ids[:, -1] < 0
+        weight[odd, -1] = alone[at:upto][odd]
+        for k in reversed(range(len(ids))):
+            j = at + k + 1
+            lo = max(0, j - reach)
+            beta[lo:j] = np.logaddexp(beta[lo:j], weight[k, reach - (j - lo) :] + beta[j])
+        share = times * np.exp(before[at + 1 : upto + 1] + weight + beta[at + 1 : upto + 1, None] - alpha[-1])
+        known = ids >= 0
+        out += np.bincount(ids[known], share[known], len(out))
+        _count_bytes(out, codes[at:upto][odd], share[odd, -1], vocabulary)
 
 
 def windows(codes: np.ndarray, vocabulary: Vocabulary, step: int = 1 << 12):
     """(at, ids) by stretches: ids[k, -m] is the piece of the m characters that end with character at + k."""
-    reach = vocabulary.longest
     for at in range(0, len(codes), step):
-        upto = min(len(codes), at + step)
-        lo = max(0, at - reach + 1)
-        own = codes[lo:upto].astype(np.uint64) + np.uint64(1)
-        ids = np.full((upto - at, reach), -1, np.int32)
-        rolled = np.zeros(len(own), np.uint64)
-        for m in range(1, reach + 1):
-            if len(own) < m:
-                break
-            # hashes of the m characters from each start
-            rolled = (rolled[: len(own) - m + 1] * _BASE) + own[m - 1 :]
-            ends = lo + m - 1 + np.arange(len(rolled))
-            ok = ends >= at
-            ids[ends[ok] - at, reach - m] = vocabulary.find(_mix(rolled[ok]))
-        yield at, ids
+        yield at, window(codes, vocabulary, at, min(len(codes), at + step))
+
+
+def window(codes: np.ndarray, vocabulary: Vocabulary, at: int, upto: int) -> np.ndarray:
+    """The ids of one stretch."""
+    reach = vocabulary.longest
+    lo = max(0, at - reach + 1)
+    own = codes[lo:upto].astype(np.uint64) + np.uint64(1)
+    ids = np.full((upto - at, reach), -1, np.int32)
+    rolled = np.zeros(len(own), np.uint64)
+    for m in range(1, reach + 1):
+        if len(own) < m:
+            break
+        # hashes of the m characters from each start
+        rolled = (rolled[: len(own) - m + 1] * _BASE) + own[m - 1 :]
+        ends = lo + m - 1 + np.arange(len(rolled))
+        ok = ends >= at
+        ids[ends[ok] - at, reach - m] = vocabulary.find(_mix(rolled[ok]))
+    return ids
 
 
 def marginals(words: Words, scores: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
@@ -229,15 +258,14 @@ def marginals(words: Words, scores: np.ndarray, vocabulary: Vocabulary) -> np.nd
     out = np.zeros(len(words))
     for some, codes in by_length(words):
         if codes.shape[1] > LONG:
-            out[some] = [_long_forward(c, scores, vocabulary) for c in codes]
+            out[some] = [_long_forward(c, scores, vocabulary)[-1] for c in codes]
         else:
             out[some] = forward(codes, scores, vocabulary)[:, -1]
     return out
 
 
 def expected(words: Words, weights: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """Expected counts of pieces over all segmentations of the words, weighted. Words over ``LONG`` count their bytes and
-    single characters."""
+    """Expected counts of pieces over all segmentations of the words, weighted."""
     out = np.zeros(len(scores))
     wide = np.concatenate([scores, [-np.inf]])
     for some, codes in by_length(words):
@@ -245,9 +273,7 @@ def expected(words: Words, weights: np.ndarray, scores: np.ndarray, vocabulary:
         alone = byte_scores(codes, scores, vocabulary)
         if length > LONG:
             for word, n in zip(codes, times, strict=True):
-                ids = vocabulary.find(_mix(word.astype(np.uint64) + np.uint64(1)))
-                np.add.at(out, ids[ids >= 0], n)
-                _count_bytes(out, word[ids < 0], np.full((ids < 0).sum(), n), vocabulary)
+                _long_expected(out, word, n, scores, vocabulary)
             continue
         found = list(arcs(codes, vocabulary))
         alpha = forward(codes, scores, vocabulary, found)

@@ -104,6 +104,21 @@ def test_lattice(vocabulary_file):
         assert abs(2 * slope - counts[i]) < 1e-3
 
 
+def test_expected_counts_of_long_words(vocabulary_file, monkeypatch):
+    v = lattice.Vocabulary.load(vocabulary_file)
+    scores = lm.start_scores(v)[:-1]
+    words = lm.spelled_words(["tokenization" * 8, "e" * 60, "這是一個沒有空格的段落" * 6, "𐍈zürich▁" * 9, "short"])
+    times = np.array([2.0, 1.0, 3.0, 1.5, 1.0])
+    got = lattice.expected(words, times, scores, v)
+    monkeypatch.setattr(lattice, "LONG", 1000)
+    assert np.allclose(got, lattice.expected(words, times, scores, v))  # all words at once
+    assert got[v.pieces.index("token")] > 1
+    small = np.zeros_like(got)  # by stretches shorter than a piece
+    for k, n in enumerate(times):
+        lattice._long_expected(small, words.flat[words.starts[k] :][: words.sizes[k]], n, scores, v, step=5)
+    assert np.allclose(small, got)
+
+
 @pytest.mark.parametrize("heavy", [0, 40, 1 << 19])
 def test_scores(docs, texts, empty, clashing, vocabulary_file, heavy):
     got = by_id(lm.score(docs, vocabulary_file, heavy=heavy))
