@@ -6,9 +6,9 @@ A word's features are small numbers found for all words at once: length, case, d
 quotes, an assignment sign, a secret's name in it, and those of the words before and after; beside them stand file
 features (how dense digits and symbols are in the text). Each feature's weights are a table, so a word costs a few
 gathers. It is trained in numpy by gradient steps on the log likelihood, on silver labels: the patterns' own matches in
-at most ``SAMPLE`` documents, in the order of their id's hash. Decoding is by Viterbi, over the stretch from a text's first
-to its last word that could gain by a tag other than outside (no path outside of it can beat all-outside there, so it
-is exact). Tagged spans lose quotes and punctuation at their ends; those that touch a pattern's match are not added.
+at most ``SAMPLE`` documents, in the order of their id's hash. Decoding is by Viterbi, over the stretches of words that may
+stand in a run of tags other than outside which gains by them: a bound on every run that holds the word, so the tags are
+those of decoding whole texts. Tagged spans lose quotes and punctuation at their ends; those that touch a pattern's match are not added.
 
 Plan. Documents aren't shuffled: training reads the sampled ones alone, scanning is one pass. The model is of fixed size.
 
@@ -268,25 +268,39 @@ def tagged(words: Words, field: Field) -> list[tuple[int, int]]:
         return []
     e = field.emissions(words)
     steps = field.step + _NEVER
-    gain = max(0.0, float((steps - steps[0, 0]).max()))
-    # a span of n words changes n + 1 steps: with two gains a word none without a promising word can win
-    hope = np.flatnonzero(np.maximum(e[:, 1], e[:, 2]) - e[:, 0] + 2 * gain > 0)
+    steps = steps - steps[0, 0]
+    gain = max(0.0, float(steps.max()))
+    over = np.maximum(e[:, 1], e[:, 2]) - e[:, 0]
+    # a run of n words between outside ones changes n + 1 steps: with two gains a word none without a promising word can win
+    hope = np.flatnonzero(over + 2 * gain > 0)
     if len(hope) == 0:
         return []
-    owner = np.searchsorted(np.cumsum(words.counts), hope, side="right")
+    ends = np.cumsum(words.counts)
+    inner, edges = float(steps[1:, 1:].max()), float(steps[0, 1] + steps[1:, 0].max())
     out = []
-    for k in np.split(hope, np.flatnonzero(np.diff(owner)) + 1):
-        lo, hi = int(k[0]), int(k[-1]) + 1
-        tags = viterbi(e[lo:hi], field.step)
-        begun = np.flatnonzero(tags == 1)
-        for b in begun:
-            end = b + 1
-            while end < hi - lo and tags[end] == 2:
-                end += 1
-            out.append((lo + int(b), lo + int(end) - 1))
+    for t in np.unique(np.searchsorted(ends, hope, side="right")).tolist():
+        lo, hi = int(ends[t] - words.counts[t]), int(ends[t])
+        for a, b in _stretches(over[lo:hi] + inner, edges - inner):
+            tags = viterbi(e[lo + a : lo + b], field.step)
+            for k in np.flatnonzero(tags == 1).tolist():
+                end = k + 1
+                while end < b - a and tags[end] == 2:
+                    end += 1
+                out.append((lo + a + k, lo + a + end - 1))
     return out
 
 
+def _stretches(gains: np.ndarray, edges: float) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of a text's words that some run of words holds whose gains and ``edges`` sum to 0 or
+    more; a run in which they don't is beaten by outside tags, so all words elsewhere are outside."""
+    upto = np.concatenate([[0.0], np.cumsum(gains)])
+    lowest, highest = np.minimum.accumulate(upto[:-1]), np.maximum.accumulate(upto[:0:-1])[::-1]
+    slack = 1e-9 * (1 + np.abs(upto).max())
+    held = np.concatenate([[False], highest - lowest + edges >= -slack, [False]])
+    at = np.flatnonzero(held[1:] != held[:-1])
+    return list(zip(at[::2].tolist(), at[1::2].tolist(), strict=True))
+
+
 def sequences_of(texts: pa.Array, around: int = 12) -> list[tuple[np.ndarray, np.ndarray]]:
     """Training stretches: words around each match, and around the first word with a digit, quote or symbol elsewhere."""
     data, offsets = raw(texts)

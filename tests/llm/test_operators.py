@@ -437,3 +437,33 @@ def test_viterbi_and_training_against_enumeration():
     words = secrets.words_of(data, offsets)
     own = secrets.Field(rng.normal(size=(secrets.Field.height(), 3)), np.zeros((3, 3)))
     assert np.allclose(own.emissions(words), own.emit[secrets.Field.rows(words)].sum(axis=1))
+
+
+def test_tags_are_those_of_whole_texts(monkeypatch):
+    def spans(e, field, counts):
+        monkeypatch.setattr(secrets.Field, "emissions", lambda self, words: e)
+        n = len(e)
+        return secrets.tagged(secrets.Words(np.arange(n), np.arange(n) + 1, np.array(counts), np.zeros((n, 10), np.int32), np.zeros((len(counts), 2), np.int32)), field)
+
+    def whole(e, field, counts):
+        out, lo = [], 0
+        for n in counts:
+            tags = secrets.viterbi(e[lo : lo + n], field.step).tolist() if n else []
+            out += [(lo + k, lo + k + len(list(itertools.takewhile(lambda x: x == 2, tags[k + 1 :])))) for k, x in enumerate(tags) if x == 1]
+            lo += n
+        return out
+
+    # a span may begin, or end, with a word that isn't promising itself
+    plain = secrets.Field(np.zeros((1, 3)), np.zeros((3, 3)))
+    assert spans(np.array([[0, -9, -9], [0, -1, -9], [0, -4, 6], [0, -9, -9.0]]), plain, [4]) == [(1, 2)]
+    costly = secrets.Field(np.zeros((1, 3)), np.array([[0, 0, 0], [-5, 0, 0], [0, 0, 0.0]]))
+    assert spans(np.array([[0, -9, -9], [0, 3, -9], [0, -9, -1], [0, -9, -9.0]]), costly, [4]) == [(1, 2)]
+    rng = np.random.default_rng(8)
+    seen = 0
+    for _ in range(400):
+        counts = rng.integers(0, 9, 4).tolist()
+        e = rng.normal(size=(sum(counts), 3)) * 3 - [0, rng.uniform(0, 4), rng.uniform(0, 4)]
+        field = secrets.Field(np.zeros((1, 3)), rng.normal(size=(3, 3)) * 2)
+        assert spans(e, field, counts) == whole(e, field, counts)
+        seen += len(whole(e, field, counts))
+    assert seen > 100
