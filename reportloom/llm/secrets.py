@@ -8,7 +8,8 @@ features (how dense digits and symbols are in the text). Each feature's weights
 gathers. It is trained in numpy by gradient steps on the log likelihood, on silver labels: the patterns' own matches in
 at most ``SAMPLE`` documents, in the order of their id's hash. Decoding is by Viterbi, over the stretches of words that may
 stand in a run of tags other than outside which gains by them: a bound on every run that holds the word, so the tags are
-those of decoding whole texts. Tagged spans lose quotes and punctuation at their ends; those that touch a pattern's match are not added.
+those of decoding whole texts. Tagged spans lose quotes and punctuation at their ends; one that holds more than the
+patterns' matches, beside white space and punctuation, is added whole, so it may overlap them.
 
 Plan. Documents aren't shuffled: training reads the sampled ones alone, scanning is one pass. The model is of fixed size.
 
@@ -352,6 +353,7 @@ def train_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
 
 
 _TRIM = b"\"'`,;:.!?()[]{}<>|="
+_BLANK = _TRIM + b" \t\n\v\f\r"
 
 
 def scan(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -368,6 +370,16 @@ def scan(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "tex
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, schema)
 
 
+def _beyond(part: bytes, matches: list[tuple[int, int]]) -> bool:
+    """Whether a part holds more than the matches that touch it (by start), white space and punctuation."""
+    at = 0
+    for start, end in matches:
+        if part[at : max(at, start)].strip(_BLANK):
+            return True
+        at = max(at, end)
+    return bool(part[at:].strip(_BLANK))
+
+
 def spans_of(texts: pa.Array, field: Field) -> list[list[dict]]:
     data, offsets = raw(texts)
     joined = data.tobytes()
@@ -381,7 +393,7 @@ def spans_of(texts: pa.Array, field: Field) -> list[list[dict]]:
         a += len(part) - len(part.lstrip(_TRIM))
         b = a + len(part.strip(_TRIM))
         a, b = a - cuts[t], b - cuts[t]
-        if a < b and all(b <= s or a >= e for s, k, e in found[t]):
+        if _beyond(joined[cuts[t] + a : cuts[t] + b], [(s - a, e - a) for s, k, e in found[t] if k < 3 and s < b and e > a]):
             found[t].append((a, 3, b))
     out = []
     for t, spans in enumerate(found):

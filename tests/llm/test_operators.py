@@ -467,3 +467,16 @@ def test_tags_are_those_of_whole_texts(monkeypatch):
         assert spans(e, field, counts) == whole(e, field, counts)
         seen += len(whole(e, field, counts))
     assert seen > 100
+
+
+def test_field_spans_beside_matches(monkeypatch):
+    texts = pa.array(["my password=hunter2!xyz é", 'a token = "abcdefg" b', "é key password=hunter2 Xy7 c", "plain"])
+    spans = {(1, 1), (4, 6), (9, 11)}  # by position among all words
+    monkeypatch.setattr(secrets, "tagged", lambda words, field: sorted(spans))
+    got = secrets.spans_of(texts, None)
+    parts = [[(s["kind"], t[s["start"] : s["end"]]) for s in own] for t, own in zip(texts.to_pylist(), got, strict=True)]
+    assert parts[0] == [("assign", "password=hunter2"), ("crf", "password=hunter2!xyz")]
+    assert parts[1] == [("assign", 'token = "abcdefg')]  # the field adds nothing
+    assert parts[2] == [("crf", "key password=hunter2 Xy7"), ("assign", "password=hunter2")]
+    assert secrets._replaced(texts[0].as_py(), got[0], "[SECRET]") == "my [SECRET] é"
+    assert secrets._replaced(texts[2].as_py(), got[2], "[SECRET]") == "é [SECRET] c"
