@@ -6,7 +6,9 @@ an address) is what is replaced, and the surrogate is put back in the format of
 stay mentions of one surrogate. Numbers and addresses go through a keyed Feistel network that shifts each character within
 its own alphabet (digits, or letters of one script and case), with SHA-256 as its round function: on one format that is a
 bijection. A card keeps its first digit and whether its check digit is right; an e-mail address keeps its top domain. Names
-come from lists by the title's gender and the name's script.
+come from lists by the title's gender and the name's script. A titled name's last word is its family name and an entity of
+its own, the given name before it another: so a full name and the later family name alone share the family name's
+surrogate, and so do all who bear it (in Cyrillic script, where its form tells the gender, all of one gender).
 
 Collision checks: over all distinct entities, no two share a surrogate, and no surrogate is an entity of the corpus. Losers
 are tried again with the next tweak until none is left; those entities are exceptions, written as a table.
@@ -72,18 +74,28 @@ def kind_of(mention: Column) -> Column:
 
 
 def normal(mention: Column, kind: Column) -> Column:
-    """What all mentions of one entity share; for a name its gender mark, then its words."""
-    female = mention.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? ")
-    bare = F.regexp_replace(mention, r"^\S+ ", "")
+    """What all mentions of one entity share."""
     return (
         F.when(kind == "email", F.lower(mention))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
-        .when(kind == "name", F.concat(F.when(female, "f ").otherwise("m "), bare))
         .when(kind == "ip", mention)
         .otherwise(F.regexp_replace(mention, "[^0-9]", ""))
     )
 
 
+def parts(mention: Column, kind: Column) -> Column:
+    """The entities of a mention as (kind, key): a name has a given one, where it has two words, and a family one; their
+    keys are a gender mark (x where the word's form doesn't depend on it), then the word."""
+    female = mention.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? ")
+    gender = F.when(female, "f ").otherwise("m ")
+    words = F.split(mention, " ")
+    last = F.element_at(words, -1)
+    entity = lambda kind, key: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), key.alias("key"))
+    family = entity("family", F.concat(F.when(last.rlike(r"\p{IsCyrillic}"), gender).otherwise("x "), last))
+    named = F.when(F.size(words) > 2, F.array(entity("given", F.concat(gender, F.element_at(words, 2))), family)).otherwise(F.array(family))
+    return F.when(kind == "name", named).otherwise(F.array(entity(kind, normal(mention, kind))))
+
+
 def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
@@ -159,20 +171,18 @@ def _ip(key: Column, secret: str, tweak: Column) -> Column:
     return _let(start, lambda s: rounds(s, 0))
 
 
-def _name(key: Column, secret: str, tweak: Column) -> Column:
-    """Gender mark and as many words as the name has; from the fifth tweak on, a permuted last word, which can't run out."""
+def _name(key: Column, kind: Column, secret: str, tweak: Column) -> Column:
+    """Gender mark and a given or family name; from the fifth tweak on a permuted word, which can't run out."""
     bare, gender = F.substring(key, F.lit(3), F.length(key)), F.substring(key, 1, 1)
-    two = F.contains(bare, F.lit(" "))
-    digest = _digest(secret, tweak, F.lower(bare))
+    digest = _digest(secret, tweak, kind, F.lower(bare))
 
-    def pick(names: list[str], at: int) -> Column:
-        return F.element_at(F.array(*map(F.lit, names)), F.pmod(F.conv(F.substring(digest, F.lit(at), F.lit(6)), 16, 10).cast("int"), F.lit(len(names))) + 1)
+    def pick(names: list[str]) -> Column:
+        return F.element_at(F.array(*map(F.lit, names)), F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("int"), F.lit(len(names))) + 1)
 
     cyrillic = bare.rlike(r"\p{IsCyrillic}")
-    given = F.when(cyrillic, F.when(gender == "f", pick(GIVEN_CYRILLIC["f"], 1)).otherwise(pick(GIVEN_CYRILLIC["m"], 1))).otherwise(F.when(gender == "f", pick(GIVEN["f"], 1)).otherwise(pick(GIVEN["m"], 1)))
-    family = F.when(cyrillic, F.when(gender == "f", pick(FAMILY_CYRILLIC["f"], 9)).otherwise(pick(FAMILY_CYRILLIC["m"], 9))).otherwise(pick(FAMILY, 9))
-    last = F.when(tweak < 4, family).otherwise(permuted(F.regexp_replace(bare, "^.* ", ""), secret, tweak))
-    return F.concat(gender, F.lit(" "), F.when(two, F.concat(given, F.lit(" "), last)).otherwise(last))
+    given = F.when(cyrillic, F.when(gender == "f", pick(GIVEN_CYRILLIC["f"])).otherwise(pick(GIVEN_CYRILLIC["m"]))).otherwise(F.when(gender == "f", pick(GIVEN["f"])).otherwise(pick(GIVEN["m"])))
+    family = F.when(cyrillic, F.when(gender == "f", pick(FAMILY_CYRILLIC["f"])).otherwise(pick(FAMILY_CYRILLIC["m"]))).otherwise(pick(FAMILY))
+    return F.concat(gender, F.lit(" "), F.when(tweak >= 4, permuted(bare, secret, tweak)).when(kind == "given", given).otherwise(family))
 
 
 def surrogate(key: Column, kind: Column, secret: str, tweak: Column) -> Column:
@@ -180,15 +190,15 @@ def surrogate(key: Column, kind: Column, secret: str, tweak: Column) -> Column:
     keep = lambda n: F.concat(F.substring(key, F.lit(1), F.lit(n)), permuted(F.substring(key, F.lit(n + 1), F.length(key)), secret, tweak))
     top = F.regexp_extract(key, r"(\.[^.]+)$", 1)
     mail = F.concat(permuted(F.substring(key, F.lit(1), F.length(key) - F.length(top)), secret, tweak), top)
-    return F.when(kind == "email", mail).when(kind == "card", _card(key, secret, tweak)).when(kind == "ip", _ip(key, secret, tweak)).when(kind == "name", _name(key, secret, tweak)).when(kind == "ssn", keep(1)).otherwise(keep(2))
+    return F.when(kind == "email", mail).when(kind == "card", _card(key, secret, tweak)).when(kind == "ip", _ip(key, secret, tweak)).when(kind.isin("given", "family"), _name(key, kind, secret, tweak)).when(kind == "ssn", keep(1)).otherwise(keep(2))
 
 
 def rendered(mention: Column, kind: Column, made: Column) -> Column:
-    """A normal form in the format of a mention."""
+    """A normal form (of a name its words) in the format of a mention."""
     place = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), "[^A-Z0-9]", ""))
     number = F.array_join(F.transform(_chars(mention), lambda c, i: F.when(c.rlike("[A-Z0-9]"), F.substring(made, place(i), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(_chars(mention), lambda c, i: F.when(c == F.lower(c), F.substring(made, i + 1, F.lit(1))).otherwise(F.upper(F.substring(made, i + 1, F.lit(1))))), "")
-    return F.when(kind == "email", cased).when(kind == "ip", made).when(kind == "name", F.concat(F.regexp_extract(mention, r"^(\S+ )", 1), F.substring(made, F.lit(3), F.length(made)))).otherwise(number)
+    return F.when(kind == "email", cased).when(kind == "ip", made).when(kind == "name", F.concat(F.regexp_extract(mention, r"^(\S+ )", 1), made)).otherwise(number)
 
 
 def mentions(text: Column) -> Column:
@@ -201,7 +211,7 @@ def entities(docs: DataFrame, text: str) -> DataFrame:
     """Distinct (kind, key) of all texts."""
     # explode_outer: for explode the optimizer would add a filter that finds the mentions again
     found = docs.select(F.explode_outer(mentions(F.col(text))).alias("m")).filter("m is not null").select("m", kind_of(F.col("m")).alias("kind"))
-    return found.select("kind", normal(F.col("m"), F.col("kind")).alias("key")).distinct()
+    return found.select(F.inline(parts(F.col("m"), F.col("kind")))).distinct()
 
 
 def dictionary(found: DataFrame, secret: str = SECRET) -> DataFrame:
@@ -233,14 +243,16 @@ def pseudonymize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", se
         x = x.withColumn("odd", F.lit(None).cast("map<string,string>"))
     else:
         own = x.select("doc_id", F.explode_outer("m").alias("m")).filter("m is not null").select("doc_id", "m", kind_of(F.col("m")).alias("kind"))
-        own = own.select("doc_id", "kind", normal(F.col("m"), F.col("kind")).alias("key")).join(odd, ["kind", "key"])
+        own = own.select("doc_id", F.inline(parts(F.col("m"), F.col("kind")))).join(odd, ["kind", "key"])
         maps = own.select("doc_id", named(F.col("kind"), F.col("key")).alias("k"), "made").distinct().groupBy(F.col("doc_id").alias("d")).agg(F.map_from_entries(F.collect_list(F.struct("k", "made"))).alias("odd"))
         x = x.join(written(maps, "maps"), x["doc_id"].eqNullSafe(F.col("d")), "left").drop("d")
     x = x.withColumn("g", F.when(F.size("m") > 0, F.split("t", ANY, -1))).withColumn("k", F.transform("m", kind_of))
 
     def put(m: Column, i: Column) -> Column:
         kind = F.col("k")[i]
-        return _let(normal(m, kind), lambda key: rendered(m, kind, F.coalesce(F.try_element_at(F.col("odd"), named(kind, key)), surrogate(key, kind, secret, F.lit(0)))))
+        made = lambda x: F.coalesce(F.try_element_at(F.col("odd"), named(x["kind"], x["key"])), surrogate(x["key"], x["kind"], secret, F.lit(0)))
+        word = lambda x: _let(made(x), lambda v: F.when(kind == "name", F.substring(v, F.lit(3), F.length(v))).otherwise(v))
+        return _let(F.array_join(F.transform(parts(m, kind), word), " "), lambda v: rendered(m, kind, v))
 
     new = F.transform("m", put)
     whole = F.concat(F.array_join(F.zip_with(F.slice("g", F.lit(1), F.size("m")), new, lambda g, r: F.concat(g, r)), ""), F.element_at("g", -1))

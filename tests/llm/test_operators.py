@@ -294,6 +294,19 @@ def test_pii(spark, docs, texts, empty, clashing):
     assert other[1]["text"] != text
 
 
+def test_full_and_short_names_share_a_family_name(spark):
+    people = ["Mr John Smith", "Mr Smith", "Mrs. Anna Smith", "Mr Jack Smith", "Mr John Jones", "г-н Иван Петров", "г-н Петров"]
+    crowd = [f"Mr {''.join(p).capitalize()} Smith" for p in itertools.product("bcdf", repeat=3)]  # more than the lists have
+    df = spark.createDataFrame([(1, " , ".join(people)), (2, " , ".join(crowd)), (3, "Mr Smith")], "doc_id long, text string")
+    got = {i: r["text"].split(" , ") for i, r in by_id(pii.pseudonymize(df)).items()}
+    john, smith, anna, jack, jones, ivan, petrov = (x.split(" ") for x in got[1])
+    assert john[-1] == smith[-1] == anna[-1] == jack[-1] != jones[-1] and ivan[-1] == petrov[-1]
+    assert (smith[0], anna[0]) == ("Mr", "Mrs.") and len(smith) == 2 and len(john) == len(ivan) == 3
+    assert john[1] == jones[1] != jack[1]
+    assert {x.split(" ")[-1] for x in got[2] + got[3]} == {smith[-1]} and len(set(got[2])) == len(crowd)
+    assert not {w for i in got for x in got[i] for w in x.split(" ")[1:]} & {w for x in people + crowd for w in x.split(" ")[1:]}
+
+
 def test_surrogates_stay_distinct(spark):
     names = [f"Mr {''.join(p).capitalize()}" for p in itertools.product("abcdefgh", repeat=2)]
     ips = [f"10.0.{a}.{b}" for a in range(4) for b in range(40)]
