@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the numpy code handles at a time (a larger document is handled alone).
 PIECE_BYTES = 2 << 20
+#: Bytes of units, about, that a task remembers with their token ids.
+STORE_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,19 +29,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local run has a temporary
+    folder, and any other an error, as executors wouldn't see each other's files."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.gettempdir()}/reportloom-{spark.sparkContext.applicationId}"
     return where.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends at the latest."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    store, where = _hadoop(spark, path)
+    store.deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage is cut, later reads are column-pruned and have size statistics."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        store, where = _hadoop(df.sparkSession, df.scratch)
+        store.delete(where, True)
 
 
 def held_out(doc_id: str, modulus: int) -> F.Column:
@@ -46,25 +74,23 @@ def held_out(doc_id: str, modulus: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == 2
 
 
-def sampled_ids(df: DataFrame, doc_id: str, most: int, by: str | None = None) -> DataFrame:
-    """At most ``most`` ids (of each value of ``by``) in the order of their hash: a fixed sample, read from ids alone.
+def sampled_ids(df: DataFrame, doc_id: str, most: int, by: str | None = None, most_values: int = 200) -> DataFrame:
+    """At most ``most`` ids in the order of their hash: a fixed sample, read from ids alone. With ``by``, as many of each
+    of its ``most_values`` most frequent values.
 
-    Rows whose hash lies beyond twice the share that the sample needs are dropped before anything is ordered, so what is
-    sorted is of the sample's size, whatever the table's. Values of ``by`` come to the driver: they are a model's classes.
+    Rows whose hash lies beyond four times the share that the sample needs are dropped before anything is ordered, so what is
+    sorted is of the sample's size, whatever the table's, and nothing but a count comes to the driver.
     """
-    rows = df.select(doc_id, *([by] if by else []), F.xxhash64(F.col(doc_id)).alias("_h"))
+    rows = df.select(F.col(doc_id).alias("_id"), *([F.col(by).alias("_v")] if by else []), F.xxhash64(F.col(doc_id)).alias("_h"))
     part = F.pmod("_h", F.lit(1 << 30)) / float(1 << 30)
     if by is None:
-        share = min(1.0, 2.0 * most / max(1, df.count()))
-        return rows.filter(part < share).orderBy("_h", doc_id).limit(most).select(doc_id)
-    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return rows.select(doc_id).limit(0)
-    share = F.lit(1.0)
-    for value, n in counts.items():
-        share = F.when(F.col(by).eqNullSafe(F.lit(value)), min(1.0, 2.0 * most / n)).otherwise(share)
-    at = Window.partitionBy(by).orderBy("_h", doc_id)
-    return rows.filter(part < share).withColumn("_n", F.row_number().over(at)).filter(F.col("_n") <= most).select(doc_id)
+        share = min(1.0, 4.0 * most / max(1, df.count()))
+        return rows.filter(part < share).distinct().orderBy("_h", "_id").limit(most).select(F.col("_id").alias(doc_id))
+    counts = rows.groupBy("_v").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_v").limit(most_values)
+    quota = counts.select("*", F.greatest(F.lit(1), F.floor(F.lit(most) / F.count("*").over(Window.partitionBy()))).alias("_q"))
+    at = Window.partitionBy("_v").orderBy("_h", "_id")
+    held = rows.join(F.broadcast(quota), "_v").filter(part < 4.0 * F.col("_q") / F.col("_n")).distinct().withColumn("_k", F.row_number().over(at))
+    return held.filter(F.col("_k") <= F.col("_q")).select(F.col("_id").alias(doc_id))
 
 
 def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -89,6 +115,60 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             at = upto
 
 
+class UnitStore:
+    """Units (texts that are encoded on their own) and their token ids: what a task has solved it doesn't solve again. The
+    store is a task's own, so nothing outlives it in a worker, and it is emptied before it holds more than ``most`` bytes."""
+
+    def __init__(self, solve, kind, most: int = STORE_BYTES):
+        self.solve, self.kind, self.most = solve, np.dtype(kind), most  # solve(units): their ids end to end, sizes, scores
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.start, self.used = np.zeros(1 << 16, self.kind), np.zeros(1 << 13, np.int64), 0
+        self.total = np.zeros(1 << 13)
+        self.bytes = 0
+        self._add([""], np.zeros(0, self.kind), np.zeros(1, np.int64), np.zeros(1))
+
+    def _add(self, units, ids, sizes, totals) -> None:
+        base, n = len(self.place), len(units)
+        self.place.update(zip(units, range(base, base + n), strict=True))
+        self.ids = _room(self.ids, self.used + len(ids))
+        self.start, self.total = _room(self.start, base + n + 1), _room(self.total, base + n)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[base : base + n + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
+        self.total[base : base + n] = totals
+        self.used += len(ids)
+        # a text object, its slot and its rows; beyond ASCII a character takes up to four bytes
+        self.bytes += 170 * n + 4 * sum(map(len, units)) + self.kind.itemsize * len(ids)
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """Numbers of distinct units in the store; they hold until the next call."""
+        if self.bytes > self.most:
+            self.clear()
+        known = self.place
+        new = [u for u in units if u not in known]
+        if new:
+            self._add(new, *self.solve(new))
+        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+
+    def sizes(self, places: np.ndarray) -> np.ndarray:
+        return self.start[places + 1] - self.start[places]
+
+    def spelled(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the units at these places, end to end."""
+        return self.ids[ragged(self.start[places], self.sizes(places))]
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a longer one that begins with it and holds n values at least."""
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, len(x) + len(x) // 2), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the texts end to end, and the n + 1 offsets of the texts in them."""
     n = len(texts)

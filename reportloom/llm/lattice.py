@@ -45,6 +45,11 @@ class Words:
         flat[flat == 32] = MARK
         return cls(flat, np.fromiter(map(len, units), np.int64, len(units)))
 
+    @classmethod
+    def plain(cls, units: list[str]) -> Words:
+        """Code points as they are."""
+        return cls(codes_of("".join(units)), np.fromiter(map(len, units), np.int64, len(units)))
+
     @cached_property
     def starts(self) -> np.ndarray:
         return np.cumsum(self.sizes) - self.sizes
@@ -59,7 +64,6 @@ class Vocabulary:
     scores: np.ndarray
     byte_ids: np.ndarray  # ids of the 256 byte pieces
     normal: np.ndarray  # ids that lattices use
-    tables: tuple
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -72,26 +76,26 @@ class Vocabulary:
         byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         other = [i for i in range(n) if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)]
         normal = np.setdiff1d(np.arange(n), other)
-        return cls(pieces, scores, byte_ids, normal, cls._hashed(pieces, normal))
-
-    @staticmethod
-    def _hashed(pieces, normal):
-        """Open addressing with two slots a hash, in a table large enough to place every piece."""
-        keys = np.array([hash_word(codes_of(pieces[i])) for i in normal], np.uint64)
-        for bits in range(18, 26):
-            shift = np.uint64(64 - bits)
-            slots, ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-            left = np.arange(len(keys))
-            for turn in range(2):
-                spot = _spot(keys[left], shift, turn)
-                free = ids[spot] < 0
-                spot, mine = spot[free], left[free]
-                spot, pick = np.unique(spot, return_index=True)
-                slots[spot], ids[spot] = keys[mine[pick]], normal[mine[pick]]
-                left = np.setdiff1d(left, mine[pick])
-            if len(left) == 0:
-                return slots, ids, shift
-        raise ValueError("no table size places all pieces")
+        return cls(pieces, scores, byte_ids, normal)
+
+    @cached_property
+    def tables(self) -> tuple:
+        """Open addressing: a key lies in the first free slot from its own on; a table of an eighth filled at most."""
+        normal = self.normal
+        words = Words.plain([self.pieces[i] for i in normal])
+        keys = _mix(np.concatenate([np.zeros(0, np.uint64), *(_prefixes(codes)[:, -1] for _, codes in by_length(words))]))
+        normal = normal[np.concatenate([np.zeros(0, np.int64), *(some for some, _ in by_length(words))])]
+        bits = max(4, (8 * len(keys)).bit_length())
+        shift, last = np.uint64(64 - bits), (1 << bits) - 1
+        slots, ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        at, left = (keys >> shift).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[slots[at[left]] == 0]
+            spot, pick = np.unique(at[free], return_index=True)
+            slots[spot], ids[spot] = keys[free[pick]], normal[free[pick]]
+            left = np.setdiff1d(left, free[pick])
+            at[left] = np.where(slots[at[left]] == 0, at[left], (at[left] + 1) & last)
+        return slots, ids, shift
 
     @cached_property
     def longest(self) -> int:
@@ -100,25 +104,24 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none."""
         slots, ids, shift = self.tables
-        at = _spot(hashes, shift, 0)
-        out = np.where(slots[at] == hashes, ids[at], -1)
-        miss = np.flatnonzero(out < 0)
-        at = _spot(hashes[miss], shift, 1)
-        out[miss] = np.where(slots[at] == hashes[miss], ids[at], -1)
+        at = (hashes >> shift).astype(np.int64)
+        held = slots[at]
+        out = np.full(hashes.shape, -1, np.int32)
+        hit = held == hashes
+        out[hit] = ids[at[hit]]
+        left = np.flatnonzero((held != 0) & ~hit)
+        at, want = at.ravel()[left], hashes.ravel()[left]
+        flat = out.ravel()
+        while len(left):
+            at = (at + 1) & (len(slots) - 1)
+            held = slots[at]
+            hit = held == want
+            flat[left[hit]] = ids[at[hit]]
+            more = (held != 0) & ~hit
+            left, at, want = left[more], at[more], want[more]
         return out
 
 
-def _spot(hashes, shift, turn):
-    return ((hashes if turn == 0 else hashes * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64)
-
-
-def hash_word(codes: np.ndarray) -> int:
-    h = 0
-    for c in codes.tolist():
-        h = (h * int(_BASE) + c + 1) % (1 << 64)
-    return int(_mix(np.array([h], np.uint64))[0])
-
-
 def _prefixes(codes: np.ndarray) -> np.ndarray:
     out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
     for j in range(codes.shape[1]):
@@ -134,12 +137,19 @@ def utf8_of(code: int) -> bytes:
 
 
 def arcs(codes: np.ndarray, vocabulary: Vocabulary):
-    """For words of one length (a row each): (i, j, ids) of every place i..j where some word has a piece."""
-    n, length = codes.shape
+    """For words of one length (a row each): (j, lo, ids) of every end j; ids[:, i - lo] is the piece of i..j, or -1."""
+    length = codes.shape[1]
     prefix = _prefixes(codes)
     for j in range(1, length + 1):
-        for i in range(max(0, j - vocabulary.longest), j):
-            yield i, j, vocabulary.find(_mix(prefix[:, j] - prefix[:, i] * _POWER[j - i]))
+        lo = max(0, j - vocabulary.longest)
+        yield j, lo, vocabulary.find(_mix(prefix[:, j, None] - prefix[:, lo:j] * _POWER[j - np.arange(lo, j)]))
+
+
+def weights_of(ids: np.ndarray, wide: np.ndarray, alone) -> np.ndarray:
+    """The weights of the arcs that end at one place; a last character that is no piece weighs ``alone``."""
+    weight = wide[ids]
+    weight[:, -1] = np.where(ids[:, -1] < 0, alone, weight[:, -1])
+    return weight
 
 
 def byte_scores(codes: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
@@ -173,14 +183,10 @@ def forward(codes: np.ndarray, scores: np.ndarray, vocabulary: Vocabulary, found
     alpha = np.full((n, length + 1), -np.inf)
     alpha[:, 0] = 0
     wide = np.concatenate([scores, [-np.inf]])
-    for i, j, ids in found or arcs(codes, vocabulary):
-        weight = wide[ids]
-        if j - i == 1:
-            weight = np.where(ids < 0, alone[:, i], weight)
-        elif (ids < 0).all():
-            continue
-        with np.errstate(invalid="ignore"):
-            alpha[:, j] = np.logaddexp(alpha[:, j], alpha[:, i] + weight)
+    for j, lo, ids in found or arcs(codes, vocabulary):
+        x = alpha[:, lo:j] + weights_of(ids, wide, alone[:, j - 1])
+        top = x.max(axis=1)
+        alpha[:, j] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
     return alpha
 
 
@@ -279,19 +285,15 @@ def expected(words: Words, weights: np.ndarray, scores: np.ndarray, vocabulary:
         alpha = forward(codes, scores, vocabulary, found)
         beta = np.full_like(alpha, -np.inf)
         beta[:, -1] = 0
-        for i, j, ids in sorted(found, key=lambda x: -x[1]):
-            weight = wide[ids]
-            if j - i == 1:
-                weight = np.where(ids < 0, alone[:, i], weight)
-            elif (ids < 0).all():
-                continue
-            share = times * np.exp(alpha[:, i] + weight + beta[:, j] - alpha[:, -1])
+        for j, lo, ids in reversed(found):
+            weight = weights_of(ids, wide, alone[:, j - 1])
+            back = weight + beta[:, j, None]
+            share = times[:, None] * np.exp(alpha[:, lo:j] + back - alpha[:, -1:])
             known = ids >= 0
             out += np.bincount(ids[known], share[known], len(out))
-            if j - i == 1 and not known.all():
-                _count_bytes(out, codes[~known, i], share[~known], vocabulary)
-            with np.errstate(invalid="ignore"):
-                beta[:, i] = np.logaddexp(beta[:, i], weight + beta[:, j])
+            odd = ~known[:, -1]
+            _count_bytes(out, codes[odd, j - 1], share[odd, -1], vocabulary)
+            beta[:, lo:j] = np.logaddexp(beta[:, lo:j], back)
     return out
 
 
@@ -323,21 +325,17 @@ def best_paths(words: Words, scores: np.ndarray, vocabulary: Vocabulary, unknown
                 sizes[w] = len(ids)
                 found.append((np.array([w]), ids))
             continue
-        best = np.full((length + 1, n), -np.inf)
-        best[0] = 0
+        best = np.full((n, length + 1), -np.inf)
+        best[:, 0] = 0
         back_id, back_at = np.full((length + 1, n), -1, np.int32), np.zeros((length + 1, n), np.int32)
-        for i, j, ids in arcs(codes, vocabulary):
-            known = ids >= 0
-            if j - i > 1 and not known.any():
-                continue
-            total = best[i] + (np.where(known, wide[ids], unknown) if j - i == 1 else wide[ids])
-            better = total > best[j]
-            best[j] = np.where(better, total, best[j])
-            back_id[j] = np.where(better, ids, back_id[j])
-            back_at[j] = np.where(better, i, back_at[j])
-        totals[some] = best[-1]
+        rows = np.arange(n)
+        for j, lo, ids in arcs(codes, vocabulary):
+            total = best[:, lo:j] + weights_of(ids, wide, unknown)
+            k = total.argmax(axis=1)  # the first: the longest last piece
+            best[:, j], back_at[j], back_id[j] = total[rows, k], lo + k, ids[rows, k]
+        totals[some] = best[:, -1]
         # backtrace of all words at once, from their ends
-        at, rows, steps = np.full(n, length), np.arange(n), []
+        at, steps = np.full(n, length), []
         while (at > 0).any():
             piece = back_id[at, rows].astype(np.int64)
             piece = np.where(piece < 0, -3 - codes[rows, np.maximum(at - 1, 0)].astype(np.int64), piece)

@@ -1,14 +1,14 @@
 """SentencePiece encoding and decoding by a max-plus scan.
 
 A text is a space mark, then its characters with spaces as marks; the best segmentation is the one with the largest sum
-of the vocabulary's piece scores (among equal sums, the longer last piece). No piece has a mark after another
-character, so a place where a mark follows one is a *sync point*, over which no piece reaches.
+of the vocabulary's piece scores (among equal sums the one whose last piece is longer, then the one before it, and so on,
+however the text is cut into chunks). No piece has a mark after another character, so a place where a mark follows one is a *sync point*, over which no piece reaches.
 
 Ordinary texts are cut at sync points into units; each new unit of a batch is solved once, all units of one length at
 once (see ``lattice``). A giant text (over ``chunk`` characters) is dealt out as chunks of that length, or up to the last sync point in it, so
 that only a unit longer than a chunk is ever cut. A chunk yields a
 boundary-state transfer matrix: entry (s, t) is the best score when a piece from before covers its first s characters
-and its own last piece reaches t characters beyond it. Matrices combine associatively in the max-plus semiring, in a tree
+and its own last piece reaches t characters beyond it; beside it stands how paths of equal score are told apart. Matrices combine associatively in the max-plus semiring, in a tree
 whose upper half then tells each chunk its two states, and the chunks are traced back on their own. A chunk with a sync
 point has a matrix of rank one (head + middle + tail) and needs no more than its ends beside its units.
 
@@ -30,21 +30,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, pieces, plain, ragged, written
+from .common import STORE_BYTES, UnitStore, arrow_type, pieces, plain, written
 from .lattice import LITERAL_MARK, MARK, Vocabulary, Words, best_paths, spelled, windows
 
 CHUNK = 1 << 15
 BLOCK = 256
-CACHE = 600_000
+DECODED = 1 << 18
 
 
 class Codec:
-    """Encodes and decodes with one vocabulary; remembers units."""
+    """Encodes and decodes with one vocabulary. What it keeps is of the vocabulary's size."""
 
     _own: dict[str, Codec] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
+        """This process's codec, kept from task to task."""
         if path not in cls._own:
             cls._own[path] = cls(path)
         return cls._own[path]
@@ -60,42 +61,19 @@ class Codec:
         self.bytes_of = [p.replace(mark, " ").encode() for p in v.pieces]
         for b, i in enumerate(v.byte_ids):
             self.bytes_of[i] = bytes([b])
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.ids, self.start, self.used = np.zeros(1 << 20, np.int32), np.zeros(1 << 17, np.int64), 0
-        self.total = np.zeros(1 << 17)
-
-    def _places(self, units: list[str]) -> np.ndarray:
-        """Numbers of units in the store; new ones are solved together."""
-        get = self.place.get
-        new = [u for u in units if get(u) is None]
-        if len(self.place) + len(new) > CACHE:
-            self.clear()
-            new = [u for u in units if u]
-        if new:
-            ids, sizes, totals = best_paths(Words.of(new), self.scores, self.vocabulary, self.unknown)
-            base = len(self.place)
-            self.place.update(zip(new, range(base, base + len(new)), strict=True))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while base + len(new) + 1 > len(self.start):
-                self.start, self.total = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.total))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[base : base + len(new) + 1] = self.used + np.concatenate([[0], np.cumsum(sizes)])
-            self.total[base : base + len(new)] = totals
-            self.used += len(ids)
-        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
-
-    def solve(self, text: str) -> tuple[np.ndarray, float]:
+
+    def store(self, most: int = STORE_BYTES) -> UnitStore:
+        return UnitStore(lambda units: best_paths(Words.of(units), self.scores, self.vocabulary, self.unknown), np.int32, most)
+
+    def solve(self, text: str, store: UnitStore) -> tuple[np.ndarray, float]:
         """Ids and score of a text that is whole units."""
         units = cut_units(text)
-        at = self._places(list(dict.fromkeys(units)))
-        at = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
-        return self.ids[ragged(self.start[at], self.start[at + 1] - self.start[at])], float(self.total[at].sum())
+        distinct = list(dict.fromkeys(units))
+        place = dict(zip(distinct, store.places(distinct).tolist(), strict=True))
+        at = np.fromiter(map(place.__getitem__, units), np.int64, len(units))
+        return store.spelled(at), float(store.total[at].sum())
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, store: UnitStore) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and how many each has."""
         # the first space mark is the codec's own: texts begin with a space here, and empty ones stay empty
         whole = pc.if_else(pc.equal(texts, ""), pa.scalar(""), pc.binary_join_element_wise(pa.scalar(" "), texts, ""))
@@ -104,28 +82,18 @@ class Codec:
         split = pc.split_pattern(pc.if_else(pa.array(simple), whole, pa.scalar("")), " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(split.flatten())
-        units = coded.dictionary.to_pylist()
-        places = self._places([f" {u}" if u else "" for u in units])[coded.indices.to_numpy()]
-        size = self.start[places + 1] - self.start[places]
-        # views of one state: later units may grow or clear the store
-        ids = self.ids[ragged(self.start[places], size)]
-        heads = offsets[:-1] - offsets[0]
-        counts = np.add.reduceat(size, heads) if len(heads) else np.zeros(0, np.int64)
+        places = store.places([f" {u}" if u else "" for u in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        ids, heads = store.spelled(places), offsets[:-1] - offsets[0]
+        counts = np.add.reduceat(store.sizes(places), heads) if len(heads) else np.zeros(0, np.int64)
         if simple.all():
             return ids, counts
         ends = np.cumsum(counts)
-        out = []
-        for i in range(len(texts)):
-            if simple[i]:
-                out.append(ids[ends[i] - counts[i] : ends[i]])
-            else:
-                text = whole[i].as_py()
-                out.append(self.solve(text)[0])
+        out = [ids[ends[i] - counts[i] : ends[i]] if simple[i] else self.solve(whole[i].as_py(), store)[0] for i in range(len(texts))]
         return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
     def decode(self, ids) -> str:
         """The text of whole-text ids."""
-        return b"".join([self.bytes_of[i] for i in ids])[1:].decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
 def marked(unit: str) -> np.ndarray:
@@ -139,8 +107,20 @@ def cut_units(text: str) -> list[str]:
 
 
 def combine(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The max-plus product of two transfer matrices."""
-    return (one[:, :, None] + two[None, :, :]).max(axis=1)
+    """The max-plus product of two transfer matrices, each (scores, ranks). A rank orders, for one leaving state, the best
+    paths of the entering states by their cuts from the right (a lower last cut first), which tells equal sums apart."""
+    total = one[0][:, :, None] + two[0][None, :, :]
+    best = total.max(axis=1)
+    through = np.where(total == best[:, None, :], two[1][None, :, :], np.inf).argmin(axis=1)
+    states = np.arange(len(best))
+    key = two[1][through, states[None, :]] * len(states) + one[1][states[:, None], through]
+    return np.stack([best, key.argsort(axis=0, kind="stable").argsort(axis=0, kind="stable")])
+
+
+def between(one: np.ndarray, two: np.ndarray, enter: int, leave: int) -> int:
+    """The state between two chunks on the best path from enter to leave."""
+    total = one[0][enter] + two[0][:, leave]
+    return int(np.where(total == total.max(), two[1][:, leave], np.inf).argmin())
 
 
 def scan_states(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
@@ -152,7 +132,7 @@ def scan_states(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]
     states: list[int] = []
     for p in range(len(pairs)):
         if 2 * p + 1 < len(matrices):
-            states.append(int((matrices[2 * p][outer[p]] + matrices[2 * p + 1][:, outer[p + 1]]).argmax()))
+            states.append(between(matrices[2 * p], matrices[2 * p + 1], outer[p], outer[p + 1]))
         if p + 1 < len(pairs):
             states.append(outer[p + 1])
     return states
@@ -161,8 +141,8 @@ def scan_states(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]
 class ChunkSolver:
     """Transfer matrix and backtrace of one chunk. ``codes`` holds the chunk and the look-ahead that pieces may reach."""
 
-    def __init__(self, codec: Codec, codes: np.ndarray, size: int):
-        self.codec, self.codes, self.size = codec, codes, size
+    def __init__(self, codec: Codec, store: UnitStore, codes: np.ndarray, size: int):
+        self.codec, self.store, self.codes, self.size = codec, store, codes, size
         self.states = codec.vocabulary.longest
         inside = np.flatnonzero((codes[1:size] == MARK) & (codes[: size - 1] != MARK)) + 1
         inside = inside[inside >= self.states]  # beyond every entry state
@@ -170,30 +150,35 @@ class ChunkSolver:
 
     def _forward(self, lo: int, hi: int, entries: np.ndarray):
         """Best sums from each entry (rows) to places lo..hi (hi may lie in the look-ahead), no step starting at or
-        beyond the chunk's end; and the steps."""
+        beyond the chunk's end; the steps; and the rows' ranks at each place."""
         v, wide = self.codec.vocabulary, np.concatenate([self.codec.scores, [-np.inf]])
         best = np.full((len(entries), hi - lo + 1), -np.inf)
-        best[np.arange(len(entries)), entries - lo] = 0
-        from_, kind = np.zeros(best.shape, np.int32), np.full(best.shape, -1, np.int32)
         rows = np.arange(len(entries))
+        best[rows, entries - lo] = 0
+        from_, kind = np.full(best.shape, -1, np.int32), np.full(best.shape, -1, np.int32)
+        ranks = np.zeros(best.shape, np.int16)
+        never = np.int32(best.shape[1])
         for at, ids in windows(self.codes[lo:hi], v):
             for k in range(len(ids)):
                 j = at + k + 1
                 first = max(0, j - v.longest)
                 last = min(j, self.size - lo)  # a step starts inside the chunk
-                if first >= last:
-                    continue
-                row = ids[k, v.longest - (j - first) :][: last - first]
-                weight = wide[row]
-                if last == j and row[-1] < 0:
-                    weight[-1] = self.codec.unknown
-                x = best[:, first:last] + weight
-                m = x.argmax(axis=1)
-                better = x[rows, m] > best[:, j]
-                best[better, j] = x[rows, m][better]
-                from_[better, j] = (first + m)[better]
-                kind[better, j] = row[m][better]
-        return best, from_, kind
+                if first < last:
+                    row = ids[k, v.longest - (j - first) :][: last - first]
+                    weight = wide[row]
+                    if last == j and row[-1] < 0:
+                        weight[-1] = self.codec.unknown
+                    x = best[:, first:last] + weight
+                    m = x.argmax(axis=1)
+                    better = x[rows, m] > best[:, j]
+                    best[better, j] = x[rows, m][better]
+                    from_[better, j] = (first + m)[better]
+                    kind[better, j] = row[m][better]
+                if len(rows) > 1:
+                    # an entry at this place has its last cut before the chunk, so before all others'
+                    order = np.lexsort((ranks[rows, from_[:, j]], np.where(best[:, j] > -np.inf, from_[:, j], never)))
+                    ranks[order, j] = rows
+        return best, from_, kind, ranks
 
     def _path(self, lo: int, from_, kind, end: int, begin: int) -> np.ndarray:
         path, at = [], end - lo
@@ -211,48 +196,52 @@ class ChunkSolver:
         return codes.tobytes().decode("utf-32-le")
 
     def _middle(self):
-        return self.codec.solve(self.middle_text())
+        return self.codec.solve(self.middle_text(), self.store)
 
     def _tail(self):
         return self._forward(self.sync[1], min(len(self.codes), self.size + self.states - 1), np.array([self.sync[1]]))
 
     def matrix(self) -> np.ndarray:
+        """(scores, ranks), each a row an entering state and a column a leaving one."""
         s = self.states
-        out = np.full((s, s), -np.inf)
+        out, ranks = np.full((s, s), -np.inf), np.full((s, s), s)
         entries = np.arange(min(s, self.size + 1))
         if self.sync is None:
-            best, _, _ = self._forward(0, min(len(self.codes), self.size + s - 1), entries)
+            best, _, _, order = self._forward(0, min(len(self.codes), self.size + s - 1), entries)
             ends = best[:, self.size :]
             out[: len(entries), : ends.shape[1]] = ends
+            ranks[: len(entries), : ends.shape[1]] = order[:, self.size :] + 1
             # a piece that covers more than the whole chunk leaves the rest to the next
             for k in range(self.size + 1, s):
-                out[k, k - self.size] = 0
-            return out
-        head = self._forward(0, self.sync[0], entries)[0][:, -1]
-        total = self._middle()[1] if self.sync[1] > self.sync[0] else 0.0
-        tail = self._tail()[0][0, self.size - self.sync[1] :]
-        out[: len(entries), : len(tail)] = head[:, None] + total + tail[None, :]
-        return out
+                out[k, k - self.size] = ranks[k, k - self.size] = 0
+        else:
+            head, _, _, order = self._forward(0, self.sync[0], entries)
+            total = self._middle()[1] if self.sync[1] > self.sync[0] else 0.0
+            tail = self._tail()[0][0, self.size - self.sync[1] :]
+            out[: len(entries), : len(tail)] = head[:, -1:] + total + tail[None, :]
+            ranks[: len(entries)] = order[:, -1:] + 1
+        return np.stack([out, ranks.argsort(axis=0, kind="stable").argsort(axis=0, kind="stable")])
 
     def trace(self, enter: int, leave: int) -> np.ndarray:
         """Ids of the pieces that start in the chunk."""
         if enter >= self.size:
             return np.zeros(0, np.int32)
         if self.sync is None:
-            best, from_, kind = self._forward(0, min(len(self.codes), self.size + self.states - 1), np.array([enter]))
+            _, from_, kind, _ = self._forward(0, min(len(self.codes), self.size + self.states - 1), np.array([enter]))
             return self._path(0, from_[0], kind[0], self.size + leave, enter)
-        _, from_, kind = self._forward(0, self.sync[0], np.array([enter]))
+        _, from_, kind, _ = self._forward(0, self.sync[0], np.array([enter]))
         head = self._path(0, from_[0], kind[0], self.sync[0], enter)
         middle = self._middle()[0] if self.sync[1] > self.sync[0] else np.zeros(0, np.int32)
-        _, from_, kind = self._tail()
+        _, from_, kind, _ = self._tail()
         return np.concatenate([head, middle, self._path(self.sync[1], from_[0], kind[0], self.size + leave, self.sync[1])])
 
 
-def solvers(codec: Codec, codes, sizes: list[int], together: int = 48):
+def solvers(codec: Codec, parts, sizes: list[int], together: int = 16):
     """Solvers of a batch's chunks; the units of ``together`` chunks are solved at once before the chunks are."""
+    store = codec.store()
     for k in range(0, len(sizes), together):
-        some = [ChunkSolver(codec, np.frombuffer(codes[i].as_buffer(), np.uint32), sizes[i]) for i in range(k, min(len(sizes), k + together))]
-        codec._places(list(dict.fromkeys(u for s in some for u in cut_units(s.middle_text()))))
+        some = [ChunkSolver(codec, store, marked(parts[i].as_py()), sizes[i]) for i in range(k, min(len(sizes), k + together))]
+        store.places(list(dict.fromkeys(u for s in some for u in cut_units(s.middle_text()))))
         yield from some
 
 
@@ -266,16 +255,17 @@ def _ordinary(docs: DataFrame, model: str, kind: str) -> DataFrame:
 
     def run(batches):
         codec = Codec.of(model)
+        store = codec.store()
         for batch, texts in pieces(batches, "_t"):
-            ids, counts = codec.encode(texts)
+            ids, counts = codec.encode(texts, store)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids, counts)], schema=out)
 
     return docs.mapInArrow(run, schema)
 
 
 def _chunks(docs: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
-    """(doc_id, rid, c, size, last, codes) of the chunks of giant texts; codes are UTF-32 with the look-ahead."""
-    schema = f"doc_id {kind}, rid long, c int, size int, last boolean, codes binary"
+    """(doc_id, rid, c, size, part) of the chunks of giant texts; a part holds the look-ahead too."""
+    schema = f"doc_id {kind}, rid long, c int, size int, part string"
     out = arrow_type(schema)
 
     def run(batches):
@@ -283,15 +273,16 @@ def _chunks(docs: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
         for batch in batches:
             ids, rids, texts = batch.column(0), batch.column(1), plain(batch.column(2))
             for i in range(batch.num_rows):
-                codes = marked(" " + texts[i].as_py())
+                text = " " + texts[i].as_py()
+                codes = marked(text)
                 sync = np.flatnonzero((codes[1:] == MARK) & (codes[:-1] != MARK)) + 1
                 at = c = 0
                 while at < len(codes):
                     end = min(at + chunk, len(codes))
                     if end < len(codes) and (k := int(np.searchsorted(sync, end, side="right"))) and sync[k - 1] > at:
                         end = int(sync[k - 1])
-                    part = codes[at : end + reach]
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, 1), rids.slice(i, 1), pa.array([c], pa.int32()), pa.array([end - at], pa.int32()), pa.array([end == len(codes)]), pa.array([part.tobytes()])], schema=out)
+                    part = text[at : end + reach]
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, 1), rids.slice(i, 1), pa.array([c], pa.int32()), pa.array([end - at], pa.int32()), pa.array([part], pa.string())], schema=out)
                     at, c = end, c + 1
 
     return docs.withColumn("rid", F.monotonically_increasing_id()).select("doc_id", "rid", "_t").mapInArrow(run, schema)
@@ -311,7 +302,7 @@ def _giants(docs: DataFrame, model: str, chunk: int, block: int, kind: str) -> D
             if rows:
                 yield pa.record_batch([batch.column(0), batch.column(1), _doubles(rows)], names=["rid", "c", "m"])
 
-    one = written(dealt.select("rid", "c", "size", "codes").mapInArrow(matrices, "rid long, c int, m array<double>"), "matrices")
+    one = written(dealt.select("rid", "c", "size", "part").mapInArrow(matrices, "rid long, c int, m array<double>"), "matrices")
     blocks = one.withColumn("b", (F.col("c") / block).cast("int"))
 
     def product(table: pa.Table) -> pa.Table:
@@ -323,9 +314,9 @@ def _giants(docs: DataFrame, model: str, chunk: int, block: int, kind: str) -> D
     def states(table: pa.Table) -> pa.Table:
         """(rid, c, enter, leave): of blocks from text ends, or of chunks from their block's states."""
         enter, leave = (table[x][0].as_py() if x in table.schema.names else 0 for x in ("enter", "leave"))
-        between = [enter, *scan_states(_sorted_matrices(table), enter, leave), leave]
+        held = [enter, *scan_states(_sorted_matrices(table), enter, leave), leave]
         c = sorted(table["c"].to_pylist())
-        return pa.table({"rid": pa.array([table["rid"][0].as_py()] * len(c), pa.int64()), "c": pa.array(c, pa.int32()), "enter": pa.array(between[:-1], pa.int32()), "leave": pa.array(between[1:], pa.int32())})
+        return pa.table({"rid": pa.array([table["rid"][0].as_py()] * len(c), pa.int64()), "c": pa.array(c, pa.int32()), "enter": pa.array(held[:-1], pa.int32()), "leave": pa.array(held[1:], pa.int32())})
 
     out = "rid long, c int, enter int, leave int"
     outer = blocks.groupBy("rid", "b").applyInArrow(product, "rid long, c int, m array<double>").groupBy("rid").applyInArrow(states, out)
@@ -335,13 +326,13 @@ def _giants(docs: DataFrame, model: str, chunk: int, block: int, kind: str) -> D
         codec = Codec.of(model)
         for batch in batches:
             ends = zip(batch.column("enter").to_pylist(), batch.column("leave").to_pylist(), strict=True)
-            rows = [s.trace(*e) for s, e in zip(solvers(codec, batch.column("codes"), batch.column("size").to_pylist()), ends, strict=True)]
+            rows = [s.trace(*e) for s, e in zip(solvers(codec, batch.column("part"), batch.column("size").to_pylist()), ends, strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("c"), _lists(np.concatenate(rows), np.array(list(map(len, rows))))], schema=traced)
 
     schema = f"doc_id {kind}, rid long, c int, ids array<int>"
     traced = arrow_type(schema)
-    parts = chunks.join(inner, ["rid", "c"]).select("doc_id", "rid", "c", "size", "enter", "leave", "codes").mapInArrow(trace, schema)
+    parts = chunks.join(inner, ["rid", "c"]).select("doc_id", "rid", "c", "size", "enter", "leave", "part").mapInArrow(trace, schema)
     whole = parts.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("x"))
     return whole.select("doc_id", F.flatten("x.ids").alias("ids"))
 
@@ -353,8 +344,8 @@ def _doubles(rows: list[np.ndarray]) -> pa.Array:
 def _sorted_matrices(table: pa.Table) -> list[np.ndarray]:
     column = table["m"].combine_chunks()
     flat = column.flatten().to_numpy().reshape(len(table), -1)
-    side = int(round(flat.shape[1] ** 0.5))
-    return [flat[k].reshape(side, side) for k in np.argsort(table["c"].to_numpy())]
+    side = int(round((flat.shape[1] / 2) ** 0.5))
+    return [flat[k].reshape(2, side, side) for k in np.argsort(table["c"].to_numpy())]
 
 
 def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
@@ -373,13 +364,16 @@ def decode(rows: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids"
     def run(batches):
         codec = Codec.of(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:  # some hundred thousand ids at a time, or one row
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + DECODED, side="right")))
+                some, at = batch.slice(at, end - at), end
                 column = some.column(1)
                 texts, crcs = [], []
                 for x in column:
                     own = None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype("<u4")
-                    texts.append(None if own is None else codec.decode(own.tolist()))
+                    texts.append(None if own is None else codec.decode(own))
                     crcs.append(None if own is None else zlib.crc32(own.tobytes()))
                 yield pa.RecordBatch.from_arrays([some.column(0), column.cast(out.field("ids").type), pa.array(texts, pa.string()), pa.array(crcs, pa.int64())], schema=out)
 

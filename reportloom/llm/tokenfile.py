@@ -6,16 +6,18 @@ the vocabulary allows, else 32) and ``mask`` (whether the id is real; only a sha
 into memory, and row k of a column is a slice at a fixed offset: random access copies nothing. Beside each shard lies
 its index, an Arrow IPC file of (doc_id, at, n): where in the shard's stream each document begins and how long it is.
 
-Encoding. A token never reaches over a single space between two other characters, as it can only begin with it; so
-texts are cut there, and each distinct unit is encoded once a worker (the cache is emptied when it is full). A text in
-which white space touches a space is encoded whole. Both ways are the library's own encoding of the whole text.
+Encoding. A token never reaches over a single space between two characters other than white space, as it can only begin
+with it; so texts are cut there, and each distinct unit is encoded once a task (its store is bounded in bytes). A text that
+spells an added token of the vocabulary (such as <|endoftext|>, which the library reads as that token) is encoded whole.
+All ways are the library's own encoding of the whole text.
 
-Plan. One shuffle deals documents by ranges of doc_id (sampled, so a hot source doesn't matter); each task sorts, encodes
+Plan. One shuffle deals documents by ranges of doc_id, then of their text's hash and their row (sampled, so neither a hot
+source nor a hot id matters), into as many shards as the table's bytes ask for; each task sorts, encodes
 and writes its shard, under a name of its own attempt that the manifest then names: a task that is run again leaves an
 unnamed file, never half a one. A shard's place in the stream comes from the shards' totals, a row each. Reading goes
 over the manifest, a task a shard. Files are written through pyarrow.fs, to whatever store the folder's URI names.
 
-Defined results: null text is empty and has the end id alone; equal ids are in order of their texts; a null id comes
+Defined results: null text is empty and has the end id alone; equal ids are in order of their texts' hashes; a null id comes
 first; an empty table writes no shard and reads as none.
 """
 
@@ -31,31 +33,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_type, pieces, ragged, shared_dir, written
+from .common import STORE_BYTES, UnitStore, arrow_type, pieces, scratch_path, written
 
 LENGTH = 2048
 END = 2
-#: Units that a worker remembers, and sequences that a record batch has.
-CACHE = 700_000
+#: Sequences that a record batch has, and bytes of input (as the optimizer counts them) that a shard has.
 ROWS = 512
+SHARD_BYTES = 64 << 20
 
-#: White space (of any kind) beside a space, or a space at either end.
+#: White space (of any kind) beside a space, or a space at either end; and the spaces at which such a text is cut.
 _ODD = r"^ | $|[\t-\r\x{1c}-\x{20}\x{85}\p{Z}] | [\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
-
-
-def _tokenizer(path: str):
-    import os
-
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
-    """Encodes columns of texts to ids; remembers units."""
+    """Encodes columns of texts to ids. What it keeps is of the vocabulary's size."""
 
     _own: dict[str, Encoder] = {}
 
@@ -67,77 +59,91 @@ class Encoder:
         return cls._own[path]
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        import os
+
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         top = max(vocabulary.values(), default=0)
         self.kind = np.dtype(np.uint16 if top < 1 << 16 else np.uint32)
         self.spaced = np.zeros(top + 1, bool)
         for token, i in vocabulary.items():
             self.spaced[i] = token.startswith("Ġ")  # the byte-level name of a space
-        self.clear()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def clear(self) -> None:
-        self.place: dict[str, int] = {"": 0}  # an empty text, and what stands for one that goes whole
-        self.ids, self.start, self.used = np.zeros(1 << 20, self.kind), np.zeros(1 << 17, np.int64), 0
+    def store(self, most: int = STORE_BYTES) -> UnitStore:
+        return UnitStore(self._solve, self.kind, most)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _places(self, units: list[str]) -> np.ndarray:
-        """Numbers of the units ' ' + unit; encodes what is new, all in one text."""
-        if len(self.place) + len(units) > CACHE:
-            self.clear()
-        get = self.place.get
-        missing = [u for u in units if get(u) is None]
-        for k in range(0, len(missing), 1 << 14):
-            new = missing[k : k + (1 << 14)]
-            ids = self.whole(" " + " ".join(new))
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(new):
-                raise AssertionError("a unit was not encoded on its own")
-            base = len(self.place)
-            self.place.update(zip(new, range(base, base + len(new)), strict=True))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while base + len(new) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[base : base + len(new)] = starts + self.used
-            self.used += len(ids)
-            self.start[base + len(new)] = self.used
-        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
-
-    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    def _solve(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of every ' ' + unit, end to end, and how many each has. Units without an inner space are encoded as one text."""
+        ids, sizes = [], np.zeros(len(units), np.int64)
+        group: list[int] = []
+
+        def flush() -> None:
+            if group:
+                found = self.whole("".join(f" {units[k]}" for k in group))
+                starts = np.flatnonzero(self.spaced[found])
+                if len(starts) != len(group):
+                    raise AssertionError("a unit was not encoded on its own")
+                ids.append(found)
+                sizes[group] = np.diff(starts, append=len(found))
+                group.clear()
+
+        for k, unit in enumerate(units):
+            if " " in unit:
+                flush()
+                ids.append(self.whole(f" {unit}"))
+                sizes[k] = len(ids[-1])
+            else:
+                group.append(k)
+                if len(group) >= 1 << 13:
+                    flush()
+        flush()
+        return np.concatenate(ids), sizes, np.zeros(len(units))
+
+    def _odd(self, text: str, store: UnitStore) -> np.ndarray:
+        first, *rest = _CUT.split(text)
+        distinct = list(dict.fromkeys(rest))
+        place = dict(zip(distinct, store.places(distinct).tolist(), strict=True))
+        return np.concatenate([self.whole(first), store.spelled(np.fromiter(map(place.__getitem__, rest), np.int64, len(rest)))])
+
+    def encode(self, texts: pa.Array, end: int, store: UnitStore) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, end to end; and how many each has."""
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        split = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar(""), texts), " ")
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        units = split.flatten()
-        coded = pc.dictionary_encode(units)
-        places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        first, size = self.start[places], self.start[places + 1] - self.start[places]
-        ids = self.ids[ragged(first, size)]
-        heads = offsets[:-1] - offsets[0]
+        named = np.zeros(len(texts), bool)
+        for token in self.added:
+            named |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.if_else(pa.array(odd | named), pa.scalar(""), texts), " ")
+        heads = split.offsets.to_numpy().astype(np.int64)
+        heads = heads[:-1] - heads[0]
+        coded = pc.dictionary_encode(split.flatten())
+        # the first unit of a text has no space before it; '' stands for a text that is cut or goes whole
+        lead = pc.take(coded.dictionary, pa.array(coded.indices.to_numpy()[heads])).to_pylist()
+        places = store.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ids, size = store.spelled(places), store.sizes(places)
         counts = np.add.reduceat(size, heads) if len(heads) else np.zeros(0, np.int64)
         at = np.concatenate([[0], np.cumsum(counts)])
-        # the first unit of a text has no space before it; odd texts go whole
-        lead = coded.indices.to_numpy()[heads]
-        leading = pc.take(coded.dictionary, pa.array(lead)).to_pylist()
         known: dict[str, np.ndarray] = {"": np.zeros(0, self.kind)}
         out = []
         last = np.array([end], self.kind)
+        sizes = np.ones(len(texts), np.int64)
         for i in range(len(texts)):
-            if odd[i]:
-                out.append(self.whole(texts[i].as_py()))
+            if named[i]:
+                own = [self.whole(texts[i].as_py())]
+            elif odd[i]:
+                own = [self._odd(texts[i].as_py(), store)]
             else:
-                if (unit := leading[i]) not in known:
+                if (unit := lead[i]) not in known:
                     known[unit] = self.whole(unit)
-                out += [known[unit], ids[at[i] + size[heads[i]] : at[i + 1]]]
-            out.append(last)
-        sizes = np.array([len(x) for x in out])
-        ends = np.cumsum(sizes)
-        marks = np.array([k for k, x in enumerate(out) if x is last])
-        return np.concatenate(out), np.diff(ends[marks], prepend=0)
+                own = [known[unit], ids[at[i] + size[heads[i]] : at[i + 1]]]
+            sizes[i] += sum(map(len, own))
+            out += [*own, last]
+        return np.concatenate(out), sizes
 
 
 def _store(uri: str):
@@ -174,13 +180,20 @@ class ShardWriter:
         self.out.close()
 
 
+def table_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's bytes, from file sizes: nothing is read. 0 where it knows none."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
+
+
 def write_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id", text: str = "text", end: int = END, length: int = LENGTH, shards: int | None = None) -> DataFrame:
     """Writes the shards of all documents into the folder; returns the manifest (shard, name, n_tokens, n_docs), written."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "_t")
+    order = [F.col("doc_id"), F.xxhash64("_t").alias("_h"), F.monotonically_increasing_id().alias("_n")]
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table_bytes(base) // SHARD_BYTES))
+    dealt = base.select(*order, "_t").repartitionByRange(shards, "doc_id", "_h", "_n").sortWithinPartitions("doc_id", "_h", "_n").drop("_h", "_n")
     index_schema = pa.schema([("doc_id", arrow_type(f"x {kind}").field(0).type), ("at", pa.int64()), ("n", pa.int64())])
     schema = "shard int, name string, n_tokens long, n_docs long"
     made = arrow_type(schema)
@@ -191,13 +204,14 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
         encoder, writer, at, n_docs = Encoder.of(tokenizer), None, 0, 0
-        for batch, texts in pieces(batches, "_t", 8 << 20):
+        units = encoder.store()
+        for batch, texts in pieces(batches, "_t"):
             if writer is None:
                 store, path = _store(folder)
                 store.create_dir(path, recursive=True)
                 sink, index_sink = (store.open_output_stream(f"{path}/{name}{x}") for x in (".arrow", ".index"))
                 writer, index = ShardWriter(sink, encoder.kind, length), pa.ipc.new_file(index_sink, index_schema)
-            ids, counts = encoder.encode(texts, end)
+            ids, counts = encoder.encode(texts, end, units)
             writer.add(ids)
             index.write_batch(pa.record_batch([batch.column(0).cast(index_schema.field(0).type), pa.array(at + np.cumsum(counts) - counts), pa.array(counts)], schema=index_schema))
             at += len(ids)
@@ -277,6 +291,6 @@ def read_files(manifest: DataFrame, folder: str, id_type: str = "bigint") -> Dat
 
 def token_table(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = END, length: int = LENGTH) -> DataFrame:
     """Writes all documents to files in the shared folder and returns what the files say of each."""
-    folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = scratch_path(docs.sparkSession, "tokens")
     manifest = write_files(docs, tokenizer, folder, doc_id, text, end, length)
     return read_files(manifest, folder, docs.schema[doc_id].dataType.simpleString())
