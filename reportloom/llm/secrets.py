@@ -6,7 +6,9 @@ A word's features are small numbers found for all words at once: length, case, d
 quotes, an assignment sign, a secret's name in it, and those of the words before and after; beside them stand file
 features (how dense digits and symbols are in the text). Each feature's weights are a table, so a word costs a few
 gathers. It is trained in numpy by gradient steps on the log likelihood, on silver labels: the patterns' own matches in
-at most ``SAMPLE`` documents, in the order of their id's hash. Decoding is by Viterbi, over the stretches of words that may
+at most ``SAMPLE`` documents, in the order of their id's hash, as they are and in ``VARIANTS`` forms that the patterns miss:
+the cue dropped or put in other words, and the value drawn anew (shorter, in another case or alphabet, with a prefix or
+dashes). So it has to learn from shape and surroundings what the patterns find by name. Decoding is by Viterbi, over the stretches of words that may
 stand in a run of tags other than outside which gains by them: a bound on every run that holds the word, so the tags are
 those of decoding whole texts. Tagged spans lose quotes and punctuation at their ends; one that holds more than the
 patterns' matches, beside white space and punctuation, is added whole, so it may overlap them.
@@ -20,6 +22,7 @@ equal rows keep a row each; with no secret in the sample the field adds nothing.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +35,8 @@ from .common import arrow_type, pieces, raw, sampled_ids
 #: Documents that training may read, and stretches of words that it may fit.
 SAMPLE = 20_000
 STRETCHES = 4000
+#: Distorted copies of each match that training sees.
+VARIANTS = 4
 KINDS = ("assign", "access", "hex", "crf")
 _NAMES = rb"[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 _ASSIGN = re.compile(rb"(" + _NAMES + rb")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -40,7 +45,7 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")  # the longest runs, as a run never starts inside another
 _HINTS = (b"passw", b"secret", b"token", b"api")
 
-SIZES = {"length": 8, "digits": 4, "upper": 4, "lower": 3, "hex": 2, "symbols": 3, "quote": 2, "sign": 2, "name": 2, "other": 2}
+SIZES = {"length": 8, "digits": 4, "upper": 4, "lower": 3, "hex": 2, "symbols": 3, "quote": 2, "sign": 2, "name": 2, "other": 2, "switches": 4}
 PLACES = (-1, 0, 1)
 FILE_SIZES = {"digits": 4, "symbols": 4}
 
@@ -61,6 +66,7 @@ _CLASS = np.zeros((256, 7), np.int32)  # digit, upper, lower, hexadecimal, symbo
 for _c in range(128):
     _s = chr(_c)
     _CLASS[_c] = [_s.isdigit(), "A" <= _s <= "Z", "a" <= _s <= "z", _s in "0123456789abcdef", _s in "#*$%&|<>!+/_-", _s in "\"'`", _s in "=:"]
+_LETTER_DIGIT = np.where(_CLASS[:, 0] > 0, 1, np.where(_CLASS[:, 1] + _CLASS[:, 2] > 0, -1, 0)).astype(np.int8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -101,6 +107,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
         if len(at):
             named[np.searchsorted(starts, at, side="right") - 1] = 1
     mixed = np.maximum(n, 1)
+    # how often a word changes between digits and letters
+    kind = _LETTER_DIGIT[data]
+    change = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((kind[1:] * kind[:-1]) < 0, out=change[1 : len(data)] if len(data) else change[:0])
+    if len(data):
+        change[len(data)] = change[len(data) - 1]
+    switched = change[np.maximum(ends - 1, starts)] - change[starts]
     features = np.stack([
         np.searchsorted([4, 8, 12, 16, 20, 28, 48], n, side="right"),
         np.where(digit == 0, 0, np.where(4 * digit < mixed, 1, np.where(digit < mixed, 2, 3))),
@@ -112,6 +125,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
         np.minimum(sign, 1),
         named,
         digit + upper + lower + symbol + quote + sign < n,
+        np.searchsorted([1, 2, 5], switched, side="right"),
     ], axis=1).astype(np.int32)
     size = np.maximum(np.diff(offsets), 1)
     files = np.stack([np.searchsorted([1, 10, 50], 1000 * s // size, side="right") for s in (sums[0][1].astype(np.int64), sums[4][1].astype(np.int64))], axis=1)
@@ -302,20 +316,47 @@ def _stretches(gains: np.ndarray, edges: float) -> list[tuple[int, int]]:
     return list(zip(at[::2].tolist(), at[1::2].tolist(), strict=True))
 
 
-def sequences_of(texts: pa.Array, around: int = 12) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training stretches: words around each match, and around the first word with a digit, quote or symbol elsewhere."""
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: How a distorted match's value may look: (alphabet, least and greatest length, letters of a prefix, length of dashed groups).
+VALUES = (
+    ("0123456789abcdef", 14, 23, 0, 0), ("0123456789ABCDEF", 20, 48, 0, 0), (_ALNUM, 16, 44, 0, 0), (_ALNUM + "+/", 24, 64, 0, 0), (_ALNUM + "_-", 20, 48, 0, 0),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16, 28, 0, 0), (_ALNUM, 18, 40, 3, 0), ("abcdefghijklmnopqrstuvwxyz0123456789", 20, 40, 2, 0), ("0123456789abcdef", 32, 36, 0, 8),
+)
+
+
+def distorted(rng: np.random.Generator) -> str:
+    """A secret that the patterns miss, alone or after a cue that they don't know."""
+    letters, least, most, prefix, group = VALUES[rng.integers(len(VALUES))]
+    value = "".join(rng.choice(list(letters), rng.integers(least, most + 1)))
+    if group:
+        value = "-".join(value[k : k + group] for k in range(0, len(value), group))
+    low = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    value = (low(prefix) + rng.choice(["_", "-"]) if prefix else "") + value
+    cue = rng.choice(["", "", "", "=", ": ", ' = "', "word "])
+    if cue == "":
+        return value
+    return (low(rng.integers(3, 9)) if cue != "word " else rng.choice(["token is ", "secret -> ", "password was ", "api key is "])) + ("" if cue == "word " else cue) + value + ('"' if '"' in cue else "")
+
+
+def _tagged_words(words: Words, spans: list[tuple[int, int]]) -> np.ndarray:
+    tags = np.zeros(len(words.starts), np.int64)
+    for start, end in spans:
+        lo = int(np.searchsorted(words.ends, start, side="right"))
+        hi = int(np.searchsorted(words.starts, end, side="left"))
+        tags[lo:hi] = 2
+        tags[lo : lo + 1] = 1
+    return tags
+
+
+def sequences_of(texts: pa.Array, around: int = 12, variants: int = VARIANTS, make=distorted) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training stretches: words around each match, the same with a distorted match, and words around some that have a
+    digit, quote or symbol or are long where there is no match."""
     data, offsets = raw(texts)
     words = words_of(data, offsets)
     rows = Field.rows(words)
-    tags = np.zeros(len(rows), np.int64)
     joined = data.tobytes()
-    for t in range(len(texts)):
-        a = int(offsets[t])
-        for start, _, end in base_spans(joined[a : int(offsets[t + 1])]):
-            lo = int(np.searchsorted(words.ends, a + start, side="right"))
-            hi = int(np.searchsorted(words.starts, a + end, side="left"))
-            tags[lo:hi] = 2
-            tags[lo] = 1
+    found = [[(int(offsets[t]) + start, int(offsets[t]) + end) for start, _, end in base_spans(joined[int(offsets[t]) : int(offsets[t + 1])])] for t in range(len(texts))]
+    tags = _tagged_words(words, [span for own in found for span in own])
     ends = np.cumsum(words.counts)
     out = []
     odd = (words.features[:, 1] > 0) | (words.features[:, 5] > 0) | (words.features[:, 6] > 0) | (words.features[:, 0] > 4)
@@ -328,6 +369,19 @@ def sequences_of(texts: pa.Array, around: int = 12) -> list[tuple[np.ndarray, np
             while a > lo and tags[a] == 2:
                 a -= 1
             out.append((rows[a:b], tags[a:b]))
+        for start, end in found[t]:
+            rng = np.random.default_rng(zlib.crc32(joined[start:end]))
+            first, last = int(np.searchsorted(words.ends, start, side="right")), int(np.searchsorted(words.starts, end, side="left"))
+            # whole words around the match, other matches among them left out
+            before = [k for k in range(max(lo, first - around), first) if tags[k] == 0]
+            after = [k for k in range(last, min(hi, last + around)) if tags[k] == 0]
+            said = lambda some: b"".join(joined[words.starts[k] : words.ends[k]] + b" " for k in some)
+            for _ in range(variants):
+                head, new = said(before), make(rng).encode()
+                mini = np.frombuffer(head + new + b" " + said(after), np.uint8)
+                own = words_of(mini, np.array([0, len(mini)]))
+                own.files = words.files[t : t + 1]  # the whole text's
+                out.append((Field.rows(own), _tagged_words(own, [(len(head), len(head) + len(new))])))
     return out
 
 
@@ -353,19 +407,21 @@ def train_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
 
 
 _TRIM = b"\"'`,;:.!?()[]{}<>|="
-_BLANK = _TRIM + b" \t\n\v\f\r"
+_BLANK = _TRIM + b"#*$%& \t\n\v\f\r"
 
 
 def scan(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans) of every row: spans are (kind, start, end) by start, then kind; code points, end exclusive."""
+    """(doc_id, spans, n_tagged) of every row: spans are (kind, start, end) by start, then kind; code points, end exclusive.
+    n_tagged counts the field's spans, those among them that add nothing to a pattern's match too."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int>>"
+    schema = f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int>>, n_tagged long"
     out = arrow_type(schema)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
         for batch, texts in pieces(batches, "_t"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans_of(texts, shared.value), out.field("spans").type)], schema=out)
+            spans, n_tagged = tagged_spans(texts, shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, out.field("spans").type), pa.array(n_tagged)], schema=out)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, schema)
 
@@ -381,14 +437,21 @@ def _beyond(part: bytes, matches: list[tuple[int, int]]) -> bool:
 
 
 def spans_of(texts: pa.Array, field: Field) -> list[list[dict]]:
+    return tagged_spans(texts, field)[0]
+
+
+def tagged_spans(texts: pa.Array, field: Field) -> tuple[list[list[dict]], np.ndarray]:
+    """The spans of each text, and how many the field tags in it."""
     data, offsets = raw(texts)
     joined = data.tobytes()
     words = words_of(data, offsets)
     cuts = offsets.tolist()
     found = [base_spans(joined[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    n_tagged = np.zeros(len(texts), np.int64)
     for lo, hi in tagged(words, field):
         a, b = int(words.starts[lo]), int(words.ends[hi])
         t = int(np.searchsorted(offsets, a, side="right")) - 1
+        n_tagged[t] += 1
         part = joined[a:b]
         a += len(part) - len(part.lstrip(_TRIM))
         b = a + len(part.strip(_TRIM))
@@ -397,10 +460,13 @@ def spans_of(texts: pa.Array, field: Field) -> list[list[dict]]:
             found[t].append((a, 3, b))
     out = []
     for t, spans in enumerate(found):
-        own = joined[cuts[t] : cuts[t + 1]] if spans else b""
-        point = (lambda x: x) if own.isascii() else (lambda x, own=own: len(own[:x].decode()))
-        out.append([{"kind": KINDS[k], "start": point(s), "end": point(e)} for s, k, e in sorted(spans)])
-    return out
+        if not spans:
+            out.append([])
+            continue
+        # code points before each byte of the text: all bytes but those that go on with a character
+        point = np.concatenate([[0], np.cumsum((data[cuts[t] : cuts[t + 1]] & 0xC0) != 0x80)])
+        out.append([{"kind": KINDS[k], "start": int(point[s]), "end": int(point[e])} for s, k, e in sorted(spans)])
+    return out, n_tagged
 
 
 def redacted(docs: DataFrame, field: Field, text: str = "text", mark: str = "[SECRET]", extra: str | None = "n_chars") -> DataFrame:
