@@ -5,38 +5,54 @@ are replaced by keyed surrogates of their own type and format. An entity's norma
 an address) is what is replaced, and the surrogate is put back in the format of each mention, so mentions of one entity
 stay mentions of one surrogate. Numbers and addresses go through a keyed Feistel network that shifts each character within
 its own alphabet (digits, or letters of one script and case), with SHA-256 as its round function: on one format that is a
-bijection. A card keeps its first digit and whether its check digit is right; an e-mail address keeps its top domain. Names
-come from lists by the title's gender and the name's script. A titled name's last word is its family name and an entity of
-its own, the given name before it another: so a full name and the later family name alone share the family name's
-surrogate, and so do all who bear it (in Cyrillic script, where its form tells the gender, all of one gender).
+bijection. A card keeps its first digit, a bank account its country, and both whether their check digits are right; an
+e-mail address keeps its top domain. Names are put together from syllables of the name's script and an ending of the
+title's gender; a later tweak has a syllable more. A titled name's last word is its family name and an entity of its own,
+the given name before it another: so a full name and the later family name alone share the family name's surrogate, and so
+do all who bear it (in Cyrillic and Greek script, where its form tells the gender, all of one gender).
+
+The key is the caller's; ``key_of`` takes it from ``spark.reportloom.pii.key`` or the environment's REPORTLOOM_PII_KEY, and
+draws a new one for the run where neither is set. Plans (so event logs too) hold it.
 
 Collision checks: over all distinct entities, no two share a surrogate, and no surrogate is an entity of the corpus. Losers
-are tried again with the next tweak until none is left; those entities are exceptions, written as a table.
+are tried again with the next tweak, ``ROUNDS`` times. Where a format is so full that one is still without, all entities
+of that type and format take one further tweak, under which surrogates are a bijection of entities: distinct for certain,
+though one may be another entity's own form. So the checks end on every table.
 
-Plan. A scan for the distinct entities (combined per task, so a hot entity is a row a task); rounds of a grouping over
-them; a second scan replaces in the row. Exceptions, where there are any, are joined as one small map a document.
+Plan. A scan for the distinct entities (combined per task, so a hot entity is a row a task); one grouping of them by
+surrogate, then rounds for the losers alone, which meet the others in joins that a small side lets Spark broadcast; a
+second scan replaces in the row. Entities whose tweak isn't the first are exceptions, joined as one small map a text (by
+its hash: copies of a text share a row, and a shared hash does no harm, as an entity has one surrogate everywhere).
 
 Defined results: a null text stays null, an empty one empty; a text without entities is returned as it is; equal rows
-have equal results; what overlaps two types is one entity of the first that matches.
+have equal results, null and repeated ids are rows like others; what overlaps two types is one entity of the first that
+matches; an empty table gives none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import secrets
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
-SECRET = "reportloom surrogate key"
+#: Rounds of collision checks, each with a tweak of its own; the last tweak is for full formats.
+ROUNDS = 12
 
-TITLES = {"m": ["Mr", "Sir", "Herr", "Señor", "Monsieur", "г-н"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Madame", "Mme", "г-жа"]}
-GIVEN = {
-    "m": ["Adam", "Boris", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Noah", "Oscar", "Paul"],
-    "f": ["Anna", "Berta", "Clara", "Dora", "Emma", "Frida", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nina", "Olga", "Paula"],
+TITLES = {"m": ["Mr", "Sir", "Herr", "Señor", "Monsieur", "г-н", "Κύριος", "κος"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Madame", "Mme", "г-жа", "Κυρία", "κα"]}
+#: By script (Latin, Cyrillic, Greek): what begins a syllable, what ends it, and endings of given and family names.
+ONSETS = ["b d f g h j k l m n p r s t v w".split(), "б в г д ж з к л м н п р с т ф ш".split(), "β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ ψ".split()]
+VOWELS = ["a e i o u".split(), "а е и о у".split(), "α ε η ι ο".split()]
+ENDINGS = {
+    "given m": ["n r s l rt nd ck to".split(), "н р с й т мир слав лан".split(), "νος ρης λος τας κης σος μος θος".split()],
+    "given f": ["na ra la sa ta nia lia rina".split(), "на ра ла ша та ния лия рина".split(), "να ρα λα τα κη σια μια θεα".split()],
+    "family m": ["ner sen ton well berg mann son ley".split(), "нов ков лев рин тин дов шев ский".split(), "δης κος πουλος της ρας νης λης τος".split()],
+    "family f": ["ner sen ton well berg mann son ley".split(), "нова кова лева рина тина дова шева ская".split(), "δου κου πουλου του ρα νη λη τη".split()],
 }
-FAMILY = ["Arden", "Bergen", "Castell", "Dorn", "Eller", "Fontaine", "Garner", "Holt", "Ibsen", "Jensen", "Keller", "Lindner", "Moreau", "Norden", "Olsen", "Palmer"]
-GIVEN_CYRILLIC = {"m": ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Игорь"], "f": ["Анна", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Майя"]}
-FAMILY_CYRILLIC = {"m": ["Белов", "Волков", "Громов", "Жуков", "Котов", "Лебедев", "Морозов", "Орлов"], "f": ["Белова", "Волкова", "Громова", "Жукова", "Котова", "Лебедева", "Морозова", "Орлова"]}
 #: Letters and digits of one script and case; a character moves within its own.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 
@@ -91,7 +107,7 @@ def parts(mention: Column, kind: Column) -> Column:
     words = F.split(mention, " ")
     last = F.element_at(words, -1)
     entity = lambda kind, key: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), key.alias("key"))
-    family = entity("family", F.concat(F.when(last.rlike(r"\p{IsCyrillic}"), gender).otherwise("x "), last))
+    family = entity("family", F.concat(F.when(last.rlike(r"\p{IsCyrillic}|\p{IsGreek}"), gender).otherwise("x "), last))
     named = F.when(F.size(words) > 2, F.array(entity("given", F.concat(gender, F.element_at(words, 2))), family)).otherwise(F.array(family))
     return F.when(kind == "name", named).otherwise(F.array(entity(kind, normal(mention, kind))))
 
@@ -171,26 +187,66 @@ def _ip(key: Column, secret: str, tweak: Column) -> Column:
     return _let(start, lambda s: rounds(s, 0))
 
 
+def _iban(key: Column, secret: str, tweak: Column) -> Column:
+    """Country, check digits and account; right digits stay right, and each wrong pair becomes a wrong pair of its own."""
+    country, given, account = F.substring(key, 1, 2), F.substring(key, 3, 2).cast("int"), F.substring(key, F.lit(5), F.length(key))
+
+    def right(account: Column) -> Column:
+        value = lambda c: F.position(c, F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")) - 1
+        digits = F.transform(_chars(F.concat(account, country, F.lit("00"))), value)
+        return 98 - F.aggregate(digits, F.lit(0), lambda s, v: (s * F.when(v < 10, 10).otherwise(100) + v) % 97)
+
+    def check(pair: Column) -> Column:
+        wrong = given - F.when(given > pair["a"], 1).otherwise(0)
+        return F.when(given == pair["a"], pair["b"]).otherwise(wrong + F.when(wrong >= pair["b"], 1).otherwise(0))
+
+    def put(new: Column) -> Column:
+        return _let(F.struct(right(account).alias("a"), right(new).alias("b")), lambda pair: F.concat(country, F.lpad(check(pair).cast("string"), 2, "0"), new))
+
+    return _let(permuted(account, secret, tweak), put)
+
+
 def _name(key: Column, kind: Column, secret: str, tweak: Column) -> Column:
-    """Gender mark and a given or family name; from the fifth tweak on a permuted word, which can't run out."""
+    """Gender mark and a given or family name: tweak + 2 syllables and an ending; with the last tweak a syllable stands for
+    each letter of the permuted word, which is a bijection."""
     bare, gender = F.substring(key, F.lit(3), F.length(key)), F.substring(key, 1, 1)
-    digest = _digest(secret, tweak, kind, F.lower(bare))
+    script = F.when(bare.rlike(r"\p{IsCyrillic}"), 1).when(bare.rlike(r"\p{IsGreek}"), 2).otherwise(0)
+    lists = lambda tables: F.array(*(F.array(*map(F.lit, names)) for names in tables))
+    pick = lambda names, n: F.get(names, F.pmod(n, F.size(names)).cast("int"))
+
+    def syllable(n: Column) -> Column:
+        return F.concat(pick(F.get(lists(ONSETS), script), n), pick(F.get(lists(VOWELS), script), F.floor(n / 16)))
 
-    def pick(names: list[str]) -> Column:
-        return F.element_at(F.array(*map(F.lit, names)), F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("int"), F.lit(len(names))) + 1)
+    def made(digest: Column) -> Column:
+        number = lambda j: F.conv(F.substring(digest, j * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        short = F.transform(F.sequence(F.lit(0), tweak + 1), lambda j: syllable(number(j)))
+        # 80 syllables: two for each letter tell all letters apart
+        letters = F.transform(_chars(permuted(bare, secret, tweak)), lambda c: F.concat(syllable(F.ascii(c) % 80), syllable(F.floor(F.ascii(c) / 80))))
+        which = F.concat(kind, F.when(gender == "f", " f").otherwise(" m"))
+        tail = F.get(F.element_at(F.create_map(*(x for name, tables in ENDINGS.items() for x in (F.lit(name), lists(tables)))), which), script)
+        whole = F.array_join(F.when(tweak < ROUNDS, short).otherwise(letters), "")
+        return F.concat(gender, F.lit(" "), F.initcap(F.concat(whole, F.when(tweak < ROUNDS, pick(tail, number(F.lit(15)))).otherwise(F.lit("")))))
 
-    cyrillic = bare.rlike(r"\p{IsCyrillic}")
-    given = F.when(cyrillic, F.when(gender == "f", pick(GIVEN_CYRILLIC["f"])).otherwise(pick(GIVEN_CYRILLIC["m"]))).otherwise(F.when(gender == "f", pick(GIVEN["f"])).otherwise(pick(GIVEN["m"])))
-    family = F.when(cyrillic, F.when(gender == "f", pick(FAMILY_CYRILLIC["f"])).otherwise(pick(FAMILY_CYRILLIC["m"]))).otherwise(pick(FAMILY))
-    return F.concat(gender, F.lit(" "), F.when(tweak >= 4, permuted(bare, secret, tweak)).when(kind == "given", given).otherwise(family))
+    return _let(_digest(secret, tweak, kind, F.lower(bare)), made)
 
 
 def surrogate(key: Column, kind: Column, secret: str, tweak: Column) -> Column:
     """The normal form of an entity's surrogate."""
-    keep = lambda n: F.concat(F.substring(key, F.lit(1), F.lit(n)), permuted(F.substring(key, F.lit(n + 1), F.length(key)), secret, tweak))
+    kept = F.when(kind == "ssn", 1).otherwise(2)
+    number = F.concat(F.substring(key, F.lit(1), kept), permuted(F.substring(key, kept + 1, F.length(key)), secret, tweak))
     top = F.regexp_extract(key, r"(\.[^.]+)$", 1)
     mail = F.concat(permuted(F.substring(key, F.lit(1), F.length(key) - F.length(top)), secret, tweak), top)
-    return F.when(kind == "email", mail).when(kind == "card", _card(key, secret, tweak)).when(kind == "ip", _ip(key, secret, tweak)).when(kind.isin("given", "family"), _name(key, kind, secret, tweak)).when(kind == "ssn", keep(1)).otherwise(keep(2))
+    made = {"email": mail, "card": _card(key, secret, tweak), "iban": _iban(key, secret, tweak), "ip": _ip(key, secret, tweak)}
+    out = F.when(kind.isin("given", "family"), _name(key, kind, secret, tweak))
+    for name, value in made.items():
+        out = out.when(kind == name, value)
+    return out.otherwise(number)
+
+
+def shape(key: Column, kind: Column) -> Column:
+    """The format on which a type's surrogates are a bijection."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(key, "[0-9]", "0"), r"\p{Ll}", "a"), r"\p{Lu}", "A")
+    return F.when(kind.isin("ip", "given", "family"), F.lit("")).otherwise(plain)
 
 
 def rendered(mention: Column, kind: Column, made: Column) -> Column:
@@ -214,38 +270,51 @@ def entities(docs: DataFrame, text: str) -> DataFrame:
     return found.select(F.inline(parts(F.col("m"), F.col("kind")))).distinct()
 
 
-def dictionary(found: DataFrame, secret: str = SECRET) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The session's or environment's key, or a new one for this run."""
+    return spark.conf.get("spark.reportloom.pii.key", None) or os.environ.get("REPORTLOOM_PII_KEY") or secrets.token_hex(32)
+
+
+def dictionary(found: DataFrame, secret: str, rounds: int = ROUNDS, make=surrogate) -> DataFrame:
     """(kind, key, tweak, made) of every entity, after the collision checks."""
+    made = lambda df, tweak: df.select("kind", "key", F.lit(tweak).alias("tweak"), make(F.col("key"), F.col("kind"), secret, F.lit(tweak)).alias("made"))
     known = written(found, "entities")
-    made = lambda df: df.withColumn("made", surrogate(F.col("key"), F.col("kind"), secret, F.col("tweak")))
-    state = written(made(known.withColumn("tweak", F.lit(0))), "surrogates")
-    while True:
-        # of entities that share a surrogate the first that had it keeps it; none may have an entity's own form
-        winner = state.groupBy("kind", "made").agg(F.min(F.struct("tweak", "key")).alias("w"))
-        real = known.select("kind", F.col("key").alias("made"), F.lit(True).alias("real"))
-        judged = state.join(winner, ["kind", "made"]).join(real, ["kind", "made"], "left")
-        judged = judged.select("kind", "key", "tweak", "made", (F.col("real").isNotNull() | (F.col("w.key") != F.col("key"))).alias("lost"))
-        judged = written(judged, "judged")
-        lost = judged.filter("lost")
-        if lost.isEmpty():
-            return state
-        again = made(lost.select("kind", "key", (F.col("tweak") + 1).alias("tweak")))
-        state = written(judged.filter("not lost").select("kind", "key", "tweak", "made").unionByName(again), "surrogates")
-
-
-def pseudonymize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", secret: str = SECRET) -> DataFrame:
+    own = known.select("kind", F.col("key").alias("made"))
+    settled: list[DataFrame] = []
+    tried = known
+    for tweak in range(rounds):
+        new = written(made(tried, tweak), "surrogates")
+        # of entities that share a surrogate the first keeps it; none may have another's, or an entity's own form
+        winner = new.groupBy("kind", "made").agg(F.min("key").alias("first"))
+        names = new.select("kind", "made")
+        taken = reduce(DataFrame.unionByName, (x.select("kind", "made").join(names.distinct() if tweak == 0 else names, ["kind", "made"]) for x in [own, *settled])).distinct().withColumn("taken", F.lit(True))
+        judged = new.join(winner, ["kind", "made"]).join(taken, ["kind", "made"], "left")
+        judged = written(judged.select("kind", "key", "tweak", "made", (F.col("taken").isNotNull() | (F.col("first") != F.col("key"))).alias("lost")), "judged")
+        discard(new)
+        settled.append(judged.filter("not lost").drop("lost"))
+        tried = judged.filter("lost").select("kind", "key")
+        if tried.isEmpty():
+            return written(reduce(DataFrame.unionByName, settled), "dictionary")
+    form = shape(F.col("key"), F.col("kind")).alias("shape")
+    full = written(tried.select("kind", form).distinct(), "full")
+    rest = reduce(DataFrame.unionByName, settled).withColumn("shape", form).join(full, ["kind", "shape"], "left_anti").drop("shape")
+    last = made(known.withColumn("shape", form).join(full, ["kind", "shape"], "left_semi"), rounds)
+    return written(rest.select("kind", "key", "tweak", "made").unionByName(last), "dictionary")
+
+
+def pseudonymize(docs: DataFrame, secret: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, n_<kind>...) of every row: the text with surrogates, and how many mentions of each kind it has."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    odd = written(dictionary(entities(base, "t"), secret).filter("tweak > 0"), "exceptions")
+    odd = dictionary(entities(base, "t"), secret).filter("tweak > 0")
     named = lambda kind, key: F.concat(kind, F.lit(":"), key)
     x = base.withColumn("m", mentions(F.coalesce("t", F.lit(""))))
     if odd.isEmpty():
         x = x.withColumn("odd", F.lit(None).cast("map<string,string>"))
     else:
-        own = x.select("doc_id", F.explode_outer("m").alias("m")).filter("m is not null").select("doc_id", "m", kind_of(F.col("m")).alias("kind"))
-        own = own.select("doc_id", F.inline(parts(F.col("m"), F.col("kind")))).join(odd, ["kind", "key"])
-        maps = own.select("doc_id", named(F.col("kind"), F.col("key")).alias("k"), "made").distinct().groupBy(F.col("doc_id").alias("d")).agg(F.map_from_entries(F.collect_list(F.struct("k", "made"))).alias("odd"))
-        x = x.join(written(maps, "maps"), x["doc_id"].eqNullSafe(F.col("d")), "left").drop("d")
+        own = base.select(F.xxhash64("t").alias("h"), F.explode_outer(mentions(F.coalesce("t", F.lit("")))).alias("m")).filter("m is not null").select("h", "m", kind_of(F.col("m")).alias("kind"))
+        own = own.select("h", F.inline(parts(F.col("m"), F.col("kind")))).join(odd, ["kind", "key"])
+        maps = own.select("h", named(F.col("kind"), F.col("key")).alias("k"), "made").distinct().groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("k", "made"))).alias("odd"))
+        x = x.withColumn("h", F.xxhash64("t")).join(written(maps, "maps"), "h", "left").drop("h")
     x = x.withColumn("g", F.when(F.size("m") > 0, F.split("t", ANY, -1))).withColumn("k", F.transform("m", kind_of))
 
     def put(m: Column, i: Column) -> Column:
