@@ -4,9 +4,10 @@ Fingerprint: the bitwise majority of the XXH64 (seed 42) values of a text's word
 they differ in at most ``radius`` bits; a component is what links reach.
 
 Plan. Equal fingerprints collapse to one node first, so a group of copies of any size is one row. Candidates come from
-blocks: the 64 bits are cut into ``radius + 2`` blocks, so two linked fingerprints agree on two blocks at least, and
-every pair of blocks gives a key (15 keys of 20 to 22 bits for radius 4). Fingerprints are dealt and sorted by key and
-compared inside a key with bit planes. A key gives at most one link for each of its members (a spanning forest), never
+blocks: the 64 bits are cut into ``radius + k`` blocks, so two linked fingerprints agree on k blocks at least, and
+every k blocks give a key. For radius 4 and k = 2 that is 15 keys of 20 to 22 bits, for k = 3 35 keys of 27, for k = 4 70
+keys of 32; k is what costs least for the number of nodes, so comparisons don't grow with its square. All give the same links.
+Fingerprints are dealt and sorted by key and compared inside a key with bit planes. A key gives at most one link for each of its members (a spanning forest), never
 all pairs. A key with more than ``most`` members is cut into blocks of members and every two blocks meet in a task of
 their own, so no task grows with a key. Links go through large-star/small-star rounds, each written to the shared folder.
 
@@ -16,6 +17,7 @@ ids keep a row each; a null id never is a component's label unless all its membe
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -24,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import discard, pieces, written
 
 RADIUS = 4
 SHINGLE = 4
 #: Members of a key that meet in one task.
-MOST = 20_000
+MOST = 8_000
+#: What dealing a row costs, in comparisons of two fingerprints.
+DEALT = 50
 #: Runs up to this length are compared lane by lane; longer ones are searched breadth first.
 LANES = 64
 
@@ -68,11 +72,17 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def key_masks(radius: int) -> list[int]:
-    """Masks of two of the radius + 2 blocks each."""
-    edges = [round(64 * k / (radius + 2)) for k in range(radius + 3)]
+def key_masks(radius: int, k: int = 2) -> list[int]:
+    """Masks of k of the radius + k blocks each."""
+    edges = [round(64 * b / (radius + k)) for b in range(radius + k + 1)]
     blocks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [x | y for x, y in combinations(blocks, 2)]
+    return [sum(some) for some in combinations(blocks, k)]
+
+
+def blocks_for(n: int, radius: int) -> int:
+    """How many blocks a key should have for n nodes: more make keys longer, and more of them."""
+    cost = lambda k: math.comb(radius + k, k) * (DEALT + n / 2 ** (64 * k / (radius + k)))
+    return min(range(2, 7), key=cost)
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -213,9 +223,9 @@ def run_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarra
     return np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST, k: int = 2) -> DataFrame:
     """(a, b): fingerprints of distinct ``nodes`` (fp long) that link; enough of them to connect each component."""
-    masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in key_masks(radius)))
+    masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in key_masks(radius, k)))
     keyed = nodes.select("fp", F.posexplode(masks).alias("k", "m")).select("fp", F.xxhash64("k", F.col("fp").bitwiseAND(F.col("m"))).alias("key"))
     large = keyed.groupBy("key").count().filter(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
@@ -254,7 +264,8 @@ def components(edges: DataFrame, name: str = "star") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = written(small.distinct(), name)
+        done, edges = edges, written(small.distinct(), name)
+        discard(done)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
@@ -265,7 +276,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, fingerprint, component_id) for every row; fingerprint as 16 hex digits."""
     prints = written(fingerprints(docs, doc_id, text, shingle), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, radius))
+    roots = components(links(nodes, radius, k=blocks_for(nodes.count(), radius)))
     held = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     held = written(held, "held")
     first = held.groupBy("root").agg(F.min("least").alias("component_id"))
