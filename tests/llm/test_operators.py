@@ -53,21 +53,61 @@ def test_quality_lines(spark):
 
 def test_language(spark, docs, texts, empty, clashing):
     rng = random.Random(1)
-    make = lambda a: " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(12)) + "."
-    rows = [(i, make("abcdeé" if i % 2 else "uvwxyzß"), "aa" if i % 2 else "zz") for i in range(160)]
+    syllables = {y: own.split() for y, own in {"aa": "ka to mi su ren ha éno ri yo ta", "zz": "stra ght ung ver ßen lich bel ow ent", "qq": "plu gno bri dja wox fim tze kul"}.items()}
+    make = lambda y, n=14: " ".join("".join(rng.choice(syllables[y]) for _ in range(rng.randint(1, 4))) for _ in range(n)) + "."
+    rows = [(i, make("aa" if i % 2 else "zz"), "aa" if i % 2 else "zz") for i in range(400)]
     known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.train(known.filter("doc_id < 100"), per_language=40)
-    got = by_id(langid.predict(known.filter("doc_id >= 100"), model))
-    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[100:]) and sum(r["rejected"] for r in got.values()) == 0
+    model = langid.train(known.filter("doc_id < 300"), sample=240)
+    got = by_id(langid.predict(known.filter("doc_id >= 300"), model))
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[300:]) and sum(r["rejected"] for r in got.values()) == 0
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    # a language that wasn't learned, and one of the learned letters in other order
+    odd = np.random.default_rng(3)
+    foreign = [make("qq", 60) for _ in range(20)] + [langid.shuffled(make("zz", 60), odd) for _ in range(20)]
+    told = langid.predict(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), model).collect()
+    assert sum(r["rejected"] for r in told if r["doc_id"] < 20) >= 16 and sum(r["rejected"] for r in told if r["doc_id"] >= 20) >= 16, told
     r = by_id(langid.predict(docs, model))
     assert all((r[i]["lang_pred"] == "und") == (not t or not any(c.isalpha() for c in t)) for i, t in enumerate(texts)) and r[0]["score"] == 0
-    assert langid.train(empty) is None and langid.predict(docs, None).filter("lang_pred <> 'und'").isEmpty()
+    assert all(r[i]["rejected"] for i, t in enumerate(texts) if not t)
+    assert langid.train(empty) is None and langid.predict(docs, None).filter("lang_pred <> 'und' or not rejected").isEmpty()
     assert langid.predict(empty, model).count() == 0
     out = langid.predict(clashing, model)
     assert out.count() == 3 and out.columns.count("score") == 1
 
 
+def test_language_prediction_by_plain_sums(spark):
+    """The score of a text, restated gram by gram."""
+    rng = np.random.default_rng(2)
+    m = langid.Model(["a", "b"], rng.normal(size=(1 << 8, 3)).astype(np.float32), rng.normal(size=3), 0.7, 20.0, 0.4)
+    some = ["Abc, déf!", "x", "a\nb c" * 50, "12", None]
+    got = langid.predict(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), m).orderBy("doc_id").collect()
+    for t, r in zip(some, got, strict=True):
+        data = (" " + (t or "") + "   ").encode()
+        data = bytes(b + 32 if 65 <= b < 91 else 32 if b < 128 and not 97 <= b < 123 else b for b in data)
+        z, n = np.zeros(3), 0
+        for k in range(len(data) - 3):
+            three, four = int.from_bytes(data[k : k + 3], "little"), int.from_bytes(data[k : k + 4], "little")
+            for h in (three * 2654435761 % (1 << 32) >> 24, (four ^ 0x5BD1E995) * 2246822519 % (1 << 32) >> 24):
+                z, n = z + m.logits[h], n + 1
+        z = (z / n + m.bias) / (0.7 + 20 / n)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        letters = bool(t) and any(c.isalpha() for c in t)
+        best = int(p[:2].argmax())
+        assert r["lang_pred"] == (m.languages[best] if letters else "und")
+        assert math.isclose(r["score"], p[best] if letters else 0, rel_tol=1e-5) and r["rejected"] == (not letters or p[best] < 0.4)
+
+
+def test_samples_are_bounded(spark):
+    from reportloom.llm.common import sampled_ids
+
+    rows = [(7, "a")] * 500 + [(i, "ab"[i % 2]) for i in range(1000)] + [(None, "c"), (2000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string")
+    by = sampled_ids(df.filter("lang is not null"), "doc_id", 60, by="lang").join(df.distinct(), "doc_id").groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in by if r["lang"] in ("a", "b")} == {"a": 20, "b": 20}
+    assert sampled_ids(df, "doc_id", 50).distinct().count() == 50
+    assert sampled_ids(df.filter("lang is not null"), "doc_id", 60, by="lang", most_values=1).count() == 60
+
+
 # 3
 
 
@@ -231,7 +271,6 @@ def test_token_files(docs, texts, empty, clashing, tokenizer_file):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_file)
-    plain.encode_special_tokens = True
     got, at = by_id(tokenfile.token_table(docs, tokenizer_file, length=64)), 0
     for i, t in enumerate(texts):
         ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
@@ -258,10 +297,11 @@ def test_shards_are_fixed_size_rows(docs, tokenizer_file, tmp_path):
         shard.close()
 
 
-@pytest.mark.parametrize("text", ["a", " a", "a ", "a  b", "a\n b", "don't  stop\n\n\nx", " a b c", "<|endoftext|> x", "a\tb c", "1 23,4 %%", "é ▁ 😀 q"])
-def test_encoder_equals_the_library(tokenizer_file, text):
-    encoder = tokenfile.Encoder(tokenizer_file)
-    ids, counts = encoder.encode(pa.array([text, "", text + "\nb", "z " + text]), 2)
+@pytest.mark.parametrize("text", ["a", " a", "a ", "a  b", "a\n b", "don't  stop\n\n\nx", " a b c", "<|endoftext|> x", "a\tb c", "1 23,4 %%", "é ▁ 😀 q", "x<|endoftext|>  y", "a \x85 b"])
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_encoder_equals_the_library(tokenizer_file, text, most):
+    encoder = tokenfile.Encoder.of(tokenizer_file)
+    ids, counts = encoder.encode(pa.array([text, "", text + "\nb", "z " + text]), 2, encoder.store(most=most))
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in (text, "", text + "\nb", "z " + text)]
     assert ids.tolist() == list(itertools.chain(*want)) and counts.tolist() == list(map(len, want))
 
@@ -350,12 +390,51 @@ def test_pieces_round_trip(docs, texts, vocabulary_file, chunk, block):
     for i, r in by_id(out).items():
         t = texts[i] or ""
         assert r["text"] == t, i
-        if len(t) < 300:
-            assert r["ids"] == (best_path(sentpiece.marked(" " + t).tolist(), codec.vocabulary, codec.unknown) if t else []), i
+        assert r["ids"] == (best_path(sentpiece.marked(" " + t).tolist(), codec.vocabulary, codec.unknown) if t else []), i
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         seen += 1
     assert seen == some.count()
 
 
+@pytest.mark.parametrize("chunk", [3, 7, 20, 64])
+def test_equal_sums_are_told_apart_alike_however_a_unit_is_cut(vocabulary_file, chunk):
+    codec, rng = sentpiece.Codec.of(vocabulary_file), random.Random(5)
+    v = codec.vocabulary
+    for _ in range(25):
+        codes = sentpiece.marked(" " + "".join(rng.choice(rng.choice(["ab", "abc", "the ", "x", "aé漢"])) for _ in range(rng.randint(1, 300))))
+        whole = lattice.spelled(codes, lattice.long_best(codes, codec.scores, v, codec.unknown)[1], v)
+        assert whole.tolist() == best_path(codes.tolist(), v, codec.unknown)
+        cuts = [(a, min(a + chunk, len(codes))) for a in range(0, len(codes), chunk)]
+        own = [sentpiece.ChunkSolver(codec, codec.store(), codes[a : b + v.longest - 1], b - a) for a, b in cuts]
+        states = [0, *sentpiece.scan_states([x.matrix() for x in own], 0, 0), 0]
+        assert np.concatenate([x.trace(*e) for x, e in zip(own, zip(states, states[1:], strict=False), strict=True)]).tolist() == whole.tolist()
+
+
+def test_a_unit_longer_than_chunks(spark, vocabulary_file):
+    """100,000 characters without a space, full of paths of equal score."""
+    text = "ab" * 30_000 + "x" * 40_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    codec = sentpiece.Codec.of(vocabulary_file)
+    codes = sentpiece.marked(" " + text)
+    want = lattice.spelled(codes, lattice.long_best(codes, codec.scores, codec.vocabulary, codec.unknown)[1], codec.vocabulary)
+    got = sentpiece.encode(df, vocabulary_file).first()["ids"]
+    assert got == want.tolist()
+
+
+def test_unit_stores_are_emptied():
+    from reportloom.llm.common import UnitStore
+
+    def solve(units):
+        return np.concatenate([np.full(len(u), ord(u[0])) for u in units]), np.array(list(map(len, units))), np.zeros(len(units))
+
+    store, rng = UnitStore(solve, np.int32, most=2000), random.Random(1)
+    for _ in range(50):
+        units = list({rng.choice("abcdef") * rng.randint(1, 9) for _ in range(8)})
+        at = store.places(units)
+        assert store.spelled(at).tolist() == [ord(c) for u in units for c in u] and store.sizes(at).tolist() == list(map(len, units))
+        assert store.bytes < 5000
+
+
 def test_pieces_of_odd_tables(empty, clashing, vocabulary_file):
     assert sentpiece.encode(empty, vocabulary_file).count() == 0
     assert sentpiece.encode(clashing, vocabulary_file, chunk=5).count() == 3
@@ -363,11 +442,12 @@ def test_pieces_of_odd_tables(empty, clashing, vocabulary_file):
 
 def test_scan_is_associative():
     rng = np.random.default_rng(1)
-    m = [rng.normal(size=(4, 4)) for _ in range(7)]
-    assert np.allclose(sentpiece.combine(sentpiece.combine(m[0], m[1]), m[2]), sentpiece.combine(m[0], sentpiece.combine(m[1], m[2])))
+    # a rank orders a column's entries
+    m = [np.stack([rng.integers(-2, 3, (4, 4)), rng.permuted(np.tile(np.arange(4)[:, None], 4), axis=0)]).astype(float) for _ in range(7)]
+    assert np.array_equal(sentpiece.combine(sentpiece.combine(m[0], m[1]), m[2]), sentpiece.combine(m[0], sentpiece.combine(m[1], m[2])))
     states = [0, *sentpiece.scan_states(m, 0, 2), 2]
-    total = sum(x[a, b] for x, a, b in zip(m, states, states[1:], strict=False))
-    best = max(sum(x[a, b] for x, a, b in zip(m, (0, *p), (*p, 2), strict=True)) for p in itertools.product(range(4), repeat=6))
+    total = sum(x[0, a, b] for x, a, b in zip(m, states, states[1:], strict=False))
+    best = max(sum(x[0, a, b] for x, a, b in zip(m, (0, *p), (*p, 2), strict=True)) for p in itertools.product(range(4), repeat=6))
     assert math.isclose(total, best)
 
 
