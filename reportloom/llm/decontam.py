@@ -1,14 +1,16 @@
 """Benchmark decontamination by winnowing.
 
 A document word inside any occurrence of an item window (``span`` consecutive item words; a shorter item is one window)
-is hit. Of a text's word k-gram hashes the smallest of every ``span - k + 1`` consecutive ones are kept, so any shared
-run of ``span`` words shares a kept hash. Kept document hashes that pass a Bloom filter of the benchmark's (of fixed
-size; a filled filter only lets more rows through) are joined with the benchmark's, and each hit is extended word by word
-to both sides, which is exact. Items under ``span`` words are looked up whole, by length.
+is hit. Of a text's word k-gram hashes the smallest of every ``span - k + 1`` consecutive ones is kept, the rightmost among
+equals, so any shared run of ``span`` words shares a kept hash at the same place. Kept document hashes that pass a Bloom
+filter of the benchmark's are joined with the benchmark's, and each hit is extended word by word to both sides, which is
+exact. Items under ``span`` words are looked up whole, by length.
 
-Plan. One scan of the documents gives a row each with its word count and the few hashes that passed; that table is
+Plan. One scan of the documents gives a row each with its word count and the few hashes that passed, each with the words
+around it; places of one text with the same words around are one row, and so are those of all items. That table is
 written. The join is on the hash alone, so AQE may split a passage that many documents share. What leaves a document is
-at most its own hits; nothing is collected but the filter's words (2 ** 17 at most) and the lengths of short items.
+at most its own hits; what comes to the driver is the filter, of ``FILTER_SHARE`` bits a kept benchmark hash up to
+``FILTER_MOST`` (beyond that it lets more rows through), and the lengths of short items.
 
 Defined results: null and empty texts have no words and aren't contaminated; equal rows keep a row each; an empty
 benchmark hits nothing; an item of no words gives no window; items with equal texts are all counted.
@@ -25,7 +27,8 @@ from .common import arrow_type, pieces, ragged, raw, written
 
 SPAN = 13
 GRAM = 6
-FILTER_BITS = 1 << 23
+FILTER_SHARE = 16
+FILTER_MOST = 1 << 27
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -33,19 +36,6 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, up to n."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _powers.append(np.multiply.accumulate(factors))
-    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,10 +58,15 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     tails = offsets[1:][offsets[1:] > 0] - 1
     last[tails] = inside[tails]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    lengths = ends - starts
+    power = np.full(int(lengths.max()), _BASE, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    heads = np.cumsum(lengths) - lengths
+    places = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
+    hashes = mix(np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * power[places], heads))
     hashes[hashes == 0] = 1
     return hashes, np.diff(np.searchsorted(starts, offsets))
 
@@ -85,29 +80,18 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
-def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
-    """best over x[i : i + width], for i up to len(x) - width."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        x = best(x[:-step], x[step:])
-        have += step
-    return x
-
-
 def winnowed(words: np.ndarray, counts: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) kept of all texts with span words or more: those that are the minimum of some window."""
-    width = span - k + 1
+    """(positions, hashes) kept of all texts with span words or more: the rightmost minimum of every window."""
     left = np.repeat(np.cumsum(counts), counts) - np.arange(len(words))  # words from here to the text's end
+    first = np.flatnonzero(left >= span)
     hashes = grams(words, k)
-    top = ~np.uint64(0)
-    hashes[left < k] = top
-    if len(words) < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = _sliding(hashes, width, np.minimum)
-    least = np.where(left[: len(least)] >= span, least, np.uint64(0))
-    around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
-    kept = np.flatnonzero((_sliding(around, width, np.maximum)[: len(words)] == hashes) & (hashes != top))
+    least, at = hashes[first], first.copy()
+    for j in range(1, span - k + 1):
+        other = hashes[first + j]
+        lower = other <= least
+        least[lower] = other[lower]
+        at[lower] = first[lower] + j
+    kept = np.unique(at)
     return kept, hashes[kept]
 
 
@@ -167,52 +151,71 @@ def item_prints(benchmark: DataFrame, item_id: str, text: str, span: int, k: int
     return benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("_t")).mapInArrow(run, schema)
 
 
-def bloom(prints: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+def filter_bits(n: int) -> int:
+    """The filter's size for n kept hashes."""
+    return min(FILTER_MOST, max(1 << 16, 1 << (FILTER_SHARE * n).bit_length()))
+
+
+def bloom(prints: DataFrame, size: int) -> np.ndarray:
     """The filter's bits as bytes; what comes to the driver is the filter's non-empty words at most."""
     low, high = F.col("fp").bitwiseAND(size - 1), F.shiftrightunsigned("fp", 32).bitwiseAND(size - 1)
     spots = prints.select(F.explode(F.array(low, high)).alias("bit"))
-    words = spots.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("mask"))
+    words = spots.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("mask")).toArrow()
     out = np.zeros(size // 32, np.uint32)
-    for row in words.toLocalIterator():
-        out[row["word"]] = row["mask"]
+    out[words["word"].to_numpy()] = words["mask"].to_numpy()
     return out.view(np.uint8)
 
 
+def passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The indexes of the hashes that a filter lets through."""
+    last = np.uint64(8 * len(sieve) - 1)
+    found = np.arange(len(hashes))
+    for bit in (hashes & last, (hashes >> np.uint64(32)) & last):
+        bit = bit[found]
+        found = found[sieve[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0]
+    return found
+
+
+HITS = "array<struct<h:int,n:int,fp:bigint,ctx:array<bigint>,ps:array<int>>>"
+
+
 def scan(docs: DataFrame, doc_id: str, text: str, sieve: np.ndarray, lengths: list[int], span: int, k: int) -> DataFrame:
-    """(doc_id, n_words, hits) of each row: hits holds (position, length, hash, context) of what passed the filter."""
+    """(doc_id, n_words, hits) of each row: hits holds what passed the filter, (number, length, hash, context, positions)."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, hits array<struct<p:int,n:int,fp:bigint,ctx:array<bigint>>>"
+    schema = f"doc_id {kind}, n_words long, hits {HITS}"
     out = arrow_type(schema)
     shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches):
-        bits = np.unpackbits(shared.value, bitorder="little").view(bool)
-        for batch, texts in pieces(batches, "_t"):
+        for batch, texts in pieces(batches, "_t", 1 << 20):
             words, counts = words_of(texts)
             ends = np.cumsum(counts)
             found = []
             for at, n, hashes, context in _prints(words, counts, k, span, lengths, False):
-                a, b = _bits(hashes, len(bits))
-                i = np.flatnonzero(bits[a])
-                i = i[bits[b[i]]]
+                i = passes(shared.value, hashes)
                 if len(i):
-                    found.append((at[i], np.full(len(i), n, np.int32), hashes[i], context(i)))
-            at, n, fp, ctx = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros((0, 2 * span - k), np.uint64))
-            order = np.argsort(at, kind="stable")
-            at, n, fp, ctx = at[order], n[order], fp[order], ctx[order]
+                    found.append((at[i], np.full(len(i), n, np.int64), hashes[i], context(i)))
+            at, n, fp, ctx = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2 * span - k), np.uint64))
             owner = np.searchsorted(ends, at, side="right")
-            local = (at - (ends - counts)[owner]).astype(np.int32)
-            rows = pa.StructArray.from_arrays([pa.array(local), pa.array(n), pa.array(fp.view(np.int64)), _matrix(ctx)], fields=list(out.field("hits").type.value_type))
-            upto = np.concatenate([[0], np.searchsorted(owner, np.arange(len(texts)), side="right")]).astype(np.int32)
-            hits = pa.ListArray.from_arrays(pa.array(upto), rows).cast(out.field("hits").type)
+            # places of one text with the same words around them are one hit
+            rows = np.concatenate([np.stack([owner.astype(np.uint64), n.astype(np.uint64), fp], axis=1), ctx], axis=1)
+            _, first, back = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+            order = np.lexsort((at, back.ravel()))
+            sizes = np.bincount(back.ravel(), minlength=len(first))
+            local = (at - (ends - counts)[owner]).astype(np.int32)[order]
+            mine = owner[first]
+            upto = np.searchsorted(mine, np.arange(len(texts) + 1))
+            number = np.arange(len(first)) - upto[mine]
+            fields = [pa.array(number.astype(np.int32)), pa.array(n[first].astype(np.int32)), pa.array(fp[first].view(np.int64)), _matrix(ctx[first]), _lists(local, sizes)]
+            hits = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.StructArray.from_arrays(fields, fields=list(out.field("hits").type.value_type))).cast(out.field("hits").type)
             yield pa.record_batch([batch.column(0), pa.array(counts), hits], schema=out)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, schema)
 
 
 def extended(pairs: DataFrame, span: int, k: int) -> DataFrame:
-    """(rid, item_id, a, b): word ranges of documents that lie in occurrences of item windows."""
-    kind = pairs.schema["item_id"].dataType.simpleString()
+    """(rid, h, before, after, items): how many words of hit h, before its place and from it on, lie in an item's window."""
+    kind = pairs.schema["items"].dataType.simpleString()
     side = span - k
 
     def run(batches):
@@ -222,30 +225,35 @@ def extended(pairs: DataFrame, span: int, k: int) -> DataFrame:
                 continue
             table = {x: batch.column(x) for x in batch.schema.names}
             mine, other = (table[x].flatten().to_numpy().reshape(n, -1) for x in ("ctx", "item_ctx"))
-            size, p = table["n"].to_numpy(), table["p"].to_numpy()
+            size = table["n"].to_numpy()
             same = (mine == other) & (mine != 0)
             left = np.cumprod(same[:, :side][:, ::-1], axis=1).sum(axis=1)
             right = np.cumprod(same[:, side + k :], axis=1).sum(axis=1)
             middle = same[:, side : side + k].all(axis=1)
             long_hit = (size == 0) & middle & (left + k + right >= span)
             short_hit = (size > 0) & (mine == other).all(axis=1)
-            a = np.where(size > 0, p, p - left)
-            b = np.where(size > 0, p + size, p + k + right)
-            ok = np.flatnonzero(long_hit | short_hit)
-            yield pa.record_batch([table["rid"].take(pa.array(ok)), table["item_id"].take(pa.array(ok)), pa.array(a[ok].astype(np.int64)), pa.array(b[ok].astype(np.int64))], names=["rid", "item_id", "a", "b"])
+            before, after = np.where(size > 0, 0, left).astype(np.int32), np.where(size > 0, size, k + right).astype(np.int32)
+            ok = pa.array(np.flatnonzero(long_hit | short_hit))
+            yield pa.record_batch([table["rid"].take(ok), table["h"].take(ok), pa.array(before).take(ok), pa.array(after).take(ok), table["items"].take(ok)], names=["rid", "h", "before", "after", "items"])
 
-    return pairs.select("rid", "p", "n", "ctx", "item_id", "item_ctx").mapInArrow(run, f"rid long, item_id {kind}, a long, b long")
+    return pairs.select("rid", "h", "n", "ctx", "item_ctx", "items").mapInArrow(run, f"rid long, h int, before int, after int, items {kind}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_hit, items, contaminated) of every row; items as sorted strings."""
     items = written(item_prints(benchmark, item_id, item_text, span, k), "items")
     lengths = sorted(r["n"] for r in items.filter("n > 0").select("n").distinct().collect())  # span - 1 numbers at most
-    found = written(scan(docs, doc_id, text, bloom(items), lengths, span, k).withColumn("rid", F.monotonically_increasing_id()), "hits")
+    # windows with the same words are one, with all their items
+    item = written(items.groupBy("n", "fp", F.col("ctx").alias("item_ctx")).agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), "windows")
+    sieve = bloom(item.select("fp"), filter_bits(item.count()))
+    found = written(scan(docs, doc_id, text, sieve, lengths, span, k).withColumn("rid", F.monotonically_increasing_id()), "hits")
     hits = found.filter(F.size("hits") > 0).select("rid", F.inline("hits"))
-    pairs = hits.join(items.select("fp", "n", "item_id", F.col("ctx").alias("item_ctx")), ["fp", "n"])
-    ranges = extended(pairs, span, k)
-    per_doc = ranges.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("r"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    touched = extended(hits.drop("ps").join(item, ["fp", "n"]), span, k)
+    # all windows at a hit hold its place, so the widest reach to both sides is their union
+    reach = touched.groupBy("rid", "h").agg(F.max("before").alias("before"), F.max("after").alias("after"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    spread = found.filter(F.size("hits") > 0).select("rid", F.explode("hits").alias("x")).select("rid", F.col("x.h").alias("h"), F.col("x.ps").alias("ps"))
+    ranges = reach.join(spread, ["rid", "h"]).select("rid", "items", F.transform("ps", lambda p: F.struct((p - F.col("before")).cast("long").alias("a"), (p + F.col("after")).cast("long").alias("b"))).alias("r"))
+    per_doc = ranges.groupBy("rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("r")))).alias("r"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     # ranges by start: each adds what lies beyond the furthest end so far
     n_hit = F.aggregate("r", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")), lambda s: s["n"])
     out = found.select("rid", "doc_id", "n_words").join(per_doc.select("rid", n_hit.alias("n_hit"), F.sort_array("items").alias("items")), "rid", "left")
