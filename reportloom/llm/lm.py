@@ -2,18 +2,19 @@
 
 A text is its lower-cased words and one end. The model scores a word as a space mark and its characters: the sum, over
 all segmentations into pieces of an existing vocabulary, of the product of unigram piece weights, by forward recursion in
-log space; the text's score adds its words' and the end's log10 weights. The vocabulary is given; its piece weights are
-learned: from a start that falls with a piece's rank in the vocabulary, one round of expected counts over the
-segmentations of all training words (the end counts once a training text) is added to the start.
+log space; the text's score adds its words' and the end's log10 weights. The vocabulary's own scores weight the pieces: a
+weight is exp(score / T) over the sum of all (a byte piece, which has no score, comes after the last piece). What is learned
+from training texts is the temperature T and the weight of the end: ``ROUNDS`` rounds of expected piece counts over the
+segmentations of all training words, each followed by the T that makes those counts likeliest.
 
-Plan. One scan gives word counts, combined per task, then by word: a row a distinct word with its training count. Piece
-counts come from that table, a word once however frequent. Each distinct word's score is found once. Then texts are
+Plan. One scan gives word counts, combined per task, then by word: a row a distinct word with its counts in training texts
+and in all. Piece counts come from that table, a word once however frequent. Each distinct word's score is found once. Then texts are
 scored in a second scan against the most frequent words (at most ``HEAVY``, a fixed bound; frequent words stand for most
 tokens), which is broadcast; a text's other words are kept as (word, times) and joined with the word table, and their
 parts are summed per text. So a word that fills the corpus is never a join key, and rare words are, as many as there are.
 
 Defined results: a null text is empty and is one end token; training counts are those of texts not held out; with no
-training text all counts are 0 and the start weights hold; equal rows keep a row each.
+training text all counts are 0 and the start temperature holds; equal rows keep a row each.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, held_out, pieces, written
+from .common import arrow_type, discard, held_out, pieces, written
 from .lattice import Vocabulary, Words, expected, marginals
 
-#: Words that are broadcast at most, and what the start weights count for beside the corpus.
+#: Words that are broadcast at most; rounds that fit the temperature, and where they start, as a share of the scores' range.
 HEAVY = 1 << 19
-START_WEIGHT = 1000.0
+ROUNDS = 2
+START = 0.15
 #: The name under which the end of a text is counted; no word holds a space.
 END = " "
 
@@ -49,96 +51,129 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): training counts of every word of every text, with the end; 0 for a word of held-out texts alone."""
-    schema = "word string, c long"
+    """(word, c, n): how often every word occurs in training texts and in all, with the end."""
+    schema = "word string, c long, n long"
     made = arrow_type(schema)
 
     def run(batches):
         held, size = [], 0
 
         def out():
-            table = pa.Table.from_arrays([pa.concat_arrays([x[0] for x in held]), pa.concat_arrays([x[1] for x in held])], names=["word", "c"]).group_by("word").aggregate([("c", "sum")])
-            return pa.record_batch([table["word"].combine_chunks(), table["c_sum"].combine_chunks()], schema=made)
+            table = pa.Table.from_arrays([pa.concat_arrays(x) for x in zip(*held, strict=True)], names=["word", "c", "n"]).group_by("word").aggregate([("c", "sum"), ("n", "sum")])
+            return pa.record_batch([table[x].combine_chunks() for x in ("word", "c_sum", "n_sum")], schema=made)
 
-        for batch, texts in pieces(batches, "_t", 8 << 20):
+        for batch, texts in pieces(batches, "_t", 4 << 20):
             trains = ~batch.column("held").to_numpy(zero_copy_only=False)
             coded, counts = words_of(texts)
             weight = np.repeat(trains, counts)
-            c = np.bincount(coded.indices.to_numpy(), weight, len(coded.dictionary)).astype(np.int64)
-            held.append((pa.concat_arrays([coded.dictionary, pa.array([END])]), pa.array(np.append(c, trains.sum()))))
+            c, n = (np.bincount(coded.indices.to_numpy(), w, len(coded.dictionary)).astype(np.int64) for w in (weight, None))
+            held.append((pa.concat_arrays([coded.dictionary, pa.array([END])]), pa.array(np.append(c, trains.sum())), pa.array(np.append(n, len(trains)))))
             size += len(c)
-            if size > 1_000_000:  # a bound on what a task holds, not on what it counts
+            if size > 500_000:  # a bound on what a task holds, not on what it counts
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
-    return docs.select("_t", "held").mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("_t", "held").mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def given_scores(vocabulary: Vocabulary) -> np.ndarray:
+    """The vocabulary's own scores; byte pieces come after the last piece, and ids that lattices don't use never occur."""
+    out = np.full(len(vocabulary.pieces), -np.inf)
+    out[vocabulary.normal] = vocabulary.scores[vocabulary.normal]
+    out[vocabulary.byte_ids] = vocabulary.scores[vocabulary.normal].min() - 1
+    return out
+
+
+def weights_at(given: np.ndarray, temperature: float, end: float) -> np.ndarray:
+    """Natural logs of the weights of all pieces, which sum to 1 with the end's, the last."""
+    x = given / temperature
+    top = x.max()
+    return np.append(x - top - np.log(np.exp(x - top).sum()) + np.log1p(-end), np.log(end))
 
 
 def start_scores(vocabulary: Vocabulary) -> np.ndarray:
-    """Natural logs of weights that fall with the rank that the vocabulary gives its pieces; the end is the last."""
-    rank = np.empty(len(vocabulary.pieces))
-    used = np.concatenate([vocabulary.normal, vocabulary.byte_ids])
-    weight = np.zeros(len(vocabulary.pieces) + 1)
-    rank[used] = np.argsort(np.argsort(-np.concatenate([vocabulary.scores[vocabulary.normal], np.full(256, -2e9)]), kind="stable"), kind="stable")
-    weight[used] = 1 / (rank[used] + 50)
-    weight[-1] = 1 / 50
-    with np.errstate(divide="ignore"):
-        return np.log(weight / weight.sum())
+    given = given_scores(vocabulary)
+    known = given[given > -np.inf]
+    return weights_at(given, START * max(1.0, float(np.ptp(known))), 0.01)
+
+
+def fitted_scores(given: np.ndarray, counts: np.ndarray, end: float) -> np.ndarray:
+    """The weights of the temperature under which piece counts are likeliest, and of the end's share."""
+    total = counts.sum()
+    seen = counts > 0
+    width = max(1.0, float(np.ptp(given[given > -np.inf])))
+
+    def likelihood(t: float) -> float:
+        x = given / t
+        top = x.max()
+        return float((counts[seen] * x[seen]).sum() - total * (top + np.log(np.exp(x - top).sum())))
+
+    low, high = np.log(1e-4 * width), np.log(100 * width)
+    for _ in range(60):  # the likelihood has one top
+        a, b = low + 0.382 * (high - low), low + 0.618 * (high - low)
+        low, high = (a, high) if likelihood(np.exp(a)) < likelihood(np.exp(b)) else (low, b)
+    return weights_at(given, float(np.exp((low + high) / 2)), end / (end + total))
 
 
 def spelled_words(words: list[str]) -> Words:
     return Words.of([f" {w}" for w in words])
 
 
-def learned_scores(counts: DataFrame, vocabulary_path: str) -> np.ndarray:
-    """Natural logs of the piece weights, the end's last: start plus expected counts over all training words."""
-    start = start_scores(Vocabulary.load(vocabulary_path))
-
-    def run(batches):
-        v = Vocabulary.load(vocabulary_path)
-        total = np.zeros(len(start))
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1 << 14):
-                words, c = batch.column(0).slice(k, 1 << 14).to_pylist(), batch.column(1).slice(k, 1 << 14).to_numpy()
-                plain = [i for i, w in enumerate(words) if w != END]
-                total[:-1] += expected(spelled_words([words[i] for i in plain]), c[plain].astype(float), start[:-1], v)
-                total[-1] += sum(int(c[i]) for i, w in enumerate(words) if w == END)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["piece", "n"])
-
-    rows = counts.filter("c > 0").select("word", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-    total = np.exp(start) * START_WEIGHT
-    for row in rows.collect():  # a row a piece of the vocabulary
-        total[row["piece"]] += row["n"]
-    with np.errstate(divide="ignore"):
-        return np.log(total / total.sum())
+def learned_scores(counts: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Natural logs of the piece weights, the end's last, after the rounds over all training words."""
+    v = Vocabulary.load(vocabulary_path)
+    given, learned = given_scores(v), start_scores(v)
+    words = counts.filter("c > 0").select("word", "c")
+    spark = counts.sparkSession
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(learned)
+
+        def run(batches, shared=shared):
+            v, scores = Vocabulary.load(vocabulary_path), shared.value
+            total = np.zeros(len(scores))
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1 << 13):
+                    words, c = batch.column(0).slice(k, 1 << 13).to_pylist(), batch.column(1).slice(k, 1 << 13).to_numpy()
+                    plain = [i for i, w in enumerate(words) if w != END]
+                    total[:-1] += expected(spelled_words([words[i] for i in plain]), c[plain].astype(float), scores[:-1], v)
+                    total[-1] += sum(int(c[i]) for i, w in enumerate(words) if w == END)
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["piece", "n"])
+
+        found = words.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row a piece
+        total = np.zeros(len(learned))
+        total[found["piece"].to_numpy()] = found["n"].to_numpy()
+        if total[:-1].sum() == 0 or total[-1] == 0:
+            return learned
+        learned = fitted_scores(given, total[:-1], float(total[-1]))
+    return learned
 
 
 def word_scores(counts: DataFrame, learned: np.ndarray, vocabulary_path: str) -> DataFrame:
-    """(word, c, s): s is the word's log10 weight under the model."""
+    """(word, c, n, s): s is the word's log10 weight under the model."""
     shared = counts.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches):
         v = Vocabulary.load(vocabulary_path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1 << 14):
-                some = batch.slice(k, 1 << 14)
+            for k in range(0, batch.num_rows, 1 << 13):
+                some = batch.slice(k, 1 << 13)
                 words = some.column(0).to_pylist()
                 s = marginals(spelled_words(["" if w == END else w for w in words]), shared.value[:-1], v) / _LOG10
                 s[[i for i, w in enumerate(words) if w == END]] = shared.value[-1] / _LOG10
-                yield pa.record_batch([some.column(0), some.column(1), pa.array(s)], names=["word", "c", "s"])
+                yield pa.record_batch([*some.columns, pa.array(s)], names=["word", "c", "n", "s"])
 
-    return counts.select("word", "c").mapInArrow(run, "word string, c long, s double")
+    return counts.select("word", "c", "n").mapInArrow(run, "word string, c long, n long, s double")
 
 
 def heavy_floor(table: DataFrame, most: int) -> int:
     """The smallest count of which at most ``most`` words have as much: from a histogram of under a thousand bins."""
-    bins = table.filter("c > 0").groupBy(F.floor(F.log2("c") * 8).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("low")).collect()
+    bins = table.groupBy(F.floor(F.log2("n") * 8).alias("b")).agg(F.count("*").alias("words"), F.min("n").alias("low")).collect()
     total, floor = 0, None
     for row in sorted(bins, key=lambda r: -r["b"]):
-        total += row["n"]
+        total += row["words"]
         if total > most:
             break
         floor = row["low"]
@@ -151,10 +186,11 @@ def score(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: s
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), held_out(doc_id, modulus).alias("held"))
     counts = written(word_counts(base), "counts")
     table = written(word_scores(counts, learned_scores(counts, vocabulary_path), vocabulary_path), "words")
+    discard(counts)
     train, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     floor = heavy_floor(table, heavy)
     bottom = math.log10(train + distinct + 1)
-    frequent = table.filter(F.col("c") >= floor).select("word", "c", "s").toArrow()  # at most ``heavy`` rows
+    frequent = table.filter(F.col("n") >= floor).select("word", "c", "s").toArrow()  # at most ``heavy`` rows
     end = table.filter(F.col("word") == END).first()
     end_c, end_s = (end["c"], end["s"]) if end else (0, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast((frequent["word"].combine_chunks(), frequent["c"].to_numpy(), frequent["s"].to_numpy()))
@@ -164,15 +200,15 @@ def score(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: s
     def run(batches):
         names, cs, ss = shared.value
         logs = np.append(np.log10(cs + 1.0) - bottom, 0.0)
-        ss = np.append(ss, 0.0)
-        for batch, texts in pieces(batches, "_t", 8 << 20):
+        ss, seen = np.append(ss, 0.0), np.append(cs > 0, False).astype(float)
+        for batch, texts in pieces(batches, "_t", 4 << 20):
             n = len(texts)
             coded, counts = words_of(texts)
             spot = pc.fill_null(pc.index_in(coded.dictionary, value_set=names), len(cs)).to_numpy()
             at = spot[coded.indices.to_numpy()]
             owner = np.repeat(np.arange(n), counts)
             common = at < len(cs)
-            sums = [np.bincount(owner, w, n) for w in (common.astype(float), logs[at], ss[at])]
+            sums = [np.bincount(owner, w, n) for w in (seen[at], logs[at], ss[at])]
             rest = ~common
             pair, times = np.unique(owner[rest] * np.int64(len(coded.dictionary) + 1) + coded.indices.to_numpy()[rest], return_counts=True)
             whose, which = pair // (len(coded.dictionary) + 1), pair % (len(coded.dictionary) + 1)
@@ -184,7 +220,7 @@ def score(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: s
             ], schema=out)
 
     scored = written(base.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("rid", F.inline("rest")).join(table.filter(F.col("c") < floor), "word")
+    rare = scored.select("rid", F.inline("rest")).join(table.filter(F.col("n") < floor).drop("n"), "word")
     rest = rare.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known2"),
         F.sum(F.col("times") * (F.log10(F.col("c") + 1.0) - bottom)).alias("base2"),
