@@ -27,6 +27,15 @@ def by_id(df):
 # 1
 
 
+def fails(line):
+    """The rules of a line, restated."""
+    n, symbols, bangs = len(re.findall(r"[\x20\t-\r]+", line)) + 1, len(re.findall(r"[#*$%&|<>]", line)), line.count("!")
+    low = line.translate(LOWER)
+    punctuation = (not re.search("[.!?,;:…。]", line) and n >= 8) or (bangs >= 4 and 3 * bangs >= n)
+    navigation = (symbols >= 2 and 5 * symbols >= n) or bool(re.search(quality.MENU.replace(r"\z", r"\Z"), low))
+    return bool(WORD.search(line)) and (punctuation or navigation or bool(re.search(quality.BOILERPLATE.replace(r"\z", r"\Z"), low)))
+
+
 def test_quality(docs, texts, empty, clashing):
     got = by_id(quality.assess(docs))
     for i, t in enumerate(t or "" for t in texts):
@@ -36,16 +45,20 @@ def test_quality(docs, texts, empty, clashing):
         covered = {j for k in range(len(w) - 7) if count[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
         assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered)), i
         assert r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", t))
-        assert r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
+        assert r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
+        good, lost = [x for x in t.split("\n") if not fails(x)], sum(len(x) for x in lines if fails(x)) / max(1, sum(map(len, lines)))
+        assert r["cleaned"] == "\n".join(good) and r["n_bad_lines"] == sum(map(fails, lines)) and math.isclose(r["lost"], lost)
+        assert r["kept"] == (not r["base_failed"] and lost <= 0.5)
     assert quality.assess(empty).count() == 0 and quality.assess(clashing).count() == 3
 
 
 def test_quality_lines(spark):
     good, other = "A plain sentence with more than eight words stands in this line.", "Another one follows it, and no eight words of either are the same."
-    rows = [(1, "\n".join([good, "Home | News | About | Contact", "All rights reserved.", "", other])), (2, "\n".join([" | ".join("ABCDEFGHIJKL"), " | ".join("MNOPQRSTUVWX"), "x y."]))]
+    rows = [(1, "\n".join([good, "Home | News | About | Contact", "All rights reserved.", "", other])), (2, "\n".join([" | ".join("ABCDEFGHIJKL"), " | ".join("MNOPQRSTUVWX"), "x y."])), (3, "\n".join([good, "  Zurück ", "Accueil", "POLÍTICA de privacidad.", "cookiesalz, gut.", "© Tous droits réservés", other]))]
     got = by_id(quality.assess(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got[1]["kept"] and got[1]["n_bad_lines"] == 2 and got[1]["cleaned"] == "\n".join([good, "", other])
     assert not got[2]["kept"] and not got[2]["base_failed"]
+    assert got[3]["cleaned"] == "\n".join([good, "cookiesalz, gut.", other])
 
 
 # 2
@@ -458,10 +471,22 @@ def low_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
 
 
+def hits_of(t, windows):
+    """Positions of hit words, and items."""
+    w, hit, found = low_words(t), set(), set()
+    for n in {len(x) for x in windows}:
+        for k in range(len(w) - n + 1):
+            if own := windows.get(tuple(w[k : k + n])):
+                found |= own
+                hit |= set(range(k, k + n))
+    return hit, found
+
+
 def test_contamination(spark, docs, texts, empty, clashing):
     rng = random.Random(4)
     long, other = low_words(texts[5]), low_words(texts[8])
-    items = [(0, " ".join(long[:20])), (1, " ".join(other[2:7])), (2, None), (3, ""), (4, "In " * 15), (5, other[0]), (6, " ".join(rng.sample(long, len(long)))), (7, " ".join(long[:20])), (8, "É ü ß")]
+    quoted = [low_words(t) for t in texts[3:17]]
+    items = [*((20 + i, " ".join(w[2:17])) for i, w in enumerate(quoted) if len(w) > 17), (0, " ".join(long[:20])), (1, " ".join(other[2:7])), (2, None), (3, ""), (4, "In " * 15), (5, other[0]), (6, " ".join(rng.sample(long, len(long)))), (7, " ".join(long[:20])), (8, "É ü ß"), (9, "in " * 200 + "a b c")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = collections.defaultdict(set)
     for i, t in items:
@@ -469,23 +494,37 @@ def test_contamination(spark, docs, texts, empty, clashing):
         n = min(13, len(w))
         for k in range(len(w) - n + 1 if n else 0):
             windows[tuple(w[k : k + n])].add(i)
-    got, total = by_id(decontam.contamination(docs, bench)), 0
+    assert sum(bool(hits_of(t, windows)[0]) for t in texts) > 5  # the sample has hits to find
+    got = by_id(decontam.contamination(docs, bench))
     for i, t in enumerate(texts):
-        w, hit, found = low_words(t), set(), set()
-        for n in {len(x) for x in windows}:
-            for k in range(len(w) - n + 1):
-                if own := windows.get(tuple(w[k : k + n])):
-                    found |= own
-                    hit |= set(range(k, k + n))
-        r = got[i]
+        w, (hit, found), r = low_words(t), hits_of(t, windows), got[i]
         assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == (len(w), len(hit), sorted(map(str, found)), bool(hit) and 20 * len(hit) >= len(w)), i
-        total += bool(hit)
-    assert total > 5
     none = bench.filter("false")
     assert decontam.contamination(docs, none).filter("n_hit > 0").isEmpty() and decontam.contamination(empty, bench).count() == 0
     assert decontam.contamination(clashing, bench).count() == 3
 
 
+def test_repetitive_texts_meet_as_few_rows(spark):
+    bench = spark.createDataFrame([(i, "ab " * 3000) for i in range(3)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "ab " * 5000 + "c"), (2, "ab " * 12)], "doc_id long, text string")
+    prints = decontam.item_prints(bench, "item_id", "text", 13, 6)
+    assert prints.select("fp", "ctx").distinct().count() < 20
+    got = by_id(decontam.contamination(docs, bench))
+    assert (got[1]["n_words"], got[1]["n_hit"], got[1]["items"]) == (5001, 5000, ["0", "1", "2"]) and got[2]["n_hit"] == 0
+
+
+def test_winnowing_keeps_one_hash_of_each_window():
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 4, 300).astype(np.uint64)
+    counts = np.array([5, 100, 0, 13, 182])
+    kept, hashes = decontam.winnowed(words, counts, 6, 13)
+    all_hashes, want = decontam.grams(words, 6), set()
+    for a, n in zip(np.cumsum(counts) - counts, counts, strict=True):
+        for i in range(a, a + n - 12):
+            want.add(max(range(i, i + 8), key=lambda j: (-int(all_hashes[j]), j)))
+    assert kept.tolist() == sorted(want) and np.array_equal(hashes, all_hashes[kept])
+
+
 # 10
 
 
