@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -20,6 +22,9 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the numpy code handles at a time (a larger document is handled alone).
 PIECE_BYTES = 2 << 20
+#: Bytes of an Arrow batch that a worker gets.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of units, about, that a task remembers with their token ids.
 STORE_BYTES = 24 << 20
 
@@ -93,6 +98,25 @@ def sampled_ids(df: DataFrame, doc_id: str, most: int, by: str | None = None, mo
     return held.filter(F.col("_k") <= F.col("_q")).select(F.col("_id").alias(doc_id))
 
 
+def lean(run):
+    """``run`` (batches to batches) for mapInArrow, with small memory: the session's Arrow batches have ``BATCH_BYTES`` at
+    most from here on, and a worker hands back what a task leaves unused, as workers wait for later tasks."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return held
+
+
 def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A string column as one array without nulls."""
     if isinstance(column, pa.ChunkedArray):

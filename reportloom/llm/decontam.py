@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, pieces, ragged, raw, written
+from .common import arrow_type, lean, pieces, raw, written
 
 SPAN = 13
 GRAM = 6
@@ -148,7 +148,7 @@ def item_prints(benchmark: DataFrame, item_id: str, text: str, span: int, k: int
                 if len(at):
                     yield pa.record_batch([batch.column(0).take(pa.array(owner[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(hashes.view(np.int64)), _matrix(context(np.arange(len(at))))], schema=out)
 
-    return benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("_t")).mapInArrow(run, schema)
+    return benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("_t")).mapInArrow(lean(run), schema)
 
 
 def filter_bits(n: int) -> int:
@@ -210,7 +210,7 @@ def scan(docs: DataFrame, doc_id: str, text: str, sieve: np.ndarray, lengths: li
             hits = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.StructArray.from_arrays(fields, fields=list(out.field("hits").type.value_type))).cast(out.field("hits").type)
             yield pa.record_batch([batch.column(0), pa.array(counts), hits], schema=out)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(lean(run), schema)
 
 
 def extended(pairs: DataFrame, span: int, k: int) -> DataFrame:
@@ -236,7 +236,7 @@ def extended(pairs: DataFrame, span: int, k: int) -> DataFrame:
             ok = pa.array(np.flatnonzero(long_hit | short_hit))
             yield pa.record_batch([table["rid"].take(ok), table["h"].take(ok), pa.array(before).take(ok), pa.array(after).take(ok), table["items"].take(ok)], names=["rid", "h", "before", "after", "items"])
 
-    return pairs.select("rid", "h", "n", "ctx", "item_ctx", "items").mapInArrow(run, f"rid long, h int, before int, after int, items {kind}")
+    return pairs.select("rid", "h", "n", "ctx", "item_ctx", "items").mapInArrow(lean(run), f"rid long, h int, before int, after int, items {kind}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM) -> DataFrame:

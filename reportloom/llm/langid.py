@@ -32,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, plain, raw, sampled_ids
+from .common import lean, pieces, plain, raw, sampled_ids
 
 BITS = 15
 DIM = 16
 #: Documents that training reads at most, languages that it tells apart at most, and lines of a document that it adds.
-SAMPLE = 2400
+SAMPLE = 2000
 MOST_LANGUAGES = 200
 LINES = 1
-EPOCHS = 4
+EPOCHS = 3
 #: The calibrated probability of the best language under which a text is rejected.
 REJECT_BELOW = 0.02
 
@@ -180,7 +180,7 @@ def training_examples(docs: DataFrame, doc_id: str, text: str, lang: str, sample
                 small = lambda x: np.minimum(x, 65535).astype("<u2").tobytes()
                 yield pa.record_batch([pa.array([small(x[0]) for x in out], pa.binary()), pa.array([small(x[1]) for x in out], pa.binary()), pa.array([x[2] for x in out], pa.string()), pa.array([x[3] for x in out])], names=["at", "n", "y", "checks"])
 
-    found = rows.select("x.t", "x.y").mapInArrow(run, "at binary, n binary, y string, checks boolean").toArrow()
+    found = rows.select("x.t", "x.y").mapInArrow(lean(run), "at binary, n binary, y string, checks boolean").toArrow()
     numbers = lambda x: np.frombuffer(x.as_buffer(), "<u2")
     out = [(numbers(a), numbers(n), y.as_py(), c.as_py()) for a, n, y, c in zip(*(found.column(k) for k in range(4)), strict=True)]
     # in an order that doesn't depend on how rows came
@@ -208,7 +208,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tup
             named, score, rejected = judged(texts, shared.value)
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, out, strict=False)), pa.array(named, pa.string()), pa.array(score), pa.array(rejected)], schema=out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def judged(texts: pa.Array, m: Model) -> tuple[list[str], np.ndarray, np.ndarray]:

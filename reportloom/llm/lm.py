@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, discard, held_out, pieces, written
+from .common import arrow_type, discard, held_out, lean, pieces, written
 from .lattice import Vocabulary, Words, expected, marginals
 
 #: Words that are broadcast at most; rounds that fit the temperature, and where they start, as a share of the scores' range.
@@ -75,7 +75,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("_t", "held").mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return docs.select("_t", "held").mapInArrow(lean(run), schema).groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def given_scores(vocabulary: Vocabulary) -> np.ndarray:
@@ -142,7 +142,7 @@ def learned_scores(counts: DataFrame, vocabulary_path: str, rounds: int = ROUNDS
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
-        found = words.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row a piece
+        found = words.mapInArrow(lean(run), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row a piece
         total = np.zeros(len(learned))
         total[found["piece"].to_numpy()] = found["n"].to_numpy()
         if total[:-1].sum() == 0 or total[-1] == 0:
@@ -165,7 +165,7 @@ def word_scores(counts: DataFrame, learned: np.ndarray, vocabulary_path: str) ->
                 s[[i for i, w in enumerate(words) if w == END]] = shared.value[-1] / _LOG10
                 yield pa.record_batch([*some.columns, pa.array(s)], names=["word", "c", "n", "s"])
 
-    return counts.select("word", "c", "n").mapInArrow(run, "word string, c long, n long, s double")
+    return counts.select("word", "c", "n").mapInArrow(lean(run), "word string, c long, n long, s double")
 
 
 def heavy_floor(table: DataFrame, most: int) -> int:
@@ -219,7 +219,7 @@ def score(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: s
                 pa.array(sums[1] + math.log10(end_c + 1) - bottom), pa.array(sums[2] + end_s), pa.ListArray.from_arrays(pa.array(upto), words).cast(out.field("rest").type),
             ], schema=out)
 
-    scored = written(base.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
+    scored = written(base.mapInArrow(lean(run), schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
     rare = scored.select("rid", F.inline("rest")).join(table.filter(F.col("n") < floor).drop("n"), "word")
     rest = rare.groupBy("rid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known2"),

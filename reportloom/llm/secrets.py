@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, pieces, raw, sampled_ids
+from .common import arrow_type, lean, pieces, raw, sampled_ids
 
 #: Documents that training may read, and stretches of words that it may fit.
 SAMPLE = 20_000
@@ -400,7 +400,7 @@ def train_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
                 yield pa.record_batch([pa.array([np.asarray(z, "<i2").tobytes() for z in c], pa.binary()) for c in zip(*found, strict=True)], names=["x", "y"])
 
     # small numbers as bytes: what comes to the driver is a few MB
-    rows = base.select("_t").mapInArrow(run, "x binary, y binary").distinct()
+    rows = base.select("_t").mapInArrow(lean(run), "x binary, y binary").distinct()
     rows = rows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(stretches).toArrow()
     both = (rows["x"].to_pylist(), rows["y"].to_pylist())
     return train([(np.frombuffer(x, "<i2").reshape(-1, width), np.frombuffer(y, "<i2")) for x, y in zip(*both, strict=True)])
@@ -423,7 +423,7 @@ def scan(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "tex
             spans, n_tagged = tagged_spans(texts, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, out.field("spans").type), pa.array(n_tagged)], schema=out)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(lean(run), schema)
 
 
 def _beyond(part: bytes, matches: list[tuple[int, int]]) -> bool:
@@ -493,7 +493,7 @@ def redacted(docs: DataFrame, field: Field, text: str = "text", mark: str = "[SE
                     columns[out.get_field_index(extra)] = pa.array(sizes, out.field(extra).type)
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _replaced(text: str, spans: list[dict], mark: str) -> str:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STORE_BYTES, UnitStore, arrow_type, pieces, plain, written
+from .common import STORE_BYTES, UnitStore, arrow_type, lean, pieces, plain, written
 from .lattice import LITERAL_MARK, MARK, Vocabulary, Words, best_paths, spelled, windows
 
 CHUNK = 1 << 15
@@ -260,7 +260,7 @@ def _ordinary(docs: DataFrame, model: str, kind: str) -> DataFrame:
             ids, counts = codec.encode(texts, store)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids, counts)], schema=out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _chunks(docs: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
@@ -285,7 +285,7 @@ def _chunks(docs: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.slice(i, 1), rids.slice(i, 1), pa.array([c], pa.int32()), pa.array([end - at], pa.int32()), pa.array([part], pa.string())], schema=out)
                     at, c = end, c + 1
 
-    return docs.withColumn("rid", F.monotonically_increasing_id()).select("doc_id", "rid", "_t").mapInArrow(run, schema)
+    return docs.withColumn("rid", F.monotonically_increasing_id()).select("doc_id", "rid", "_t").mapInArrow(lean(run), schema)
 
 
 def _giants(docs: DataFrame, model: str, chunk: int, block: int, kind: str) -> DataFrame:
@@ -302,7 +302,7 @@ def _giants(docs: DataFrame, model: str, chunk: int, block: int, kind: str) -> D
             if rows:
                 yield pa.record_batch([batch.column(0), batch.column(1), _doubles(rows)], names=["rid", "c", "m"])
 
-    one = written(dealt.select("rid", "c", "size", "part").mapInArrow(matrices, "rid long, c int, m array<double>"), "matrices")
+    one = written(dealt.select("rid", "c", "size", "part").mapInArrow(lean(matrices), "rid long, c int, m array<double>"), "matrices")
     blocks = one.withColumn("b", (F.col("c") / block).cast("int"))
 
     def product(table: pa.Table) -> pa.Table:
@@ -332,7 +332,7 @@ def _giants(docs: DataFrame, model: str, chunk: int, block: int, kind: str) -> D
 
     schema = f"doc_id {kind}, rid long, c int, ids array<int>"
     traced = arrow_type(schema)
-    parts = chunks.join(inner, ["rid", "c"]).select("doc_id", "rid", "c", "size", "enter", "leave", "part").mapInArrow(trace, schema)
+    parts = chunks.join(inner, ["rid", "c"]).select("doc_id", "rid", "c", "size", "enter", "leave", "part").mapInArrow(lean(trace), schema)
     whole = parts.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("x"))
     return whole.select("doc_id", F.flatten("x.ids").alias("ids"))
 
@@ -377,4 +377,4 @@ def decode(rows: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids"
                     crcs.append(None if own is None else zlib.crc32(own.tobytes()))
                 yield pa.RecordBatch.from_arrays([some.column(0), column.cast(out.field("ids").type), pa.array(texts, pa.string()), pa.array(crcs, pa.int64())], schema=out)
 
-    return rows.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, schema)
+    return rows.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(lean(run), schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, pieces, written
+from .common import discard, lean, pieces, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             fps = np.array([fingerprint(x.as_buffer().to_pybytes(), shingle) for x in texts], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).mapInArrow(lean(run), f"doc_id {kind}, fp long")
 
 
 def key_masks(radius: int, k: int = 2) -> list[int]:
@@ -250,7 +250,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST, k: int = 2)
                 rest_k, rest_f = keys[cut:], fps[cut:]
         yield out(rest_k, rest_f)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "star") -> DataFrame:

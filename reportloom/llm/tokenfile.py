@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STORE_BYTES, UnitStore, arrow_type, pieces, scratch_path, written
+from .common import STORE_BYTES, UnitStore, arrow_type, lean, pieces, scratch_path, written
 
 LENGTH = 2048
 END = 2
@@ -223,7 +223,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
             index_sink.close()
             yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([name]), pa.array([at]), pa.array([n_docs])], schema=made)
 
-    return written(dealt.mapInArrow(run, schema), "manifest")
+    return written(dealt.mapInArrow(lean(run), schema), "manifest")
 
 
 class Shard:
@@ -286,7 +286,7 @@ def read_files(manifest: DataFrame, folder: str, id_type: str = "bigint") -> Dat
                 shard.close()
 
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return starts.select("shard", "name", "base").repartition(shards, "shard").mapInArrow(run, schema)
+    return starts.select("shard", "name", "base").repartition(shards, "shard").mapInArrow(lean(run), schema)
 
 
 def token_table(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = END, length: int = LENGTH) -> DataFrame:
