@@ -325,7 +325,7 @@ def test_encoder_equals_the_library(tokenizer_file, text, most):
 def test_pii(spark, docs, texts, empty, clashing):
     one = "Mail foo.bar@mail9.example.com, FOO.bar@mail9.example.com; +1 (689) 555-4072 or +1-689-555-4072, card 4111 1111 1111 1111, ip 53.180.13.146. Mrs. Anna Smith met Mr Jones; г-жа Петрова. v4.0."
     df = spark.createDataFrame([(1, one), (2, "again 53.180.13.146 and Mr Jones, 8.8.8.8"), (3, None), (4, ""), (5, "plain 3. 4.0 text")], "doc_id long, text string")
-    got = by_id(pii.pseudonymize(df))
+    got = by_id(pii.pseudonymize(df, "k"))
     text = got[1]["text"]
     assert not any(x in text for x in ("foo.bar", "689", "4111 1111", "53.180.13.146", "Smith", "Jones", "Петрова"))
     mails = re.findall(r"\S+@\S+\.com", text)
@@ -337,12 +337,13 @@ def test_pii(spark, docs, texts, empty, clashing):
     assert (sum(digits[::2]) + sum(d * 2 - 9 * (d > 4) for d in digits[1::2])) % 10 == 0  # still a valid number
     ip = re.search(r"ip (\d+\.\d+\.\d+\.\d+)\.", text)[1]
     assert got[2]["text"].startswith(f"again {ip} and Mr ") and all(int(x) < 256 for x in ip.split("."))
-    assert re.search(r"Mrs\. (\w+) \w+ met Mr", text)[1] in pii.GIVEN["f"] and re.search(r"г-жа (\w+)", text)[1] in pii.FAMILY_CYRILLIC["f"]
+    ends = lambda word, name, script: word.endswith(tuple(pii.ENDINGS[name][script]))
+    assert ends(re.search(r"Mrs\. (\w+) \w+ met Mr", text)[1], "given f", 0) and ends(re.search(r"г-жа (\w+)", text)[1], "family f", 1)
     assert text.endswith("v4.0.") and got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == "plain 3. 4.0 text"
     assert got[1]["n_email"] == got[1]["n_phone"] == 2 and got[2]["n_ip"] == 2
-    clean = by_id(pii.pseudonymize(docs))
+    clean = by_id(pii.pseudonymize(docs, "k"))
     assert all(clean[i]["text"] == t for i, t in enumerate(texts))
-    assert pii.pseudonymize(empty).count() == 0 and pii.pseudonymize(clashing).count() == 3
+    assert pii.pseudonymize(empty, "k").count() == 0 and pii.pseudonymize(clashing, "k").count() == 3
     other = by_id(pii.pseudonymize(df, secret="another"))
     assert other[1]["text"] != text
 
@@ -351,7 +352,7 @@ def test_full_and_short_names_share_a_family_name(spark):
     people = ["Mr John Smith", "Mr Smith", "Mrs. Anna Smith", "Mr Jack Smith", "Mr John Jones", "г-н Иван Петров", "г-н Петров"]
     crowd = [f"Mr {''.join(p).capitalize()} Smith" for p in itertools.product("bcdf", repeat=3)]  # more than the lists have
     df = spark.createDataFrame([(1, " , ".join(people)), (2, " , ".join(crowd)), (3, "Mr Smith")], "doc_id long, text string")
-    got = {i: r["text"].split(" , ") for i, r in by_id(pii.pseudonymize(df)).items()}
+    got = {i: r["text"].split(" , ") for i, r in by_id(pii.pseudonymize(df, "k")).items()}
     john, smith, anna, jack, jones, ivan, petrov = (x.split(" ") for x in got[1])
     assert john[-1] == smith[-1] == anna[-1] == jack[-1] != jones[-1] and ivan[-1] == petrov[-1]
     assert (smith[0], anna[0]) == ("Mr", "Mrs.") and len(smith) == 2 and len(john) == len(ivan) == 3
@@ -360,19 +361,66 @@ def test_full_and_short_names_share_a_family_name(spark):
     assert not {w for i in got for x in got[i] for w in x.split(" ")[1:]} & {w for x in people + crowd for w in x.split(" ")[1:]}
 
 
+def iban(country, account):
+    number = int("".join(str(int(c, 36)) for c in account + country + "00"))
+    return f"{country}{98 - number % 97:02d}{account}"
+
+
 def test_surrogates_stay_distinct(spark):
-    names = [f"Mr {''.join(p).capitalize()}" for p in itertools.product("abcdefgh", repeat=2)]
+    names = [f"Mr {''.join(p).capitalize()}" for p in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=2)]  # all two-letter names
     ips = [f"10.0.{a}.{b}" for a in range(4) for b in range(40)]
     found = pii.entities(spark.createDataFrame([(" , ".join(names + ips),)], "t string"), "t")
-    table = pii.dictionary(found).collect()
+    table = pii.dictionary(found, "k").collect()
     assert len(table) == len(names) + len(ips) == len({(r["kind"], r["made"]) for r in table})
     assert not {(r["kind"], r["made"]) for r in table} & {(r["kind"], r["key"]) for r in table}
-    assert any(r["tweak"] > 0 for r in table)  # more names than the list has
-    text = by_id(pii.pseudonymize(spark.createDataFrame([(1, " , ".join(names)), (2, names[5])], "doc_id long, text string")))
+    text = by_id(pii.pseudonymize(spark.createDataFrame([(1, " , ".join(names)), (2, names[5])], "doc_id long, text string"), "k"))
     made = text[1]["text"].split(" , ")
     assert len(set(made)) == len(names) and text[2]["text"] == made[5]
 
 
+def test_many_names_are_names(spark):
+    """10,000 family names: distinct, of syllables and an ending, and every mention as the dictionary has it."""
+    names = sorted({"".join(p).capitalize() for p in itertools.product("kstmr", "aeo", "lnvdpg", "iu", "bcfhjqwxz", "aeiouy")})[:10_000]
+    assert len(names) > 9000
+    docs = spark.createDataFrame([(k, " , ".join(f"Herr {n}" for n in names[k::50])) for k in range(50)], "doc_id long, text string")
+    table = {r["key"]: r for r in pii.dictionary(pii.entities(docs, "text"), "k").collect()}
+    assert len({r["made"] for r in table.values()}) == len(names) and any(r["tweak"] > 0 for r in table.values())
+    syllable = f"(?:[{''.join(pii.ONSETS[0])}][aeiou])"
+    shape = re.compile(f"x {syllable}{{2,}}(?:{'|'.join(pii.ENDINGS['family m'][0])})", re.I)
+    assert all(shape.fullmatch(r["made"]) and r["made"][2].isupper() for r in table.values())
+    got = by_id(pii.pseudonymize(docs, "k"))
+    assert all(got[k]["text"] == " , ".join(f"Herr {table[f'x {n}']['made'][2:]}" for n in names[k::50]) for k in range(50))
+
+
+def test_full_formats_end(spark):
+    """Where every number of a format is taken, no surrogate is free of entities; they stay distinct."""
+    found = spark.createDataFrame([("ssn", f"{a}") for a in range(100, 1000)] + [("phone", "5"), ("family", "x Ab")], "kind string, key string")
+    make = lambda key, kind, secret, tweak: F.when(kind == "ssn", pii.permuted(key, secret, tweak)).otherwise(pii.surrogate(key, kind, secret, tweak))
+    full = spark.createDataFrame([("ssn", f"{a:03d}") for a in range(1000)], "kind string, key string")
+    table = pii.dictionary(full, "k", rounds=3, make=make).collect()
+    assert len({r["made"] for r in table}) == 1000 and {r["tweak"] for r in table} == {3}
+    table = pii.dictionary(found, "k", rounds=3, make=make).collect()
+    assert len({(r["kind"], r["made"]) for r in table}) == len(table) == 902
+    words = [f"x {a}{b}" for a in "ABC" for b in "abcdefgh"]
+    last = spark.createDataFrame([("family", w) for w in words], "kind string, key string").select(pii.surrogate(F.col("key"), F.col("kind"), "k", F.lit(pii.ROUNDS)).alias("m"))
+    assert len({r["m"] for r in last.collect()}) == len(words)
+
+
+def test_bank_accounts_and_greek_names(spark):
+    good = [iban("DE", f"3704004405320130{k:02d}") for k in range(30)] + [iban("GB", "WEST12345698765432")]
+    wrong = [x[:2] + f"{k:02d}" + x[4:] for k in range(0, 100, 7) for x in good[:1] if f"{k:02d}" != x[2:4]]
+    text = " , ".join([*good, *wrong, " ".join([good[0][k : k + 4] for k in range(0, len(good[0]), 4)])])
+    rows = [(1, text), (2, "Κύριος Νίκος Παππάς και κος Παππάς, Κυρία Παππά; γεια"), (None, "Mr Aa Bb"), (None, "Mr Bb")]
+    got = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    new = got[0].split(" , ")
+    right = lambda x: iban(x[:2], x[4:]) == x
+    assert all(map(right, new[: len(good)])) and not any(map(right, new[len(good) : -1])) and len(set(new)) == len(new)
+    assert new[-1].replace(" ", "") == new[0] and [x[:2] for x in new] == [x[:2] for x in text.split(" , ")]
+    greek = re.fullmatch(r"Κύριος (\w+) (\w+) και κος (\w+), Κυρία (\w+); γεια", got[1])
+    assert greek and greek[2] == greek[3] != greek[4] and all("Α" <= c <= "ω" for x in greek.groups() for c in x)
+    assert got[2].split(" ")[-1] == got[3].split(" ")[-1] not in ("Bb", "Aa")  # null ids are rows like others
+
+
 # 8
 
 
