@@ -73,6 +73,11 @@ def model_of(path: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(base, r"results_(.+?)_prompt\d+", 1), F.lit("")), F.nullif(plain, F.lit("")), F.lit(UNKNOWN))
 
 
+def table_file(path: Column) -> Column:
+    """A table's path: without the name of a part file, where the table is a folder named as a file."""
+    return F.regexp_replace(path, r"(\.[cC][sS][vV])/[^/]*$", "$1")
+
+
 def id_of_file(name: Column) -> Column:
     """A report's id: its file name without ``.json``, then ``.legacy``, then ``_report``, each once."""
     return reduce(lambda c, tail: F.regexp_replace(c, tail, ""), [r"\.json$", r"\.legacy$", r"_report$"], name)

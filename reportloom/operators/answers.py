@@ -17,22 +17,44 @@ NO_LESION = "No lesions mentioned"
 
 @dataclass(frozen=True)
 class Prompt:
-    """A prompt's fields, the other names that answers use for them, and its text (a deployment gives its own)."""
+    """A prompt's fields, the other names that answers use for them, and its text (by default one that asks for the fields)."""
 
     fields: tuple[str, ...]
     aliases: dict[str, str] = field(default_factory=dict)
-    text: str = "List each lesion of the report on a line: lesion n: type = _; certainty = _; size = _; structure = _; lateralization = _;"
+    text: str = ""
+
+    @property
+    def asked(self) -> str:
+        return self.text or f"List each lesion of the report on a line: lesion n: {' '.join(f'{f.replace("_", " ")} = _;' for f in self.fields)}"
 
 
 _BASE = ("type", "certainty", "size", "structure", "lateralization")
-# The fields of each prompt, and names that stand for them.
+_TEMPLATE = "lesion n: type = _; certainty = _; size = _; structure = _; lateralization = _;"
+# The fields of each prompt, and names that stand for them. The texts are our own.
 PROMPTS = {
     1: Prompt((*_BASE, "ventricle_details", "severity_phe", "artifacts"), {"ventricle details": "ventricle_details", "ventricle_detail": "ventricle_details", "severity phe": "severity_phe"}),
     2: Prompt((*_BASE, "artifacts")),
     3: Prompt(_BASE),
-    4: Prompt(_BASE),
-    5: Prompt(_BASE),
+    4: Prompt(_BASE, text=f"Read the report twice. First find every hemorrhage (ICH, IVH, SAH, SDH, EDH) and edema (PHE) that it states, then write one line for each: {_TEMPLATE} Write U where the report doesn't say, and 'No lesions mentioned' where there is none."),
+    5: Prompt(_BASE, text=f"Write one line for each lesion of the report, as in: lesion 1: type = ICH; certainty = certain; size = 2 x 3 cm; structure = frontal; lateralization = left; - the form is {_TEMPLATE}"),
 }
+
+
+def load_prompts(path: str) -> dict[int, Prompt]:
+    """A deployment's prompts from a JSON file: {id: {"text": ..., "fields": [...], "aliases": {...}}}. What a known id leaves
+    out is as here; a new id needs fields."""
+    import json
+    from pathlib import Path
+
+    out = dict(PROMPTS)
+    for key, given in json.loads(Path(path).read_text(encoding="utf-8")).items():
+        base = PROMPTS.get(int(key))
+        if base is None and "fields" not in given:
+            raise ValueError(f"prompt {key} has no fields")
+        out[int(key)] = Prompt(tuple(given.get("fields") or base.fields), given.get("aliases", base.aliases if base else {}), given.get("text", base.text if base else ""))
+    return out
+
+
 SYSTEM = "You read radiology reports and answer in the given template only."
 
 
@@ -44,7 +66,7 @@ def prompt_of(prompt_id: int, prompts: dict[int, Prompt] = PROMPTS) -> Prompt:
 
 def messages(report: Column, prompt_id: int, prompts: dict[int, Prompt] = PROMPTS) -> Column:
     """array<struct<role, content>> for a chat model."""
-    text = prompt_of(prompt_id, prompts).text
+    text = prompt_of(prompt_id, prompts).asked
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return F.array(turn("system", F.lit(SYSTEM)), turn("user", F.concat(F.lit(text + "\n\nReport:\n"), report)))
 
@@ -82,10 +104,12 @@ class HttpProvider:
     base_url: str
     timeout: float = 6000
 
+    def model(self) -> str:
+        self._model = getattr(self, "_model", None) or self._get("/models")["data"][0]["id"]
+        return self._model
+
     def __call__(self, conversation: list[dict[str, str]]) -> str:
-        model = getattr(self, "_model", None) or self._get("/models")["data"][0]["id"]
-        self._model = model
-        body = {"model": model, "messages": conversation, "temperature": 0, "top_p": 1}
+        body = {"model": self.model(), "messages": conversation, "temperature": 0, "top_p": 1}
         return self._get("/chat/completions", body)["choices"][0]["message"]["content"]
 
     def _get(self, path: str, body: dict | None = None) -> dict:

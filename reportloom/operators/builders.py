@@ -53,10 +53,10 @@ def common_keys(documents: DataFrame) -> DataFrame:
 
 
 def build_booleans(documents: DataFrame) -> DataFrame:
-    """ID and a column for each common key, in order of name; only a JSON true is true. The keys are a table's header, so
-    they come to the driver."""
+    """ID and a column for each common key, in order of name; only a JSON true is true, and a report without a checklist
+    has none. The keys are a table's header, so they come to the driver."""
     keys = sorted(r["key"] for r in common_keys(documents).collect())
-    rows = _checklists(with_dictation(documents)).filter(F.col("list").isNotNull())
+    rows = _checklists(with_dictation(documents))
     is_true = lambda k: F.coalesce((F.schema_of_variant(F.try_element_at("list", F.lit(k))) == "BOOLEAN") & F.try_variant_get(F.try_element_at("list", F.lit(k)), "$", "boolean"), F.lit(False))
     return rows.select("ID", *(is_true(k).alias(k) for k in keys))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import UNKNOWN
+from ..functions.exprs import strip as blanks_off
 from ..functions.rules import map_ich_structure, map_ivh_structure, map_phe_severity
 
 TYPES = ["ICH", "IVH", "PHE"]
@@ -25,7 +26,7 @@ def keep_types(rows: DataFrame, types: list[str] = TYPES) -> DataFrame:
 def of_type(name: str, strip: bool = True) -> F.Column:
     """Whether a row is of a type, whatever the case (and, with ``strip``, blanks around it)."""
     kind = F.upper(F.col("type"))
-    return F.coalesce((F.trim(kind) if strip else kind) == name, F.lit(False))
+    return F.coalesce((blanks_off(kind) if strip else kind) == name, F.lit(False))
 
 
 def _mapped(rows: DataFrame, name: str, target: str, needs: tuple[str, ...], value) -> DataFrame:
@@ -54,11 +55,13 @@ def map_phe_size(rows: DataFrame) -> DataFrame:
 def group_by_lesion_type(rows: DataFrame, order: list[str], by: tuple[str, ...] = ("ID", "type")) -> DataFrame:
     """One row a group: the other columns' values joined with '/' in the told order (unknown for none), and the count.
 
-    ``order`` columns are not aggregated; null keys are a group. Lineage columns belong in ``by`` when files are together.
+    ``order`` columns are not aggregated; texts among them go by the number they spell ("2" before "10"), then as texts;
+    null keys are a group. Lineage columns belong in ``by`` when files are together.
     """
     rows = rows.drop("certainty") if "Lesion Index" in order else rows.drop("Lesion Index", "certainty")
     values = [c for c in rows.columns if c not in by and c not in order]
-    told = ", ".join(f"`{c}`" for c in order)
+    kinds = dict(rows.dtypes)
+    told = ", ".join(f"try_cast(`{c}` AS DOUBLE) NULLS LAST, `{c}`" if kinds[c] == "string" else f"`{c}`" for c in order)
     joined = [F.coalesce(F.expr(f"listagg(cast(`{c}` AS STRING), '/') WITHIN GROUP (ORDER BY {told})"), F.lit(UNKNOWN)).alias(c) for c in values]
     return rows.groupBy(*(F.col(f"`{c}`") for c in by)).agg(*joined, F.count("*").alias("count"))
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sizes import TOLERANCE_MM
 from ..operators import scoring as S
-from ..operators.summary import grid, long_metrics, summary_rows, wide
+from ..operators.summary import NOT_AVAILABLE, SUMMARY_METRICS, long_metrics
 from ..sources.paths import metric_paths
-from ..sources.writers import error_report, write_small_csv, write_text
+from ..sources.writers import error_report, write_rows, write_text
 
 BY = ("model", "prompt_id")
 
@@ -23,6 +23,7 @@ class Options:
     all_modes: bool = True
     tolerance_mm: float = TOLERANCE_MM
     order: tuple[str, ...] = ()
+    metrics: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -36,9 +37,12 @@ class Scored:
     title: str
 
 
-def score_all(gt: DataFrame, formatted: DataFrame, options: Options = Options(), by: tuple[str, ...] = BY) -> list[Scored]:
-    """Every metric whose columns the ground truth has."""
+def score_all(gt: DataFrame, formatted: DataFrame, options: Options = Options(), by: tuple[str, ...] = BY, names: DataFrame | None = None) -> list[Scored]:
+    """Every metric (of ``options.metrics``, if told) whose columns the ground truth has. ``names`` are models and prompts
+    that are scored even where none of their rows is left."""
     out: list[Scored] = []
+    if names is not None:
+        formatted = formatted.unionByName(names.select(*by).distinct(), allowMissingColumns=True)
     ign, order = options.ignore_all_false, options.order
     for kind, truth, strip in (("IVH", "ivh_presence", False), ("PHE", "phe_presence", True)):
         if truth in gt.columns:
@@ -60,7 +64,7 @@ def score_all(gt: DataFrame, formatted: DataFrame, options: Options = Options(),
         for mode in modes:
             table = S.strict_metrics(rows, by) if mode == "strict" else S.flexible_metrics(rows, by, jaccard=False)
             out.append(Scored("ich_size", mode, table, S.error_rows(rows, by, mode == "flexible"), f"ICH size errors ({mode})"))
-    return out
+    return [x for x in out if not options.metrics or x.metric in options.metrics]
 
 
 def summarize(scored: list[Scored]) -> DataFrame:
@@ -68,20 +72,33 @@ def summarize(scored: list[Scored]) -> DataFrame:
     return reduce(DataFrame.unionByName, (long_metrics(s.table, s.metric, s.mode) for s in scored))
 
 
-def write_all(scored: list[Scored], root: str, ignore_all_false: bool) -> None:
-    """A metrics file and an error report for each model, prompt, metric and mode, and a summary a prompt."""
+def write_all(scored: list[Scored], root: str, ignore_all_false: bool, order: DataFrame | None = None) -> None:
+    """A metrics file and an error report for each model, prompt, metric and mode, and a summary a prompt. Two jobs a
+    metric: its table, a row a model and prompt, and its errors, which come sorted, a partition at a time. ``order`` is
+    (ID, at): errors stand in the order of the ground truth, IDs that it doesn't have last."""
+    values: list[tuple] = []
     for s in scored:
-        for row in s.table.collect():  # a row a model and prompt
-            table_path, text_path = metric_paths(root, row["prompt_id"], row["model"], s.metric, s.mode, ignore_all_false)
-            mine = (F.col("model") == row["model"]) & (F.col("prompt_id") == row["prompt_id"])
-            write_small_csv(s.table.filter(mine).drop(*BY), table_path)
-            errors = s.errors.filter(mine).drop(*BY)
-            names = [r[0] for r in errors.select("section").distinct().orderBy("section").collect()]
-            columns = [c for c in errors.columns if c != "section"]
-            sections = [(f"Errors - {n}", "\t".join(columns), errors.filter(F.col("section") == n).select(*columns).orderBy("ID"), True) for n in names]
-            write_text(text_path, error_report(s.title, {k: row[k] for k in s.table.columns if k not in BY}, sections))
-    cells = summarize(scored).cache()
-    for (prompt,) in cells.select("prompt_id").distinct().collect():
-        own = cells.filter(F.col("prompt_id") == prompt)
-        write_small_csv(wide(grid(summary_rows(cells.sparkSession), own)), f"{root}/prompt{prompt}/summary_metrics_prompt{prompt}.csv")
-    cells.unpersist()
+        table = {(r["model"], r["prompt_id"]): r for r in s.table.collect()}
+        columns = [c for c in s.errors.columns if c not in (*BY, "section")]
+        errors = s.errors if order is None else s.errors.join(order, "ID", "left")
+        place = [] if order is None else [F.col("at").asc_nulls_last()]
+        rows = errors.orderBy(*BY, "section", *place, "ID").select(*BY, "section", *columns).toLocalIterator()
+        found: dict[tuple, dict[str, list]] = {}
+        for row in rows:
+            found.setdefault((row["model"], row["prompt_id"]), {}).setdefault(row["section"], []).append(row[len(BY) + 1 :])
+        for (model, prompt), row in table.items():
+            table_path, text_path = metric_paths(root, prompt, model, s.metric, s.mode, ignore_all_false)
+            own = {k: row[k] for k in s.table.columns if k not in BY}
+            write_rows(table_path, list(own), [list(own.values())])
+            sections = [(f"Errors - {n}", "\t".join(columns), lines, True) for n, lines in sorted(found.get((model, prompt), {}).items())]
+            write_text(text_path, error_report(s.title, own, sections))
+            values += [(name, model, prompt, str(own[column])) for name, folder, mode, column in SUMMARY_METRICS if (folder, mode) == (s.metric, s.mode) and own.get(column) is not None]
+    for prompt in sorted({v[2] for v in values}):
+        models = sorted({v[1] for v in values if v[2] == prompt})
+        cells = {(v[0], v[1]): v[3] for v in values if v[2] == prompt}
+        write_rows(f"{root}/prompt{prompt}/summary_metrics_prompt{prompt}.csv", ["metric", *models], [[m[0], *(cells.get((m[0], x), NOT_AVAILABLE) for x in models)] for m in SUMMARY_METRICS])
+
+
+def ground_truth_order(gt: DataFrame) -> DataFrame:
+    """(ID, at) by the rows' place in their file."""
+    return gt.select(F.col("ID").cast("string").alias("ID"), F.monotonically_increasing_id().alias("at")).groupBy("ID").agg(F.min("at").alias("at"))

@@ -22,16 +22,25 @@ def metric_paths(root: str, prompt: str, model: str, metric: str, mode: str = ""
     return f"{folder}/metrics_{name}.csv", f"{folder}/errors_{name}.txt"
 
 
+#: What each step adds to a results table's name; the spelling is part of the convention.
+POSTPROCESSED, FORMATTED = "_postprocessed", "_formated"
+
+
+def results_path(root: str, prompt: str, model: str, kind: str = "") -> str:
+    """Where a model's results table goes; a name that readers take prompt and model from (a slash is no part of a name)."""
+    model = model.replace("/", "_")
+    return f"{root}/prompt{prompt}/results_{model}_prompt{prompt}{kind}.csv"
+
+
 def _renamed(path: str, root: str, kind: str) -> str:
     stem, end = posixpath.splitext(posixpath.basename(path))
     return f"{root}/prompt{prompt_id(path, trailing=False)}/{stem}{kind}{end or '.csv'}"
 
 
 def postprocessed_path(path: str, root: str) -> str:
-    return _renamed(path, root, "_postprocessed")
+    return _renamed(path, root, POSTPROCESSED)
 
 
 def formatted_path(path: str, root: str) -> str:
-    """The spelling of the suffix is part of the convention."""
     stem, end = posixpath.splitext(path)
-    return _renamed(stem.removesuffix("_postprocessed") + end, root, "_formated")
+    return _renamed(stem.removesuffix(POSTPROCESSED) + end, root, FORMATTED)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import id_of_file, model_of, na_normalize, prompt_id_of
+from ..functions.exprs import id_of_file, model_of, na_normalize, prompt_id_of, table_file
 
 
 def read_report_json(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,26 +24,59 @@ def count_skipped(spark: SparkSession, folder: str) -> int:
 
 
 def _json_texts(spark: SparkSession, folder: str) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
-    return reader.text(folder).select(F.col("_metadata.file_name").alias("file"), "value")
+    # as an argument: the reader's own default would undo the option
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
+    return files.select(F.col("_metadata.file_name").alias("file"), "value")
 
 
 def _is_object(column: str) -> F.Column:
     return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(column)), F.lit("OBJECT")), F.lit(False))
 
 
+def table_paths(spark: SparkSession, path: str) -> list[str]:
+    """A table's own path, or the tables (``*.csv``, files or folders of part files) of a folder, in order; those of its
+    prompt folders where it has none itself. A folder without any is an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if path.rstrip("/").lower().endswith(".csv") or not store.getFileStatus(where).isDirectory():
+        return [path]
+    inside = sorted((x.getPath().toString(), x.getPath().getName(), x.isDirectory()) for x in store.listStatus(where))
+    if any(name.startswith(("part-", "prompt_id=")) for _, name, _ in inside):
+        return [path]  # the part files, or partitions, of one table
+    tables = [full for full, name, _ in inside if name.lower().endswith(".csv")]
+    for folder in () if tables else (full for full, name, is_folder in inside if is_folder and re.fullmatch(r"prompt\w+", name)):
+        tables += table_paths(spark, folder)
+    if not tables:
+        raise ValueError(f"no CSV files in {path}")
+    return tables
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A CSV table (or a folder of them) as strings, with quoted line ends, missing-value tokens as null, and lineage.
 
-    Without a schema the columns are those of the header, all strings: ids keep their zeros. Adds file, prompt_id and model;
-    these, and any row order, are what later stages group by, so all files of a folder are one job.
+    Without a schema the columns are those of the header, all strings: ids keep their zeros; tables with other columns are
+    brought together by name. Adds file, and prompt_id and model by the path where the table has no such columns; these,
+    and any row order, are what later stages group by, so all files of a folder are one job.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("pathGlobFilter", "*.[cC][sS][vV]")
-    if schema is not None:
-        reader = reader.schema(schema)
-    raw = reader.option("inferSchema", False).csv(path)
-    file = F.col("_metadata.file_path")
-    return na_normalize(raw).withColumns({"file": file, "prompt_id": prompt_id_of(file), "model": model_of(file)})
+
+    def one(paths: list[str]) -> DataFrame:
+        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("pathGlobFilter", "*.[cC][sS][vV]")
+        if schema is not None:
+            reader = reader.schema(schema)
+        raw = reader.option("inferSchema", False).csv(paths)
+        file = table_file(F.col("_metadata.file_path"))
+        found = {"file": file, "prompt_id": prompt_id_of(file), "model": model_of(file)}
+        return na_normalize(raw).withColumns({k: v for k, v in found.items() if k == "file" or k not in raw.columns})
+
+    # files are read by place of column, so only those of one header are read together
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for p in table_paths(spark, path):
+        headers.setdefault(() if schema is not None else _header(spark, p), []).append(p)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, headers.values()))
+
+
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    return tuple(spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("pathGlobFilter", "*.[cC][sS][vV]").csv(path).columns)
 
 
 def load_reports(spark: SparkSession, path: str) -> DataFrame:

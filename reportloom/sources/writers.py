@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import require
+from .paths import results_path
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
@@ -25,23 +27,51 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", **partition:
     writer.csv(path)
 
 
+def write_results(df: DataFrame, root: str, kind: str, mode: str = "overwrite") -> list[str]:
+    """A table a prompt and model, each under the name of the convention: one job writes all, then folders are renamed."""
+    spark = df.sparkSession
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    write_table(df.withColumns({f"_{c}": F.col(c) for c in ("prompt_id", "model")}), staged, by="_prompt_id,_model")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    unescaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    out = []
+    try:
+        for prompt in (x.getPath() for x in store.listStatus(path(staged)) if x.isDirectory()):
+            for model in (x.getPath() for x in store.listStatus(prompt)):
+                names = [unescaped(x.getName().partition("=")[2]) for x in (prompt, model)]
+                out.append(results_path(root, *names, kind))
+                target = path(out[-1])
+                if mode == "overwrite":
+                    store.delete(target, True)
+                store.mkdirs(target)
+                for part in store.listStatus(model):
+                    store.rename(part.getPath(), path(target, part.getPath().getName()))
+    finally:
+        store.delete(path(staged), True)
+    return sorted(out)
+
+
 def only_new(rows: DataFrame, before: DataFrame, key: str = "ID") -> DataFrame:
     """Rows whose key isn't there yet, for runs that are taken up again."""
     return require(rows, key).join(before.select(key).distinct(), key, "left_anti")
 
 
-def write_small_csv(df: DataFrame, path: str) -> None:
+def write_rows(path: str, header: list[str], rows: list[list]) -> None:
     """A metrics or summary table of a few rows as one CSV file of a local or mounted folder."""
+    import csv
+
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    csv_ready(df).toPandas().to_csv(path, index=False)
+    with open(path, "w", encoding="utf-8", newline="") as file:
+        csv.writer(file, lineterminator="\n").writerows([header, *rows])
 
 
-def error_report(title: str, counters: dict[str, object], sections: Iterable[tuple[str, str, DataFrame, bool]]) -> str:
+def error_report(title: str, counters: dict[str, object], sections: Iterable[tuple[str, str, Iterable, bool]]) -> str:
     """The text of an error report: a title, a line of counters, then (heading, column line, rows, optional) sections in
-    the rows' order; optional ones are left out when empty. What is collected are the errors alone."""
+    the rows' order; optional ones are left out when empty."""
     lines = [title, " ".join(f"{k}={v}" for k, v in counters.items())]
     for heading, columns, rows, optional in sections:
-        found = rows.collect()
+        found = list(rows)
         if optional and not found:
             continue
         lines += ["", heading, *([columns] if columns else []), *("\t".join("" if v is None else str(v) for v in r) for r in found)]

@@ -31,8 +31,8 @@ def reports(tmp_path_factory):
         "c8.json": {"dictation": "e", "measurements": [measure(1, points=[(1, 2, 3)]), measure(2, points=[(1, "q", 3), (4, 5, 6)])]},
         "c9.json": {"dictation": "f", "measurements": [measure(1), 7, measure(2, unit=5)]},
     }
-    for name, content in files.items():
-        (folder / name).write_text(json.dumps(content))
+    for k, (name, content) in enumerate(files.items()):
+        (folder / name).write_text(json.dumps(content, indent=2 if k % 2 else None))
     (folder / "c5.json").write_text("{oops")
     (folder / "c7.json").write_text("[1]")
     (folder / "note.txt").write_text("{}")
@@ -48,7 +48,7 @@ def test_report_json(spark, reports):
     assert readers.count_skipped(spark, reports) == 2
     assert rows(B.build_reports(docs)) == [("c1", "a"), ("c3", "b"), ("c4", "c"), ("c6", "d"), ("c8", "e"), ("c9", "f")]
     booleans = B.build_booleans(docs)  # c2 has no dictation but narrows the keys
-    assert booleans.columns == ["ID", "loc_frontal"] and rows(booleans) == [("c1", True), ("c3", False), ("c4", False)]
+    assert booleans.columns == ["ID", "loc_frontal"] and rows(booleans) == [("c1", True), ("c3", False), ("c4", False), ("c6", False), ("c8", False), ("c9", False)]
     got = rows(B.build_measurements(docs), "ID", "measurement_index")
     assert [(r[0], r[1], r[8], r[9]) for r in got] == [
         ("c1", "1", 43.0, "mm"), ("c1", "2", 20.0, "mm"), ("c3", "no_measure", None, None), ("c6", "no_measure", None, None),
@@ -231,5 +231,5 @@ def test_path_conventions():
 
 def test_error_report_leaves_out_empty_options(spark):
     df = spark.createDataFrame([("a", "x")], "ID string, v string")
-    text = writers.error_report("T", {"n": 1}, [("E", "ID\tv", df, False), ("W", "ID", df.filter("false"), True)])
+    text = writers.error_report("T", {"n": 1}, [("E", "ID\tv", df.collect(), False), ("W", "ID", [], True)])
     assert text == "T\nn=1\n\nE\nID\tv\na\tx\n"
