@@ -40,10 +40,9 @@ SELECT tp, fp, fn, tn, se AS sensitivity, CASE WHEN tn + fp = 0 THEN 0.0 ELSE tn
 FROM r"""
 
 _SETS = """
-WITH e AS (SELECT user_id, event_type, floor(epoch_us(ts) / 86400000000)::BIGINT AS d FROM events),
-z AS (SELECT user_id, event_type, d - (SELECT min(d) FROM e) AS day FROM e),
-g AS (SELECT user_id AS id, list_sort(list(DISTINCT lower(event_type))) AS gt FROM z WHERE day < 4 GROUP BY 1),
-q AS (SELECT user_id AS id, list_sort(list(DISTINCT lower(event_type))) AS pred FROM z WHERE day = 4 GROUP BY 1),
+WITH z AS (SELECT user_id, lower(event_type) || (floor(epoch_us(ts) / 86400000000)::BIGINT % 2) AS label, floor(epoch_us(ts) / 3600000000)::BIGINT % 24 < 12 AS morning FROM events),
+g AS (SELECT user_id AS id, list_sort(list(DISTINCT label)) AS gt FROM z WHERE morning GROUP BY 1),
+q AS (SELECT user_id AS id, list_sort(list(DISTINCT label)) AS pred FROM z WHERE NOT morning GROUP BY 1),
 x AS (SELECT id, gt, pred, coalesce(gt = pred, false) AS correct, len(list_intersect(gt, pred)) AS b,
              list_sort(list_filter(gt, lambda v: NOT list_contains(pred, v))) AS missing FROM g LEFT JOIN q USING (id)),
 s AS (SELECT *, CASE WHEN pred IS NOT NULL THEN b::DOUBLE / len(gt) END AS coverage, b::DOUBLE / len(pred) AS prec, b::DOUBLE / (len(gt) + len(pred) - b) AS jac FROM x)
@@ -62,6 +61,16 @@ f AS (SELECT g.id, g.gt, m.pred, m.missing, m.rest, coalesce(len(m.missing) = 0
       FROM g LEFT JOIN (SELECT * FROM m WHERE i = len(gt) + 1) m USING (id))
 """
 
+_FLAGS = """
+WITH a AS (SELECT p_partkey AS k, p_size > 40 AS f, p_partkey % 4 IN (0, 2) AS t, p_partkey % 6 <> 0 AS v3, p_partkey % 4 = 0 AS lat, p_partkey % 9 = 0 AS inone, p_partkey % 8 = 0 AS pnone, p_partkey % 3 = 0 AS mild, p_partkey % 16 = 0 AS sev FROM part),
+f AS (
+SELECT k AS "ID", NOT (f OR t OR v3 OR lat OR inone OR pnone OR mild OR sev) AS all_booleans_false, f OR t AS ich_presence, NOT inone AND (v3 OR lat) AS ivh_presence, NOT pnone AND (mild OR sev) AS phe_presence,
+       nullif(concat_ws('/', CASE WHEN f THEN 'frontal' END, CASE WHEN t THEN 'temporal' END), '') AS ich_localisation,
+       nullif(concat_ws('/', CASE WHEN v3 THEN 'third' END, CASE WHEN lat THEN 'lateral' END), '') AS ivh_location,
+       nullif(concat_ws('/', CASE WHEN mild THEN 'mild' END, CASE WHEN sev THEN 'severe' END), '') AS phe_intensity
+FROM a)
+"""
+
 _REPORTS = f"""
 WITH k AS (SELECT p_partkey AS k, p_size, p_partkey::VARCHAR || {pick(P.FILE_TAILS, 'p_partkey')} AS f FROM part WHERE p_partkey % 13 <> 0),
 r AS (SELECT *, k::VARCHAR || CASE WHEN k % 4 = 3 THEN '_report' ELSE '' END AS "ID" FROM k)
@@ -89,7 +98,7 @@ SELECT o_custkey AS "ID", o_orderstatus AS type, coalesce(string_agg(nullif(o_or
 FROM orders GROUP BY 1, 2""",
     "type_filter": f"""
 WITH t AS (SELECT {pick(P.TYPE_NAMES, 'p_partkey')} AS type FROM part)
-SELECT type, count(*) AS n, (SELECT count(*) FROM t WHERE upper(type) = 'ICH') AS n_upper, (SELECT count(*) FROM t WHERE trim(upper(type)) = 'ICH') AS n_stripped
+SELECT type, count(*) AS n, (SELECT count(*) FROM t WHERE upper(type) = 'ICH') AS n_upper, (SELECT count(*) FROM t WHERE trim(upper(type), ' ' || chr(9) || chr(160)) = 'ICH') AS n_stripped
 FROM t WHERE type IN ('ICH', 'IVH', 'PHE') GROUP BY type""",
     "keyword_map": f"SELECT doc_id, {mapped('text', 'lower(text)', P.SYLLABLES)} AS mapped FROM documents",
     "ich_structure_map": f"""
@@ -104,7 +113,7 @@ SELECT p_partkey, string_agg(v, '/' ORDER BY i) AS structure FROM e GROUP BY p_p
     "phe_severity_map": f"""
 SELECT p_partkey, {mapped('s', 'lower(strip_accents(s))', _PHE)} AS size FROM (SELECT p_partkey, {pick(P.PHE_PHRASES, 'p_partkey')} AS s FROM part)""",
     "accent_fold_map": f"""
-SELECT doc_id, {mapped('text', 'lower(strip_accents(text))', P.FOLDED_SYLLABLES)} AS mapped, md5(lower(strip_accents(text))) AS folded_md5 FROM documents WHERE lang <> 'en'""",
+SELECT doc_id, {mapped('text', 'lower(strip_accents(text))', P.FOLDED_SYLLABLES)} AS mapped, md5(lower(strip_accents(text))) AS folded_md5 FROM documents""",
     "format_all": f"""
 WITH a AS (SELECT p_partkey // 5 AS id, p_partkey AS k, {pick(P.TYPE_NAMES, 'p_partkey')} AS type, {pick(P.ICH_PHRASES, 'p_partkey')} AS s, {pick(P.SIDES, 'p_partkey')} AS l, {pick(P.PHE_PHRASES, 'p_partkey')} AS z FROM part),
 p AS (SELECT id, k, type, s, l, z, i, trim(string_split(s, '/')[i]) AS part, string_split(l, '/') AS sides FROM a, unnest(range(1, len(string_split(s, '/')) + 1)) AS u(i) WHERE type = 'IVH'),
@@ -134,7 +143,7 @@ SELECT p_partkey, coalesce(string_agg(v, '/' ORDER BY i), '') AS sizes FROM c GR
     "number_extract": "SELECT doc_id, len(n) AS n, array_to_string(n, ' ') AS numbers FROM (SELECT doc_id, regexp_extract_all(text, '\\d+(?:\\.\\d+)?') AS n FROM documents)",
     "tolerance_greedy_match": _SIZES + """
 SELECT id::VARCHAR AS "ID", array_to_string(missing::INTEGER[], '/') AS missing, array_to_string(rest::INTEGER[], '/') AS extra, correct, round(hits::DOUBLE / len(gt), 9) AS coverage, round(hits::DOUBLE / len(pred), 9) AS "precision"
-FROM f WHERE pred IS NOT NULL""",
+FROM f""",
     "size_strict": _SIZES + """
 SELECT count(*) AS total, count(*) FILTER (WHERE correct) AS correct, count(*) FILTER (WHERE pred IS NULL) AS no_detection, count(*) FILTER (WHERE correct)::DOUBLE / count(*)::DOUBLE AS accuracy FROM f""",
     "size_flexible": _SIZES + """
@@ -148,22 +157,20 @@ WITH a AS (SELECT l_orderkey AS id, list(l_quantity * CASE WHEN l_linestatus = '
 SELECT id AS "ID", array_to_string(list_transform(range(1, len(v) + 1, 2), lambda i: CASE WHEN i < len(v) THEN v[i]::VARCHAR || ' x ' || v[i + 1]::VARCHAR || ' cm' ELSE v[i]::VARCHAR || ' cm' END), '/') AS size FROM a""",
     "unit_to_cm": "SELECT p_partkey, round(p_size * CASE WHEN p_partkey % 2 = 0 THEN 0.1 ELSE 1.0 END::DOUBLE, 9) AS cm FROM part",
     "report_texts": _REPORTS + """SELECT "ID", 'seen' AS "Report" FROM r WHERE k % 10 > 1""",
-    "common_keys": _REPORTS + """SELECT key FROM (SELECT unnest(['loc_a', 'loc_b', 'loc_c']) AS key) WHERE key <> 'loc_c' OR NOT EXISTS (SELECT 1 FROM r WHERE k % 7 = 0)""",
-    "checklist_booleans": _REPORTS + """SELECT "ID", k % 5 <> 0 AND k % 2 = 0 AS loc_a, p_size > 25 AS loc_b FROM r WHERE k % 10 > 1""",
+    "common_keys": _REPORTS + """SELECT key FROM (SELECT unnest(['loc_a', 'loc_b', 'loc_c']) AS key) WHERE key <> 'loc_c' OR NOT EXISTS (SELECT 1 FROM r WHERE k % 7 = 0 AND k % 17 <> 5)""",
+    "checklist_booleans": _REPORTS + """SELECT "ID", k % 17 <> 5 AND k % 5 <> 0 AND k % 2 = 0 AS loc_a, k % 17 <> 5 AND p_size > 25 AS loc_b FROM r WHERE k % 10 > 1""",
     "report_measurements": _REPORTS + """
 , m AS (SELECT "ID", k, 1 AS o, (k % 3)::DOUBLE AS v, 'mm' AS u, 1.0::DOUBLE AS x1, k::DOUBLE AS z1, 0.5::DOUBLE AS x2, 2.0::DOUBLE AS y2, 3.0::DOUBLE AS z2 FROM r WHERE k % 10 > 1 AND k % 3 > 0
   UNION ALL SELECT "ID", k, 2, p_size::DOUBLE, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE k % 10 > 1 AND p_size <> 0)
 SELECT "ID", row_number() OVER (PARTITION BY k ORDER BY o)::VARCHAR AS measurement_index, x1, NULL::DOUBLE AS y1, z1, x2, y2, z2, v AS measurement, u AS unit_measure FROM m
 UNION ALL SELECT "ID", 'no_measure', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE k % 10 > 1 AND k NOT IN (SELECT k FROM m)""",
-    "multi_label_from_flags": """
-WITH a AS (SELECT p_partkey AS k, p_size > 40 AS f, p_partkey % 4 IN (0, 2) AS t, p_partkey % 6 <> 0 AS v3, p_partkey % 4 = 0 AS lat, p_partkey % 9 = 0 AS inone, p_partkey % 8 = 0 AS pnone, p_partkey % 3 = 0 AS mild, p_partkey % 16 = 0 AS sev FROM part)
-SELECT k AS "ID", NOT (f OR t OR v3 OR lat OR inone OR pnone OR mild OR sev) AS all_booleans_false, f OR t AS ich_presence, NOT inone AND (v3 OR lat) AS ivh_presence, NOT pnone AND (mild OR sev) AS phe_presence,
-       nullif(concat_ws('/', CASE WHEN f THEN 'frontal' END, CASE WHEN t THEN 'temporal' END), '') AS ich_localisation,
-       nullif(concat_ws('/', CASE WHEN v3 THEN 'third' END, CASE WHEN lat THEN 'lateral' END), '') AS ivh_location,
-       nullif(concat_ws('/', CASE WHEN mild THEN 'mild' END, CASE WHEN sev THEN 'severe' END), '') AS phe_intensity
-FROM a""",
+    "multi_label_from_flags": _FLAGS + "SELECT * FROM f",
+    "ground_truth_join": _FLAGS + """
+, l AS (SELECT l_orderkey AS id, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS v FROM lineitem GROUP BY 1),
+s AS (SELECT id AS "ID", array_to_string(list_transform(range(1, len(v) + 1, 2), lambda i: CASE WHEN i < len(v) THEN v[i]::VARCHAR || ' x ' || v[i + 1]::VARCHAR || ' cm' ELSE v[i]::VARCHAR || ' cm' END), '/') AS size FROM l)
+SELECT coalesce(f."ID", s."ID") AS "ID", f.* EXCLUDE ("ID"), size FROM f FULL OUTER JOIN s ON (f."ID" = s."ID")""",
     "outer_join_ids": """
-SELECT coalesce(l.doc_id, d.doc_id) AS "ID", quality, n_chars FROM labels l FULL OUTER JOIN (SELECT doc_id, n_chars FROM documents WHERE n_chars > 500) d ON l.doc_id = d.doc_id""",
+SELECT coalesce(l.doc_id, d.doc_id) AS "ID", quality, n_chars FROM labels l FULL OUTER JOIN (SELECT doc_id + 25 AS doc_id, n_chars FROM documents) d ON l.doc_id = d.doc_id""",
     "resume_anti_join": """SELECT doc_id AS "ID", source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "json_field": "SELECT event_id, json_extract(props, '$.k')::DOUBLE AS k, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' ELSE json_type(props, '$.k') END AS kind FROM events",
     "parse_answer_lines": f"""
@@ -189,15 +196,15 @@ WITH a AS (SELECT p_partkey, lower(trim({pick(P.BOOL_TEXTS, 'p_partkey')})) AS t
 SELECT p_partkey, t IN ('true', '1', 'yes', 'y', 't') AS scored, false AS scored_number, t IN ('true', '1', 'yes', 'y', 't') AS listed, coalesce(n <> 0, true) AS listed_number FROM a""",
     "na_tokens": f"SELECT p_partkey, CASE WHEN v NOT IN ('None', 'N/A', '', 'nan', 'NaN', 'null') THEN v END AS v, p_brand FROM (SELECT p_partkey, p_brand, {pick(P.NA_TEXTS, 'p_partkey')} AS v FROM part)",
     "model_grid_summary": """
-WITH v AS (SELECT lang, source, count(*) AS n FROM documents WHERE doc_id % 3 > 0 OR lang <> 'es' GROUP BY 1, 2 HAVING count(*) > 1)
+WITH v AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) % 3 > 0)
 SELECT l.lang AS metric, s.source AS model, coalesce(n::VARCHAR, 'N/A') AS value FROM (SELECT DISTINCT lang FROM v) l CROSS JOIN (SELECT DISTINCT source FROM v) s LEFT JOIN v ON v.lang = l.lang AND v.source = s.source""",
     "pivot_metric": """
 SELECT event_type AS metric, nullif(count(*) FILTER (WHERE user_id % 4 = 0), 0)::VARCHAR AS b0, nullif(count(*) FILTER (WHERE user_id % 4 = 1), 0)::VARCHAR AS b1, nullif(count(*) FILTER (WHERE user_id % 4 = 2), 0)::VARCHAR AS b2, nullif(count(*) FILTER (WHERE user_id % 4 = 3), 0)::VARCHAR AS b3
 FROM events GROUP BY 1""",
     "prompt_metric_pivot": """
-WITH e AS (SELECT event_type AS metric, CASE user_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS p, value > 5 OR user_id % 3 < 2 AS ok FROM events)
-SELECT metric, coalesce(nullif(count(*) FILTER (WHERE ok AND p = 'a'), 0)::VARCHAR, 'N/A') AS prompt1, coalesce(nullif(count(*) FILTER (WHERE ok AND p = 'c'), 0)::VARCHAR, 'N/A') AS prompt10, coalesce(nullif(count(*) FILTER (WHERE ok AND p = 'b'), 0)::VARCHAR, 'N/A') AS prompt2
-FROM e GROUP BY metric""",
+WITH v AS (SELECT event_type AS metric, user_id % 3 AS p, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) % 4 > 0)
+SELECT metric, coalesce(max(n) FILTER (WHERE p = 0)::VARCHAR, 'N/A') AS prompt1, coalesce(max(n) FILTER (WHERE p = 2)::VARCHAR, 'N/A') AS prompt10, coalesce(max(n) FILTER (WHERE p = 1)::VARCHAR, 'N/A') AS prompt2
+FROM (SELECT DISTINCT event_type AS metric FROM events) LEFT JOIN v USING (metric) GROUP BY metric""",
     "models_in_all_prompts": "SELECT source AS model FROM documents GROUP BY source HAVING count(DISTINCT (doc_id // 100) % 5) = (SELECT count(DISTINCT (doc_id // 100) % 5) FROM documents)",
     "first_file_value": "SELECT (page_id % 7)::VARCHAR AS model, min(url) || '#' AS value FROM pages GROUP BY 1",
     "summary_long": """

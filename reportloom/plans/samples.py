@@ -1,7 +1,7 @@
 """Phrases that queries and their SQL put in place of report texts."""
 
 IVH_NAMES = ["IVH", "ivh", " IVH "]
-TYPE_NAMES = ["ICH", "IVH", "PHE", "SAH", "ich", " ICH", "ICH", "No lesions mentioned"]
+TYPE_NAMES = ["ICH", "IVH", "PHE", "SAH", "ich", " ICH", "ICH", "No lesions mentioned", "ICH\t", "\u00a0ich"]
 SYLLABLES = [("tion", "a"), ("ment", "b"), ("heit", "c"), ("ing", "a"), ("rr", "d"), ("shing", "e")]
 FOLDED_SYLLABLES = [("eaux", "a"), ("ecole", "b"), ("cion", "c"), ("uber", "d"), ("ee", "e")]
 ICH_PHRASES = ["Parieto-occipital", "Occipital and frontal", "Putamen/Lenticular", "Corona radiata", "U", "Left THALAMUS", "pons, tronc", "Cerebellar", "frontal/front", "insula - temporal"]
