@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,16 +84,27 @@ def write_all(scored: list[Scored], root: str, ignore_all_false: bool, order: Da
         errors = s.errors if order is None else s.errors.join(order, "ID", "left")
         place = [] if order is None else [F.col("at").asc_nulls_last()]
         rows = errors.orderBy(*BY, "section", *place, "ID").select(*BY, "section", *columns).toLocalIterator()
-        found: dict[tuple, dict[str, list]] = {}
-        for row in rows:
-            found.setdefault((row["model"], row["prompt_id"]), {}).setdefault(row["section"], []).append(row[len(BY) + 1 :])
-        for (model, prompt), row in table.items():
+
+        def put(key: tuple, lines: dict[str, list], s=s, table=table, columns=columns) -> None:
+            if key not in table:  # an extra ID's model is always scored; only a null name could be here
+                return
+            model, prompt = key
+            own = {k: table[key][k] for k in s.table.columns if k not in BY}
             table_path, text_path = metric_paths(root, prompt, model, s.metric, s.mode, ignore_all_false)
-            own = {k: row[k] for k in s.table.columns if k not in BY}
             write_rows(table_path, list(own), [list(own.values())])
-            sections = [(f"Errors - {n}", "\t".join(columns), lines, True) for n, lines in sorted(found.get((model, prompt), {}).items())]
-            write_text(text_path, error_report(s.title, own, sections))
-            values += [(name, model, prompt, str(own[column])) for name, folder, mode, column in SUMMARY_METRICS if (folder, mode) == (s.metric, s.mode) and own.get(column) is not None]
+            write_text(text_path, error_report(s.title, own, [(f"Errors - {n}", "\t".join(columns), some, True) for n, some in sorted(lines.items())]))
+            values.extend((name, model, prompt, str(own[column])) for name, folder, mode, column in SUMMARY_METRICS if (folder, mode) == (s.metric, s.mode) and own.get(column) is not None)
+
+        done = set()
+        for key, own in groupby(rows, key=lambda r: (r["model"], r["prompt_id"])):  # one report's errors at a time
+            lines: dict[str, list] = {}
+            for row in own:
+                lines.setdefault(row["section"], []).append(row[len(BY) + 1 :])
+            put(key, lines)
+            done.add(key)
+        for key in table:
+            if key not in done:
+                put(key, {})
     for prompt in sorted({v[2] for v in values}):
         models = sorted({v[1] for v in values if v[2] == prompt})
         cells = {(v[0], v[1]): v[3] for v in values if v[2] == prompt}

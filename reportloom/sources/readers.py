@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from functools import reduce
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,13 +87,11 @@ def load_reports(spark: SparkSession, path: str) -> DataFrame:
     suffix = path.rpartition(".")[2].lower()
     if suffix == "csv":
         table = read_table(spark, path).drop("file", "prompt_id", "model")
-    elif suffix in ("xlsx", "xls"):
-        import pandas as pd
-
-        try:
-            table = spark.createDataFrame(pd.read_excel(path))
-        except ImportError as missing:
-            raise ValueError("reading Excel files needs an engine library, such as openpyxl") from missing
+    elif suffix == "xlsx":
+        header, *rows = read_sheet(spark, path) or [[]]
+        names = [str(h) for h in header]
+        filled = [[(r[k] if k < len(r) else None) for k in range(len(names))] for r in rows]
+        table = na_normalize(spark.createDataFrame(filled, T.StructType([T.StructField(n, T.StringType()) for n in names])))
     elif suffix == "feather":
         from pyarrow import feather
 
@@ -100,6 +101,35 @@ def load_reports(spark: SparkSession, path: str) -> DataFrame:
     return table.dropna(subset=["ID", "Report"])
 
 
+def read_sheet(spark: SparkSession, path: str) -> list[list[str | None]]:
+    """The rows of a workbook's first sheet as texts. A sheet has a bounded number of rows, so the driver reads it."""
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    content = spark.read.format("binaryFile").load(path).first()["content"]
+    with zipfile.ZipFile(io.BytesIO(bytes(content))) as book:
+        names = set(book.namelist())
+        texts = lambda node: "".join(t.text or "" for t in node.iter(f"{space}t"))
+        shared = [texts(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+        if not sheets:
+            raise ValueError(f"no sheet in {path}")
+        out = []
+        for row in ElementTree.fromstring(book.read(sheets[0])).iter(f"{space}row"):
+            cells: list[str | None] = []
+            for cell in row.iter(f"{space}c"):
+                at = reduce(lambda n, c: 26 * n + ord(c) - 64, re.match(r"[A-Z]*", cell.get("r", ""))[0], 0) - 1
+                cells += [None] * (at - len(cells))  # empty cells are left out
+                kind, value = cell.get("t"), cell.findtext(f"{space}v")
+                if kind == "inlineStr":
+                    value = texts(cell)
+                elif kind == "s":
+                    value = shared[int(value)]
+                elif kind == "b":
+                    value = "True" if value == "1" else "False"
+                cells.append(value)
+            out.append(cells)
+    return out
+
+
 def list_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) of the ``*.nii.gz`` files of a folder, or of one such file; contents aren't read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.nii.gz").load(path).select("path", "length")

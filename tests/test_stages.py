@@ -1,6 +1,7 @@
 """Stages on small invented tables, with results worked out by hand."""
 
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,6 +218,14 @@ def test_report_sources(spark, tmp_path):
     frame.to_csv(tmp_path / "r.csv", index=False)
     for name in ("r.feather", "r.csv"):
         assert [r["ID"] for r in readers.load_reports(spark, str(tmp_path / name)).collect()] == ["a"]
+    sheet = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    cells = [('A1', 's', 0), ('B1', 's', 1), ('A2', None, "007"), ('B2', 'inlineStr', "x &amp; y"), ('A3', 's', 2), ('C3', 'b', 1)]
+    cell = lambda r, t, v: f'<c r="{r}"' + (f' t="{t}"' if t else "") + ">" + (f"<is><t>{v}</t></is>" if t == "inlineStr" else f"<v>{v}</v>") + "</c>"
+    rows_xml = "".join(f'<row r="{n}">' + "".join(cell(*c) for c in cells if c[0][1] == str(n)) + "</row>" for n in (1, 2, 3))
+    with zipfile.ZipFile(tmp_path / "r.xlsx", "w") as book:
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{sheet}"><si><t>ID</t></si><si><r><t>Rep</t></r><r><t>ort</t></r></si><si><t>b</t></si></sst>')
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{sheet}"><sheetData>{rows_xml}</sheetData></worksheet>')
+    assert rows(readers.load_reports(spark, str(tmp_path / "r.xlsx"))) == [("007", "x & y")]  # b has no report
     with pytest.raises(ValueError):
         readers.load_reports(spark, "r.txt")
     (tmp_path / "s.nii.gz").write_bytes(b"12")
