@@ -392,7 +392,7 @@ def train_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
     width = len(SIZES) * len(PLACES) + len(FILE_SIZES)
 
     def run(batches):
-        for _, texts in pieces(batches, "_t"):
+        for _, texts in pieces(batches, "_t", 1 << 19):
             found = [(x, y) for x, y in sequences_of(texts)]
             # all stretches with a secret; one in four of the others
             found = [(x, y) for k, (x, y) in enumerate(found) if y.any() or k % 4 == 0]
