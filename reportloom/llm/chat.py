@@ -7,7 +7,7 @@ is to learn: the contents of assistant turns. A turn is ``<|role|>`` on a line,
 Plan. Pairs are rows; formatting is a projection. ``conversations`` gathers the turns of a conversation, which is one row
 by its nature; roles and texts of turns are all that is shuffled.
 
-Defined results: a null role or text is ''; a conversation without turns (null or empty) has no prefix and an empty
+Defined results: a null role or text is ''; a turn with a null key is a conversation of its own; a conversation without turns (null or empty) has no prefix and an empty
 completion; equal conversations are all prompt and both completions are empty; turns of one number are in order of role,
 then text; repeated rows are repeated turns; offsets are code points in the completion, end exclusive.
 """
@@ -23,9 +23,11 @@ TURN = "struct<role:string,text:string>"
 
 
 def conversations(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, turns) with a conversation's turns in order."""
+    """(conv_id, turns) with a conversation's turns in order."""
     part = F.struct(F.col(order).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    gathered = turns.groupBy(F.col(key).alias("conv_id")).agg(F.array_sort(F.collect_list(part)).alias("turns"))
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col(key).alias("conv_id"), own.alias("own"), part.alias("part"))
+    gathered = rows.groupBy("conv_id", "own").agg(F.array_sort(F.collect_list("part")).alias("turns"))
     return gathered.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 

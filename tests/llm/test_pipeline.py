@@ -38,6 +38,21 @@ def test_stages(spark, folder, texts, clashing):
         assert stage(spark, empty, folder).count() == 0
 
 
+def test_names_and_ids_of_rows(spark, folder, texts):
+    """Columns named as the stages' own ones, and an id that many rows have."""
+    some = [t for t in texts[3:17] if len(t) > 150][:4]
+    rows = [(7, t, "en", "s", 5, "x", "y", "z") for t in [*some, some[0]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _pipeline_row string, _PIPELINE_lang string, _pipeline_rejected string")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        got = out.collect()
+        assert out.columns == docs.columns, name
+        if name != "decontamination":  # the folder's item may be one of them
+            assert (len(got) == {"simhash": 4}.get(name, 5) or name == "language_id"), name  # too few texts to know a language
+        assert {(r["_pipeline_row"], r["_PIPELINE_lang"], r["_pipeline_rejected"]) for r in got} <= {("x", "y", "z")}
+    assert P.encode_pieces(spark, docs, folder).count() == 5
+
+
 def test_run(spark, folder):
     assert 0 < P.run(spark, folder).count() < 35
     assert [name for name, _ in P.STAGES] == ["language_id", "simhash", "decontamination", "secret_scan", "sentencepiece"]

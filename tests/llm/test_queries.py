@@ -29,7 +29,7 @@ def folder(spark, rows, tmp_path_factory):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
     items = [(i, " ".join(low_words(t)[1:18])) for i, t in enumerate(rows) if len(low_words(t)) > 20][:9] + [(90, "É ü ß"), (91, None), (92, "in " * 15)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
-    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yö"), (1, 2, "user", "x"), (1, 3, "assistant", "good"), (2, 0, "assistant", "only"), (3, 0, "user", None), (4, 1, "assistant", "b"), (4, 0, "user", "b"), (4, 0, "user", "b"), (5, None, None, "z" * 5000), (None, 1, "assistant", "q")]
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yö"), (1, 2, "user", "x"), (1, 3, "assistant", "good"), (2, 0, "assistant", "only"), (3, 0, "user", None), (4, 1, "assistant", "b"), (4, 0, "user", "b"), (4, 0, "user", "b"), (5, None, None, "z" * 5000), (None, 1, "assistant", "q"), (None, 2, "user", "r"), (None, 2, "user", "r")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path
 
