@@ -82,16 +82,19 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
 
 def winnowed(words: np.ndarray, counts: np.ndarray, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) kept of all texts with span words or more: the rightmost minimum of every window."""
-    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(words))  # words from here to the text's end
-    first = np.flatnonzero(left >= span)
+    n = len(words) - (span - k)
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = grams(words, k)
-    least, at = hashes[first], first.copy()
+    least, ahead = hashes[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, span - k + 1):
-        other = hashes[first + j]
+        other = hashes[j : n + j]
         lower = other <= least
-        least[lower] = other[lower]
-        at[lower] = first[lower] + j
-    kept = np.unique(at)
+        np.copyto(least, other, where=lower)
+        np.copyto(ahead, j, where=lower)
+    left = np.repeat(np.cumsum(counts), counts)[:n] - np.arange(n)  # words from here to the text's end
+    at = (ahead + np.arange(n))[left >= span]
+    kept = at[np.flatnonzero(np.diff(at, prepend=-1))]  # places of consecutive windows never go back
     return kept, hashes[kept]
 
 
