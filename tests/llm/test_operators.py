@@ -594,9 +594,17 @@ def test_secrets(spark, docs, texts, empty, clashing):
         assert [s for s in spans if s[1] < 3] == sorted(want), i
         if i < 120 and i % 5 > 2:
             assert not spans, t
-    new = spark.createDataFrame([(1, f"{texts[4]} {keys()[:18].replace('AKIA', 'ASIB')} {texts[5]}"), (2, texts[6])], "doc_id long, text string")
-    found = by_id(secrets.scan(new, field))
-    assert found[2]["spans"] == [] and all(s["kind"] == "crf" for s in found[1]["spans"])
+    # kinds that neither the patterns nor training know, in texts without other matches
+    alnum = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+    some = lambda n: "".join(rng.choice(alnum) for _ in range(n))
+    fresh = [f"ghp_{some(36)}", f"sk_live_{some(24)}", f"AIza{some(35)}", "-".join(hexes(n) for n in (8, 4, 4, 4, 12)), f"eyJ{some(30)}.{some(60)}.{some(43)}"]
+    new = [(k, f"{texts[3 + k % 14]} {fresh[k % 5]} {texts[3 + (k + 1) % 14]}") for k in range(40)] + [(100 + k, texts[3 + k]) for k in range(14)]
+    found = by_id(secrets.scan(spark.createDataFrame(new, "doc_id long, text string"), field))
+    hit = 0
+    for k, t in new[:40]:
+        at = t.index(fresh[k % 5])
+        hit += any(s["kind"] == "crf" and s["start"] <= at and s["end"] >= at + len(fresh[k % 5]) for s in found[k]["spans"])
+    assert hit >= 36 and all(found[100 + k]["spans"] == [] and found[100 + k]["n_tagged"] == 0 for k in range(14))
     assert secrets.scan(empty, field).count() == 0 and secrets.scan(clashing, field).count() == 3
     assert by_id(secrets.scan(docs, secrets.train_field(empty)))[5]["spans"] == []
     clean = secrets.redacted(df, field).filter("doc_id = 0").first()["text"]
