@@ -293,7 +293,9 @@ def _giants(docs: DataFrame, model: str, chunk: int, block: int, kind: str) -> D
     chunks = written(_chunks(docs, model, chunk, kind), "chunks")
     if chunks.isEmpty():
         return spark.createDataFrame([], f"doc_id {kind}, ids array<int>")
-    dealt = chunks.repartition(F.xxhash64("rid", "c"))
+    # by number: a chunk is much work for its bytes, so Spark should not put partitions together by bytes
+    spread = lambda df: df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rid", "c")
+    dealt = spread(chunks)
 
     def matrices(batches):
         codec = Codec.of(model)
@@ -332,7 +334,7 @@ def _giants(docs: DataFrame, model: str, chunk: int, block: int, kind: str) -> D
 
     schema = f"doc_id {kind}, rid long, c int, ids array<int>"
     traced = arrow_type(schema)
-    parts = chunks.join(inner, ["rid", "c"]).select("doc_id", "rid", "c", "size", "enter", "leave", "part").mapInArrow(lean(trace), schema)
+    parts = dealt.join(spread(inner), ["rid", "c"]).select("doc_id", "rid", "c", "size", "enter", "leave", "part").mapInArrow(lean(trace), schema)
     whole = parts.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("x"))
     return whole.select("doc_id", F.flatten("x.ids").alias("ids"))
 
