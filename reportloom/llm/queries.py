@@ -89,42 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_MATCHES = lambda pattern: f"len(regexp_extract_all(l, '{pattern}'))"
-_SPACES = f"({_MATCHES(quality.SPACE + '+')} + 1)"
-_LOW = f"translate(l, '{_UPPER}', '{_LOWER}')"
-#: Whether a line breaks one of the rules.
-_FAILS = f"""(regexp_matches(l, '[^\\x20\\x09-\\x0D]') AND (({_MATCHES('[.!?,;:…。]')} = 0 AND {_SPACES} >= 8) OR ({_MATCHES('!')} >= 4 AND 3 * {_MATCHES('!')} >= {_SPACES})
-    OR ({_MATCHES('[#*$%&|<>]')} >= 2 AND 5 * {_MATCHES('[#*$%&|<>]')} >= {_SPACES})
-    OR regexp_matches({_LOW}, '{quality.MENU.replace("'", "''")}') OR regexp_matches({_LOW}, '{quality.BOILERPLATE.replace("'", "''")}')))"""
-
-ORACLE_SQL: dict[str, str] = {
-    "op1_quality_rules": rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (
-  SELECT rid, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
-         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
-  FROM d),
-win AS (SELECT rid, i, list_slice(w, i, i + 7) AS x FROM w, unnest(range(1, len(w) - 6)) AS u(i)),
-dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS n FROM win) WHERE n > 1),
-rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM dup, range(0, 8) AS r(k) GROUP BY rid),
-x AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-         list_filter(string_split(t, chr(10)), lambda l: {_FAILS}) AS bad, list_filter(string_split(t, chr(10)), lambda l: NOT {_FAILS}) AS good, lines
-  FROM w LEFT JOIN rep USING (rid)),
-y AS (SELECT *, CASE WHEN len(lines) > 0 THEN length(array_to_string(bad, ''))::DOUBLE / length(array_to_string(lines, ''))::DOUBLE ELSE 0 END AS lost FROM x)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost <= 0.5 AS kept,
-       len(bad)::BIGINT AS n_bad_lines, lost, sha256(array_to_string(good, chr(10))) AS cleaned_sha256
-FROM y""",
-    "op9_decontamination": op9_decontamination,
-    "op10_secret_scan": op10_secret_scan,
-}
-
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 _MATCHES = lambda pattern: f"len(regexp_extract_all(l, '{pattern}'))"
 _SPACES = f"({_MATCHES(quality.SPACE + '+')} + 1)"
 _LOW = f"translate(l, '{_UPPER}', '{_LOWER}')"
