@@ -73,7 +73,7 @@ class Encoder:
             self.spaced[i] = token.startswith("Ġ")  # the byte-level name of a space
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def store(self, most: int = STORE_BYTES) -> UnitStore:
+    def store(self, most: int = 3 * STORE_BYTES) -> UnitStore:
         return UnitStore(self._solve, self.kind, most)
 
     def whole(self, text: str) -> np.ndarray:
