@@ -67,6 +67,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place in its group by the order, from 0 (_index), and the group's number of rows (_size).
+
+    Rows are range-sorted over all groups, so a group of any size is spread, and written with their place in their partition;
+    what is counted and joined then is a row for each (partition, group). ``scratch_tables`` holds the tables that it reads."""
+    held = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_id", F.monotonically_increasing_id())
+    held = written(held, name)
+    held_part = F.shiftright("_id", 33)
+    runs = held.groupBy(F.col(group), held_part.alias("_part")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(group).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    runs = written(runs.select(group, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("_size")), name)
+    out = held.withColumn("_part", held_part).join(runs, [group, "_part"]).withColumn("_index", F.col("_id") + F.col("_shift")).drop("_id", "_part", "_shift")
+    out.scratch_tables = [held, runs]
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for df in tables:

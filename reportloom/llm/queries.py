@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lm, pii, quality, secrets, sentpiece, simhash, tokenfile
+from . import chat, decontam, langid, lm, merkle, pii, quality, secrets, sentpiece, simhash, tokenfile
 from .common import held_out, table
 
 
@@ -74,6 +74,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, secrets.KINDS), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), "n_tagged")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    odd = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    text = F.when(odd, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    tampered = merkle.leaf_digest(text if c == "text" else F.col(c) for c in merkle.FIELDS)
+    out = merkle.manifest(docs, also={"tampered": tampered})
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["before"], s["after"])), "")
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), merkle.folded(F.col("tampered"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -85,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -168,4 +180,48 @@ it AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items F
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, *,
+         CASE WHEN list_reduce(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT),
+                lambda crc, byte: list_reduce(range(0, 8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(crc, byte)), 4294967295) & 1 = 1
+              THEN replace(text, chr(10), '') ELSE text END AS bad
+  FROM documents),
+e AS (
+  SELECT rid, doc_id, source, sha256(ARRAY_HEAD || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(ARRAY_HEAD || coalesce(strlen(bad) || ':' || bad, '-')) AS bad_leaf
+  FROM d),
+up AS (
+  SELECT source, 0 AS lvl, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, leaf AS h
+  FROM e
+  UNION ALL
+  SELECT source, lvl + 1, i // 3, (n + 2) // 3, string_agg(h, '' ORDER BY i).sha256() FROM up WHERE n > 1 GROUP BY source, lvl, i // 3, n),
+sub AS (SELECT source, lvl AS depth, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS nr FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, nr AS i, (SELECT count(*) FROM sub) AS n, subroot AS h FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 3, (n + 2) // 3, string_agg(h, '' ORDER BY i).sha256() FROM top WHERE n > 1 GROUP BY lvl, i // 3, n),
+nodes AS (
+  SELECT s.nr AS s, u.lvl, u.i, u.h, u.n FROM up u JOIN sub s ON u.source IS NOT DISTINCT FROM s.source WHERE u.n > 1
+  UNION ALL
+  SELECT NULL, lvl, i, h, n FROM top WHERE n > 1),
+sib AS (
+  SELECT a.s, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r
+  FROM nodes a JOIN nodes b ON a.s IS NOT DISTINCT FROM b.s AND a.lvl = b.lvl AND a.i // 3 = b.i // 3 GROUP BY a.s, a.lvl, a.i),
+leaves AS (
+  SELECT e.*, s.nr, s.depth, s.subroot, row_number() OVER (PARTITION BY e.source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM e JOIN sub s ON e.source IS NOT DISTINCT FROM s.source),
+steps AS (
+  SELECT rid, lvl AS k, sib.l, sib.r FROM leaves JOIN sib ON sib.s = leaves.nr AND sib.i = leaves.i // (3 ** sib.lvl)::BIGINT
+  UNION ALL
+  SELECT rid, depth + lvl, sib.l, sib.r FROM leaves JOIN sib ON sib.s IS NULL AND sib.i = leaves.nr // (3 ** sib.lvl)::BIGINT),
+way AS (SELECT rid, list({'l': l, 'r': r} ORDER BY k) AS p FROM steps GROUP BY rid),
+fold AS (
+  SELECT rid, 1 AS k, bad_leaf AS h FROM leaves
+  UNION ALL
+  SELECT fold.rid, k + 1, sha256(p[k].l || h || p[k].r) FROM fold JOIN way USING (rid) WHERE k <= len(p)),
+got AS (SELECT rid, arg_max(h, k) AS h FROM fold GROUP BY rid)
+SELECT doc_id, leaf, subroot, root.h AS root,
+       sha256(coalesce(array_to_string(list_transform(p, lambda x: x.l || x.r), ''), '')) AS proof_sha256,
+       got.h AS folded_root, got.h = root.h AS verified
+FROM (SELECT h FROM top WHERE n = 1) AS root, leaves JOIN got USING (rid) LEFT JOIN way USING (rid)""".replace("ARRAY_HEAD", " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in merkle.FIELDS[:-1])),
 }
