@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lm, merkle, pii, quality, secrets, sentpiece, simhash, tokenfile
+from . import chat, decontam, langid, lm, merkle, pii, quality, repair, secrets, sentpiece, simhash, tokenfile
 from .common import held_out, table
 
 
@@ -85,6 +85,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, F.lit("")).when(kind == 2, F.translate(told("text"), ".!?", "")).otherwise(told("text"))
+    role = F.when(kind == 4, F.lit("user")).otherwise(told("role"))
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (kind != 0).alias("alive"), F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))))
+    return repair.repair(rows, alive=F.col("alive"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -97,8 +107,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
+#: crc32 of a text of ASCII characters.
+_CRC32 = lambda text: f"""xor(list_reduce(list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT),
+                lambda crc, byte: list_reduce(range(0, 8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(crc, byte)), 4294967295), 4294967295)"""
+
+
+def _repair_sql() -> str:
+    """Costs, audits and lines of the cheapest edits for each state (start, after s, u, a), row by row."""
+    least = lambda *of: f"list_sort(list_filter([{', '.join(of)}], lambda x: x IS NOT NULL))[1]"
+    more = lambda s, cost, edit, line=None: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}', 't': " + (f"list_append({s}.t, {line})" if line else f"{s}.t") + "} END"
+    insert = lambda s, role: more(s, 3, "I", f"'{role}:'")
+    rerole = lambda s, role: f"CASE WHEN NOT gone THEN {more(s, '3 + cut', 'R', f"'{role}:' || text")} END"
+    keep = lambda s, initial: f"CASE WHEN NOT gone AND initial = '{initial}' THEN {more(s, 'cut', 'K', "role || ':' || text")} END"
+    none = "NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])"
+    return f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM k, unnest(CASE kind WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS u(copy)),
+n AS (
+  SELECT *, row_number() OVER w AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER w AS initial_before,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (
+  SELECT *, trimmed = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(trimmed, 1) NOT IN ('.', '!', '?') AS short
+  FROM n),
+r AS (SELECT *, blank OR again AS gone, CASE WHEN short AND NOT blank AND NOT again THEN 3 ELSE 0 END AS cut FROM f),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM conversations
+  UNION ALL
+  SELECT conv_id, i, {more('s0', 4, 'D')}, {least(more('s1', 4, 'D'), keep('s0', 's'))},
+         {least(more('s2', 4, 'D'), *(g(s, x) for s in ('s0', 's1', 's3') for g, x in ((keep, 'u'), (rerole, 'user'))))},
+         {least(more('s3', 4, 'D'), keep('s2', 'a'), rerole('s2', 'assistant'))}
+  FROM (
+    SELECT dp.conv_id, r.i, s0, s1, s2, {least('s3', insert('s2', 'assistant'))} AS s3, role, text, initial, gone, cut
+    FROM (SELECT conv_id, i, s0, s1, {least('s2', *(insert(s, 'user') for s in ('s0', 's1', 's3')))} AS s2, s3 FROM dp) AS dp
+    JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1)),
+done AS (
+  SELECT conv_id, {least('s0', least('s3', insert('s2', 'assistant')))} AS x
+  FROM (SELECT conv_id, s0, {least('s2', *(insert(s, 'user') for s in ('s0', 's1', 's3')))} AS s2, s3, i, max(i) OVER (PARTITION BY conv_id) AS last FROM dp) WHERE i = last),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+         count(*) FILTER (WHERE cut > 0) AS truncated, count(*) FILTER (WHERE i > 1 AND initial_before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id)
+SELECT done.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, x.c AS cost, x.a AS audit, sha256(array_to_string(x.t, chr(10))) AS repaired_sha256
+FROM done LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM done.conv_id"""
+
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _MATCHES = lambda pattern: f"len(regexp_extract_all(l, '{pattern}'))"
@@ -183,8 +247,7 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)""",
     "op11_merkle_manifest": r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, *,
-         CASE WHEN list_reduce(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT),
-                lambda crc, byte: list_reduce(range(0, 8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(crc, byte)), 4294967295) & 1 = 1
+         CASE WHEN CRC_OF_ID % 2 = 0
               THEN replace(text, chr(10), '') ELSE text END AS bad
   FROM documents),
 e AS (
@@ -223,5 +286,6 @@ got AS (SELECT rid, arg_max(h, k) AS h FROM fold GROUP BY rid)
 SELECT doc_id, leaf, subroot, root.h AS root,
        sha256(coalesce(array_to_string(list_transform(p, lambda x: x.l || x.r), ''), '')) AS proof_sha256,
        got.h AS folded_root, got.h = root.h AS verified
-FROM (SELECT h FROM top WHERE n = 1) AS root, leaves JOIN got USING (rid) LEFT JOIN way USING (rid)""".replace("ARRAY_HEAD", " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in merkle.FIELDS[:-1])),
+FROM (SELECT h FROM top WHERE n = 1) AS root, leaves JOIN got USING (rid) LEFT JOIN way USING (rid)""".replace("CRC_OF_ID", _CRC32("coalesce(doc_id::VARCHAR, '')")).replace("ARRAY_HEAD", " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in merkle.FIELDS[:-1])),
+    "op12_conversation_repair": _repair_sql(),
 }
