@@ -88,10 +88,12 @@ class Encoder:
             if group:
                 found = self.whole("".join(f" {units[k]}" for k in group))
                 starts = np.flatnonzero(self.spaced[found])
-                if len(starts) != len(group):
-                    raise AssertionError("a unit was not encoded on its own")
-                ids.append(found)
-                sizes[group] = np.diff(starts, append=len(found))
+                if len(starts) == len(group):
+                    ids.append(found)
+                    sizes[group] = np.diff(starts, append=len(found))
+                else:  # a unit that isn't told from its neighbour by its space
+                    ids.extend(own := [self.whole(f" {units[k]}") for k in group])
+                    sizes[group] = [len(x) for x in own]
                 group.clear()
 
         for k, unit in enumerate(units):
@@ -123,8 +125,15 @@ class Encoder:
         heads = heads[:-1] - heads[0]
         coded = pc.dictionary_encode(split.flatten())
         # the first unit of a text has no space before it; '' stands for a text that is cut or goes whole
-        lead = pc.take(coded.dictionary, pa.array(coded.indices.to_numpy()[heads])).to_pylist()
-        places = store.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        at = coded.indices.to_numpy()
+        lead = pc.take(coded.dictionary, pa.array(at[heads])).to_pylist()
+        # so it is solved apart, and only what follows a space goes into the store
+        later = np.ones(len(at), bool)
+        later[heads] = False
+        used = np.unique(at[later])
+        place = np.zeros(len(coded.dictionary), np.int64)
+        place[used] = store.places(pc.take(coded.dictionary, pa.array(used)).to_pylist())
+        places = place[at]
         ids, size = store.spelled(places), store.sizes(places)
         counts = np.add.reduceat(size, heads) if len(heads) else np.zeros(0, np.int64)
         at = np.concatenate([[0], np.cumsum(counts)])
