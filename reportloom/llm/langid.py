@@ -177,12 +177,12 @@ def training_examples(docs: DataFrame, doc_id: str, text: str, lang: str, sample
                 if _LETTER.search(own := t.as_py()):
                     out += examples_of(own, y)
             if out:
-                small = lambda x: np.minimum(x, 65535).astype("<u2").tobytes()
-                yield pa.record_batch([pa.array([small(x[0]) for x in out], pa.binary()), pa.array([small(x[1]) for x in out], pa.binary()), pa.array([x[2] for x in out], pa.string()), pa.array([x[3] for x in out])], names=["at", "n", "y", "checks"])
+                told = lambda k, kind: pa.array([x[k].astype(kind).tobytes() for x in out], pa.binary())
+                yield pa.record_batch([told(0, "<u2"), told(1, "<u4"), pa.array([x[2] for x in out], pa.string()), pa.array([x[3] for x in out])], names=["at", "n", "y", "checks"])
 
     found = rows.select("x.t", "x.y").mapInArrow(lean(run), "at binary, n binary, y string, checks boolean").toArrow()
-    numbers = lambda x: np.frombuffer(x.as_buffer(), "<u2")
-    out = [(numbers(a), numbers(n), y.as_py(), c.as_py()) for a, n, y, c in zip(*(found.column(k) for k in range(4)), strict=True)]
+    numbers = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+    out = [(numbers(a, "<u2"), numbers(n, "<u4"), y.as_py(), c.as_py()) for a, n, y, c in zip(*(found.column(k) for k in range(4)), strict=True)]
     # in an order that doesn't depend on how rows came
     return sorted(out, key=lambda x: (x[2] or "", x[3], zlib.crc32(x[0].tobytes()), x[0].tobytes(), x[1].tobytes()))
 
