@@ -37,6 +37,8 @@ SAMPLE = 20_000
 STRETCHES = 4000
 #: Distorted copies of each match that training sees.
 VARIANTS = 4
+#: Copies of a stretch of each text with an ordinary shape put in.
+PLAINER = 2
 KINDS = ("assign", "access", "hex", "crf")
 _NAMES = rb"[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 _ASSIGN = re.compile(rb"(" + _NAMES + rb")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -348,7 +350,32 @@ def _tagged_words(words: Words, spans: list[tuple[int, int]]) -> np.ndarray:
     return tags
 
 
-def sequences_of(texts: pa.Array, around: int = 12, variants: int = VARIANTS, make=distorted) -> list[tuple[np.ndarray, np.ndarray]]:
+def ordinary(rng: np.random.Generator) -> str:
+    """A text of a shape that secrets share and that is none: a time, date, DOI, ISBN, address, path, version, short commit id,
+    number or name in code."""
+    digits = lambda n: "".join(rng.choice(list("0123456789"), n))
+    low = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    part = lambda: str(rng.integers(0, 40))
+    day = f"{rng.integers(1950, 2060)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"
+    clock = f"{rng.integers(24):02d}:{rng.integers(60):02d}:{rng.integers(60):02d}"
+    time = lambda: day + rng.choice(["T", "T", " "]) + clock + rng.choice(["", "Z", "Z", f".{digits(3)}Z", "+02:00"])
+    kinds = [
+        *[time] * 4,
+        lambda: f"10.{digits(rng.integers(4, 6))}/{rng.choice([low(6), low(1)])}.{rng.choice([digits(4) + '.' + digits(5), digits(7), low(4) + digits(3)])}",
+        lambda: f"97{rng.choice(['8', '9'])}-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}",
+        lambda: f"https://{low(rng.integers(4, 10))}.{rng.choice(['com', 'org', 'net'])}/{low(5)}/{rng.choice([digits(6), low(8)])}" + rng.choice(["", f"?id={digits(5)}", ".html"]),
+        lambda: "/" + "/".join(low(rng.integers(2, 9)) for _ in range(rng.integers(2, 5))) + rng.choice(["", ".txt", ".py", ".tar.gz"]),
+        lambda: rng.choice(["", "v"]) + f"{part()}.{part()}.{part()}" + rng.choice(["", "-rc1", f"-beta.{part()}", "+build"]),
+        lambda: "".join(rng.choice(list("0123456789abcdef"), rng.integers(7, 13))),
+        lambda: rng.choice(["#", "", "No. "]) + digits(rng.integers(3, 12)),
+        lambda: "_".join(low(rng.integers(3, 8)) for _ in range(rng.integers(2, 4))) + rng.choice(["", "()", digits(1)]),
+        lambda: f"{low(5)}.{low(6)}@{low(6)}.com",
+        lambda: f"+{digits(2)} {digits(3)} {digits(7)}",
+    ]
+    return rng.choice(["", "", "", "(", "date: ", "version = ", "id: ", "see "]) + kinds[rng.integers(len(kinds))]() + rng.choice(["", "", ",", ".", ")"])
+
+
+def sequences_of(texts: pa.Array, around: int = 12, variants: int = VARIANTS, make=distorted, plainer: int = PLAINER) -> list[tuple[np.ndarray, np.ndarray]]:
     """Training stretches: words around each match, the same with a distorted match, and words around some that have a
     digit, quote or symbol or are long where there is no match."""
     data, offsets = raw(texts)
@@ -369,6 +396,17 @@ def sequences_of(texts: pa.Array, around: int = 12, variants: int = VARIANTS, ma
             while a > lo and tags[a] == 2:
                 a -= 1
             out.append((rows[a:b], tags[a:b]))
+        if hi > lo:  # ordinary shapes among words of the text, none of which is a secret
+            middle = lo + (hi - lo) // 2
+            near = [k for k in range(max(lo, middle - around), min(hi, middle + around)) if tags[k] == 0]
+            said = [joined[words.starts[k] : words.ends[k]] for k in near]
+            rng = np.random.default_rng(zlib.crc32(b" ".join(said)))
+            for _ in range(plainer):
+                cut = int(rng.integers(len(said) + 1))
+                mini = np.frombuffer(b" ".join([*said[:cut], ordinary(rng).encode(), *said[cut:]]), np.uint8)
+                own = words_of(mini, np.array([0, len(mini)]))
+                own.files = words.files[t : t + 1]
+                out.append((Field.rows(own), _tagged_words(own, [])))
         for start, end in found[t]:
             rng = np.random.default_rng(zlib.crc32(joined[start:end]))
             first, last = int(np.searchsorted(words.ends, start, side="right")), int(np.searchsorted(words.starts, end, side="left"))
@@ -393,15 +431,15 @@ def train_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
 
     def run(batches):
         for _, texts in pieces(batches, "_t", 1 << 19):
-            found = [(x, y) for x, y in sequences_of(texts)]
-            # all stretches with a secret; one in four of the others
-            found = [(x, y) for k, (x, y) in enumerate(found) if y.any() or k % 4 == 0]
+            # all stretches with a secret; one in four of the others, by what they say and not by where they lie
+            found = [(x, y) for x, y in sequences_of(texts) if y.any() or zlib.crc32(np.asarray(x, "<i2").tobytes()) % 4 == 0]
             if found:
                 yield pa.record_batch([pa.array([np.asarray(z, "<i2").tobytes() for z in c], pa.binary()) for c in zip(*found, strict=True)], names=["x", "y"])
 
-    # small numbers as bytes: what comes to the driver is a few MB
+    # small numbers as bytes: what comes to the driver is a few MB; those with a secret, the fewer, first
     rows = base.select("_t").mapInArrow(lean(run), "x binary, y binary").distinct()
-    rows = rows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(stretches).toArrow()
+    plain_tags = F.length(F.replace(F.hex("y"), F.lit("0"), F.lit(""))) == 0
+    rows = rows.orderBy(plain_tags, F.xxhash64("x", "y"), "x", "y").limit(stretches).toArrow()
     both = (rows["x"].to_pylist(), rows["y"].to_pylist())
     return train([(np.frombuffer(x, "<i2").reshape(-1, width), np.frombuffer(y, "<i2")) for x, y in zip(*both, strict=True)])
 

@@ -666,3 +666,37 @@ def test_field_spans_beside_matches(monkeypatch):
     assert parts[2] == [("crf", "key password=hunter2 Xy7"), ("assign", "password=hunter2")]
     assert secrets._replaced(texts[0].as_py(), got[0], "[SECRET]") == "my [SECRET] é"
     assert secrets._replaced(texts[2].as_py(), got[2], "[SECRET]") == "é [SECRET] c"
+
+
+def test_token_files_encode_batches_of_odd_white_space(tokenizer_file):
+    """Texts of all white space, alone, first in a text and beside others of a batch, are encoded as the library does."""
+    encoder = tokenfile.Encoder.of(tokenizer_file)
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    rng = random.Random(17)
+    for _ in range(40):
+        texts = [" ", " \t", *("".join(rng.choice([*spaces, " ", " ", "a", "é.", "'s"]) for _ in range(rng.randrange(6))) for _ in range(700))]
+        ids, counts = encoder.encode(pa.array(texts), 2, encoder.store())
+        want = [x.ids + [2] for x in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert ids.tolist() == list(itertools.chain(*want)) and counts.tolist() == list(map(len, want))
+
+
+def test_field_does_not_depend_on_partitions_and_leaves_ordinary_shapes(spark):
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    said = lambda n: [word(rng.randint(2, 9)) for _ in range(n)]
+    rows = [(i, " ".join(said(40)) + (f' token = "{rng.randbytes(20).hex()}" ' if i % 5 == 0 else " ") + " ".join(said(20))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fields = [secrets.train_field(df.repartition(n)) for n in (1, 3, 8)]
+    for name, value in vars(fields[0]).items():
+        for other in fields[1:]:
+            assert np.array_equal(value, getattr(other, name)) if isinstance(value, np.ndarray) else value == getattr(other, name), name
+    shapes = ["10.1038/s41586-020-2649-2", "978-3-16-148410-0", "https://example.org/wiki/page", "/usr/local/lib/file.py", "1.26.4", "+49 30 1234567"]
+    texts = [(len(shapes) * k + j, " ".join(said(20)) + f" {s} " + " ".join(said(20))) for k in range(5) for j, s in enumerate(shapes)]
+    got = secrets.scan(spark.createDataFrame(texts, "doc_id long, text string"), fields[0]).collect()
+    assert sum(bool(r["spans"]) for r in got) <= 1
+
+
+def test_language_counts_are_not_clipped(spark):
+    df = spark.createDataFrame([(1, "ab " * 90_000, "x"), (2, "cd " * 5, "y")], "doc_id long, text string, lang string")
+    found = langid.training_examples(df, "doc_id", "text", "lang", 10, 10)
+    assert max(int(n.max()) for _, n, _, _ in found) >= 90_000
