@@ -73,6 +73,11 @@ def model_of(path: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(base, r"results_(.+?)_prompt\d+", 1), F.lit("")), F.nullif(plain, F.lit("")), F.lit(UNKNOWN))
 
 
+def plain_path(uri: Column) -> Column:
+    """The path that a file's URI in the metadata column spells with escapes."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def table_file(path: Column) -> Column:
     """A table's path: without the name of a part file, where the table is a folder named as a file."""
     return F.regexp_replace(path, r"(\.[cC][sS][vV])/[^/]*$", "$1")

@@ -13,7 +13,8 @@ from ..functions.sizes import TOLERANCE_MM
 from ..operators import scoring as S
 from ..operators.summary import NOT_AVAILABLE, SUMMARY_METRICS, long_metrics
 from ..sources.paths import metric_paths
-from ..sources.writers import error_report, write_rows, write_text
+from ..sources.store import write_text
+from ..sources.writers import error_report, write_rows
 
 BY = ("model", "prompt_id")
 
@@ -91,8 +92,8 @@ def write_all(scored: list[Scored], root: str, ignore_all_false: bool, order: Da
             model, prompt = key
             own = {k: table[key][k] for k in s.table.columns if k not in BY}
             table_path, text_path = metric_paths(root, prompt, model, s.metric, s.mode, ignore_all_false)
-            write_rows(table_path, list(own), [list(own.values())])
-            write_text(text_path, error_report(s.title, own, [(f"Errors - {n}", "\t".join(columns), some, True) for n, some in sorted(lines.items())]))
+            write_rows(s.table.sparkSession, table_path, list(own), [list(own.values())])
+            write_text(s.table.sparkSession, text_path, error_report(s.title, own, [(f"Errors - {n}", "\t".join(columns), some, True) for n, some in sorted(lines.items())]))
             values.extend((name, model, prompt, str(own[column])) for name, folder, mode, column in SUMMARY_METRICS if (folder, mode) == (s.metric, s.mode) and own.get(column) is not None)
 
         done = set()
@@ -108,7 +109,7 @@ def write_all(scored: list[Scored], root: str, ignore_all_false: bool, order: Da
     for prompt in sorted({v[2] for v in values}):
         models = sorted({v[1] for v in values if v[2] == prompt})
         cells = {(v[0], v[1]): v[3] for v in values if v[2] == prompt}
-        write_rows(f"{root}/prompt{prompt}/summary_metrics_prompt{prompt}.csv", ["metric", *models], [[m[0], *(cells.get((m[0], x), NOT_AVAILABLE) for x in models)] for m in SUMMARY_METRICS])
+        write_rows(scored[0].table.sparkSession, f"{root}/prompt{prompt}/summary_metrics_prompt{prompt}.csv", ["metric", *models], [[m[0], *(cells.get((m[0], x), NOT_AVAILABLE) for x in models)] for m in SUMMARY_METRICS])
 
 
 def ground_truth_order(gt: DataFrame) -> DataFrame:

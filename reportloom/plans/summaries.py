@@ -5,31 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import na_normalize
+from ..functions.exprs import na_normalize, plain_path
 from ..operators import summary as M
+from ..sources import store
 from ..sources.paths import prompt_id
 from ..sources.writers import write_rows
 
 
-def _cells(text: Column, line: int) -> Column:
-    """The values of a line of a small CSV text; those that the files hold have neither commas nor quotes."""
-    return F.split(F.try_element_at(F.filter(F.split(text, r"\r?\n"), lambda x: x != ""), F.lit(line)), ",")
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, r"\r?\n"), lambda x: x != "")
+
+
+def _cells(line: Column) -> Column:
+    """The values of a CSV line: those in quotes may hold commas and doubled quotes."""
+    bare = lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), bare)
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not store.exists(where):
+    if not store.exists(spark, path):
         raise ValueError(f"no folder {path}")
-    return sorted(x.getPath().getName() for x in store.listStatus(where) if x.isDirectory())
+    return [name for _, name, is_folder in store.children(spark, path) if is_folder and not name.startswith(("_", "."))]
 
 
 def metric_values(spark: SparkSession, folder: str) -> DataFrame:
     """(metric, model, path, value) of the metrics files of a prompt's folder that the summary reads: the strict ones, and
     but for sizes those that left out all-false reports."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="metrics_*.csv")
-    parts = F.split(F.regexp_extract("_metadata.file_path", r"/([^/]+(?:/[^/]+)*)$", 1), "/")
-    files = files.select(F.col("_metadata.file_path").alias("path"), parts.alias("p"), _cells(F.col("value"), 1).alias("names"), _cells(F.col("value"), 2).alias("values"))
+    parts = F.split(F.regexp_extract(plain_path(F.col("_metadata.file_path")), r"/([^/]+(?:/[^/]+)*)$", 1), "/")
+    files = files.select(F.col("_metadata.file_path").alias("path"), parts.alias("p"), _cells(F.try_element_at(_lines(F.col("value")), F.lit(1))).alias("names"), _cells(F.try_element_at(_lines(F.col("value")), F.lit(2))).alias("values"))
     rules = [(name, kind, mode, column, "" if kind == "ich_size" else "_all_false_ignored") for name, kind, mode, column in M.SUMMARY_METRICS]
     wanted = F.broadcast(spark.createDataFrame(rules, "metric string, kind string, mode string, column string, suffix string"))
     both = files.crossJoin(wanted)
@@ -51,7 +55,7 @@ def summarize_folder(spark: SparkSession, folder: str, output: str | None = None
     named = values.unionByName(spark.createDataFrame([(m,) for m in models], "model string"), allowMissingColumns=True)
     table = M.wide(M.grid(M.summary_rows(spark), named).filter(F.col("model").isin(models)), "model", models) if models else M.summary_rows(spark).orderBy("ord").select("metric")
     path = f"{folder.rstrip('/')}/{output or f'summary_metrics_prompt{prompt_id(folder.rstrip("/"))}.csv'}"
-    write_rows(path, table.columns, [list(r) for r in table.collect()])
+    write_rows(spark, path, table.columns, [list(r) for r in table.collect()])
     return path
 
 
@@ -59,9 +63,9 @@ def prompt_values(spark: SparkSession, root: str) -> DataFrame:
     """(path, prompt_id, ord, metric, model, value) of all prompts' summaries under a root."""
     files = spark.read.text(f"{root.rstrip('/')}/prompt*/summary_metrics_prompt*.csv", wholetext=True)
     told = F.coalesce(F.nullif(F.regexp_extract("_metadata.file_name", r"(?:^|_)prompt([^_]*?)(?:_|\.csv$)", 1), F.lit("")), F.lit("U"))
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x != "")
-    x = files.select(F.col("_metadata.file_path").alias("path"), told.alias("prompt_id"), _cells(F.col("value"), 1).alias("names"), F.posexplode(F.slice(lines, 2, 1_000_000)).alias("ord", "line"))
-    x = x.withColumn("cells", F.split("line", ",")).filter(F.array_contains("names", "metric"))
+    lines = _lines(F.col("value"))
+    x = files.select(F.col("_metadata.file_path").alias("path"), told.alias("prompt_id"), _cells(F.try_element_at(lines, F.lit(1))).alias("names"), F.posexplode(F.slice(lines, F.lit(2), F.size(lines))).alias("ord", "line"))
+    x = x.withColumn("cells", _cells(F.col("line"))).filter(F.array_contains("names", "metric"))
     metric = F.get("cells", F.array_position("names", "metric").cast("int") - 1)
     x = x.select("path", "prompt_id", "ord", metric.alias("metric"), F.posexplode("names").alias("at", "model"), "cells").filter("model <> 'metric'")
     return na_normalize(x.select("path", "prompt_id", "ord", "metric", "model", F.get("cells", F.col("at")).alias("value")), "value")
@@ -83,6 +87,6 @@ def summarize_prompts(spark: SparkSession, root: str, output: str, model: str |
     for name in models:
         table = M.prompt_summary(values.select("metric", "prompt_id", "model", "value"), name, metrics)
         out.append(f"{output.rstrip('/')}/summary_prompts_{name}.csv")
-        write_rows(out[-1], table.columns, [list(r) for r in table.collect()])
+        write_rows(spark, out[-1], table.columns, [list(r) for r in table.collect()])
     values.unpersist()
     return out

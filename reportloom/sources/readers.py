@@ -5,21 +5,28 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import id_of_file, model_of, na_normalize, prompt_id_of, table_file
+from . import store
+from ..functions.exprs import id_of_file, model_of, na_normalize, plain_path, prompt_id_of, table_file
 
+#: Headers of a table's files that are read at a time.
+HEADER_READERS = 16
 
-def read_report_json(spark: SparkSession, folder: str) -> DataFrame:
-    """(ID, file, value) of each ``*.json`` of a folder that holds an object. Others (malformed, or another root) are skipped;
-    ``count_skipped`` counts them."""
-    files = _json_texts(spark, folder)
-    return files.filter(_is_object("value")).select(id_of_file(F.col("file")).alias("ID"), "file", "value")
+
+def read_report_json(spark: SparkSession, folder: str, skipped: Observation | None = None) -> DataFrame:
+    """(ID, file, value) of each ``*.json`` of a folder that holds an object. Others (malformed, or another root) are skipped.
+    ``skipped`` observes (files, skipped) in the pass that reads them; ``count_skipped`` counts in a pass of its own."""
+    files = _json_texts(spark, folder).withColumn("_object", _is_object("value"))
+    if skipped is not None:
+        files = files.observe(skipped, F.count("*").alias("files"), F.count_if(~F.col("_object")).alias("skipped"))
+    return files.filter("_object").select(id_of_file(F.col("file")).alias("ID"), "file", "value")
 
 
 def count_skipped(spark: SparkSession, folder: str) -> int:
@@ -39,11 +46,9 @@ def _is_object(column: str) -> F.Column:
 def table_paths(spark: SparkSession, path: str) -> list[str]:
     """A table's own path, or the tables (``*.csv``, files or folders of part files) of a folder, in order; those of its
     prompt folders where it has none itself. A folder without any is an error."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if path.rstrip("/").lower().endswith(".csv") or not store.getFileStatus(where).isDirectory():
+    if path.rstrip("/").lower().endswith(".csv") or not store.is_folder(spark, path):
         return [path]
-    inside = sorted((x.getPath().toString(), x.getPath().getName(), x.isDirectory()) for x in store.listStatus(where))
+    inside = store.children(spark, path)
     if any(name.startswith(("part-", "prompt_id=")) for _, name, _ in inside):
         return [path]  # the part files, or partitions, of one table
     tables = [full for full, name, _ in inside if name.lower().endswith(".csv")]
@@ -67,19 +72,26 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         if schema is not None:
             reader = reader.schema(schema)
         raw = reader.option("inferSchema", False).csv(paths)
-        file = table_file(F.col("_metadata.file_path"))
+        file = table_file(plain_path(F.col("_metadata.file_path")))
         found = {"file": file, "prompt_id": prompt_id_of(file), "model": model_of(file)}
         return na_normalize(raw).withColumns({k: v for k, v in found.items() if k == "file" or k not in raw.columns})
 
-    # files are read by place of column, so only those of one header are read together
-    headers: dict[tuple[str, ...], list[str]] = {}
-    for p in table_paths(spark, path):
-        headers.setdefault(() if schema is not None else _header(spark, p), []).append(p)
+    # files are read by place of column, so only those of one header are read together: a scan a header, whatever the files
+    paths, headers = table_paths(spark, path), {}
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        firsts = [""] * len(paths) if schema is not None else list(pool.map(lambda p: _header(spark, p), paths))
+    for p, header in zip(paths, firsts, strict=True):
+        headers.setdefault(header, []).append(p)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, headers.values()))
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    return tuple(spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("pathGlobFilter", "*.[cC][sS][vV]").csv(path).columns)
+def _header(spark: SparkSession, path: str) -> str:
+    """The header of a table: the first record of its first file that has one, of which nothing else is read."""
+    if not store.is_folder(spark, path):
+        return store.first_record(spark, path)
+    inside = [x for x in store.children(spark, path) if not x[1].startswith(("_", "."))]
+    found = (_header(spark, full) for full, name, folder in inside if folder or name.lower().endswith(".csv"))
+    return next(filter(None, found), "")
 
 
 def load_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import require
+from . import store
 from .paths import results_path
 
 
@@ -20,35 +20,40 @@ def csv_ready(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", **partition: str) -> None:
-    """A folder of CSV files, one scan of the plan; ``mode`` append adds to it, as a run without restart does."""
+    """A folder of CSV files, one scan of the plan; ``mode`` append adds to it, as a run without restart does. A table that
+    replaces another is written beside it and takes its place when it is complete, so a job that fails leaves the old one."""
+    spark = df.sparkSession
+    target = store.beside(path, "staged") if mode == "overwrite" else path
     writer = csv_ready(df).write.mode(mode).option("header", True).option("escape", '"')
     if by := partition.get("by"):
         writer = writer.partitionBy(*by.split(","))
-    writer.csv(path)
+    try:
+        writer.csv(target)
+        if target != path:
+            store.replace_folder(spark, target, path)
+    finally:
+        if target != path:
+            store.delete(spark, target)
 
 
 def write_results(df: DataFrame, root: str, kind: str, mode: str = "overwrite") -> list[str]:
-    """A table a prompt and model, each under the name of the convention: one job writes all, then folders are renamed."""
+    """A table a prompt and model, each under the name of the convention: one job writes all, then each takes its place."""
     spark = df.sparkSession
     staged = f"{root}/_staged-{uuid.uuid4().hex}"
-    write_table(df.withColumns({f"_{c}": F.col(c) for c in ("prompt_id", "model")}), staged, by="_prompt_id,_model")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     unescaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
     out = []
     try:
-        for prompt in (x.getPath() for x in store.listStatus(path(staged)) if x.isDirectory()):
-            for model in (x.getPath() for x in store.listStatus(prompt)):
-                names = [unescaped(x.getName().partition("=")[2]) for x in (prompt, model)]
+        write_table(df.withColumns({f"_{c}": F.col(c) for c in ("prompt_id", "model")}), staged, "append", by="_prompt_id,_model")
+        for prompt, prompt_name, is_folder in store.children(spark, staged):
+            for model, model_name, _ in store.children(spark, prompt) if is_folder else ():
+                names = [unescaped(x.partition("=")[2]) for x in (prompt_name, model_name)]
                 out.append(results_path(root, *names, kind))
-                target = path(out[-1])
                 if mode == "overwrite":
-                    store.delete(target, True)
-                store.mkdirs(target)
-                for part in store.listStatus(model):
-                    store.rename(part.getPath(), path(target, part.getPath().getName()))
+                    store.replace_folder(spark, model, out[-1])
+                else:
+                    store.add_files(spark, model, out[-1])
     finally:
-        store.delete(path(staged), True)
+        store.delete(spark, staged)
     return sorted(out)
 
 
@@ -57,13 +62,14 @@ def only_new(rows: DataFrame, before: DataFrame, key: str = "ID") -> DataFrame:
     return require(rows, key).join(before.select(key).distinct(), key, "left_anti")
 
 
-def write_rows(path: str, header: list[str], rows: list[list]) -> None:
-    """A metrics or summary table of a few rows as one CSV file of a local or mounted folder."""
+def write_rows(spark: SparkSession, path: str, header: list[str], rows: list[list]) -> None:
+    """A metrics or summary table of a few rows as one CSV file, published at once."""
     import csv
+    import io
 
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="") as file:
-        csv.writer(file, lineterminator="\n").writerows([header, *rows])
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows([header, *rows])
+    store.write_text(spark, path, text.getvalue())
 
 
 def error_report(title: str, counters: dict[str, object], sections: Iterable[tuple[str, str, Iterable, bool]]) -> str:
@@ -76,8 +82,3 @@ def error_report(title: str, counters: dict[str, object], sections: Iterable[tup
             continue
         lines += ["", heading, *([columns] if columns else []), *("\t".join("" if v is None else str(v) for v in r) for r in found)]
     return "\n".join(lines) + "\n"
-
-
-def write_text(path: str, text: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
