@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import answers as A
 from .operators.builders import build_booleans, build_measurements, build_reports, ground_truth
+from .operators.inference import Retry, Unanswered, answered_rows, ask, read_ledger
 from .operators.formatting import drop_bulky, format_rows
 from .plans.scoring import Options, ground_truth_order, score_all, write_all
 from .plans.summaries import summarize_folder, summarize_prompts
 from .session import importable
+from .sources import store
 from .sources.paths import FORMATTED, POSTPROCESSED
 from .sources.readers import load_reports, read_report_json, read_table
 from .sources.writers import write_results, write_table
@@ -40,6 +42,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--model", help="the name that results go by; the endpoint's first model if not told")
     p.add_argument("--prompt-id", type=int, default=1)
     p.add_argument("--prompts", help="a JSON file of prompts")
+    p.add_argument("--calls", type=int, default=4, help="calls that a task makes at once")
+    p.add_argument("--tasks", type=int, help="tasks that call at once; all cores by default")
+    p.add_argument("--wave", type=int, default=10_000, help="reports whose answers are committed together")
+    p.add_argument("--attempts", type=int, default=Retry.attempts, help="calls for a report before it is left")
+    p.add_argument("--wait", type=float, default=Retry.first, help="seconds before a second call; each wait is twice the one before")
     p.add_argument("--restart", action="store_true", help="forget this model's answers to this prompt")
     for name in ("postprocess", "format", "score"):
         p = sub.add_parser(name)
@@ -72,14 +79,22 @@ def chosen(text: str, known: tuple[str, ...]) -> tuple[str, ...]:
 
 
 def infer(spark: SparkSession, args: argparse.Namespace) -> None:
-    prompts = A.load_prompts(args.prompts) if args.prompts else A.PROMPTS
-    provider = A.HttpProvider(args.base_url)
-    model = args.model or provider.model()
-    asked = A.answered(load_reports(spark, args.input), args.prompt_id, lambda: A.HttpProvider(args.base_url), prompts)
-    raw = f"{args.output}/answers/prompt_id={args.prompt_id}/model={model}"
-    asked.write.mode("overwrite" if args.restart else "append").parquet(raw)  # each report is asked once
-    rows = A.parse_answers(spark.read.parquet(raw), args.prompt_id, prompts)
+    """Asks what the ledger of this prompt and model lacks, and writes the rows of all its answers, also where some are missing."""
+    prompts = A.load_prompts(spark, args.prompts) if args.prompts else A.PROMPTS
+    model = args.model or A.HttpProvider(args.base_url).model()
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    ledger = f"{args.output}/answers/prompt_id={args.prompt_id}/model={escaped(model)}"
+    if args.restart:
+        store.delete(spark, ledger)
+    url, lost = args.base_url, None
+    try:
+        rows = ask(load_reports(spark, args.input), args.prompt_id, lambda: A.HttpProvider(url), ledger, prompts, args.calls, args.tasks, args.wave, Retry(args.attempts, args.wait))
+    except Unanswered as e:
+        rows, lost = answered_rows(read_ledger(spark, ledger)), e
+    rows = A.parse_answers(rows, args.prompt_id, prompts)
     write_results(rows.withColumns({"prompt_id": F.lit(str(args.prompt_id)), "model": F.lit(model)}), f"{args.output}/raw", "")
+    if lost is not None:
+        raise lost
 
 
 def lesions(rows: DataFrame, **steps: bool) -> DataFrame:
@@ -93,9 +108,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = importable(SparkSession.builder.appName("reportloom").getOrCreate())
     if args.command in ("reports", "booleans", "measurements"):
         build = {"reports": build_reports, "booleans": build_booleans, "measurements": build_measurements}[args.command]
-        table = build(read_report_json(spark, args.input))
+        seen = Observation("report files")
+        table = build(read_report_json(spark, args.input, seen))
         index = [F.expr("try_cast(measurement_index AS INT)")] if args.command == "measurements" else []
         write_table(table.orderBy("ID", *index), args.output)
+        print(f"{seen.get['files']} files read, {seen.get['skipped']} skipped")
     elif args.command == "ground-truth":
         tables = [read_table(spark, path).drop("file", "prompt_id", "model") if path else None for path in (args.booleans, args.measurements)]
         write_table(ground_truth(*tables, args.all_ich_true).orderBy("ID"), args.output)

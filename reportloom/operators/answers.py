@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import UNKNOWN, require, strip
+from ..sources.store import read_text
 
 NO_LESION = "No lesions mentioned"
 
@@ -29,25 +30,70 @@ class Prompt:
 
 
 _BASE = ("type", "certainty", "size", "structure", "lateralization")
-_TEMPLATE = "lesion n: type = _; certainty = _; size = _; structure = _; lateralization = _;"
+# The types, the marks for what isn't told, and the words that stand for a size, a side, a degree and a certainty.
+TYPES = {"ICH": "in the brain tissue", "IVH": "in the ventricles", "SAH": "subarachnoid", "SDH": "subdural", "EDH": "epidural", "PHE": "edema around a hematoma"}
+SIZES = ("tiny", "small", "large")
+SIDES = ("Left", "Right", "Bilateral", "Median")
+SIDES_AS_REPORTED = ("Gauche", "Droit", "Bilateral", "Median")
+DEGREES = ("Mild", "Moderate", "Severe")
+DEGREES_AS_REPORTED = ("Leger", "Modere", "Severe/Marque")
+CERTAINTIES = {"certain": "stated plainly", "high": "probable", "low": "suspected, or a faint trace"}
+ARTIFACTS = ("drain", "embolization", "movement", "metal")
+
+
+def _line(fields: tuple[str, ...], n: int | str = "n") -> str:
+    return f"lesion {n}: {' '.join(f'{f} = _;' for f in fields)}"
+
+
+def _told(words: dict[str, str]) -> str:
+    return ", ".join(f"{k} ({v})" for k, v in words.items())
+
+
+def _rules(fields: tuple[str, ...], sides: tuple[str, ...], degrees: tuple[str, ...], english: bool, one_structure: bool, why: bool) -> str:
+    """The text of a prompt: what its fields may hold, and what to answer where there is nothing."""
+    degree = f"for PHE one of {', '.join(degrees)}"
+    known = {
+        "type": f"one of {_told(TYPES)}.",
+        "certainty": f"one of {_told(CERTAINTIES)}.",
+        "size": f"the dimensions with the report's unit, cm or mm (mm where it names none), as in 4.3 x 2.0 cm; in words without numbers one of {', '.join(SIZES)}" + ("." if "severity_phe" in fields else f"; {degree}."),
+        "structure": "the place alone, without its side: the lobe or region, for IVH the ventricle or horn, for PHE the region that it surrounds.",
+        "lateralization": f"one of {', '.join(sides)}.",
+        "ventricle_details": "for IVH the part of the ventricles (a horn, V3, V4); for ICH only a part that it extends into.",
+        "severity_phe": f"{degree}; U for other types.",
+        "artifacts": f"those of {', '.join(ARTIFACTS)} that the report names, or None.",
+    }
+    out = ["Write down every intracranial hemorrhage, and every edema around one, that the radiology report below states, each on a line of this form:", _line(fields, 1), _line(fields, 2), "", "Fields:"]
+    out += [f"- {f}: {known[f]}" for f in fields]
+    out += ["", "Rules:", f"- Separate foci are separate lines{'; so are the structures of one lesion, one a line' if one_structure else ''}.", f"- Write {UNKNOWN} in a field that the report says nothing about; guess nothing."]
+    out.append("- The report is in French; " + ("translate everything that you write into English." if english else "types are the English letters above, places stay in French."))
+    if why:
+        out.append("- Below the lines, say which sentences of the history, findings and impression each line comes from.")
+    out.append(f"- If you are sure that there is neither, answer '{NO_LESION}.'" + (" and say why." if why else ""))
+    return "\n".join(out)
+
+
+def _prompt(fields: tuple[str, ...], aliases: dict[str, str] | None = None, **rules) -> Prompt:
+    return Prompt(fields, aliases or {}, _rules(fields, **rules))
+
+
+_TEMPLATE = _line(_BASE)
 # The fields of each prompt, and names that stand for them. The texts are our own.
 PROMPTS = {
-    1: Prompt((*_BASE, "ventricle_details", "severity_phe", "artifacts"), {"ventricle details": "ventricle_details", "ventricle_detail": "ventricle_details", "severity phe": "severity_phe"}),
-    2: Prompt((*_BASE, "artifacts")),
-    3: Prompt(_BASE),
+    1: _prompt((*_BASE, "ventricle_details", "severity_phe", "artifacts"), {"ventricle details": "ventricle_details", "ventricle_detail": "ventricle_details", "severity phe": "severity_phe"}, sides=SIDES_AS_REPORTED, degrees=DEGREES_AS_REPORTED, english=False, one_structure=False, why=False),
+    2: _prompt((*_BASE, "artifacts"), sides=SIDES, degrees=DEGREES, english=True, one_structure=True, why=False),
+    3: _prompt(_BASE, sides=SIDES, degrees=DEGREES, english=True, one_structure=True, why=True),
     4: Prompt(_BASE, text=f"Read the report twice. First find every hemorrhage (ICH, IVH, SAH, SDH, EDH) and edema (PHE) that it states, then write one line for each: {_TEMPLATE} Write U where the report doesn't say, and 'No lesions mentioned' where there is none."),
     5: Prompt(_BASE, text=f"Write one line for each lesion of the report, as in: lesion 1: type = ICH; certainty = certain; size = 2 x 3 cm; structure = frontal; lateralization = left; - the form is {_TEMPLATE}"),
 }
 
 
-def load_prompts(path: str) -> dict[int, Prompt]:
+def load_prompts(spark: SparkSession, path: str) -> dict[int, Prompt]:
     """A deployment's prompts from a JSON file: {id: {"text": ..., "fields": [...], "aliases": {...}}}. What a known id leaves
     out is as here; a new id needs fields."""
     import json
-    from pathlib import Path
 
     out = dict(PROMPTS)
-    for key, given in json.loads(Path(path).read_text(encoding="utf-8")).items():
+    for key, given in json.loads(read_text(spark, path)).items():
         base = PROMPTS.get(int(key))
         if base is None and "fields" not in given:
             raise ValueError(f"prompt {key} has no fields")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.answers import PROMPTS
 from . import samples as P
 
 
@@ -182,6 +183,9 @@ SELECT k AS "ID", row_number() OVER (PARTITION BY k ORDER BY o)::INTEGER AS "Les
 UNION ALL SELECT k, 0, 'No lesions mentioned', 'U', 'U', 'U', 'U', 'U', 'U', 'U' FROM a WHERE k % 7 = 0""",
     "prompt_messages": """
 SELECT doc_id, 2::BIGINT AS n, md5('List each lesion of the report on a line: lesion n: type = _; certainty = _; size = _; structure = _; lateralization = _;' || chr(10) || chr(10) || 'Report:' || chr(10) || text) AS user_md5 FROM documents""",
+    "prompt_texts": f"""
+SELECT doc_id, prompt_id::BIGINT AS prompt_id, md5(said || chr(10) || chr(10) || 'Report:' || chr(10) || text) AS user_md5
+FROM documents, (VALUES {", ".join("({}, '{}')".format(k, p.asked.replace("'", "''")) for k, p in sorted(PROMPTS.items()))}) AS p(prompt_id, said)""",
     "path_ids": f"""
 WITH a AS (SELECT page_id, {pick(P.PATH_HEADS, 'page_id')} || list_extract(string_split(url, '/'), -1) || {pick(P.PATH_TAILS, 'page_id // 5')} AS p FROM pages),
 b AS (SELECT page_id, p, list_extract(string_split(p, '/'), -1) AS b FROM a)

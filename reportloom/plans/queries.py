@@ -284,10 +284,17 @@ def parse_answer_lines(spark, sf):
 
 
 def prompt_messages(spark, sf):
-    asked = read(spark, sf, "documents").select("doc_id", A.messages(F.col("text"), 3).alias("m"))
+    plain = {3: A.Prompt(A.PROMPTS[3].fields)}  # a prompt without a text of its own
+    asked = read(spark, sf, "documents").select("doc_id", A.messages(F.col("text"), 3, plain).alias("m"))
     return asked.select("doc_id", F.size("m").cast("bigint").alias("n"), F.md5(F.col("m")[1]["content"]).alias("user_md5"))
 
 
+def prompt_texts(spark, sf):
+    """What every prompt says of every document."""
+    told = F.array(*(F.struct(F.lit(k).cast("bigint").alias("prompt_id"), F.md5(A.messages(F.col("text"), k)[1]["content"]).alias("user_md5")) for k in sorted(A.PROMPTS)))
+    return read(spark, sf, "documents").select("doc_id", F.explode(told).alias("t")).select("doc_id", "t.*")
+
+
 # paths, values
 
 
@@ -369,7 +376,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         keyword_map, ich_structure_map, ivh_structure_map, phe_severity_map, accent_fold_map, format_all, set_overlap_per_user,
         set_overlap_summary, strict_set_accuracy, location_error_rows, severity_accuracy, size_parse, number_extract, tolerance_greedy_match,
         size_strict, size_flexible, size_error_rows, pair_format, unit_to_cm, report_texts, common_keys, checklist_booleans,
-        report_measurements, multi_label_from_flags, outer_join_ids, ground_truth_join, resume_anti_join, json_field, parse_answer_lines, prompt_messages,
+        report_measurements, multi_label_from_flags, outer_join_ids, ground_truth_join, resume_anti_join, json_field, parse_answer_lines, prompt_messages, prompt_texts,
         path_ids, html_meta_id, bool_parses, na_tokens, model_grid_summary, pivot_metric, prompt_metric_pivot, models_in_all_prompts,
         first_file_value, summary_long,
     )
