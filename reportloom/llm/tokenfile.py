@@ -7,7 +7,7 @@ into memory, and row k of a column is a slice at a fixed offset: random access c
 its index, an Arrow IPC file of (doc_id, at, n): where in the shard's stream each document begins and how long it is.
 
 Encoding. A token never reaches over a single space between two characters other than white space, as it can only begin
-with it; so texts are cut there, and each distinct unit is encoded once a task (its store is bounded in bytes). A text that
+with it; so texts are cut there, and each distinct unit is encoded once a worker (its store is bounded in bytes). A text that
 spells an added token of the vocabulary (such as <|endoftext|>, which the library reads as that token) is encoded whole.
 All ways are the library's own encoding of the whole text.
 
@@ -40,6 +40,8 @@ END = 2
 #: Sequences that a record batch has, and bytes of input (as the optimizer counts them) that a shard has.
 ROWS = 512
 SHARD_BYTES = 64 << 20
+#: Bytes of units, about, that a worker remembers.
+KEPT_BYTES = 192 << 20
 
 #: White space (of any kind) beside a space, or a space at either end; and the spaces at which such a text is cut.
 _ODD = r"^ | $|[\t-\r\x{1c}-\x{20}\x{85}\p{Z}] | [\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
@@ -71,11 +73,17 @@ class Encoder:
         self.spaced = np.zeros(top + 1, bool)
         for token, i in vocabulary.items():
             self.spaced[i] = token.startswith("Ġ")  # the byte-level name of a space
+        self.kept: UnitStore | None = None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def store(self, most: int = 3 * STORE_BYTES) -> UnitStore:
         return UnitStore(self._solve, self.kind, most)
 
+    def kept_store(self) -> UnitStore:
+        """This process's store, kept from task to task like the encoder itself, and bounded in bytes."""
+        self.kept = self.kept or self.store(KEPT_BYTES)
+        return self.kept
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
@@ -130,8 +138,9 @@ class Encoder:
         # so it is solved apart, and only what follows a space goes into the store
         later = np.ones(len(at), bool)
         later[heads] = False
-        used = np.unique(at[later])
         place = np.zeros(len(coded.dictionary), np.int64)
+        place[at[later]] = 1
+        used = np.flatnonzero(place)
         place[used] = store.places(pc.take(coded.dictionary, pa.array(used)).to_pylist())
         places = place[at]
         ids, size = store.spelled(places), store.sizes(places)
@@ -213,7 +222,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
         encoder, writer, at, n_docs = Encoder.of(tokenizer), None, 0, 0
-        units = encoder.store()
+        units = encoder.kept_store()
         for batch, texts in pieces(batches, "_t"):
             if writer is None:
                 store, path = _store(folder)
