@@ -58,5 +58,5 @@ def test_run(spark, folder):
     assert [name for name, _ in P.STAGES] == ["language_id", "simhash", "decontamination", "secret_scan", "sentencepiece"]
 
 
-def test_queries_cover_all_ten():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+def test_queries_cover_all_thirteen():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
