@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import ipaddress
 import itertools
 import math
 import random
@@ -361,6 +362,51 @@ def test_full_and_short_names_share_a_family_name(spark):
     assert not {w for i in got for x in got[i] for w in x.split(" ")[1:]} & {w for x in people + crowd for w in x.split(" ")[1:]}
 
 
+def test_no_part_of_a_name_is_left(spark):
+    cases = {  # text: the words that must go
+        "Mr O'Brien's dog saw Mr McDonald.": "O'Brien Brien McDonald Donald",
+        "Mr. J. R. Smith and Dr Jane Doe": "Smith Jane Doe J. R.",
+        "Mrs Mary Smith-Jones wrote; Smith-Jones and Mary Jones signed.": "Mary Smith Jones",
+        "Mr John Smith came. Later John Smith, J. Smith and SMITH left Smithfield": "John Smith SMITH J.",
+        "Prof. Dr. Anna van der Berg, Ing. Luc D’Arcy": "Anna Berg Luc Arcy",
+        "Señora María José García López rief an; García López": "María José García López",
+        "Frau Dr. Müller-Lüdenscheidt und Herr K. Ödön": "Müller Lüdenscheidt Ödön K.",
+        "г-н Иван Петров. Потом Петров ушёл": "Иван Петров",
+    }
+    rows = [(i, t) for i, t in enumerate(cases)]
+    got = by_id(pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    for i, (t, words) in enumerate(cases.items()):
+        new = got[i]["text"]
+        assert not [w for w in words.split() if re.search(rf"(?<!\w){re.escape(w)}(?!\w)", new)], new
+        assert re.sub(r"[\w'’.-]", "", new) == re.sub(r"[\w'’.-]", "", t)  # as many words, the same marks between
+    smith = [re.fullmatch(r"Mr (\w+) (\w+) came\. Later (\w+) (\w+), ([A-Z])\. (\w+) and (\w+) left Smithfield", got[3]["text"]).groups()]
+    for john, family, again, second, _, third, capitals in smith:
+        assert john == again and family == second == third and capitals == family.upper()
+    assert "'s dog" in got[0]["text"] and " van der " in got[4]["text"] and got[4]["text"].startswith("Prof. Dr. ")
+    mary, one, two, *rest = re.fullmatch(r"Mrs (\w+) (\w+)-(\w+) wrote; (\w+)-(\w+) and (\w+) (\w+) signed\.", got[2]["text"]).groups()
+    assert rest == [one, two, mary, two]
+
+
+def test_names_are_of_one_text(spark):
+    """A family name without a title is a mention in the text that has it with one, and a word elsewhere."""
+    rows = [(1, "Mr Brown ate Brown bread"), (2, "Brown bread"), (3, "Miss A-B and A-B"), (None, "Mr Brown"), (None, None)]
+    got = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert got[1] == "Brown bread" and got[4] is None
+    title, first, ate, second, bread = got[0].split(" ")
+    assert first == second != "Brown" and got[3] == f"Mr {first}" and (title, ate, bread) == ("Mr", "ate", "bread")
+
+
+def test_addresses_and_local_numbers(spark):
+    found = "(030) 1234567 | 0171 2345678 | 030/123456 | 2001:db8::ff00:42:8329 | 2001:0db8:0000:0000:0000:ff00:0042:8329 | FE80::1"
+    kept = "12:30:45 | std::vector | ::1 | 2024-01-02 | 0.123 456 | 12:34:56:78"
+    rows = [(1, found), (2, kept)]
+    got = by_id(pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    new, old = got[1]["text"].split(" | "), found.split(" | ")
+    assert got[2]["text"] == kept and (got[1]["n_phone"], got[1]["n_ipv6"]) == (3, 3)
+    assert all(a != b and re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for a, b in zip(new[:3], old[:3], strict=True))
+    assert ipaddress.ip_address(new[3]) == ipaddress.ip_address(new[4]) != ipaddress.ip_address(old[3]) and new[5] == new[5].upper() and ipaddress.ip_address(new[5])
+
+
 def iban(country, account):
     number = int("".join(str(int(c, 36)) for c in account + country + "00"))
     return f"{country}{98 - number % 97:02d}{account}"
