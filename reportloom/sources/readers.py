@@ -5,10 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import islice
 from xml.etree import ElementTree
 
+import pyarrow as pa
+from pyarrow import feather
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +22,8 @@ from ..functions.exprs import id_of_file, model_of, na_normalize, plain_path, pr
 
 #: Headers of a table's files that are read at a time.
 HEADER_READERS = 16
+#: Rows of a workbook that a task hands over at a time.
+ROWS_A_BATCH = 1000
 
 
 def read_report_json(spark: SparkSession, folder: str, skipped: Observation | None = None) -> DataFrame:
@@ -100,32 +106,47 @@ def load_reports(spark: SparkSession, path: str) -> DataFrame:
     if suffix == "csv":
         table = read_table(spark, path).drop("file", "prompt_id", "model")
     elif suffix == "xlsx":
-        header, *rows = read_sheet(spark, path) or [[]]
-        names = [str(h) for h in header]
-        filled = [[(r[k] if k < len(r) else None) for k in range(len(names))] for r in rows]
-        table = na_normalize(spark.createDataFrame(filled, T.StructType([T.StructField(n, T.StringType()) for n in names])))
+        table = na_normalize(read_sheet(spark, path))
     elif suffix == "feather":
-        from pyarrow import feather
-
-        table = spark.createDataFrame(feather.read_table(path))
+        table = read_feather(spark, path)
     else:
         raise ValueError(f"unsupported file type: {path}")
     return table.dropna(subset=["ID", "Report"])
 
 
-def read_sheet(spark: SparkSession, path: str) -> list[list[str | None]]:
-    """The rows of a workbook's first sheet as texts. A sheet has a bounded number of rows, so the driver reads it."""
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook (or of each of a folder's that share a header), all texts, by a task a workbook; the
+    driver sees the header alone."""
+    cells = "cells array<string>"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path).select("content")
+    header = files.mapInArrow(lambda batches: _sheets(batches, stop=1), cells).first()
+    names = [str(name) for name in header["cells"]] if header else []
+    rows = files.mapInArrow(lambda batches: _sheets(batches, start=1), cells)
+    return rows.select(*(F.get("cells", F.lit(k)).alias(name) for k, name in enumerate(names)))
+
+
+def _sheets(batches: Iterator[pa.RecordBatch], start: int = 0, stop: int | None = None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for content in batch.column(0):
+            rows = islice(sheet_rows(content.as_py()), start, stop)
+            while some := list(islice(rows, ROWS_A_BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.list_(pa.string()))], ["cells"])
+
+
+def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """The rows of a workbook's first sheet as texts, a row at a time; a sheet without any is an error."""
     space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    content = spark.read.format("binaryFile").load(path).first()["content"]
-    with zipfile.ZipFile(io.BytesIO(bytes(content))) as book:
-        names = set(book.namelist())
-        texts = lambda node: "".join(t.text or "" for t in node.iter(f"{space}t"))
-        shared = [texts(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+    texts = lambda node: "".join(t.text or "" for t in node.iter(f"{space}t"))
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names, shared = set(book.namelist()), []
         sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
         if not sheets:
-            raise ValueError(f"no sheet in {path}")
-        out = []
-        for row in ElementTree.fromstring(book.read(sheets[0])).iter(f"{space}row"):
+            raise ValueError("a workbook without a sheet")
+        if "xl/sharedStrings.xml" in names:
+            shared = [texts(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+        for _, row in ElementTree.iterparse(book.open(sheets[0])):
+            if row.tag != f"{space}row":
+                continue
             cells: list[str | None] = []
             for cell in row.iter(f"{space}c"):
                 at = reduce(lambda n, c: 26 * n + ord(c) - 64, re.match(r"[A-Z]*", cell.get("r", ""))[0], 0) - 1
@@ -138,8 +159,53 @@ def read_sheet(spark: SparkSession, path: str) -> list[list[str | None]]:
                 elif kind == "b":
                     value = "True" if value == "1" else "False"
                 cells.append(value)
-            out.append(cells)
-    return out
+            row.clear()
+            yield cells
+
+
+def read_feather(spark: SparkSession, path: str) -> DataFrame:
+    """A Feather file (or a folder's, of one schema), by a task a file and a record batch at a time; the driver sees the schema
+    alone. Dictionary columns become their values, times have microseconds, columns of nulls are texts."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[fF][eE][aA][tT][hH][eE][rR]").load(path).select("content")
+    first = files.mapInArrow(_feather_schemas, "schema binary").first()
+    if first is None:
+        raise ValueError(f"no Feather files in {path}")
+    schema = pa.ipc.read_schema(pa.py_buffer(bytes(first["schema"])))
+    return files.mapInArrow(_feather_rows, spark.createDataFrame(schema.empty_table()).schema)
+
+
+def _feather_schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for content in batch.column(0):
+            schema = _plain(_feather_batches(content)[0])
+            yield pa.RecordBatch.from_arrays([pa.array([schema.serialize().to_pybytes()], pa.binary())], ["schema"])
+
+
+def _feather_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for content in batch.column(0):
+            for found in _feather_batches(content)[1]:
+                yield from pa.Table.from_batches([found]).cast(_plain(found.schema), safe=False).to_batches()
+
+
+def _feather_batches(content: pa.BinaryScalar) -> tuple[pa.Schema, Iterator[pa.RecordBatch]]:
+    data = content.as_buffer()
+    if data.slice(0, 6).to_pybytes() == b"ARROW1":
+        reader = pa.ipc.open_file(data)
+        return reader.schema, map(reader.get_batch, range(reader.num_record_batches))
+    table = feather.read_table(pa.BufferReader(data))  # the format's first version
+    return table.schema, iter(table.to_batches())
+
+
+def _plain(schema: pa.Schema) -> pa.Schema:
+    def kind(t: pa.DataType) -> pa.DataType:
+        if pa.types.is_dictionary(t):
+            return kind(t.value_type)
+        if pa.types.is_timestamp(t):
+            return pa.timestamp("us", t.tz)
+        return pa.string() if pa.types.is_null(t) or pa.types.is_large_string(t) else t
+
+    return pa.schema([pa.field(f.name, kind(f.type)) for f in schema])
 
 
 def list_images(spark: SparkSession, path: str) -> DataFrame:

@@ -218,6 +218,12 @@ def test_report_sources(spark, tmp_path):
     frame.to_csv(tmp_path / "r.csv", index=False)
     for name in ("r.feather", "r.csv"):
         assert [r["ID"] for r in readers.load_reports(spark, str(tmp_path / name)).collect()] == ["a"]
+    many = pd.DataFrame({"ID": pd.Categorical([f"{i:05d}" for i in range(5000)]), "Report": "r", "at": pd.Timestamp("2024-01-02 03:04:05"), "none": None})
+    feather.write_feather(many, str(tmp_path / "many.feather"), chunksize=700)
+    got = readers.load_reports(spark, str(tmp_path / "many.feather"))
+    assert got.count() == 5000 and got.filter("ID = '04999' and none is null and date_format(at, 'HH:mm') = '03:04'").count() == 1
+    feather.write_feather(frame, str(tmp_path / "old.feather"), version=1)
+    assert [r["ID"] for r in readers.load_reports(spark, str(tmp_path / "old.feather")).collect()] == ["a"]
     sheet = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     cells = [('A1', 's', 0), ('B1', 's', 1), ('A2', None, "007"), ('B2', 'inlineStr', "x &amp; y"), ('A3', 's', 2), ('C3', 'b', 1)]
     cell = lambda r, t, v: f'<c r="{r}"' + (f' t="{t}"' if t else "") + ">" + (f"<is><t>{v}</t></is>" if t == "inlineStr" else f"<v>{v}</v>") + "</c>"
