@@ -60,12 +60,15 @@ def presence_rows(gt: DataFrame, predictions: DataFrame, truth: str, kind: str,
 def presence_metrics(rows: DataFrame, by: By = ()) -> DataFrame:
     a, p = F.col("actual"), F.col("predicted")
     counts = rows.groupBy(*by).agg(F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"), F.count_if(a & ~p).alias("fn"), F.count_if(~a & ~p).alias("tn"))
-    tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
+    return counts.select(*by, *presence_fields(*map(F.col, ("tp", "fp", "fn", "tn"))))
+
+
+def presence_fields(tp: Column, fp: Column, fn: Column, tn: Column) -> list[Column]:
     precision, sensitivity = safe_div(tp, tp + fp), safe_div(tp, tp + fn)
-    return counts.select(
-        *by, "tp", "fp", "fn", "tn", sensitivity.alias("sensitivity"), safe_div(tn, tn + fp).alias("specificity"),
+    return [
+        tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), sensitivity.alias("sensitivity"), safe_div(tn, tn + fp).alias("specificity"),
         safe_div(2 * precision * sensitivity, precision + sensitivity).alias("f1_score"), safe_div(tp + tn, tp + fp + fn + tn).alias("accuracy"),
-    )
+    ]
 
 
 def presence_errors(rows: DataFrame, by: By = ()) -> DataFrame:
@@ -90,7 +93,12 @@ def severity_rows(gt: DataFrame, predictions: DataFrame, by: By = (), ignore_all
     require(predictions, "ID", "type", value)
     rows = evaluated(gt, predictions, by, ignore_all_false).withColumn("gt", norm(F.col(truth))).filter(F.col("gt") != "")
     both = matched(rows, gathered(predictions, "PHE", value, severity_list(F.col(value)), by, order), by)
-    return both.select(*by, "ID", "gt", "pred", "raw", F.coalesce(F.array_contains("pred", F.col("gt")), F.lit(False)).alias("correct"), F.coalesce(F.exists("raw", lambda r: F.contains(r, F.lit("/"))), F.lit(False)).alias("several"))
+    return both.select(*by, "ID", *severity_fields(F.col("gt"), F.col("pred"), F.col("raw")))
+
+
+def severity_fields(gt: Column, pred: Column, raw: Column) -> list[Column]:
+    several = F.coalesce(F.exists(raw, lambda r: F.contains(r, F.lit("/"))), F.lit(False))
+    return [gt.alias("gt"), pred.alias("pred"), raw.alias("raw"), F.coalesce(F.array_contains(pred, gt), F.lit(False)).alias("correct"), several.alias("several")]
 
 
 def severity_metrics(rows: DataFrame, by: By = ()) -> DataFrame:
@@ -115,16 +123,24 @@ def flexible_metrics(rows: DataFrame, by: By = (), jaccard: bool = True) -> Data
 
 def location_rows(gt: DataFrame, predictions: DataFrame, kind: str, truth: str, by: By = (), ignore_all_false: bool = False, order: tuple[str, ...] = (), value: str = "structure") -> DataFrame:
     """Predicted and true label sets, whether they are equal, and their overlap."""
-    if truth not in gt.columns and truth == "ich_location" and "ich_localisation" in gt.columns:
-        gt = gt.withColumnRenamed("ich_localisation", truth)
-    require(gt, "ID", truth)
+    gt = require(with_location(gt, truth), "ID", truth)
     require(predictions, "ID", "type", value)
     rows = evaluated(gt, predictions, by, ignore_all_false).filter(norm(F.col(truth)) != "").withColumn("gt", label_list(F.col(truth)))
     both = matched(rows, gathered(predictions, kind, value, label_list(F.col(value)), by, order), by).withColumn("pred", F.array_distinct("pred"))
-    return both.select(
-        *by, "ID", "gt", "pred", F.coalesce(same_set(F.col("gt"), F.col("pred")), F.lit(False)).alias("correct"), overlap(F.col("gt"), F.col("pred")).alias("score"),
-        F.array_sort(F.array_except("gt", "pred")).alias("missing"), F.array_sort(F.array_except("pred", "gt")).alias("extra"),
-    )
+    return both.select(*by, "ID", *location_fields(F.col("gt"), F.col("pred")))
+
+
+def with_location(gt: DataFrame, truth: str) -> DataFrame:
+    """The ground truth with its ICH locations under the name of the metric."""
+    old = truth == "ich_location" and truth not in gt.columns and "ich_localisation" in gt.columns
+    return gt.withColumnRenamed("ich_localisation", truth) if old else gt
+
+
+def location_fields(gt: Column, pred: Column) -> list[Column]:
+    return [
+        gt.alias("gt"), pred.alias("pred"), F.coalesce(same_set(gt, pred), F.lit(False)).alias("correct"), overlap(gt, pred).alias("score"),
+        F.array_sort(F.array_except(gt, pred)).alias("missing"), F.array_sort(F.array_except(pred, gt)).alias("extra"),
+    ]
 
 
 def size_rows(gt: DataFrame, predictions: DataFrame, tolerance_mm: float = TOLERANCE_MM, by: By = (), order: tuple[str, ...] = (), kind: str = "ICH", truth: str = "size", value: str = "size") -> DataFrame:
@@ -134,10 +150,16 @@ def size_rows(gt: DataFrame, predictions: DataFrame, tolerance_mm: float = TOLER
     rows = evaluated(gt, predictions, by).filter(norm(F.col(truth)) != "").withColumn("gt", parse_sizes(F.col(truth)))
     both = matched(rows, gathered(predictions, kind, value, parse_sizes(F.col(value)), by, order), by)
     both = both.withColumn("m", F.when(F.col("pred").isNotNull(), greedy_match(F.col("gt"), F.col("pred"), tolerance_mm)))
-    hits = F.size("gt") - F.size("m.missing")
-    score = F.struct(safe_div(hits, F.size("gt")).alias("coverage"), safe_div(hits, F.size("pred")).alias("precision"))
-    nothing_left = (F.size("m.missing") == 0) & (F.size("m.remaining") == 0)
-    return both.select(*by, "ID", "gt", "pred", F.coalesce(F.col("pred").isNotNull() & nothing_left, F.lit(False)).alias("correct"), score.alias("score"), F.col("m.missing").alias("missing"), F.col("m.remaining").alias("extra"))
+    return both.select(*by, "ID", *size_fields(F.col("gt"), F.col("pred"), F.col("m")))
+
+
+def size_fields(gt: Column, pred: Column, match: Column) -> list[Column]:
+    """``match`` is what the greedy match leaves of either, null where nothing was predicted."""
+    missing, extra = match["missing"], match["remaining"]
+    hits = F.size(gt) - F.size(missing)
+    score = F.struct(safe_div(hits, F.size(gt)).alias("coverage"), safe_div(hits, F.size(pred)).alias("precision"))
+    correct = F.coalesce(pred.isNotNull() & (F.size(missing) == 0) & (F.size(extra) == 0), F.lit(False))
+    return [gt.alias("gt"), pred.alias("pred"), correct.alias("correct"), score.alias("score"), missing.alias("missing"), extra.alias("extra")]
 
 
 def error_rows(rows: DataFrame, by: By = (), flexible: bool = False) -> DataFrame:

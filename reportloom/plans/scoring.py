@@ -1,22 +1,26 @@
-"""All metrics of all models and prompts in one job, and their files."""
+"""All metrics of all models and prompts out of one shuffle of the predictions, and their files."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
-from itertools import groupby
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizes import TOLERANCE_MM
+from ..operators import scorecard as C
 from ..operators import scoring as S
 from ..operators.summary import NOT_AVAILABLE, SUMMARY_METRICS, long_metrics
+from ..sources import store
 from ..sources.paths import metric_paths
-from ..sources.store import write_text
-from ..sources.writers import error_report, write_rows
+from ..sources.writers import write_rows
 
 BY = ("model", "prompt_id")
+#: A report of more bytes is a folder of files in order.
+REPORT_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -30,43 +34,50 @@ class Options:
 
 @dataclass(frozen=True)
 class Scored:
-    """One metric: its rows, its table, its errors, and how its report reads."""
+    """One metric: its table, its errors, and how its report reads."""
 
     metric: str
     mode: str
     table: DataFrame
     errors: DataFrame
     title: str
+    source: C.Metric
 
 
-def score_all(gt: DataFrame, formatted: DataFrame, options: Options = Options(), by: tuple[str, ...] = BY, names: DataFrame | None = None) -> list[Scored]:
+class Scores(list):
+    """What was scored, and the rows and sums that all of it comes from."""
+
+    def __init__(self, wide: DataFrame, sums: DataFrame) -> None:
+        super().__init__()
+        self.wide, self.sums = wide, sums
+
+
+def score_all(gt: DataFrame, formatted: DataFrame, options: Options = Options(), by: tuple[str, ...] = BY, names: DataFrame | None = None) -> Scores:
     """Every metric (of ``options.metrics``, if told) whose columns the ground truth has. ``names`` are models and prompts
     that are scored even where none of their rows is left."""
-    out: list[Scored] = []
-    if names is not None:
-        formatted = formatted.unionByName(names.select(*by).distinct(), allowMissingColumns=True)
-    ign, order = options.ignore_all_false, options.order
-    for kind, truth, strip in (("IVH", "ivh_presence", False), ("PHE", "phe_presence", True)):
-        if truth in gt.columns:
-            rows = S.presence_rows(gt, formatted, truth, kind, by, ign, strip)
-            extra = S.extra_ids(gt, formatted, kind, by, ign, strip).withColumn("section", F.lit("extra"))
-            out.append(Scored(truth, "", S.presence_metrics(rows, by), S.presence_errors(rows, by).unionByName(extra.select(*by, "section", "ID")), f"{kind} presence errors"))
-    if "phe_intensity" in gt.columns:
-        rows = S.severity_rows(gt, formatted, by, ign, order)
-        out.append(Scored("phe_severity", "", S.severity_metrics(rows, by), S.error_rows(rows, by), "PHE severity errors"))
-    modes = ("strict", "flexible") if options.all_modes else ("strict",)
-    for kind, metric, truth in (("ICH", "ich_location", "ich_location"), ("IVH", "ivh_location", "ivh_location")):
-        if truth in gt.columns or (kind == "ICH" and "ich_localisation" in gt.columns):
-            rows = S.location_rows(gt, formatted, kind, truth, by, ign, order)
-            for mode in modes:
-                table = S.strict_metrics(rows, by) if mode == "strict" else S.flexible_metrics(rows, by)
-                out.append(Scored(metric, mode, table, S.error_rows(rows, by, mode == "flexible"), f"{kind} location errors ({mode})"))
-    if "size" in gt.columns:
-        rows = S.size_rows(gt, formatted, options.tolerance_mm, by, order)
-        for mode in modes:
-            table = S.strict_metrics(rows, by) if mode == "strict" else S.flexible_metrics(rows, by, jaccard=False)
-            out.append(Scored("ich_size", mode, table, S.error_rows(rows, by, mode == "flexible"), f"ICH size errors ({mode})"))
-    return [x for x in out if not options.metrics or x.metric in options.metrics]
+    metrics = C.metrics_for(gt, options.metrics)
+    if not metrics:
+        return Scores(formatted.limit(0), formatted.limit(0))
+    known = formatted.select(*by) if names is None else formatted.select(*by).unionByName(names.select(*by))
+    found = C.gathered_all(formatted, metrics, by, options.order)
+    wide = C.wide_rows(gt, found, known if by else None, metrics, by, options.ignore_all_false, options.tolerance_mm)
+    out = Scores(wide, C.tallies(wide, metrics, by))
+    for m in metrics:
+        for mode in m.modes if options.all_modes else m.modes[:1]:
+            out.append(Scored(m.name, mode, C.metric_table(out.sums, m, mode, by), _errors(wide, m, mode, by), _title(m, mode), m))
+    return out
+
+
+def _errors(wide: DataFrame, m: C.Metric, mode: str, by: tuple[str, ...]) -> DataFrame:
+    rows = C.rows_of(wide, m, by)
+    if m.form != "presence":
+        return S.error_rows(rows, by, mode == "flexible")
+    extra = wide.filter(F.array_contains("extra", m.name)).select(*by, F.lit("extra").alias("section"), "ID")
+    return S.presence_errors(rows, by).unionByName(extra)
+
+
+def _title(m: C.Metric, mode: str) -> str:
+    return f"{m.kind} {m.form} errors" + (f" ({mode})" if mode else "")
 
 
 def summarize(scored: list[Scored]) -> DataFrame:
@@ -74,42 +85,69 @@ def summarize(scored: list[Scored]) -> DataFrame:
     return reduce(DataFrame.unionByName, (long_metrics(s.table, s.metric, s.mode) for s in scored))
 
 
-def write_all(scored: list[Scored], root: str, ignore_all_false: bool, order: DataFrame | None = None) -> None:
-    """A metrics file and an error report for each model, prompt, metric and mode, and a summary a prompt. Two jobs a
-    metric: its table, a row a model and prompt, and its errors, which come sorted, a partition at a time. ``order`` is
-    (ID, at): errors stand in the order of the ground truth, IDs that it doesn't have last."""
-    values: list[tuple] = []
-    for s in scored:
-        table = {(r["model"], r["prompt_id"]): r for r in s.table.collect()}
-        columns = [c for c in s.errors.columns if c not in (*BY, "section")]
-        errors = s.errors if order is None else s.errors.join(order, "ID", "left")
-        place = [] if order is None else [F.col("at").asc_nulls_last()]
-        rows = errors.orderBy(*BY, "section", *place, "ID").select(*BY, "section", *columns).toLocalIterator()
-
-        def put(key: tuple, lines: dict[str, list], s=s, table=table, columns=columns) -> None:
-            if key not in table:  # an extra ID's model is always scored; only a null name could be here
-                return
-            model, prompt = key
-            own = {k: table[key][k] for k in s.table.columns if k not in BY}
-            table_path, text_path = metric_paths(root, prompt, model, s.metric, s.mode, ignore_all_false)
-            write_rows(s.table.sparkSession, table_path, list(own), [list(own.values())])
-            write_text(s.table.sparkSession, text_path, error_report(s.title, own, [(f"Errors - {n}", "\t".join(columns), some, True) for n, some in sorted(lines.items())]))
-            values.extend((name, model, prompt, str(own[column])) for name, folder, mode, column in SUMMARY_METRICS if (folder, mode) == (s.metric, s.mode) and own.get(column) is not None)
-
-        done = set()
-        for key, own in groupby(rows, key=lambda r: (r["model"], r["prompt_id"])):  # one report's errors at a time
-            lines: dict[str, list] = {}
-            for row in own:
-                lines.setdefault(row["section"], []).append(row[len(BY) + 1 :])
-            put(key, lines)
-            done.add(key)
-        for key in table:
-            if key not in done:
-                put(key, {})
+def write_all(scored: Scores, root: str, ignore_all_false: bool, order: DataFrame | None = None, report_bytes: int = REPORT_BYTES) -> None:
+    """A metrics file and an error report for each model, prompt, metric and mode, and a summary a prompt: two jobs whatever
+    their number, one for all sums, one in which tasks sort and write the lines of all reports. The driver sees a row a model
+    and prompt, and puts a report together out of its files, as one file up to ``report_bytes``. ``order`` is (ID, at):
+    errors stand in the order of the ground truth, IDs that it doesn't have last."""
+    if not scored:
+        return
+    spark = scored.wide.sparkSession
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    scored.wide.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cell = lambda s: F.when(C.counted(s.source), F.struct(*C.metric_fields(s.source, s.mode))).alias(f"{s.metric}|{s.mode}")
+        tables = scored.sums.select(*BY, *map(cell, scored)).collect()
+        files = _write_lines(scored, staged, order)
+        values: list[tuple] = []
+        for row in tables:
+            model, prompt = row["model"], row["prompt_id"]
+            for s in scored:
+                if row[f"{s.metric}|{s.mode}"] is None:
+                    continue
+                own = row[f"{s.metric}|{s.mode}"].asDict()
+                table_path, text_path = metric_paths(root, prompt, model, s.metric, s.mode, ignore_all_false)
+                write_rows(spark, table_path, list(own), [list(own.values())])
+                columns = "\t".join(C.error_columns(s.source, s.mode))
+                pieces = [store.Text("\n".join([s.title, " ".join(f"{k}={v}" for k, v in own.items())]) + "\n")]
+                for section, parts in sorted(files.get((model, prompt, s.metric, s.mode), {}).items()):
+                    pieces += [store.Text(f"\nErrors - {section}\n{columns}\n"), *parts]
+                store.join_files(spark, text_path, pieces, report_bytes)
+                values.extend((name, model, prompt, str(own[column])) for name, folder, mode, column in SUMMARY_METRICS if (folder, mode) == (s.metric, s.mode) and own.get(column) is not None)
+    finally:
+        scored.wide.unpersist()
+        store.delete(spark, staged)
     for prompt in sorted({v[2] for v in values}):
         models = sorted({v[1] for v in values if v[2] == prompt})
         cells = {(v[0], v[1]): v[3] for v in values if v[2] == prompt}
-        write_rows(scored[0].table.sparkSession, f"{root}/prompt{prompt}/summary_metrics_prompt{prompt}.csv", ["metric", *models], [[m[0], *(cells.get((m[0], x), NOT_AVAILABLE) for x in models)] for m in SUMMARY_METRICS])
+        write_rows(spark, f"{root}/prompt{prompt}/summary_metrics_prompt{prompt}.csv", ["metric", *models], [[m[0], *(cells.get((m[0], x), NOT_AVAILABLE) for x in models)] for m in SUMMARY_METRICS])
+
+
+def _write_lines(scored: Scores, staged: str, order: DataFrame | None) -> dict[tuple, dict[str, list[str]]]:
+    """Files of error lines in order, by (model, prompt, metric, mode) and section. The lines are range-sorted, so a large
+    report is the work of many tasks."""
+    errors = C.error_lines(scored.wide, [(s.source, s.mode) for s in scored], BY)
+    errors = errors.withColumn("at", F.lit(None).cast("long")) if order is None else errors.join(order, "ID", "left")
+    folders = [*BY, "metric", "mode", "section"]
+    keys = {f"_{c}": F.concat(F.lit("k"), F.col(c)) for c in folders}  # an empty name would be no folder
+    lines = errors.filter(F.col("model").isNotNull() & F.col("prompt_id").isNotNull()).select(*(v.alias(k) for k, v in keys.items()), "at", "ID", "line")
+    lines = lines.orderBy(*keys, F.col("at").asc_nulls_last(), "ID", "line").select(*keys, "line")
+    lines.write.partitionBy(*keys).text(staged)
+    spark = scored.wide.sparkSession
+    unescaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    out: dict[tuple, dict[str, list[str]]] = {}
+
+    def walk(path: str, named: list[str]) -> None:
+        if len(named) == len(folders):
+            parts = [p for p, name, _ in store.children(spark, path) if name.startswith("part-")]
+            out.setdefault(tuple(named[:4]), {})[named[4]] = parts
+            return
+        for child, name, is_folder in store.children(spark, path):
+            if is_folder and "=" in name:
+                walk(child, [*named, unescaped(name.partition("=")[2])[1:]])
+
+    walk(staged, [])
+    return out
 
 
 def ground_truth_order(gt: DataFrame) -> DataFrame:

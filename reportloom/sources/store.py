@@ -88,6 +88,52 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise
 
 
+class Text(str):
+    """A piece of a file that is given as text, not as the path of one."""
+
+
+def join_files(spark: SparkSession, path: str, pieces: list[str], most: int) -> None:
+    """Publishes texts and files, in order, as one file of up to ``most`` bytes, else as a folder of files whose names are in
+    order. Files are moved or copied by the file system's streams; they don't pass through Python."""
+    store, target = _at(spark, path)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    size = sum(len(p.encode()) if isinstance(p, Text) else store.getFileStatus(_at(spark, p)[1]).getLen() for p in pieces)
+    staged = beside(target.toString(), "staged")
+    hidden = jvm.org.apache.hadoop.fs.Path(staged)
+    store.mkdirs(target.getParent())
+    try:
+        if size > most:
+            store.mkdirs(hidden)
+            for k, p in enumerate(pieces):
+                name = f"{staged}/part-{k:09d}.txt"
+                if isinstance(p, Text):
+                    write_text(spark, name, p)
+                elif not store.rename(_at(spark, p)[1], jvm.org.apache.hadoop.fs.Path(name)):
+                    raise OSError(f"can't move {p}")
+        else:
+            out = store.create(hidden, True)
+            try:
+                for p in pieces:
+                    if isinstance(p, Text):
+                        out.write(bytearray(p.encode()))
+                        continue
+                    part = store.open(_at(spark, p)[1])
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                    finally:
+                        part.close()
+            finally:
+                out.close()
+        was_folder = store.exists(target) and store.getFileStatus(target).isDirectory()
+        if size > most or was_folder:
+            replace_folder(spark, staged, path)
+        else:
+            _rename_over(spark, store, hidden, target)
+    except BaseException:
+        store.delete(hidden, True)
+        raise
+
+
 def _rename_over(spark: SparkSession, store, source, target) -> None:
     if target.toUri().getScheme() == "file":  # a POSIX rename replaces
         if not store.rename(source, target):
