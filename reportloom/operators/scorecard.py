@@ -166,6 +166,18 @@ def metric_table(sums: DataFrame, m: Metric, mode: str, by: S.By) -> DataFrame:
     return sums.filter(counted(m)).select(*by, *metric_fields(m, mode))
 
 
+def long_values(sums: DataFrame, chosen: list[tuple[Metric, str]], by: S.By) -> DataFrame:
+    """(by, metric, mode, name, value): all tables under each other, in one pass over the sums."""
+
+    def cells(m: Metric, mode: str) -> Column:
+        table = F.struct(*metric_fields(m, mode))
+        names = [f.name for f in sums.select(table.alias("x")).schema["x"].dataType.fields]
+        own = [F.struct(F.lit(m.name).alias("metric"), F.lit(mode).alias("mode"), F.lit(n).alias("name"), table[n].cast("double").alias("value")) for n in names]
+        return F.when(counted(m), F.array(*own))
+
+    return sums.select(*by, F.inline(F.flatten(F.array_compact(F.array(*(cells(m, mode) for m, mode in chosen))))))
+
+
 def error_columns(m: Metric, mode: str) -> list[str]:
     shown = {"presence": [], "severity": ["gt", "pred"]}.get(m.form, ["gt", "pred"])
     return ["ID", *shown, *(["missing", "extra", "scores"] if mode == "flexible" else [])]

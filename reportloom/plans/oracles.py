@@ -77,6 +77,17 @@ WITH k AS (SELECT p_partkey AS k, p_size, p_partkey::VARCHAR || {pick(P.FILE_TAI
 r AS (SELECT *, k::VARCHAR || CASE WHEN k % 4 = 3 THEN '_report' ELSE '' END AS "ID" FROM k)
 """
 
+_SCORES = f"""
+WITH g AS (SELECT o_orderkey AS id, o_orderstatus <> 'P' AS counts, o_totalprice > 250000 AS ivh, o_custkey % 2 = 0 AS phe, lower(trim({pick(P.SEVERITIES, 'o_custkey')})) AS sev,
+  list_distinct(['s' || o_custkey % 3, 's' || o_orderkey % 5]) AS ich_l, ['s' || o_orderkey % 4] AS ivh_l FROM orders),
+l AS (SELECT l_orderkey AS id, l_returnflag AS model, l_linestatus AS prompt_id, l_linenumber % 3 AS k, 's' || l_suppkey % 4 AS a, 's' || l_partkey % 5 AS b, {pick(P.SEVERITIES, 'l_partkey')} AS z FROM lineitem),
+f AS (SELECT id, model, prompt_id, bool_or(k = 1) AS p_ivh, bool_or(k = 2) AS p_phe, list(z) FILTER (WHERE k = 2) AS p_sev, list_distinct(flatten(list([a, b]) FILTER (WHERE k = 0))) AS p_ich, list_distinct(flatten(list([a, b]) FILTER (WHERE k = 1))) AS p_ivhl FROM l GROUP BY ALL),
+w AS (SELECT n.model, n.prompt_id, g.*, coalesce(p_ivh, false) AS p_ivh, coalesce(p_phe, false) AS p_phe, p_sev, p_ich, p_ivhl FROM (SELECT DISTINCT model, prompt_id FROM l) n CROSS JOIN g LEFT JOIN f ON f.model = n.model AND f.prompt_id = n.prompt_id AND f.id = g.id WHERE counts),
+pres AS (SELECT model, prompt_id, id, 'ivh_presence' AS metric, ivh AS t, p_ivh AS p FROM w UNION ALL SELECT model, prompt_id, id, 'phe_presence', phe, p_phe FROM w),
+sevs AS (SELECT model, prompt_id, id, 'phe_severity' AS metric, sev AS gt, len(p_sev) > 0 AS found, coalesce(list_contains(list_transform(flatten(list_transform(p_sev, lambda v: string_split(v, '/'))), lambda v: lower(trim(v))), sev), false) AS ok FROM w WHERE sev <> ''),
+locs AS (SELECT *, len(list_intersect(gt, pred)) AS common FROM (SELECT model, prompt_id, id, 'ich_location' AS metric, ich_l AS gt, CASE WHEN len(p_ich) > 0 THEN p_ich END AS pred FROM w UNION ALL SELECT model, prompt_id, id, 'ivh_location', ivh_l, CASE WHEN len(p_ivhl) > 0 THEN p_ivhl END FROM w)),
+lok AS (SELECT *, coalesce(common = len(gt) AND common = len(pred), false) AS ok FROM locs)"""
+
 ORACLE_SQL: dict[str, str] = {
     "presence_confusion": _PRESENCE.format(where=""),
     "presence_ignore_filter": _PRESENCE.format(where="WHERE NOT none"),
@@ -217,4 +228,20 @@ x AS (SELECT m.model, toxic = 1 AS a, h.id IS NOT NULL AS p FROM labels CROSS JO
 c AS (SELECT model, count(*) FILTER (WHERE a AND p) AS tp, count(*) FILTER (WHERE a) AS pos, count(*) FILTER (WHERE NOT a AND NOT p) AS tn, count(*) FILTER (WHERE NOT a) AS neg FROM x GROUP BY model)
 SELECT 'ivh_presence_sensitivity' AS metric, model, '3' AS prompt_id, round(CASE WHEN pos = 0 THEN 0 ELSE tp::DOUBLE / pos END, 9) AS value FROM c
 UNION ALL SELECT 'ivh_presence_specificity', model, '3', round(CASE WHEN neg = 0 THEN 0 ELSE tn::DOUBLE / neg END, 9) FROM c""",
+    "all_scores": _SCORES + """,
+c AS (SELECT model, prompt_id, metric, count(*) FILTER (WHERE t AND p)::DOUBLE AS tp, count(*) FILTER (WHERE NOT t AND p)::DOUBLE AS fp, count(*) FILTER (WHERE t AND NOT p)::DOUBLE AS fn, count(*) FILTER (WHERE NOT t AND NOT p)::DOUBLE AS tn FROM pres GROUP BY ALL),
+r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS pr, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS se FROM c),
+said AS (SELECT model, prompt_id, metric, '' AS mode, unnest(['tp', 'fp', 'fn', 'tn', 'sensitivity', 'specificity', 'f1_score', 'accuracy']) AS name,
+  unnest([tp, fp, fn, tn, se, CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END, CASE WHEN pr + se = 0 THEN 0 ELSE 2 * pr * se / (pr + se) END, (tp + tn) / (tp + fp + fn + tn)]) AS value FROM r
+UNION ALL SELECT model, prompt_id, metric, '', unnest(['total', 'correct', 'accuracy']), unnest([count(*)::DOUBLE, count(*) FILTER (WHERE ok)::DOUBLE, avg(ok::INTEGER)]) FROM sevs GROUP BY model, prompt_id, metric
+UNION ALL SELECT model, prompt_id, metric, 'strict', unnest(['total', 'correct', 'no_detection', 'accuracy']), unnest([count(*)::DOUBLE, count(*) FILTER (WHERE ok)::DOUBLE, count(*) FILTER (WHERE pred IS NULL)::DOUBLE, avg(ok::INTEGER)]) FROM lok GROUP BY model, prompt_id, metric
+UNION ALL SELECT model, prompt_id, metric, 'flexible', unnest(['total', 'no_detection', 'avg_gt_coverage', 'avg_pred_precision', 'avg_jaccard']),
+  unnest([count(*)::DOUBLE, count(*) FILTER (WHERE pred IS NULL)::DOUBLE, avg(coalesce(common / len(gt), 0)), avg(coalesce(common / len(pred), 0)), avg(coalesce(common / (len(gt) + len(pred) - common), 0))]) FROM lok GROUP BY model, prompt_id, metric)
+SELECT model, prompt_id, metric, mode, name, round(value, 9) AS value FROM said""",
+    "all_errors": _SCORES + """,
+e AS (SELECT model, prompt_id, metric, '' AS mode, CASE WHEN p THEN 'false_positive' ELSE 'false_negative' END AS section, id::VARCHAR AS s FROM pres WHERE t <> p
+UNION ALL SELECT model, prompt_id, metric, '', 'extra', id::VARCHAR FROM (SELECT model, prompt_id, id, unnest(['ivh_presence', 'phe_presence']) AS metric, unnest([p_ivh, p_phe]) AS p FROM f) WHERE p AND id NOT IN (SELECT id FROM g WHERE counts)
+UNION ALL SELECT model, prompt_id, metric, '', CASE WHEN found THEN 'mismatch' ELSE 'no_detection' END, id::VARCHAR || chr(9) || gt FROM (SELECT * REPLACE (coalesce(found, false) AS found) FROM sevs) WHERE NOT ok
+UNION ALL SELECT model, prompt_id, metric, unnest(['strict', 'flexible']), CASE WHEN pred IS NULL THEN 'no_detection' ELSE 'mismatch' END, id::VARCHAR || chr(9) || array_to_string(gt, '/') FROM lok WHERE NOT ok)
+SELECT model, prompt_id, metric, mode, section, count(*) AS n, sum(length(s))::BIGINT AS chars FROM e GROUP BY ALL""",
 }

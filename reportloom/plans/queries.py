@@ -18,6 +18,7 @@ from ..functions import sizes as Z
 from ..operators import answers as A
 from ..operators import builders as B
 from ..operators import formatting as G
+from ..operators import scorecard as C
 from ..operators import scoring as S
 from ..operators import summary as M
 from ..session import importable
@@ -369,6 +370,39 @@ def summary_long(spark, sf):
     return x.select("metric", "model", "prompt_id", F.round(F.col("value").cast("double"), 9).alias("value"))
 
 
+# all scores at once: orders are the ground truth, their lines what models (return flags) said under prompts (line states)
+
+
+def _scored(spark, sf):
+    from .scoring import Options, score_all
+
+    o, label = read(spark, sf, "orders"), lambda c, n: F.concat(F.lit("s"), (F.col(c) % n).cast("string"))
+    gt = o.select(
+        F.col("o_orderkey").alias("ID"), (F.col("o_orderstatus") == "P").cast("string").alias("all_booleans_false"), (F.col("o_totalprice") > 250000).cast("string").alias("ivh_presence"),
+        (F.col("o_custkey") % 2 == 0).cast("string").alias("phe_presence"), pick(P.SEVERITIES, F.col("o_custkey")).alias("phe_intensity"),
+        F.concat_ws("/", label("o_custkey", 3), label("o_orderkey", 5)).alias("ich_location"), label("o_orderkey", 4).alias("ivh_location"),
+    )
+    lines = read(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("ID"), F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("prompt_id"), pick(["ICH", "IVH", "phe "], F.col("l_linenumber")).alias("type"),
+        F.concat_ws("-", label("l_suppkey", 4), label("l_partkey", 5)).alias("structure"), pick(P.SEVERITIES, F.col("l_partkey")).alias("size"),
+    )
+    return score_all(gt, lines, Options(True, order=("structure", "size")))
+
+
+def all_scores(spark, sf):
+    """Every metric of every model and prompt, by one shuffle of the predictions."""
+    scored = _scored(spark, sf)
+    x = C.long_values(scored.sums, [(s.source, s.mode) for s in scored], ("model", "prompt_id"))
+    return x.withColumn("value", F.round("value", 9))
+
+
+def all_errors(spark, sf):
+    """The lines of all error reports: how many, and of how many characters, a section."""
+    scored = _scored(spark, sf)
+    lines = C.error_lines(scored.wide, [(s.source, s.mode) for s in scored], ("model", "prompt_id"))
+    return lines.groupBy("model", "prompt_id", "metric", "mode", "section").agg(F.count("*").alias("n"), F.sum(F.length(F.substring_index("line", "\t", 2))).alias("chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -378,6 +412,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         size_strict, size_flexible, size_error_rows, pair_format, unit_to_cm, report_texts, common_keys, checklist_booleans,
         report_measurements, multi_label_from_flags, outer_join_ids, ground_truth_join, resume_anti_join, json_field, parse_answer_lines, prompt_messages, prompt_texts,
         path_ids, html_meta_id, bool_parses, na_tokens, model_grid_summary, pivot_metric, prompt_metric_pivot, models_in_all_prompts,
-        first_file_value, summary_long,
+        first_file_value, summary_long, all_scores, all_errors,
     )
 }
