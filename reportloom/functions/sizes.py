@@ -47,6 +47,14 @@ def greedy_match(gt: Column, pred: Column, tolerance_mm: float = TOLERANCE_MM) -
     return F.aggregate(gt, F.struct(none.alias("missing"), pred.cast(SIZES).alias("remaining")), step)
 
 
+def plain_text(value: Column) -> Column:
+    """A double as text with all its digits: powers of ten stand from 1e16 on alone (a cast writes 1.0E7)."""
+    text = value.cast("string")
+    plain = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    power = F.regexp_replace(text, r"(?:\.0)?E(?=\d)", "e+")
+    return F.when((F.abs(value) >= 1e7) & (F.abs(value) < 1e16), plain).when(F.abs(value) >= 1e16, power).otherwise(text)
+
+
 def size_text(size: Column) -> Column:
     """``4.0mm`` or ``4.0x5.0mm``."""
     return F.concat(F.array_join(F.transform(size, lambda x: F.format_string("%.1f", x)), "x"), F.lit("mm"))
@@ -65,8 +73,8 @@ def to_cm(value: Column, unit: Column) -> Column:
 
 def pair_text(values: Column) -> Column:
     """Consecutive values in pairs, ``a x b cm``, a last odd one alone, joined with '/'; null for none."""
-    text = lambda i: F.element_at(values, i.cast("int")).cast("string")
+    text = lambda i: plain_text(F.element_at(values, i.cast("int")))
     n = F.size(values)
     starts = F.sequence(F.lit(1), n, F.lit(2))
-    pairs = F.transform(starts, lambda i: F.when(i < n, F.concat(text(i), F.lit(" x "), F.try_element_at(values, (i + 1).cast("int")).cast("string"), F.lit(" cm"))).otherwise(F.concat(text(i), F.lit(" cm"))))
+    pairs = F.transform(starts, lambda i: F.when(i < n, F.concat(text(i), F.lit(" x "), plain_text(F.try_element_at(values, (i + 1).cast("int"))), F.lit(" cm"))).otherwise(F.concat(text(i), F.lit(" cm"))))
     return F.when(n > 0, F.array_join(pairs, "/"))

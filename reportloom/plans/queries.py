@@ -162,7 +162,7 @@ def severity_accuracy(spark, sf):
 def size_parse(spark, sf):
     k = F.col("p_partkey")
     text = F.concat(k.cast("string"), pick(P.SIZE_TAILS, k), F.lit("/"), F.col("p_size").cast("string"), pick(P.SIZE_TAILS, F.col("p_size")))
-    sizes = F.transform(Z.parse_sizes(text), lambda s: F.array_join(F.transform(s, lambda v: F.round(v, 3).cast("string")), "x"))
+    sizes = F.transform(Z.parse_sizes(text), lambda s: F.array_join(F.transform(s, lambda v: Z.plain_text(F.round(v, 3))), "x"))
     return read(spark, sf, "part").select("p_partkey", F.array_join(sizes, "/").alias("sizes"))
 
 

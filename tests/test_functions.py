@@ -130,3 +130,27 @@ def test_units_and_pairs(spark):
             spark.createDataFrame([(1.0, bad)], "v double, u string").select(Z.to_cm(F.col("v"), F.col("u"))).collect()
     assert column(spark, [[4.0, 2.0, 3.0], [], [1.5]], Z.pair_text, "array<double>") == ["4.0 x 2.0 cm/3.0 cm", None, "1.5 cm"]
     assert column(spark, [[4.0], [4.0, 5.26]], Z.size_text, "array<double>") == ["4.0mm", "4.0x5.3mm"]
+
+
+def test_doubles_keep_their_digits(spark):
+    duckdb = pytest.importorskip("duckdb")
+    values = [0.0, 0.001, 9999999.5, 1e7, 12000000.5, -1.5e7, 123456789012345.67, 1e15, 1e16, 1.25e17]
+    assert column(spark, values, Z.plain_text, "double") == [duckdb.execute("SELECT ?::DOUBLE::VARCHAR", [v]).fetchone()[0] for v in values]
+    assert column(spark, [[1.2e7, 3.0]], Z.pair_text, "array<double>") == ["12000000.0 x 3.0 cm"]
+
+
+def test_size_parse_of_large_keys(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from reportloom.plans.oracles import ORACLE_SQL
+    from reportloom.plans.queries import QUERIES
+
+    spark.sql("SELECT id + 1199990 AS p_partkey, cast(id % 50 + 1 AS int) AS p_size FROM range(40)").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["size_parse"](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLE_SQL["size_parse"]).fetchall())
+
+
+def test_strip_equals_its_pattern(spark):
+    texts = [x for c in map(chr, range(1, 0x3100)) for x in (f"{c}a{c}b{c}{c}", c)]
+    pattern = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+    assert column(spark, texts, X.strip) == column(spark, texts, lambda v: F.regexp_replace(v, pattern, ""))
