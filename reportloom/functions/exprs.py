@@ -14,12 +14,13 @@ TRUE_WORDS = ["true", "1", "yes", "y", "t"]
 #: The in-band mark for an unknown value.
 UNKNOWN = "U"
 
-_BLANK = r"[\s\x1c-\x1f]"  # with (?U): all Unicode white space and the separators
+# All Unicode white space and the separators.
+_BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any kind at both ends (``trim`` removes spaces alone)."""
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    """Without white space of any kind at both ends (``trim`` by itself removes spaces alone)."""
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def norm(text: Column) -> Column:

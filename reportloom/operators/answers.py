@@ -177,12 +177,15 @@ class RecordedProvider:
         return self.answers[conversation[-1]["content"].partition("\n\nReport:\n")[2]]
 
 
-def _key(raw: Column, aliases: dict[str, str]) -> Column:
-    """The field that an item's left side names."""
+def _key(raw: Column) -> Column:
+    """The field that an item's left side names, spelled with spaces."""
     key = F.replace(F.lower(strip(F.substring_index(raw, ":", -1))), F.lit("_"), F.lit(" "))
     key = F.regexp_replace(key, r"(?U)^\d+\.?\s*", "")
     key = strip(F.regexp_replace(key, r"(?U)^(?:lesion\s*\d*|\*|-)\s*", ""))
-    key = F.regexp_replace(key, r"(?U)\s+", " ")
+    return F.regexp_replace(key, r"(?U)\s+", " ")
+
+
+def _named(key: Column, aliases: dict[str, str]) -> Column:
     named = key
     for other, name in aliases.items():
         named = F.when(key == other, F.lit(name)).otherwise(named)
@@ -192,11 +195,13 @@ def _key(raw: Column, aliases: dict[str, str]) -> Column:
 def lesions(answer: Column, prompt: Prompt) -> Column:
     """array<struct<fields>> of an answer's accepted lines, in order."""
     text = strip(answer)
+    none = F.contains(F.substring(F.lower(text), 1, 100), F.lit(NO_LESION.lower()))
 
     def line_items(line: Column) -> Column:
         items = F.filter(F.split(line, ";"), lambda i: F.contains(i, F.lit("=")))
         at = lambda i: F.position(F.lit("="), i)
-        return F.transform(items, lambda i: F.struct(_key(F.substring(i, F.lit(1), at(i) - 1), prompt.aliases).alias("k"), strip(F.substring(i, at(i) + 1, F.length(i))).alias("v")))
+        pairs = F.transform(items, lambda i: F.struct(_key(F.substring(i, F.lit(1), at(i) - 1)).alias("k"), strip(F.substring(i, at(i) + 1, F.length(i))).alias("v")))
+        return F.transform(pairs, lambda kv: F.struct(_named(kv["k"], prompt.aliases).alias("k"), kv["v"].alias("v")))  # a key is made once, and compared with each alias
 
     def last(items: Column, name: str) -> Column:
         return F.try_element_at(F.filter(items, lambda kv: kv["k"] == name), F.lit(-1))["v"]
@@ -204,11 +209,9 @@ def lesions(answer: Column, prompt: Prompt) -> Column:
     def filled(items: Column) -> Column:
         return F.struct(*(F.coalesce(last(items, f), F.lit(UNKNOWN)).alias(f) for f in prompt.fields))
 
-    lines = F.transform(F.split(text, "\n"), lambda x: strip(F.replace(x, F.lit("**"), F.lit(""))))
+    lines = F.transform(F.split(F.when(none, F.lit("")).otherwise(text), "\n"), lambda x: strip(F.replace(x, F.lit("**"), F.lit(""))))
     held = F.filter(lines, lambda x: F.contains(F.lower(x), F.lit("type")) & F.contains(x, F.lit("=")) & F.contains(x, F.lit(";")))
-    rows = F.filter(F.transform(F.transform(held, line_items), filled), lambda r: ~r["type"].isin("", UNKNOWN))
-    none = F.contains(F.substring(F.lower(text), 1, 100), F.lit(NO_LESION.lower()))
-    return F.when(none, F.slice(rows, 1, 0)).otherwise(rows)
+    return F.filter(F.transform(F.transform(held, line_items), filled), lambda r: ~r["type"].isin("", UNKNOWN))
 
 
 def parse_answers(answers: DataFrame, prompt_id: int, prompts: dict[int, Prompt] = PROMPTS, answer: str = "DNN Answer") -> DataFrame:

@@ -21,7 +21,7 @@ from ..operators import formatting as G
 from ..operators import scorecard as C
 from ..operators import scoring as S
 from ..operators import summary as M
-from ..session import importable
+from ..session import importable, spread
 from . import samples as P
 
 
@@ -219,7 +219,8 @@ def _report_json(spark, sf):
     checklist = F.concat(F.lit(',"checklist":{"loc_b":'), flag(F.col("p_size") > 25), F.lit(',"loc_a":'), F.when(k % 5 == 0, '"x"').otherwise(flag(k % 2 == 0)), extra, F.lit("}"))
     value = F.concat(F.lit('{"dictation":'), dictation, F.when(k % 17 == 5, "").otherwise(checklist), F.lit(',"measurements":[{"measurements":{"z":{"value":'), (k % 3).cast("string"), F.lit(',"unit":"mm"},"a":{"value":9}},"control_points":[{"position_ras":[1,"q",'), k.cast("string"), F.lit(']},{"position_ras":[0.5,2,3]}]},7,{"measurements":{"w":{"value":'), F.col("p_size").cast("string"), F.lit(',"unit":5}}}]}'))
     name = F.concat(k.cast("string"), pick(P.FILE_TAILS, k))
-    return read(spark, sf, "part").select(X.id_of_file(name).alias("ID"), F.when(k % 13 == 0, "{oops").otherwise(value).alias("value")).filter(F.try_parse_json("value").isNotNull())
+    parts = spread(read(spark, sf, "part").select("p_partkey", "p_size"))
+    return parts.select(X.id_of_file(name).alias("ID"), F.when(k % 13 == 0, "{oops").otherwise(value).alias("value")).filter(F.try_parse_json("value").isNotNull())
 
 
 def report_texts(spark, sf):
@@ -281,7 +282,8 @@ def parse_answer_lines(spark, sf):
     k = F.col("p_partkey")
     line = lambda kind: F.concat(F.lit("**lesion 1: Type = "), kind, F.lit("; size = "), F.col("p_size").cast("string"), F.lit(" x 2 cm; structure="), F.col("p_name"), F.lit("=b; type extra; severity phe = "), k.cast("string"), F.lit(";**\r\n"))
     answer = F.when(k % 7 == 0, "Lesion report: No lesions mentioned.").otherwise(F.concat(F.lit(" Findings\n"), line(pick(P.ANSWER_TYPES, k)), line(F.lit("PHE")), F.lit("2. - lesion 9: type = SAH; type = U; certainty = high;\nlesion X: type = ICH")))
-    return A.parse_answers(read(spark, sf, "part").select(k.alias("ID"), answer.alias("DNN Answer")), 1).drop("DNN Answer")
+    parts = spread(read(spark, sf, "part").select("p_partkey", "p_size", "p_name"))
+    return A.parse_answers(parts.select(k.alias("ID"), answer.alias("DNN Answer")), 1).drop("DNN Answer")
 
 
 def prompt_messages(spark, sf):
