@@ -68,15 +68,19 @@ def build_measurements(documents: DataFrame) -> DataFrame:
     items = with_dictation(documents).select("ID", raw.alias("raw")).filter(F.col("raw").isNotNull())
     typed = lambda x: F.from_json(x, "measurements map<string,variant>, control_points array<variant>")
 
-    def entry(x: Column) -> Column:
-        one = typed(x)
+    def held(one: Column) -> Column:
         first = F.try_element_at(one["measurements"], F.map_keys(one["measurements"])[0])
         points = F.filter(F.coalesce(one["control_points"], F.array().cast("array<variant>")), lambda p: p.isNotNull())
+        return F.struct(first.alias("first"), points.alias("points"))
+
+    def entry(x: Column) -> Column:
+        first, points = x["first"], x["points"]
         axis = lambda k, d: F.when(F.size(points) >= 2, F.when(_variant(F.get(points, F.lit(k)), "$.position_ras[2]").isNotNull(), _number(_variant(F.get(points, F.lit(k)), f"$.position_ras[{d}]"))))
         return F.struct(_number(_variant(first, "$.value")).alias("measurement"), _text(_variant(first, "$.unit")).alias("unit_measure"), *(axis(k, d).alias(f"{'xyz'[d]}{k + 1}") for k in (0, 1) for d in (0, 1, 2)))
 
     objects = F.filter("raw", lambda x: F.startswith(F.ltrim(x), F.lit("{")))
-    valid = F.filter(F.transform(objects, entry), lambda e: e["measurement"].isNotNull() & (e["measurement"] != 0))
+    entries = F.transform(F.transform(F.transform(objects, typed), held), entry)  # one after the other: each text is parsed once
+    valid = F.filter(entries, lambda e: e["measurement"].isNotNull() & (e["measurement"] != 0))
     rows = items.select("ID", F.posexplode_outer(valid).alias("at", "e"))
     index = F.coalesce((F.col("at") + 1).cast("string"), F.lit(NO_MEASURE))
     return rows.select("ID", index.alias("measurement_index"), *(F.col(f"e.{a}").alias(a) for a in AXES), F.col("e.measurement").alias("measurement"), F.col("e.unit_measure").alias("unit_measure"))
