@@ -81,15 +81,17 @@ def truths(gt: DataFrame, metrics: list[Metric], ignore_all_false: bool) -> Data
         return rows.select("ID", F.lit(True).alias("counts"), F.lit(True).alias("known"), F.lit(False).alias("first"), truth)
     counts = ~parse_bool(F.col("all_booleans_false"))
     rows = require(rows, "all_booleans_false").select("ID", counts.alias("counts"), truth)
-    same = Window.partitionBy("ID", F.when(F.col("ID").isNull(), F.monotonically_increasing_id()))  # rows without an ID stay apart
-    return rows.withColumn("known", F.max("counts").over(same)).withColumn("first", F.row_number().over(same.orderBy("counts")) == 1)
+    rows = rows.withColumn("apart", F.when(F.col("ID").isNull(), F.monotonically_increasing_id()))  # rows without an ID stay apart
+    same = Window.partitionBy("ID", "apart").orderBy("counts")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.select("ID", "counts", F.max("counts").over(whole).alias("known"), (F.row_number().over(same) == 1).alias("first"), "truth")
 
 
 def wide_rows(gt: DataFrame, found: DataFrame, names: DataFrame | None, metrics: list[Metric], by: S.By, ignore_all_false: bool = False, tolerance_mm: float = TOLERANCE_MM) -> DataFrame:
     """(by, ID, a struct a metric, extra): ground-truth rows of each of ``names`` with what was found, and found rows without
     any. ``extra`` lists the presence metrics for which the ID is predicted though no row that counts has it."""
     rows = truths(gt, metrics, ignore_all_false)
-    rows = rows.crossJoin(names.select(*by).distinct()) if by else rows  # a row a model and prompt
+    rows = rows.crossJoin(F.broadcast(names.select(*by).distinct())) if by else rows  # a row a model and prompt, which are few
     both = rows.join(found, [*by, "ID"], "full_outer").withColumn("in_gt", F.col("counts").isNotNull())
     pred = lambda m, f: F.col(f"`{m.name}`")[f]
     sized = [m for m in metrics if m.form == "size"]
@@ -184,27 +186,36 @@ def error_columns(m: Metric, mode: str) -> list[str]:
 
 
 def error_lines(wide: DataFrame, chosen: list[tuple[Metric, str]], by: S.By) -> DataFrame:
-    """(by, metric, mode, section, ID, line): all errors of all metrics in one pass over the rows, as lines of reports."""
+    """(by, metric, mode, section, ID, line): all errors of all metrics in one pass over the rows, as lines of reports. Metrics
+    with an error become rows of one shape first, so that one expression, of a size that the JVM compiles, makes all lines."""
     blank = lambda c: F.coalesce(c, F.lit(""))
+    texts = "array<string>"
+    none = F.lit(None).cast(texts)
 
-    def text(m: Metric, field: str) -> Column:
+    def listed(m: Metric, field: str) -> Column:
         x = F.col(m.name)[field]
-        if m.form == "size":
-            return blank(F.array_join(F.transform(x, size_text), "/"))
-        return blank(x if m.form == "severity" and field == "gt" else F.array_join(x, "/"))
+        return F.transform(x, size_text) if m.form == "size" else F.array(x) if m.form == "severity" and field == "gt" else x
 
     entries = []
-    for m, mode in chosen:
-        x = F.col(m.name)
+    for m in dict.fromkeys(m for m, _ in chosen):
+        x, modes = F.col(m.name), [mode for other, mode in chosen if other == m]
+        score = F.lit(None).cast("struct<coverage:double,precision:double,jaccard:double>")
         if m.form == "presence":
             section = F.when(F.array_contains("extra", m.name), "extra").when(x["actual"] != x["predicted"], F.when(x["predicted"], "false_positive").otherwise("false_negative"))
-            cells = []
+            lists = [none] * 4
         else:
             section = F.when(~x["correct"], F.when(x["pred"].isNull(), "no_detection").otherwise("mismatch"))
-            cells = [text(m, "gt"), text(m, "pred")]
-            if mode == "flexible":
-                shares = {"coverage": "gt_coverage", "precision": "pred_precision", **({"jaccard": "jaccard"} if m.form == "location" else {})}
-                cells += [text(m, "missing"), text(m, "extra"), F.concat_ws(" ", *(F.format_string(t + "=%.3f", x["score"][s]) for s, t in shares.items()))]
-        entries.append(F.struct(F.lit(m.name).alias("metric"), F.lit(mode).alias("mode"), section.alias("section"), F.concat_ws("\t", blank(F.col("ID")), *cells).alias("line")))
-    found = wide.select(*by, "ID", F.filter(F.array(*entries), lambda e: e["section"].isNotNull()).alias("e")).filter(F.size("e") > 0)
-    return found.select(*by, "ID", F.inline("e"))
+            flexible = "flexible" in modes
+            lists = [listed(m, "gt"), listed(m, "pred"), *([listed(m, "missing"), listed(m, "extra")] if flexible else [none] * 2)]
+            if flexible:
+                score = F.struct(x["score"]["coverage"].alias("coverage"), x["score"]["precision"].alias("precision"), (x["score"]["jaccard"] if m.form == "location" else F.lit(None).cast("double")).alias("jaccard"))
+        told = [F.lit(m.name).alias("metric"), F.lit(m.form).alias("form"), F.lit(",".join(modes)).alias("modes"), section.alias("section"), *(c.cast(texts).alias(n) for n, c in zip(("gt", "pred", "missing", "extra"), lists, strict=True)), score.alias("score")]
+        entries.append(F.when(section.isNotNull(), F.struct(*told)))
+    found = wide.select(*by, "ID", F.inline(F.array(*entries))).filter(F.col("section").isNotNull())
+    found = found.select("*", F.explode(F.split("modes", ",")).alias("mode"))
+    share = lambda n, s: F.concat(F.lit(f"{n}="), F.coalesce(F.col("score")[s].cast("decimal(38,3)").cast("string"), F.lit("nul")))
+    shares = F.concat_ws(" ", share("gt_coverage", "coverage"), share("pred_precision", "precision"), F.when(F.col("form") == "location", share("jaccard", "jaccard")))
+    told = lambda when, names: [F.when(when, blank(F.array_join(n, "/"))) for n in names]
+    flexible = F.col("mode") == "flexible"
+    line = F.concat_ws("\t", blank(F.col("ID")), *told(F.col("form") != "presence", ("gt", "pred")), *told(flexible, ("missing", "extra")), F.when(flexible, shares))
+    return found.select(*by, "ID", "metric", "mode", "section", line.alias("line"))
