@@ -2,10 +2,12 @@
 
 A text is its lower-cased words and one end. The model scores a word as a space mark and its characters: the sum, over
 all segmentations into pieces of an existing vocabulary, of the product of unigram piece weights, by forward recursion in
-log space; the text's score adds its words' and the end's log10 weights. The vocabulary's own scores weight the pieces: a
-weight is exp(score / T) over the sum of all (a byte piece, which has no score, comes after the last piece). What is learned
-from training texts is the temperature T and the weight of the end: ``ROUNDS`` rounds of expected piece counts over the
-segmentations of all training words, each followed by the T that makes those counts likeliest.
+log space; the text's score adds its words' and the end's log10 weights. The vocabulary's own scores start the weights: a
+weight is exp(score / T) over the sum of all (pieces of the vocabulary without a rank come after the last that has one, and
+byte pieces after them). Training texts then teach them in ``ROUNDS`` rounds of expected piece counts over the segmentations
+of all training words. After a round a piece weighs its count, and as much as there are kinds of pieces among the counts is
+dealt out beside them (Witten and Bell) by the own scores, at the T that makes the counts likeliest: so own scores tell
+pieces apart that training hardly holds, and every piece keeps a weight. The end's weight is its share.
 
 Plan. One scan gives word counts, combined per task, then by word: a row a distinct word with its counts in training texts
 and in all. Piece counts come from that table, a word once however frequent. Each distinct word's score is found once. Then texts are
@@ -14,7 +16,7 @@ tokens), which is broadcast; a text's other words are kept as (word, times) and
 parts are summed per text. So a word that fills the corpus is never a join key, and rare words are, as many as there are.
 
 Defined results: a null text is empty and is one end token; training counts are those of texts not held out; with no
-training text all counts are 0 and the start temperature holds; equal rows keep a row each.
+training text all counts are 0 and the start weights hold; equal rows keep a row each.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .lattice import Vocabulary, Words, expected, marginals
 HEAVY = 1 << 19
 ROUNDS = 2
 START = 0.15
+#: The score, at most, of a piece without a rank (runs of spaces have -1e9 beside ranks down to -31740).
+UNRANKED = -1e8
 #: The name under which the end of a text is counted; no word holds a space.
 END = " "
 
@@ -79,10 +83,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def given_scores(vocabulary: Vocabulary) -> np.ndarray:
-    """The vocabulary's own scores; byte pieces come after the last piece, and ids that lattices don't use never occur."""
+    """The vocabulary's own scores; unranked pieces come after the last ranked one, byte pieces after these, and ids that
+    lattices don't use never occur."""
+    own = vocabulary.scores[vocabulary.normal]
+    last = own[own > UNRANKED].min(initial=0.0)
     out = np.full(len(vocabulary.pieces), -np.inf)
-    out[vocabulary.normal] = vocabulary.scores[vocabulary.normal]
-    out[vocabulary.byte_ids] = vocabulary.scores[vocabulary.normal].min() - 1
+    out[vocabulary.normal] = np.where(own > UNRANKED, own, last - 1)
+    out[vocabulary.byte_ids] = last - 2
     return out
 
 
@@ -100,7 +107,8 @@ def start_scores(vocabulary: Vocabulary) -> np.ndarray:
 
 
 def fitted_scores(given: np.ndarray, counts: np.ndarray, end: float) -> np.ndarray:
-    """The weights of the temperature under which piece counts are likeliest, and of the end's share."""
+    """Piece weights by their counts, with a part dealt out by the own scores at the temperature under which the counts are
+    likeliest; and the end's share."""
     total = counts.sum()
     seen = counts > 0
     width = max(1.0, float(np.ptp(given[given > -np.inf])))
@@ -114,7 +122,12 @@ def fitted_scores(given: np.ndarray, counts: np.ndarray, end: float) -> np.ndarr
     for _ in range(60):  # the likelihood has one top
         a, b = low + 0.382 * (high - low), low + 0.618 * (high - low)
         low, high = (a, high) if likelihood(np.exp(a)) < likelihood(np.exp(b)) else (low, b)
-    return weights_at(given, float(np.exp((low + high) / 2)), end / (end + total))
+    share = end / (end + total)
+    out = weights_at(given, float(np.exp((low + high) / 2)), share)
+    kinds = np.minimum(counts, 1.0).sum()
+    with np.errstate(divide="ignore"):
+        out[:-1] = np.logaddexp(np.log(counts) + np.log1p(-share), np.log(kinds) + out[:-1]) - np.log(total + kinds)
+    return out
 
 
 def spelled_words(words: list[str]) -> Words:

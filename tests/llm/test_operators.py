@@ -191,6 +191,30 @@ def test_scores(docs, texts, empty, clashing, vocabulary_file, heavy):
         assert lm.score(empty, vocabulary_file).count() == 0 and lm.score(clashing, vocabulary_file).count() == 3
 
 
+def test_weights_follow_training(vocabulary_file):
+    v = lattice.Vocabulary.load(vocabulary_file)
+    given, used = lm.given_scores(v), np.concatenate([v.normal, v.byte_ids])
+    ranked = v.scores[v.normal] > lm.UNRANKED
+    assert not ranked.all() and (given[v.normal[ranked]] == v.scores[v.normal[ranked]]).all()
+    assert given[v.byte_ids].max() < given[v.normal[~ranked]].max() < given[v.normal[ranked]].min() < 0 and np.ptp(given[used]) < 1e5
+    counts = lattice.expected(lm.spelled_words(["the", "language"]), np.array([700.0, 200.0]), lm.start_scores(v)[:-1], v)
+    for found in (counts, np.where(np.arange(len(counts)) == v.pieces.index("▁the"), 9.0, 0.0)):
+        learned = lm.fitted_scores(given, found, 100.0)
+        assert math.isclose(np.exp(learned).sum(), 1) and np.isfinite(learned[used]).all()
+        unseen = v.normal[ranked & (found[v.normal] == 0)]
+        assert (np.diff(learned[unseen][np.argsort(given[unseen])]) >= 0).all()  # told apart by their own scores
+    got = lattice.marginals(lm.spelled_words(["the", "language"]), lm.fitted_scores(given, counts, 100.0)[:-1], v)
+    assert np.allclose(np.exp(got), [0.7, 0.2], atol=0.05)
+
+
+def test_held_out_scores_are_near_the_word_model(spark, vocabulary_file):
+    rng = random.Random(5)
+    words = "the time of all people who want to make good work with language and new things that they learn".split()
+    rows = [(i, " ".join(rng.choices(words, weights=range(len(words), 0, -1), k=60))) for i in range(200)]
+    got = [r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary_file).collect() if r["held_out"]]
+    assert len(got) > 10 and all(math.isfinite(r["score"]) and r["score"] > 1.1 * r["base_score"] for r in got)
+
+
 # 4
 
 
