@@ -15,7 +15,8 @@ text in fifty would be in the language named for it.
 As the softmax is linear, a text's logits are the mean of one row per gram (embeddings times weights), so prediction
 gathers a few numbers a gram, over whole texts. The model is 2 ** bits rows and is broadcast; its size doesn't depend on
 the data. Documents aren't shuffled. Executors count the sampled documents' grams; what comes to the driver is at most
-2 ** bits buckets a sampled document, as small numbers.
+2 ** bits buckets a sampled document, packed by the tasks (steps between buckets and counts, deflated) and held as small
+numbers while the model is fitted.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; with no labelled document all
 are; null labels are not learned; equal rows keep a row each; ties go to the first language in order.
@@ -23,6 +24,7 @@ are; null labels are not learned; equal rows keep a row each; ties go to the fir
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from dataclasses import dataclass
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, pieces, plain, raw, sampled_ids
+from .common import hand_back, lean, pieces, plain, raw, sampled_ids
 
 BITS = 15
 DIM = 16
@@ -159,6 +161,25 @@ def calibrate(model: Model, checked: list[Example], y: np.ndarray) -> None:
     model.temperature, model.short = map(float, min(((t, s) for t in np.geomspace(0.1, 5, 25) for s in (0, *np.geomspace(1, 300, 15))), key=loss))
 
 
+def packed(x: np.ndarray, steps: bool) -> bytes:
+    """Buckets in ascending order as the steps between them (under 2 ** 16), or counts, deflated."""
+    return zlib.compress((np.diff(x, prepend=0).astype("<u2") if steps else x.astype("<u4")).tobytes(), 1)
+
+
+def unpacked(x: bytes, steps: bool) -> np.ndarray:
+    """What was packed, in the smallest kind of numbers that holds it."""
+    out = np.frombuffer(zlib.decompress(x), "<u2" if steps else "<u4")
+    out = np.cumsum(out, dtype=np.uint32) if steps else out
+    return out.astype(np.uint16 if steps else np.min_scalar_type(out.max(initial=0)))
+
+
+def in_order(examples: list[Example]) -> list[Example]:
+    """By label, part, checksum of the buckets and, among equals, buckets and counts: an order that doesn't depend on how rows came."""
+    first = lambda x: (x[2] or "", x[3], zlib.crc32(x[0].astype("<u2").tobytes()))
+    groups = itertools.groupby(sorted(examples, key=first), first)  # whole texts are compared where they may be equal alone
+    return [x for _, own in groups for x in sorted(own, key=lambda x: (x[0].astype("<u2").tobytes(), x[1].astype("<u4").tobytes()))]
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
@@ -177,18 +198,17 @@ def training_examples(docs: DataFrame, doc_id: str, text: str, lang: str, sample
                 if _LETTER.search(own := t.as_py()):
                     out += examples_of(own, y)
             if out:
-                told = lambda k, kind: pa.array([x[k].astype(kind).tobytes() for x in out], pa.binary())
-                yield pa.record_batch([told(0, "<u2"), told(1, "<u4"), pa.array([x[2] for x in out], pa.string()), pa.array([x[3] for x in out])], names=["at", "n", "y", "checks"])
+                told = lambda k, steps: pa.array([packed(x[k], steps) for x in out], pa.binary())
+                yield pa.record_batch([told(0, True), told(1, False), pa.array([x[2] for x in out], pa.string()), pa.array([x[3] for x in out])], names=["at", "n", "y", "checks"])
 
     found = rows.select("x.t", "x.y").mapInArrow(lean(run), "at binary, n binary, y string, checks boolean").toArrow()
-    numbers = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
-    out = [(numbers(a, "<u2"), numbers(n, "<u4"), y.as_py(), c.as_py()) for a, n, y, c in zip(*(found.column(k) for k in range(4)), strict=True)]
-    # in an order that doesn't depend on how rows came
-    return sorted(out, key=lambda x: (x[2] or "", x[3], zlib.crc32(x[0].tobytes()), x[0].tobytes(), x[1].tobytes()))
+    return in_order([(unpacked(a.as_py(), True), unpacked(n.as_py(), False), y.as_py(), c.as_py()) for a, n, y, c in zip(*(found.column(k) for k in range(4)), strict=True)])
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = MOST_LANGUAGES) -> Model | None:
-    return fit(training_examples(docs, doc_id, text, lang, sample, most))
+    model = fit(training_examples(docs, doc_id, text, lang, sample, most))
+    hand_back()  # the examples' memory
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, lean, pieces, raw, sampled_ids
+from .common import arrow_type, hand_back, lean, pieces, raw, sampled_ids
 
 #: Documents that training may read, and stretches of words that it may fit.
 SAMPLE = 20_000
@@ -441,7 +441,9 @@ def train_field(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
     plain_tags = F.length(F.replace(F.hex("y"), F.lit("0"), F.lit(""))) == 0
     rows = rows.orderBy(plain_tags, F.xxhash64("x", "y"), "x", "y").limit(stretches).toArrow()
     both = (rows["x"].to_pylist(), rows["y"].to_pylist())
-    return train([(np.frombuffer(x, "<i2").reshape(-1, width), np.frombuffer(y, "<i2")) for x, y in zip(*both, strict=True)])
+    field = train([(np.frombuffer(x, "<i2").reshape(-1, width), np.frombuffer(y, "<i2")) for x, y in zip(*both, strict=True)])
+    hand_back()
+    return field
 
 
 _TRIM = b"\"'`,;:.!?()[]{}<>|="

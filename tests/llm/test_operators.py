@@ -770,3 +770,18 @@ def test_language_counts_are_not_clipped(spark):
     df = spark.createDataFrame([(1, "ab " * 90_000, "x"), (2, "cd " * 5, "y")], "doc_id long, text string, lang string")
     found = langid.training_examples(df, "doc_id", "text", "lang", 10, 10)
     assert max(int(n.max()) for _, n, _, _ in found) >= 90_000
+
+
+def test_language_examples_are_small(spark):
+    """Counts come to the driver packed and lie there in a byte each where they fit, and examples stand in one order."""
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijkl", k=5)) for _ in range(300)), "xy"[i % 2]) for i in range(40)]
+    rows += [(50 + i, *rows[0][1:]) for i in range(2)] + [(60, "ab " * 90_000, "x")]
+    found = langid.training_examples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 100, 10)
+    small = [x for x in found if x[1].max() < 256]
+    assert len(small) > 40 and all(at.nbytes + n.nbytes == 3 * len(at) for at, n, _, _ in small)
+    whole = [(y or "", c, zlib.crc32(at.tobytes()), at.tobytes(), n.astype("<u4").tobytes()) for at, n, y, c in found]
+    assert whole == sorted(whole)
+    for at, n in [langid.counted(rows[0][1]), langid.counted(rows[-1][1]), (np.array([0, 1, 65535]), np.array([1, 300, 1 << 20]))]:
+        sent = langid.packed(at, True), langid.packed(n, False)
+        assert (langid.unpacked(sent[0], True) == at).all() and (langid.unpacked(sent[1], False) == n).all()
