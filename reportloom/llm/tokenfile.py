@@ -6,10 +6,13 @@ the vocabulary allows, else 32) and ``mask`` (whether the id is real; only a sha
 into memory, and row k of a column is a slice at a fixed offset: random access copies nothing. Beside each shard lies
 its index, an Arrow IPC file of (doc_id, at, n): where in the shard's stream each document begins and how long it is.
 
-Encoding. A token never reaches over a single space between two characters other than white space, as it can only begin
-with it; so texts are cut there, and each distinct unit is encoded once a worker (its store is bounded in bytes). A text that
-spells an added token of the vocabulary (such as <|endoftext|>, which the library reads as that token) is encoded whole.
-All ways are the library's own encoding of the whole text.
+Encoding. A byte-level vocabulary's pieces follow a pattern that never looks back, and ahead from white space alone; so a
+text may be cut before white space that follows another character, after a letter that no letter follows, between an ASCII
+mark or digit (no apostrophe) and a letter, and after a line's end alone. Texts are cut at such places, told from the bytes of
+ASCII, Latin and Cyrillic letters, and each distinct unit is encoded once a worker (its store is bounded in bytes). A text that
+spells an added token of the vocabulary (such as <|endoftext|>, which the library reads as that token) is encoded whole, and so
+is every text where the vocabulary has another pattern, a normalizer or a limit. All ways are the library's own encoding of the
+whole text.
 
 Plan. One shuffle deals documents by ranges of doc_id, then of their text's hash and their row (sampled, so neither a hot
 source nor a hot id matters), into as many shards as the table's bytes ask for; each task sorts, encodes
@@ -23,6 +26,8 @@ first; an empty table writes no shard and reads as none.
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import uuid
 import zlib
@@ -33,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STORE_BYTES, UnitStore, arrow_type, lean, pieces, scratch_path, written
+from .common import BATCH_BYTES, STORE_BYTES, UnitStore, arrow_type, lean, pieces, raw, scratch_path, written
 
 LENGTH = 2048
 END = 2
@@ -43,9 +48,44 @@ SHARD_BYTES = 64 << 20
 #: Bytes of units, about, that a worker remembers.
 KEPT_BYTES = 192 << 20
 
-#: White space (of any kind) beside a space, or a space at either end; and the spaces at which such a text is cut.
-_ODD = r"^ | $|[\t-\r\x{1c}-\x{20}\x{85}\p{Z}] | [\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: What a byte is: a character of its own (a letter, the apostrophe, another mark or digit, white space) or the first of a
+#: letter's two bytes (U+00C0 to U+027F, U+0400 to U+047F; two of them are signs).
+_LETTER, _APOSTROPHE, _MARK, _BLANK, _LEAD = range(1, 6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x27] = _APOSTROPHE
+_KIND[[*range(0x09, 0x0E), 0x20]] = _BLANK
+_KIND[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = _LEAD
+_SIGNS = np.array([0xC397, 0xC3B7])
+#: White space beyond ASCII, as bytes of UTF-8.
+_WIDE = np.array([int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+
+
+def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the units of texts begin, given the texts' bytes end to end and their n + 1 offsets."""
+    n = len(data)
+    cut = np.zeros(n + 1, bool)
+    cut[at[:-1]] = True
+    if n == 0:
+        return np.zeros(0, np.int64)
+    kind = _KIND[data]
+    letter = kind == _LETTER
+    lead = np.flatnonzero(kind == _LEAD)
+    lead = lead[~np.isin(data[lead].astype(np.int64) << 8 | data[lead + 1], _SIGNS)]
+    letter[lead] = letter[lead + 1] = True
+    blank, mark = kind == _BLANK, kind == _MARK
+    solid = letter | mark | (kind == _APOSTROPHE)
+    inner = cut[1:n]
+    inner |= letter[:-1] & ~letter[1:] & (data[1:] < 0x80)
+    inner |= mark[:-1] & letter[1:]
+    inner |= solid[:-1] & blank[1:]
+    # other characters than these before white space: few, and looked at one by one
+    k = np.flatnonzero(blank[1:] & ~inner & (data[:-1] >= 0x80)) + 1
+    two = data[k - 2].astype(np.int64) << 8 | data[k - 1]
+    cut[k[~(np.isin(two, _WIDE) | np.isin(data[k - 3].astype(np.int64) << 16 | two, _WIDE))]] = True
+    inner |= cut[: n - 1] & (data[:-1] == 0x0A) & solid[1:]
+    return np.flatnonzero(cut[:n])
 
 
 class Encoder:
@@ -75,6 +115,9 @@ class Encoder:
             self.spaced[i] = token.startswith("Ġ")  # the byte-level name of a space
         self.kept: UnitStore | None = None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        said = json.loads(self.tokenizer.to_str())
+        way = said["pre_tokenizer"] or {}
+        self.cuttable = way.get("type") == "ByteLevel" and way.get("use_regex", True) and not way["add_prefix_space"] and not any(said[x] for x in ("normalizer", "truncation", "padding"))
 
     def store(self, most: int = 3 * STORE_BYTES) -> UnitStore:
         return UnitStore(self._solve, self.kind, most)
@@ -88,80 +131,54 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _solve(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of every ' ' + unit, end to end, and how many each has. Units without an inner space are encoded as one text."""
+        """Ids of every unit, end to end, and how many each has. Units of a space and what isn't white space are encoded as one text."""
         ids, sizes = [], np.zeros(len(units), np.int64)
-        group: list[int] = []
-
-        def flush() -> None:
-            if group:
-                found = self.whole("".join(f" {units[k]}" for k in group))
-                starts = np.flatnonzero(self.spaced[found])
-                if len(starts) == len(group):
-                    ids.append(found)
-                    sizes[group] = np.diff(starts, append=len(found))
-                else:  # a unit that isn't told from its neighbour by its space
-                    ids.extend(own := [self.whole(f" {units[k]}") for k in group])
-                    sizes[group] = [len(x) for x in own]
-                group.clear()
-
-        for k, unit in enumerate(units):
-            if " " in unit:
-                flush()
-                ids.append(self.whole(f" {unit}"))
-                sizes[k] = len(ids[-1])
+
+        def alone(some: list[str]) -> list[list[int]]:
+            return [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+        for first in range(0, len(units), 1 << 13):
+            some = units[first : first + (1 << 13)]
+            group = [k for k, u in enumerate(some) if u[0] == " " and (v := u[1:]) and " " not in v and v == v.strip()]
+            size = np.zeros(len(some), np.int64)
+            found = self.whole("".join([some[k] for k in group])) if group else np.zeros(0, self.kind)
+            starts = np.flatnonzero(self.spaced[found])
+            if len(starts) != len(group):  # a unit that isn't told from its neighbour by its space
+                group, found = [], found[:0]
             else:
-                group.append(k)
-                if len(group) >= 1 << 13:
-                    flush()
-        flush()
+                size[group] = np.diff(starts, append=len(found))
+            grouped = np.zeros(len(some), bool)
+            grouped[group] = True
+            rest = np.flatnonzero(~grouped)
+            own = alone([some[k] for k in rest.tolist()])
+            size[rest] = [len(x) for x in own]
+            out = np.zeros(int(size.sum()), self.kind)
+            told = np.repeat(grouped, size)
+            out[told] = found
+            out[~told] = list(itertools.chain.from_iterable(own))
+            ids.append(out)
+            sizes[first : first + len(some)] = size
         return np.concatenate(ids), sizes, np.zeros(len(units))
 
-    def _odd(self, text: str, store: UnitStore) -> np.ndarray:
-        first, *rest = _CUT.split(text)
-        distinct = list(dict.fromkeys(rest))
-        place = dict(zip(distinct, store.places(distinct).tolist(), strict=True))
-        return np.concatenate([self.whole(first), store.spelled(np.fromiter(map(place.__getitem__, rest), np.int64, len(rest)))])
-
     def encode(self, texts: pa.Array, end: int, store: UnitStore) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, end to end; and how many each has."""
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        named = np.zeros(len(texts), bool)
+        named = np.full(len(texts), not self.cuttable)
         for token in self.added:
             named |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        split = pc.split_pattern(pc.if_else(pa.array(odd | named), pa.scalar(""), texts), " ")
-        heads = split.offsets.to_numpy().astype(np.int64)
-        heads = heads[:-1] - heads[0]
-        coded = pc.dictionary_encode(split.flatten())
-        # the first unit of a text has no space before it; '' stands for a text that is cut or goes whole
-        at = coded.indices.to_numpy()
-        lead = pc.take(coded.dictionary, pa.array(at[heads])).to_pylist()
-        # so it is solved apart, and only what follows a space goes into the store
-        later = np.ones(len(at), bool)
-        later[heads] = False
-        place = np.zeros(len(coded.dictionary), np.int64)
-        place[at[later]] = 1
-        used = np.flatnonzero(place)
-        place[used] = store.places(pc.take(coded.dictionary, pa.array(used)).to_pylist())
-        places = place[at]
-        ids, size = store.spelled(places), store.sizes(places)
-        counts = np.add.reduceat(size, heads) if len(heads) else np.zeros(0, np.int64)
-        at = np.concatenate([[0], np.cumsum(counts)])
-        known: dict[str, np.ndarray] = {"": np.zeros(0, self.kind)}
-        out = []
-        last = np.array([end], self.kind)
-        sizes = np.ones(len(texts), np.int64)
-        for i in range(len(texts)):
-            if named[i]:
-                own = [self.whole(texts[i].as_py())]
-            elif odd[i]:
-                own = [self._odd(texts[i].as_py(), store)]
-            else:
-                if (unit := lead[i]) not in known:
-                    known[unit] = self.whole(unit)
-                own = [known[unit], ids[at[i] + size[heads[i]] : at[i + 1]]]
-            sizes[i] += sum(map(len, own))
-            out += [*own, last]
-        return np.concatenate(out), sizes
+        cuttable = pc.if_else(pa.array(named), pa.scalar(""), texts) if named.any() else texts
+        data, at = raw(cuttable)
+        starts = cuts(data, at)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        coded = pc.dictionary_encode(pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)))
+        places = store.places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(store.sizes(places))])[np.searchsorted(starts, at)]
+        more = [np.append(self.whole(texts[i].as_py()), self.kind.type(end)) for i in np.flatnonzero(named).tolist()]
+        added = np.ones(len(texts), np.int64)
+        added[named] = [len(x) for x in more]
+        values = np.full(int(added.sum()), end, self.kind)
+        if more:
+            values[np.repeat(named, added)] = np.concatenate(more)
+        return np.insert(store.spelled(places), np.repeat(ends[1:], added), values), np.diff(ends) + added
 
 
 def _store(uri: str):
@@ -223,7 +240,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
         encoder, writer, at, n_docs = Encoder.of(tokenizer), None, 0, 0
         units = encoder.kept_store()
-        for batch, texts in pieces(batches, "_t"):
+        for batch, texts in pieces(batches, "_t", BATCH_BYTES):
             if writer is None:
                 store, path = _store(folder)
                 store.create_dir(path, recursive=True)

@@ -344,6 +344,49 @@ def test_encoder_equals_the_library(tokenizer_file, text, most):
     assert ids.tolist() == list(itertools.chain(*want)) and counts.tolist() == list(map(len, want))
 
 
+def test_units_are_cut_at_marks_and_line_ends(tokenizer_file):
+    """A word beside marks, digits and line ends is encoded once, alone or with its space, in ASCII, Latin and Cyrillic letters."""
+    encoder = tokenfile.Encoder.of(tokenizer_file)
+    words = [a + b for a in ("wort", "été", "слово") for b in itertools.starmap("{}{}".format, itertools.product("abcdefgh", repeat=2))]
+    texts = [f"{w} {w}, {w}. ({w}) x-{w}:7{w}\n{w}\n{w}" for w in words]
+    store = encoder.store()
+    ids, counts = encoder.encode(pa.array(texts), 2, store)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == list(itertools.chain(*want)) and counts.tolist() == list(map(len, want))
+    assert len(store.place) <= 2 * len(words) + 20  # each word alone and after a space
+
+
+def test_encoder_of_letters_and_marks_of_many_scripts(tokenizer_file):
+    encoder = tokenfile.Encoder.of(tokenizer_file)
+    rng = random.Random(29)
+    parts = ["a", "The", "s", "re", "'", "'s", '"\'', ".", "(", "-", "42", "é", "Ñ", "ß", "×", "÷", "Привет", "\u0482", "\u0301", "中", "“", "—", "😀", "ª", "²", "Ⅷ", "ა", "\0", "\x1f", "\x7f", "\x85", "\xad", "٣", "\n", "\n\n", "\r\n", "\t", " ", " ", " ", "\xa0", "\u2003", "\u180e", "<|endoftext|>"]
+    for k in range(30):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(700)]
+        ids, counts = encoder.encode(pa.array(texts), 2, encoder.store(most=k % 2 << 20))
+        want = [x.ids + [2] for x in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert ids.tolist() == list(itertools.chain(*want)) and counts.tolist() == list(map(len, want))
+
+
+def test_encoder_of_other_vocabularies(tokenizer_file, tmp_path):
+    """A vocabulary with a limit, a normalizer or another pattern encodes whole texts, as the library does."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    texts = ["Ab, cd\nef gh.", "", "x", " the ship, and the sea", "a  b\n\nc"]
+    for k in range(4):
+        other = Tokenizer.from_file(tokenizer_file)
+        if k == 0:
+            other.enable_truncation(3)
+        elif k == 1:
+            other.normalizer = normalizers.Replace(", ", ",")
+        else:
+            other.pre_tokenizer = [pre_tokenizers.ByteLevel(add_prefix_space=True), pre_tokenizers.Split(",", "isolated")][k - 2]
+        other.save(str(tmp_path / f"{k}.json"))
+        encoder = tokenfile.Encoder.of(str(tmp_path / f"{k}.json"))
+        ids, counts = encoder.encode(pa.array(texts), 2, encoder.store())
+        want = [other.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert ids.tolist() == list(itertools.chain(*want)) and counts.tolist() == list(map(len, want)), k
+
+
 # 7
 
 
