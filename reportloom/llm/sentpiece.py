@@ -82,7 +82,7 @@ class Codec:
         split = pc.split_pattern(pc.if_else(pa.array(simple), whole, pa.scalar("")), " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(split.flatten())
-        places = store.places([f" {u}" if u else "" for u in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        places = store.places([f" {u}" if u else "" for u in coded.dictionary.to_numpy(zero_copy_only=False)])[coded.indices.to_numpy()]
         ids, heads = store.spelled(places), offsets[:-1] - offsets[0]
         counts = np.add.reduceat(store.sizes(places), heads) if len(heads) else np.zeros(0, np.int64)
         if simple.all():
